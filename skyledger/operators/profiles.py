@@ -56,7 +56,7 @@ def strata_counts(df: DataFrame, dimensions: Mapping[str, str], **aggs: Column)
 def filter_reproduction(evidence: DataFrame, state: DataFrame, *, id_col: str) -> DataFrame:
     """How often the recorded label agrees with what the line filter would decide."""
     kept = F.col("evidence") != "no_line_evidence"
-    yes, no = F.col("label") == "yes", F.col("label") == "no"
+    yes, no = F.col("label") == "accept", F.col("label") == "reject"
     return (
         evidence.join(state.withColumnRenamed("target_id", id_col), id_col, "left")
         .groupBy("evidence")
@@ -79,7 +79,7 @@ def inventory(merged: DataFrame, state: DataFrame, prompts: Sequence[str]) -> Da
     return rows.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(related).alias("vehicle_related"), F.count_if(only).alias("vehicle_only"),
         count(~only).alias("mixed"), count(F.col("prompt_hits") == 1).alias("one_prompt"),
-        count(F.col("prompt_hits") > 1).alias("many_prompts"), count(F.col("label") == "yes").alias("labelled_yes"),
+        count(F.col("prompt_hits") > 1).alias("many_prompts"), count(F.col("label") == "accept").alias("labelled_accept"),
         count(F.col("is_auto")).alias("auto"), count(F.col("source") == "human").alias("by_human"),
         count(F.col("label").isNull()).alias("missing_state"),
     )
@@ -92,3 +92,11 @@ def model_box_stats(df: DataFrame, *, image_area: float, large_share: float = 0.
         F.count_if(bx.area(bx.box()) / image_area > large_share).alias("large_boxes"),
         F.round(F.avg("confidence"), 4).alias("mean_confidence"),
     )
+
+
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One-row tables as one wide row, without a cross join."""
+    rows = frames[0]
+    for frame in frames[1:]:
+        rows = rows.unionByName(frame, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])

@@ -45,7 +45,7 @@ BINDINGS: dict[str, tuple[str, dict[str, str], bool]] = {
             "det_id": "event_id",
             "image_id": "user_id",
             "prompt": "event_type",
-            "class_name": "CASE <k> % 3 WHEN 0 THEN 'car' WHEN 1 THEN 'bus' ELSE 'truck' END",
+            "class_name": "CASE CAST(floor(value) AS BIGINT) % 3 WHEN 0 THEN 'car' WHEN 1 THEN 'bus' ELSE 'truck' END",
             "confidence": "least(1e0, value / 500e0)",
             "x1": _X1,
             "y1": _Y1,
@@ -78,20 +78,33 @@ BINDINGS: dict[str, tuple[str, dict[str, str], bool]] = {
         },
         True,
     ),
-    "log": (
+    "index": (
         "orders",
         {
-            "target_id": "o_custkey",
-            "seq": "o_orderkey",
-            "at": "<seconds o_orderdate>",
-            "label": "CASE o_orderpriority WHEN '1-URGENT' THEN 'no' WHEN '4-NOT SPECIFIED' THEN 'skip' "
-            "WHEN '5-LOW' THEN 'deleted' ELSE 'yes' END",
-            "is_auto": "o_orderstatus = 'F'",
-            "source": "CASE o_orderstatus WHEN 'F' THEN 'machine' WHEN 'O' THEN 'human' ELSE 'import' END",
-            "object_type": "CASE o_orderkey % 5 WHEN 0 THEN 'car' WHEN 1 THEN 'bus' WHEN 2 THEN 'truck' WHEN 3 THEN '' ELSE NULL END",
-            "issue_type": "CASE o_orderkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'blurred' WHEN 2 THEN 'occluded' ELSE NULL END",
-            "verifiable": "CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END",
-            "sem_confidence": "round(o_totalprice / 500000e0, 4)",
+            "target_id": "o_orderkey",
+            "pos": "o_orderkey",
+            "image": "concat('img_', CAST(o_orderkey <div> 4 AS VARCHAR(20)), '.jpg')",
+            "class_name": "CASE o_orderpriority WHEN '1-URGENT' THEN 'car' WHEN '2-HIGH' THEN 'bus' WHEN '3-MEDIUM' THEN 'truck' "
+            "WHEN '4-NOT SPECIFIED' THEN 'car' ELSE 'van' END",
+            "confidence": "CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE round(o_totalprice / 500000e0, 4) END",
+            "prompt_hits": "CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey % 3 + 1 END",
+            "mask_file": "CASE WHEN o_custkey % 13 = 0 THEN NULL ELSE concat('m', CAST(o_orderkey AS VARCHAR(20)), '.png') END",
+        },
+        False,
+    ),
+    "log": (
+        "lineitem",
+        {
+            "rec_id": _ROW_ID,
+            "target_id": "l_orderkey",
+            "noted": "<seconds l_shipdate>",
+            "label": "CASE l_linenumber WHEN 1 THEN 'reject' WHEN 2 THEN 'hard_negative' WHEN 3 THEN 'hard_positive' WHEN 7 THEN 'needs_review' "
+            "WHEN 6 THEN CASE WHEN l_returnflag = 'R' THEN '' ELSE 'empty_ok' END ELSE 'accept' END",
+            "is_auto": "l_returnflag = 'A'",
+            "source": "CASE WHEN l_linestatus = 'O' THEN 'human' WHEN l_returnflag = 'A' THEN 'machine' ELSE 'import' END",
+            "object_type": "CASE l_partkey % 5 WHEN 0 THEN 'car' WHEN 1 THEN 'bus' WHEN 2 THEN 'truck' WHEN 3 THEN '' ELSE NULL END",
+            "issue_type": "CASE l_suppkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'blurred' WHEN 2 THEN 'occluded' ELSE NULL END",
+            "verifiable": "CASE l_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END",
         },
         False,
     ),

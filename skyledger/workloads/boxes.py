@@ -261,15 +261,15 @@ def _(t):
 
 @workload(
     "line_filter_audit", "A27 J4",
-    LINES_SQL + f", {cte('log')}, last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY seq DESC) = 1) "
-    "SELECT evidence, count(*) AS targets, count(last.label) AS labelled, count(*) FILTER (last.label = 'yes' AND evidence <> 'no_line_evidence' "
-    "OR last.label = 'no' AND evidence = 'no_line_evidence') AS reproduced, count(*) FILTER (last.label = 'yes' AND evidence = 'no_line_evidence' "
-    "OR last.label = 'no' AND evidence <> 'no_line_evidence') AS mismatched FROM ev LEFT JOIN last ON last.target_id = ev.det_id GROUP BY evidence",
+    LINES_SQL + f", {cte('log')}, last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY noted DESC, rec_id DESC) = 1) "
+    "SELECT evidence, count(*) AS targets, count(last.label) AS labelled, count(*) FILTER (last.label = 'accept' AND evidence <> 'no_line_evidence' "
+    "OR last.label = 'reject' AND evidence = 'no_line_evidence') AS reproduced, count(*) FILTER (last.label = 'accept' AND evidence = 'no_line_evidence' "
+    "OR last.label = 'reject' AND evidence <> 'no_line_evidence') AS mismatched FROM ev LEFT JOIN last ON last.target_id = ev.det_id GROUP BY evidence",
 )
 def _(t):
     from skyledger.operators.reviews import latest_state
 
-    state = latest_state(t.log, key="target_id", order=["seq"]).select("target_id", "label")
+    state = latest_state(t.log, key="target_id", order=["noted", "rec_id"]).select("target_id", "label")
     return pf.filter_reproduction(_line_evidence(t), state, id_col="det_id")
 
 
@@ -360,12 +360,12 @@ INVENTORY_SETS = ("view", "click", "purchase")
 @workload(
     "target_inventory", "A4 U2",
     MERGED_SQL.split("SELECT image_id, founder, det_id AS best_id")[0]
-    + f", {cte('log')}, st AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY seq DESC) = 1), "
+    + f", {cte('log')}, st AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY noted DESC, rec_id DESC) = 1), "
     "x AS (SELECT b.det_id, hits, string_split(source_prompts, '|') AS p FROM best b JOIN used USING (founder)), "
     "v AS (SELECT x.*, list_has_any(p, ['view', 'click', 'purchase']) AS related, list_has_all(['view', 'click', 'purchase'], p) AS sole FROM x) "
     "SELECT count(*) AS total, count(*) FILTER (related) AS vehicle_related, count(*) FILTER (sole) AS vehicle_only, "
     "count(*) FILTER (related AND NOT sole) AS mixed, count(*) FILTER (related AND hits = 1) AS one_prompt, count(*) FILTER (related AND hits > 1) AS many_prompts, "
-    "count(*) FILTER (related AND label = 'yes') AS labelled_yes, count(*) FILTER (related AND is_auto) AS auto, count(*) FILTER (related AND source = 'human') AS by_human, "
+    "count(*) FILTER (related AND label = 'accept') AS labelled_accept, count(*) FILTER (related AND is_auto) AS auto, count(*) FILTER (related AND source = 'human') AS by_human, "
     "count(*) FILTER (related AND label IS NULL) AS missing_state FROM v LEFT JOIN st ON st.target_id = v.det_id",
 )
 def _(t):
@@ -374,7 +374,7 @@ def _(t):
     d = t.detections.withColumn("pos", F.struct("prompt", "det_id"))
     founders = merge_groups(d, group=["image_id"], id_col="det_id", order="pos", confidence="confidence")
     merged = merged_targets(d, founders, group=["image_id"], id_col="det_id", order="pos", confidence="confidence", prompt="prompt")
-    state = latest_state(t.log, key="target_id", order=["seq"])
+    state = latest_state(t.log, key="target_id", order=["noted", "rec_id"])
     return pf.inventory(merged.withColumnRenamed("best_id", "target_id"), state, INVENTORY_SETS)
 
 
