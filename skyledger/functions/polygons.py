@@ -146,18 +146,48 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 
 def in_polygon(x: Column, y: Column, rings: Column) -> Column:
-    """Inside or on the boundary of the outer ring and not strictly inside a hole."""
+    """Inside or on the boundary of the outer ring and neither inside nor on the boundary of a hole."""
     outer = in_ring(x, y, F.element_at(rings, 1))
     holes = F.slice(rings, 2, F.size(rings))
-    return (outer >= 0) & ~F.exists(holes, lambda h: in_ring(x, y, h) == 0)
+    return (outer >= 0) & ~F.exists(holes, lambda h: in_ring(x, y, h) >= 0)
 
 
-def ring_issue(ring: Column) -> Column:
-    """The first structural issue of a ring, or null."""
-    short = F.size(ring) < 4
+def polygon_issues(kind: Column, polygons: Column) -> Column:
+    """Distinct structural issues of a Polygon or MultiPolygon given as polygons > rings > points."""
+    ring_issue = lambda ring: F.when((F.size(ring) < 4) | ~is_closed(ring), "unclosed_or_short_ring").when(
+        self_intersects(ring), "self_intersection"
+    )
+    found = F.flatten(
+        F.transform(
+            polygons,
+            lambda rings: F.when(F.size(rings) == 0, F.array(F.lit("empty_polygon"))).otherwise(F.transform(rings, ring_issue)),
+        )
+    )
     return (
-        F.when(F.coalesce(F.size(ring), F.lit(0)) <= 0, "empty_ring")
-        .when(short, "too_few_points")
-        .when(~is_closed(ring), "ring_not_closed")
-        .when(self_intersects(ring), "self_intersection")
+        F.when(~kind.isin("Polygon", "MultiPolygon"), F.array(F.lit("unsupported_geometry_type")))
+        .when(F.coalesce(F.size(polygons), F.lit(0)) <= 0, F.array(F.lit("empty_geometry")))
+        .otherwise(F.array_distinct(F.array_compact(found)))
     )
+
+
+def quad(coords: Column):
+    """The eight numbers of a four-point label as scalars; these stay inside generated code."""
+    return [F.get(coords, F.lit(i)) for i in range(8)]
+
+
+def quad_area(c) -> Column:
+    total = F.lit(0.0)
+    for i in range(4):
+        j = (i + 1) % 4
+        total = total + (c[2 * i] * c[2 * j + 1] - c[2 * j] * c[2 * i + 1])
+    return F.abs(total / 2)
+
+
+def quad_aspect(c) -> Column:
+    edge = []
+    for i in range(4):
+        j = (i + 1) % 4
+        dx, dy = c[2 * j] - c[2 * i], c[2 * j + 1] - c[2 * i + 1]
+        edge.append(F.sqrt(dx * dx + dy * dy))
+    short, long = F.least(*edge), F.greatest(*edge)
+    return F.when(short <= 1e-9, F.lit(float("inf"))).otherwise(long / short)

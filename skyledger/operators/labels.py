@@ -56,32 +56,39 @@ def parse_label_lines(lines: DataFrame, *, value: str = "value", form: str = "ob
     )
 
 
-def flag_objects(objects: DataFrame, policy: QualityPolicy = QualityPolicy(), *, class_name: str = "class_name") -> DataFrame:
-    """Add geometry flags and bounds to label objects that carry coords ARRAY<DOUBLE>."""
-    ring = pg.points(F.col("coords"))
+def flag_objects(objects: DataFrame, policy: QualityPolicy = QualityPolicy(), *, class_name: str = "class_name",
+                 form: str = "obb") -> DataFrame:
+    """Add area, bounds, geometry flags and a rounded key to label objects that carry coords
+    ARRAY<DOUBLE>. Four-point labels use scalar arithmetic, polygons array functions."""
     checked = ~F.coalesce(F.col(class_name).isin(list(policy.geometry_exempt_classes)), F.lit(False))
-    df = objects.withColumn("_ring", ring).withColumn("area", pg.area(F.col("_ring")))
-    x1, y1, x2, y2 = pg.bounds(F.col("_ring"))
-    return df.select(
+    if form == "obb":
+        c = pg.quad(F.col("coords"))
+        area, aspect = pg.quad_area(c), pg.quad_aspect(c)
+        low, high = F.least(*c), F.greatest(*c)
+        bounds = (F.least(*c[::2]), F.least(*c[1::2]), F.greatest(*c[::2]), F.greatest(*c[1::2]))
+        rounded = F.array(*[F.round(v, 6) for v in c])
+    else:
+        ring = pg.points(F.col("coords"))
+        area, aspect, bounds = pg.area(ring), pg.aspect_ratio(ring), pg.bounds(ring)
+        low, high = F.array_min("coords"), F.array_max("coords")
+        rounded = F.transform("coords", lambda v: F.round(v, 6))
+    border = (low <= 1e-6) | (high >= 1 - 1e-6)
+    return objects.select(
         *objects.columns,
-        "area",
-        x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
-        F.exists("coords", lambda v: (v < 0) | (v > 1)).alias("out_of_bounds"),
-        (F.col("area") <= policy.min_area).alias("degenerate"),
-        (checked & (F.col("area") >= policy.max_object_area_ratio)).alias("oversized"),
-        (checked & (pg.aspect_ratio(F.col("_ring")) >= policy.max_aspect_ratio)).alias("extreme_aspect"),
-        F.exists("coords", lambda v: (v <= 1e-6) | (v >= 1 - 1e-6)).alias("border_touching"),
+        area.alias("area"),
+        *[v.alias(n) for v, n in zip(bounds, bx.BOX)],
+        ((low < 0) | (high > 1)).alias("out_of_bounds"),
+        (area <= policy.min_area).alias("degenerate"),
+        (checked & (area >= policy.max_object_area_ratio)).alias("oversized"),
+        (checked & (aspect >= policy.max_aspect_ratio)).alias("extreme_aspect"),
+        border.alias("border_touching"),
+        rounded.alias("coords_key"),
     )
 
 
-def coords_key() -> Column:
-    """Coordinates rounded to six digits: what makes two labels exact copies."""
-    return F.transform("coords", lambda v: F.round(v, 6))
-
-
 def duplicate_counts(objects: DataFrame, keys: list[str]) -> DataFrame:
     """Exact copies beyond the first per (keys, class, coords), as a combinable aggregate."""
-    groups = objects.groupBy(*keys, "class_id", coords_key().alias("_c")).agg(F.count(F.lit(1)).alias("n"))
+    groups = objects.groupBy(*keys, "class_id", F.col("coords_key").alias("_c")).agg(F.count(F.lit(1)).alias("n"))
     return groups.groupBy(*keys).agg(F.sum(F.col("n") - 1).alias("duplicates"))
 
 
@@ -293,9 +300,8 @@ def sanitize(flagged: DataFrame, keys: list[str], order: str, policy: QualityPol
     string column that is unique over the whole table.
     """
     bad = F.col("out_of_bounds") | F.col("degenerate") | F.col("oversized") | F.col("extreme_aspect")
-    flagged = flagged.withColumn("_c", coords_key())
     valid = flagged.where(~bad)
-    first = keep_first(valid.select(*keys, "class_id", "_c", order, *bx.BOX), [*keys, "class_id", "_c"], [order])
+    first = keep_first(valid.select(*keys, "class_id", "coords_key", order, *bx.BOX), [*keys, "class_id", "coords_key"], [order])
     first = cut(first.select(*keys, "class_id", order, *bx.BOX), "sanitize")
     nodes = first.withColumn("_n", F.struct(F.col(order).alias("o"), F.col("class_id").alias("c")))
     pairs = overlap_pairs(nodes, None, group=keys, id_col="_n", min_iou=policy.min_conflict_iou, base=CELL).where(
@@ -323,7 +329,7 @@ def sanitize(flagged: DataFrame, keys: list[str], order: str, policy: QualityPol
         .otherwise("kept")
     )
     return marked.select(
-        *[c for c in flagged.columns if c != "_c"], outcome.alias("outcome"),
+        *flagged.columns, outcome.alias("outcome"),
         F.coalesce(F.col("struck") & (outcome != "invalid"), F.lit(False)).alias("struck"),
     )
 

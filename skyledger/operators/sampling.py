@@ -85,7 +85,7 @@ def aoi_manifest(candidates: DataFrame, quotas: Mapping[str, int]) -> DataFrame:
                     left -= 1
         return pd.DataFrame(out, columns=["aoi_id", "stratum", "pick"])
 
-    return few.groupBy(F.lit(1)).applyInPandas(choose, "aoi_id string, stratum string, pick long")
+    return few.groupBy().applyInPandas(choose, "aoi_id string, stratum string, pick long")
 
 
 def coverage_sample(targets: DataFrame, *, key: str, quotas: Mapping[str, int], max_samples: int) -> DataFrame:
@@ -119,7 +119,7 @@ def coverage_sample(targets: DataFrame, *, key: str, quotas: Mapping[str, int],
                     left -= 1
         return pd.DataFrame({"key": list(taken), "pick": list(taken.values())})
 
-    return few.groupBy(F.lit(1)).applyInPandas(choose, "key string, pick long").withColumnRenamed("key", key)
+    return few.groupBy().applyInPandas(choose, "key string, pick long").withColumnRenamed("key", key)
 
 
 def day_splits(images: DataFrame, *, day: str, test_count: int, val_count: int, salt: str = "") -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries, one module per domain; importing this package registers them all."""
 
-from skyledger.workloads import boxes, labels, reviews, sampling  # noqa: F401
+from skyledger.workloads import boxes, geo, labels, reviews, sampling, tracks  # noqa: F401
 from skyledger.workloads.registry import WORKLOADS
 
 __all__ = ["WORKLOADS"]

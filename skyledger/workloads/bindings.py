@@ -118,8 +118,8 @@ BINDINGS: dict[str, tuple[str, dict[str, str], bool]] = {
         {
             "candidate_id": "l_orderkey",
             "signal_id": _ROW_ID,
-            "kind": "CASE l_partkey % 7 WHEN 0 THEN 'marking' WHEN 1 THEN 'vehicle_arrangement' WHEN 2 THEN 'structure' "
-            "WHEN 3 THEN 'authoritative' WHEN 4 THEN 'temporal' WHEN 5 THEN 'access' ELSE 'conflict' END",
+            "kind": "CASE l_partkey % 7 WHEN 0 THEN 'parking_marking' WHEN 1 THEN 'vehicle_arrangement' WHEN 2 THEN 'exclusion_coverage' "
+            "WHEN 3 THEN 'entrance_connectivity' WHEN 4 THEN 'external_parking_map' WHEN 5 THEN 'surface_compatibility' ELSE 'non_parking_conflict' END",
             "source_id": "concat('s', CAST(l_suppkey AS VARCHAR(20)))",
             "independence_group": "concat('g', CAST(l_suppkey % 5 AS VARCHAR(20)))",
             "strength": "least(1e0, 0.4e0 + l_discount * 6e0)",
