@@ -31,10 +31,9 @@ def _candidate(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("```")) & (fence != ""), F.trim(fence)).otherwise(span)
 
 
-def _object(candidate: Column) -> Column:
-    """The candidate when it is one valid JSON object."""
-    ok = F.startswith(F.trim(candidate), F.lit("{")) & F.try_parse_json(candidate).isNotNull()
-    return F.when(ok, candidate)
+def _is_object(candidate: Column) -> Column:
+    """One valid JSON object."""
+    return F.startswith(F.trim(candidate), F.lit("{")) & F.try_parse_json(candidate).isNotNull()
 
 
 def repair_json(candidate: Column) -> Column:
@@ -46,7 +45,7 @@ def repair_json(candidate: Column) -> Column:
 def extract_json(text: Column) -> Column:
     """The JSON object in a reply as text, repaired if need be, or null."""
     candidate = _candidate(F.trim(text))
-    return F.coalesce(_object(candidate), _object(repair_json(candidate)))
+    return F.get(F.filter(F.array(candidate, repair_json(candidate)), _is_object), F.lit(0))
 
 
 def choose_label(text: Column, allowed: Sequence[str]) -> Column:

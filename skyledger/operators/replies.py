@@ -31,11 +31,24 @@ def last_metrics(lines: DataFrame, *, run: str, order: str, line: str) -> DataFr
 def subtitle_positions(texts: DataFrame, *, text: str, keep: Sequence[str]) -> DataFrame:
     """Position records of subtitle texts: one row per block that has a time or a position."""
     blocks = texts.select(*keep, F.posexplode(F.split(F.col(text), r"\n\s*\n")).alias("block", "_b"))
-    return blocks.withColumn("r", tx.subtitle_record(F.col("_b"))).where(F.col("r").isNotNull()).select(
+    return _present(blocks, tx.subtitle_record(F.col("_b")), *keep, "block").select(
         *keep, "block", "r.time_seconds", "r.latitude", "r.longitude", "r.altitude_m"
     )
 
 
+def _present(df: DataFrame, value, *keep: str) -> DataFrame:
+    """Rows where value is not null, as column r. Exploding a one-element list evaluates a long
+    expression once, where a filter on it would be pushed down and evaluate it twice."""
+    return df.select(*keep, F.explode(F.array_compact(F.array(value))).alias("r"))
+
+
+def verdicts(parsed: DataFrame, json_text: str, *keep: str) -> DataFrame:
+    """Normalised verdicts of replies that hold a valid one."""
+    return _present(parsed, tx.verdict(F.col(json_text)), *keep, json_text).select(
+        *keep, json_text, "r.verdict", "r.confidence", "r.problems", "r.evidence"
+    )
+
+
 def resolve_alias(labels: DataFrame, aliases: DataFrame, label: str = "label", source: str = "source_kind") -> DataFrame:
     """Leaf class of each label for its source kind; vague or unknown labels stay null."""
     table = aliases.select(F.col("alias").alias(label), F.col("source_kind").alias(source), "leaf")

@@ -166,9 +166,9 @@ _SRT = (
     "y AS (SELECT event_id, block::INTEGER AS block, b, regexp_extract(b, '(\\d{2}):(\\d{2}):(\\d{2})[,.](\\d{3})', ['h', 'm', 's', 'z']) AS c, "
     "regexp_extract(b, '(?i)GPS\\s*\\(\\s*(-?\\d+\\.\\d+)\\s*,\\s*(-?\\d+\\.\\d+)(?:\\s*,\\s*(-?\\d+(?:\\.\\d+)?))?\\s*\\)', ['la', 'lo', 'al']) AS g, "
     "regexp_extract(b, '(?i)lat\\s*[:=]?\\s*(-?\\d+\\.\\d+)\\s*[,;]\\s*(?:lon|lng)\\s*[:=]?\\s*(-?\\d+\\.\\d+)', ['la', 'lo']) AS l, regexp_extract(b, '(?i)(?:ALT|H)\\s*(-?\\d+(?:\\.\\d+)?)\\s*m', 1) AS a FROM x) "
-    "SELECT event_id, block, CASE WHEN c.h <> '' THEN c.h::DOUBLE * 3600 + c.m::DOUBLE * 60 + c.s::DOUBLE + c.z::DOUBLE / 1000 END AS time_seconds, "
-    "CASE WHEN g.la <> '' THEN g.la::DOUBLE WHEN l.la <> '' THEN l.la::DOUBLE END AS latitude, CASE WHEN g.lo <> '' THEN g.lo::DOUBLE WHEN l.lo <> '' THEN l.lo::DOUBLE END AS longitude, "
-    "round_even(coalesce(CASE WHEN g.al <> '' THEN g.al::DOUBLE END, CASE WHEN a <> '' THEN a::DOUBLE END), 1) AS altitude_m FROM y WHERE c.h <> '' OR g.la <> '' OR l.la <> ''",
+    "SELECT event_id, block, CASE WHEN c.h <> '' THEN TRY_CAST(c.h AS DOUBLE) * 3600 + TRY_CAST(c.m AS DOUBLE) * 60 + TRY_CAST(c.s AS DOUBLE) + TRY_CAST(c.z AS DOUBLE) / 1000 END AS time_seconds, "
+    "CASE WHEN g.la <> '' THEN TRY_CAST(g.la AS DOUBLE) WHEN l.la <> '' THEN TRY_CAST(l.la AS DOUBLE) END AS latitude, CASE WHEN g.lo <> '' THEN TRY_CAST(g.lo AS DOUBLE) WHEN l.lo <> '' THEN TRY_CAST(l.lo AS DOUBLE) END AS longitude, "
+    "round_even(coalesce(CASE WHEN g.al <> '' THEN TRY_CAST(g.al AS DOUBLE) END, CASE WHEN a <> '' THEN TRY_CAST(a AS DOUBLE) END), 1) AS altitude_m FROM y WHERE c.h <> '' OR g.la <> '' OR l.la <> ''",
 )
 def _(t):
     texts = t.events.select("event_id", F.expr(_SRT.replace("VARCHAR(20)", "STRING")).alias("text"))
@@ -260,8 +260,8 @@ def _(t):
 )
 def _(t):
     parsed = _replies(t).withColumn("parsed", tx.extract_json(F.col("reply")))
-    v = parsed.withColumn("v", tx.verdict(F.col("parsed"))).where(F.col("v").isNotNull())
-    return v.select("conv_id", "turn", "v.verdict", "v.confidence", "v.problems", tx.nested(F.col("parsed"), "semantic.object_type", "unknown").alias("object_type"))
+    v = rp.verdicts(parsed, "parsed", "conv_id", "turn")
+    return v.select("conv_id", "turn", "verdict", "confidence", "problems", tx.nested(F.col("parsed"), "semantic.object_type", "unknown").alias("object_type"))
 
 
 _LINE = (
