@@ -63,7 +63,7 @@ def overlap_profile(df: DataFrame, *, image: str, id_col: str, prompt: str, thre
     )
     # Groups: components over (threshold, box).
     node = lambda c: F.struct("threshold", F.col(c).alias("id"))
-    linked = components(pairs.select(node("a_id").alias("a"), node("b_id").alias("b")), "a", "b")
+    linked = components(pairs.select(image, node("a_id").alias("a"), node("b_id").alias("b")), "a", "b", near=[image])
     grouped = (
         spread.withColumn("node", node("id"))
         .join(linked, "node", "left")

@@ -8,6 +8,11 @@ skewed on its row side, which adaptive execution splits.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,24 +45,68 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
+def _contract(batches):
+    """Replace the edges of one partition by a star per linked set of the partition."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    names = pa.chunked_array(table["su"].chunks + table["sv"].chunks)
+    nodes = pa.chunked_array(table["u"].chunks + table["v"].chunks).combine_chunks()
+    codes, uniques = pd.factorize(names.to_pandas())
+    n = table.num_rows
+    a, b = codes[:n], codes[n:]
+    label = np.arange(len(uniques))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    first = np.zeros(len(uniques), dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    leaf = np.flatnonzero(label != np.arange(len(label)))
+    out = pa.table({"u": nodes.take(pa.array(first[leaf])), "v": nodes.take(pa.array(first[label[leaf]]))})
+    yield from out.to_batches()
+
+
+def _is_star(edges: DataFrame) -> bool:
+    """Every node is either a leaf of one centre or a centre."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("leaf"), F.lit(1).alias("centre"))
+    )
+    mixed = ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where(
+        (F.col("leaf") > 1) | ((F.col("leaf") > 0) & (F.col("centre") > 0))
+    )
+    return mixed.limit(1).count() == 0
+
+
+def components(edges: DataFrame, src: str, dst: str, near: Sequence[str] = ()) -> DataFrame:
     """node -> component (its least node) for every node that has an edge.
 
-    Nodes may be any orderable type, structs included. A component's own least node is part of the
-    output. Nodes without edges are not listed; callers coalesce to the node itself.
+    Nodes may be any orderable type, structs included. Nodes without edges are not listed; callers
+    coalesce to the node itself. Edges are range-partitioned by the `near` columns, so that most
+    linked sets lie in one partition, and every partition first shrinks its own edges to stars; a set
+    that spans partitions, however large, is finished by the rounds.
     """
-    current = cut(
-        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-        .where(F.col("u") != F.col("v"))
-        .distinct(),
-        "edges",
-    )
-    seen = _fingerprint(current)
-    while seen[0]:
-        current = cut(_small_star(_large_star(current)), "edges")
-        now = _fingerprint(current)
-        if now == seen:
-            break
-        seen = now
-    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    plain = edges.where(F.col(src) != F.col(dst))
+    if near:
+        plain = plain.repartitionByRange(*near)
+    kind = plain.schema[src].dataType.simpleString()
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("n")))
+    tagged = plain.select(F.col(src).alias("u"), F.col(dst).alias("v"), text(src).alias("su"), text(dst).alias("sv"))
+    current = cut(tagged.mapInArrow(_contract, f"u {kind}, v {kind}"), "edges")
+    if not _is_star(current):
+        seen = None
+        while True:
+            current = cut(_small_star(_large_star(current)), "edges")
+            now = _fingerprint(current)
+            if now == seen:
+                break
+            seen = now
+    least = current.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m")).select("c", F.least("c", "m").alias("component"))
+    member = current.select(F.col("u").alias("node"), F.col("v").alias("c")).unionByName(least.select(F.col("c").alias("node"), "c"))
+    return member.join(least, "c").select("node", "component")

@@ -107,7 +107,7 @@ def merge_groups(
         "merge",
     )
     links = overlap_pairs(items, None, group=group, id_col="id", min_iou=min_iou)
-    linked = components(links, "a_id", "b_id").select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    linked = components(links, "a_id", "b_id", near=group).select(F.col("node").alias("id"), F.col("component").alias("comp"))
     linked = cut(items.join(linked, "id", "left"), "merge")
     alone = linked.where(F.col("comp").isNull()).select("id", F.col("id").alias("founder"))
     sizes = linked.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.count(F.lit(1)).alias("n"))

@@ -78,6 +78,18 @@ BINDINGS: dict[str, tuple[str, dict[str, str], bool]] = {
         },
         True,
     ),
+    "layers": (
+        "lineitem",
+        {
+            "image": "l_orderkey <div> 50",
+            "layer": "CASE l_returnflag WHEN 'A' THEN 'facility' WHEN 'N' THEN 'band' ELSE 'road' END",
+            "y": "l_partkey % 40",
+            "x0": "(l_suppkey * 7) % 60",
+            "x1": "least(64, (l_suppkey * 7) % 60 + 1 + CAST(l_quantity AS BIGINT) % 9 + CASE l_returnflag WHEN 'A' THEN 12 ELSE 0 END)",
+            "part": "l_linenumber",
+        },
+        False,
+    ),
     "index": (
         "orders",
         {
