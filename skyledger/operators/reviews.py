@@ -229,3 +229,10 @@ def import_candidates(candidates: DataFrame, state: DataFrame) -> DataFrame:
         *candidates.columns, (~present).alias("missing_inputs"), F.col("existing").isNotNull().alias("kept_existing"),
         F.when(present, F.coalesce("existing", gate)).alias("label"),
     )
+
+
+def attach_results(assets: DataFrame, results: DataFrame, *, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Assets with the latest result of each, null where there is none."""
+    from skyledger.operators.ordered import keep_last
+
+    return assets.join(keep_last(results, list(key), order), list(key), "left")
