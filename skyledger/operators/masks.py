@@ -201,6 +201,10 @@ def smallest_rectangle(points: np.ndarray) -> tuple[float, float]:
     return float(areas[best]), float(np.degrees(np.arctan2(axis[best, 1], axis[best, 0])) % 90)
 
 
+def _turn(a, b, c) -> float:
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+
 def _hull(points: np.ndarray) -> np.ndarray:
     """Convex hull of sorted distinct points, counter-clockwise."""
     if len(points) < 3:
@@ -209,7 +213,7 @@ def _hull(points: np.ndarray) -> np.ndarray:
     def chain(rows):
         out: list = []
         for p in rows:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], p - out[-2]) <= 0:
+            while len(out) > 1 and _turn(out[-2], out[-1], p) <= 0:
                 out.pop()
             out.append(p)
         return out

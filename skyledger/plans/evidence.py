@@ -31,12 +31,18 @@ def image_evidence(agreed: DataFrame, candidates: DataFrame, *, image: str, mask
     return every.join(scored, [image, mask], "left").na.fill(0, ["vehicle_count"]).na.fill(0.0, ["strength"])
 
 
-def evidence_signals(evidence: DataFrame, *, candidate: str, minimum: int = 2) -> DataFrame:
-    """Signal rows for the candidate gate: vehicle arrangement where at least two vehicles agree."""
-    return evidence.where(F.col("vehicle_count") >= minimum).select(
-        F.col(candidate).alias("candidate_id"), F.lit("vehicle_arrangement").alias("kind"), F.lit("two_detectors").alias("source_id"),
-        F.lit("vehicle_detection").alias("independence_group"), "strength",
+def evidence_signals(evidence: DataFrame, *, candidate: str) -> DataFrame:
+    """Signal rows for the candidate gate: marking and vehicle arrangement strengths, each with its
+    source and independence group. `evidence` may carry marking_strength."""
+    marking = F.coalesce("marking_strength", F.lit(0.0)) if "marking_strength" in evidence.columns else F.lit(0.0)
+    signal = lambda kind, source, group, strength: F.struct(
+        F.lit(kind).alias("kind"), F.lit(source).alias("source_id"), F.lit(group).alias("independence_group"), strength.alias("strength")
     )
+    both = F.array(
+        signal("parking_marking", "parallel_lines", "classical_image_geometry", marking),
+        signal("vehicle_arrangement", "two_detectors", "vehicle_detectors", F.col("strength")),
+    )
+    return evidence.select(F.col(candidate).alias("candidate_id"), F.explode(both).alias("s")).select("candidate_id", "s.*")
 
 
 def aoi_candidates(index: DataFrame, state: DataFrame, metrics: DataFrame, negative: Sequence[str], size: int = 1024) -> DataFrame:

@@ -87,11 +87,11 @@ def _(t):
 # ---- shape evidence ----------------------------------------------------------------------------------
 
 ARR = (
-    "ce AS (SELECT {k}, det_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM {src}), s AS (SELECT {k}, count(*) AS n, var_samp(cx) AS a, covar_samp(cx, cy) AS b, var_samp(cy) AS c FROM ce GROUP BY {k}), "
-    "e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS lg, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS sm FROM s), "
-    "ax AS (SELECT *, CASE WHEN abs(b) < 1e-12 THEN CASE WHEN a >= c THEN 1 ELSE 0 END ELSE lg - c END AS ux, CASE WHEN abs(b) < 1e-12 THEN CASE WHEN a >= c THEN 0 ELSE 1 END ELSE b END AS uy FROM e), "
-    "p AS (SELECT ce.{k}, (cx * ux + cy * uy) / sqrt(ux * ux + uy * uy) AS p FROM ce JOIN ax ON ax.{k} = ce.{k} WHERE n >= 3), g AS (SELECT {k}, p - lag(p) OVER (PARTITION BY {k} ORDER BY p) AS gap FROM p), "
-    "gp AS (SELECT {k}, avg(gap) AS m, stddev_pop(gap) AS sd FROM g WHERE gap IS NOT NULL GROUP BY {k}), "
+    "ce AS (SELECT {k}, det_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM {src}), sv AS (SELECT {k}, count(*) AS n, var_samp(cx) AS a, covar_samp(cx, cy) AS b, var_samp(cy) AS c FROM ce GROUP BY {k}), "
+    "eg AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS lg, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS sm FROM sv), "
+    "ax AS (SELECT *, CASE WHEN abs(b) < 1e-12 THEN CASE WHEN a >= c THEN 1 ELSE 0 END ELSE lg - c END AS ux, CASE WHEN abs(b) < 1e-12 THEN CASE WHEN a >= c THEN 0 ELSE 1 END ELSE b END AS uy FROM eg), "
+    "pj AS (SELECT ce.{k}, (cx * ux + cy * uy) / sqrt(ux * ux + uy * uy) AS p FROM ce JOIN ax ON ax.{k} = ce.{k} WHERE n >= 3), gq AS (SELECT {k}, p - lag(p) OVER (PARTITION BY {k} ORDER BY p) AS gap FROM pj), "
+    "gp AS (SELECT {k}, avg(gap) AS m, stddev_pop(gap) AS sd FROM gq WHERE gap IS NOT NULL GROUP BY {k}), "
     "ar AS (SELECT ax.{k}, n AS vehicle_count, CASE WHEN n < 3 THEN 0 ELSE lg / greatest(sm, 1e-6) END AS alignment_ratio, CASE WHEN n < 3 OR m <= 0 THEN 0 ELSE greatest(0, 1 - sd / m) END AS spacing_consistency FROM ax LEFT JOIN gp ON gp.{k} = ax.{k}), "
     "st AS (SELECT *, CASE WHEN vehicle_count < 3 THEN 0 ELSE greatest(0, least(1, 0.5 * least(1, vehicle_count / 4) + 0.3 * least(1, greatest(0, alignment_ratio - 1) / 4) + 0.2 * spacing_consistency)) END AS strength FROM ar)"
 )
@@ -118,7 +118,7 @@ def _(t):
 
 @workload("vehicle_rows", "E8")
 def _(t):
-    boxes = t.detections.where("confidence > 0.25").select("image_id", "det_id", *bx.BOX)
+    boxes = t.detections.select("image_id", "det_id", *bx.BOX)
     rows = ar.vehicle_rows(boxes, "image_id", "det_id")
     return rows.select("image_id", "row_no", "det_id", F.round("angle", 4).alias("angle"))
 
