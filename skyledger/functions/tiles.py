@@ -13,11 +13,20 @@ TILES_PER_BLOCK = 4  # fixed value: a block image spans four tiles each way
 BLOCK_NAME = r"(?i)^block_z(\d+)_br(\d+)_bc(\d+)_r(\d+)_c(\d+)\.png$"
 
 
-def parse_block(name: Column) -> Column:
-    """zoom, block_row, block_col, tile_row, tile_col from a block file name, or null."""
-    part = lambda i: F.regexp_extract(name, BLOCK_NAME, i).try_cast("int")
+def is_block(name: Column) -> Column:
+    return name.rlike(BLOCK_NAME)
+
+
+def block_fields(name: Column) -> Column:
+    """zoom, block_row, block_col, tile_row, tile_col of a name that is known to be a block name."""
+    numbers = F.split(name, r"\D+")
     fields = ("zoom", "block_row", "block_col", "tile_row", "tile_col")
-    return F.when(name.rlike(BLOCK_NAME), F.struct(*[part(i + 1).alias(f) for i, f in enumerate(fields)]))
+    return F.struct(*[F.get(numbers, F.lit(i + 1)).try_cast("int").alias(f) for i, f in enumerate(fields)])
+
+
+def parse_block(name: Column) -> Column:
+    """The same for any name; null for names of another form."""
+    return F.when(is_block(name), block_fields(name))
 
 
 def geo_cell(block_row: Column, block_col: Column, size: int = 32) -> Column:

@@ -73,15 +73,16 @@ def _contract(batches):
     yield from out.to_batches()
 
 
-def _is_star(edges: DataFrame) -> bool:
-    """Every node is either a leaf of one centre or a centre."""
-    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(
-        edges.select(F.col("v").alias("n"), F.lit(0).alias("leaf"), F.lit(1).alias("centre"))
-    )
-    mixed = ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where(
-        (F.col("leaf") > 1) | ((F.col("leaf") > 0) & (F.col("centre") > 0))
-    )
-    return mixed.limit(1).count() == 0
+def _rounds(edges: DataFrame) -> DataFrame:
+    """Large and small stars until nothing changes: (u, v) with one centre v per linked set."""
+    current, seen = edges, _fingerprint(edges)
+    while seen[0]:
+        current = cut(_small_star(_large_star(current)), "edges")
+        now = _fingerprint(current)
+        if now == seen:
+            break
+        seen = now
+    return current
 
 
 def components(edges: DataFrame, src: str, dst: str, near: Sequence[str] = ()) -> DataFrame:
@@ -89,8 +90,8 @@ def components(edges: DataFrame, src: str, dst: str, near: Sequence[str] = ()) -
 
     Nodes may be any orderable type, structs included. Nodes without edges are not listed; callers
     coalesce to the node itself. Edges are range-partitioned by the `near` columns, so that most
-    linked sets lie in one partition, and every partition first shrinks its own edges to stars; a set
-    that spans partitions, however large, is finished by the rounds.
+    linked sets lie in one partition, and every partition first shrinks its own edges to stars. Sets
+    that span partitions, however large, are joined by rounds over the star centres alone.
     """
     plain = edges.where(F.col(src) != F.col(dst))
     if near:
@@ -98,15 +99,18 @@ def components(edges: DataFrame, src: str, dst: str, near: Sequence[str] = ()) -
     kind = plain.schema[src].dataType.simpleString()
     text = lambda c: F.to_json(F.struct(F.col(c).alias("n")))
     tagged = plain.select(F.col(src).alias("u"), F.col(dst).alias("v"), text(src).alias("su"), text(dst).alias("sv"))
-    current = cut(tagged.mapInArrow(_contract, f"u {kind}, v {kind}"), "edges")
-    if not _is_star(current):
-        seen = None
-        while True:
-            current = cut(_small_star(_large_star(current)), "edges")
-            now = _fingerprint(current)
-            if now == seen:
-                break
-            seen = now
-    least = current.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m")).select("c", F.least("c", "m").alias("component"))
-    member = current.select(F.col("u").alias("node"), F.col("v").alias("c")).unionByName(least.select(F.col("c").alias("node"), "c"))
-    return member.join(least, "c").select("node", "component")
+    stars = cut(tagged.mapInArrow(_contract, f"u {kind}, v {kind}"), "edges")
+
+    leaves = stars.groupBy("u").agg(F.min("v").alias("c"), F.max("v").alias("far"))
+    centres = stars.select(F.col("v").alias("u")).distinct()
+    shared = stars.join(leaves.where(F.col("c") != F.col("far")), "u").where(F.col("v") != F.col("c"))
+    bridges = shared.select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(
+        stars.join(centres, "u", "left_semi").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    )
+    links = bridges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v"))
+    joined = _rounds(cut(links.distinct(), "edges")).select(F.col("u").alias("c"), F.col("v").alias("root"))
+
+    member = leaves.select(F.col("u").alias("node"), "c").unionByName(centres.select(F.col("u").alias("node"), F.col("u").alias("c")))
+    rooted = member.join(joined, "c", "left").select("node", F.coalesce("root", "c").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("node").alias("component"))
+    return rooted.join(least, "root").select("node", "component").distinct()

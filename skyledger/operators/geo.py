@@ -71,7 +71,7 @@ def windows_join(items: DataFrame, windows: DataFrame, *, id_col: str, window_id
 def block_catalog(names: DataFrame, name: str = "name") -> DataFrame:
     """Blocks and their bounds from file names; names of another form are left out."""
     b = F.col("b")
-    rows = names.withColumn("b", tl.parse_block(F.col(name))).where(b.isNotNull())
+    rows = names.where(tl.is_block(F.col(name))).withColumn("b", tl.block_fields(F.col(name)))
     west, south, east, north = tl.block_bounds(b)
     return rows.select(
         *names.columns, *[b[f].alias(f) for f in ("zoom", "block_row", "block_col", "tile_row", "tile_col")],

@@ -12,6 +12,7 @@ from skyledger.functions import boxes as bx
 from skyledger.functions import polygons as pg
 from skyledger.operators.ordered import keep_first
 from skyledger.operators.overlap import overlap_pairs
+from skyledger.operators.resolve import bucketed
 from skyledger.session import cut
 
 CELL = 0.0625  # grid cell for normalised coordinates
@@ -126,7 +127,9 @@ COUNTERS = ("objects", *FLAGS, "duplicates", "class_conflicts", "overcrowded_ima
 
 
 def audit_files(flagged: DataFrame, keys: list[str], policy: QualityPolicy = QualityPolicy()) -> DataFrame:
-    """One row of counters per label file; everything later is a roll-up of this."""
+    """One row of counters per label file; everything later is a roll-up of this. The flags are
+    written once: filters on them would otherwise be pushed into the arithmetic and repeat it."""
+    flagged = cut(flagged.select(*keys, "class_id", "coords_key", *bx.BOX, *FLAGS), "flags")
     counts = flagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("objects"), *[F.count_if(F.col(f)).alias(f) for f in FLAGS]
     )
@@ -257,7 +260,7 @@ def fingerprint(df: DataFrame, *parts: str) -> DataFrame:
 
 
 def _settle(edges: pd.DataFrame) -> pd.DataFrame:
-    """Solve the forest of one file: every child comes before its parent."""
+    """Solve the forests of some files: every child comes before its parent."""
     fell = dict.fromkeys([*edges["child"], *edges["parent"]], False)
     for child, parent in sorted(zip(edges["child"], edges["parent"])):
         if not fell[child]:
@@ -299,6 +302,7 @@ def sanitize(flagged: DataFrame, keys: list[str], order: str, policy: QualityPol
     conflicts are solved in one task each, larger ones from the leaves up by joins. `order` is a
     string column that is unique over the whole table.
     """
+    flagged = cut(flagged, "flags")
     bad = F.col("out_of_bounds") | F.col("degenerate") | F.col("oversized") | F.col("extreme_aspect")
     valid = flagged.where(~bad)
     first = keep_first(valid.select(*keys, "class_id", "coords_key", order, *bx.BOX), [*keys, "class_id", "coords_key"], [order])
@@ -314,7 +318,8 @@ def sanitize(flagged: DataFrame, keys: list[str], order: str, policy: QualityPol
     small = tree.join(sizes.where(F.col("_edges") <= local_limit), keys, "left_semi")
     large = tree.join(sizes.where(F.col("_edges") > local_limit), keys, "left_semi")
     known = (
-        small.select(*keys, "child", "parent").groupBy(*keys).applyInPandas(_settle, "id string, fell boolean")
+        small.select(bucketed(small, F.struct(*keys)).alias("bucket"), "child", "parent").groupBy("bucket")
+        .applyInPandas(_settle, "id string, fell boolean")
         .unionByName(_settle_rounds(large))
     )
     links = tree.select(F.col("child").alias("id"), "parent")

@@ -117,44 +117,63 @@ def merge_groups(
     schema = T.StructType([T.StructField("id", id_type), T.StructField("founder", id_type)])
     walk = _walker(min_iou)
     walked = (
-        small.select("comp", "id", F.struct("pos").alias("pos"), *bx.BOX, "conf")
-        .groupBy("comp")
+        small.select(bucketed(small, "comp").alias("bucket"), "comp", "id", F.struct("pos").alias("pos"), *bx.BOX, "conf")
+        .groupBy("bucket")
         .applyInPandas(walk, schema)
     )
-    return alone.unionByName(walked).unionByName(_merge_rounds(large, group, min_iou)).select(
+    # Written once, because the merged rows are built from it in several passes.
+    return cut(alone.unionByName(walked).unionByName(_merge_rounds(large, group, min_iou)).select(
         F.col("id").alias(id_col), "founder"
-    )
+    ), "founders")
+
+
+def bucketed(df: DataFrame, key: str, rows: int = 20_000):
+    """A bucket number that keeps equal keys together and about `rows` rows per bucket, so that many
+    small groups share one Python call. The number of buckets grows with the table."""
+    return F.pmod(F.xxhash64(key), F.lit(df.count() // rows + 1))
 
 
 def _walker(min_iou: float):
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [_flat(p) for p in pdf["pos"]]
-        rows = sorted(range(len(pdf)), key=keys.__getitem__)
-        box = pdf[list(bx.BOX)].to_numpy(float)
-        conf, ids = pdf["conf"].to_numpy(float), pdf["id"].tolist()
-        reps = np.empty((len(pdf), 4))
-        top = np.empty(len(pdf))
-        founders: list = []
-        out = [None] * len(pdf)
-        for i in rows:
-            n = len(founders)
-            b, r = box[i], reps[:n]
-            w = np.clip(np.minimum(r[:, 2], b[2]) - np.maximum(r[:, 0], b[0]), 0, None)
-            h = np.clip(np.minimum(r[:, 3], b[3]) - np.maximum(r[:, 1], b[1]), 0, None)
-            inter = w * h
-            union = (r[:, 2] - r[:, 0]) * (r[:, 3] - r[:, 1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-            hits = np.flatnonzero((union > 0) & (inter >= 0) & (inter / np.where(union > 0, union, 1) >= min_iou))
-            g = int(hits[0]) if len(hits) else n
-            if g == n:
-                founders.append(ids[i])
-            if g == n or conf[i] > top[g]:
-                reps[g], top[g] = b, conf[i]
-            out[i] = founders[g]
-        return pd.DataFrame({"id": ids, "founder": out})
+        out = []
+        for rows in pdf.groupby("comp", sort=False).indices.values() if not isinstance(pdf["comp"].iloc[0], dict) else _by_text(pdf["comp"]):
+            part = pdf.take(rows)
+            keys = [_flat(p) for p in part["pos"]]
+            order = sorted(range(len(part)), key=keys.__getitem__)
+            out.append(_walk_one(part.take(order), min_iou))
+        return pd.concat(out)
 
     return walk
 
 
+def _by_text(column: pd.Series):
+    return column.map(str).groupby(column.map(str), sort=False).indices.values()
+
+
+def _walk_one(pdf: pd.DataFrame, min_iou: float) -> pd.DataFrame:
+    """The ordered walk over one linked set, rows already in order."""
+    box = pdf[list(bx.BOX)].to_numpy(float)
+    conf, ids = pdf["conf"].to_numpy(float), pdf["id"].tolist()
+    reps, top = np.empty((len(pdf), 4)), np.empty(len(pdf))
+    founders: list = []
+    out = []
+    for i, b in enumerate(box):
+        n = len(founders)
+        r = reps[:n]
+        w = np.clip(np.minimum(r[:, 2], b[2]) - np.maximum(r[:, 0], b[0]), 0, None)
+        h = np.clip(np.minimum(r[:, 3], b[3]) - np.maximum(r[:, 1], b[1]), 0, None)
+        inter = w * h
+        union = (r[:, 2] - r[:, 0]) * (r[:, 3] - r[:, 1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
+        hits = np.flatnonzero((union > 0) & (inter / np.where(union > 0, union, 1) >= min_iou))
+        g = int(hits[0]) if len(hits) else n
+        if g == n:
+            founders.append(ids[i])
+        if g == n or conf[i] > top[g]:
+            reps[g], top[g] = b, conf[i]
+        out.append(founders[g])
+    return pd.DataFrame({"id": ids, "founder": out})
+
+
 def _flat(value):
     """Nested order values as plain tuples."""
     if isinstance(value, dict):
@@ -227,11 +246,12 @@ def merged_targets(df: DataFrame, founders: DataFrame, *, group: Sequence[str],
             "source_prompts"
         )
     )
-    # The first member wins ties, so the largest score is taken at the smallest order.
-    peak = rows.withColumn("_best", best)
-    top = peak.groupBy("founder").agg(F.max("_best").alias("_best"), F.count(F.lit(1)).alias("members"))
-    pick = peak.join(top, ["founder", "_best"]).groupBy("founder", "members").agg(
-        F.min_by(F.struct(*group, F.col(id_col).alias("best_id"), *bx.BOX, confidence, "class_name"), order).alias("r")
+    # The first member wins ties: the largest score at the smallest order.
+    pick = rows.groupBy("founder").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.min_by(
+            F.struct(*group, F.col(id_col).alias("best_id"), *bx.BOX, confidence, "class_name"), F.struct((-best).alias("b"), F.col(order).alias("o"))
+        ).alias("r"),
     )
     return pick.join(used, "founder", "left").select(
         *[F.col(f"r.{g}").alias(g) for g in group],

@@ -48,7 +48,7 @@ def evidence_signals(evidence: DataFrame, *, candidate: str) -> DataFrame:
 def aoi_candidates(index: DataFrame, state: DataFrame, metrics: DataFrame, negative: Sequence[str], size: int = 1024) -> DataFrame:
     """One row per block image of a target index: origin, grid, geo cell, distinct strata and the
     number of targets. Images with other names are left out."""
-    rows = index.withColumn("block", tl.parse_block(F.col("image"))).where(F.col("block").isNotNull())
+    rows = index.where(tl.is_block(F.col("image"))).withColumn("block", tl.block_fields(F.col("image")))
     facts = rows.join(state.select("target_id", "label"), "target_id", "left").join(
         metrics.select("target_id", "valid_components", "global_obb_area_ratio"), "target_id", "left"
     )
