@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.operators.components import components
-from skyledger.session import cut
+from skyledger.session import cut, spread
 
 
 def merge_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -184,7 +184,7 @@ def oriented_boxes(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
         area, angle = smallest_rectangle(points)
         return pd.DataFrame([(*key, area, angle)], columns=[*keys, "obb_area", "obb_angle"])
 
-    return ends.groupBy(*keys).applyInPandas(fit, schema)
+    return spread(ends, *keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def smallest_rectangle(points: np.ndarray) -> tuple[float, float]:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from skyledger.functions import boxes as bx
 from skyledger.operators.components import components
 from skyledger.operators.overlap import overlap_pairs
-from skyledger.session import cut
+from skyledger.session import cut, spread
 
 
 def suppress(df: DataFrame, *, group: Sequence[str], id_col: str, confidence: str, max_iou: float) -> DataFrame:
@@ -116,18 +116,15 @@ def merge_groups(
     id_type = items.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("founder", id_type)])
     walk = _walker(min_iou)
-    walked = (
-        small.select(bucketed(small, "comp").alias("bucket"), "comp", "id", F.struct("pos").alias("pos"), *bx.BOX, "conf")
-        .groupBy("bucket")
-        .applyInPandas(walk, schema)
-    )
+    buckets = small.select(bucketed(small, "comp").alias("bucket"), "comp", "id", F.struct("pos").alias("pos"), *bx.BOX, "conf")
+    walked = spread(buckets, "bucket").groupBy("bucket").applyInPandas(walk, schema)
     # Written once, because the merged rows are built from it in several passes.
     return cut(alone.unionByName(walked).unionByName(_merge_rounds(large, group, min_iou)).select(
         F.col("id").alias(id_col), "founder"
     ), "founders")
 
 
-def bucketed(df: DataFrame, key: str, rows: int = 20_000):
+def bucketed(df: DataFrame, key: str, rows: int = 5_000):
     """A bucket number that keeps equal keys together and about `rows` rows per bucket, so that many
     small groups share one Python call. The number of buckets grows with the table."""
     return F.pmod(F.xxhash64(key), F.lit(df.count() // rows + 1))
