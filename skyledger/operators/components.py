@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.session import cut
+from skyledger.session import cut, drop
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -77,7 +77,8 @@ def _rounds(edges: DataFrame) -> DataFrame:
     """Large and small stars until nothing changes: (u, v) with one centre v per linked set."""
     current, seen = edges, _fingerprint(edges)
     while seen[0]:
-        current = cut(_small_star(_large_star(current)), "edges")
+        last, current = current, cut(_small_star(_large_star(current)), "edges")
+        drop(last)
         now = _fingerprint(current)
         if now == seen:
             break
@@ -85,6 +86,52 @@ def _rounds(edges: DataFrame) -> DataFrame:
     return current
 
 
+def _contract_ids(batches, chunk: int = 1 << 20):
+    """Replace the edges of every chunk of a partition by a star per linked set of the chunk."""
+
+    def stars(parts):
+        table = pa.Table.from_batches(parts)
+        ends = np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()])
+        ids, codes = np.unique(ends, return_inverse=True)
+        label = np.arange(len(ids))
+        a, b = codes[: table.num_rows], codes[table.num_rows :]
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, label[a], low)
+            np.minimum.at(new, label[b], low)
+            new = new[new]
+            if np.array_equal(new, label):
+                break
+            label = new
+        leaf = np.flatnonzero(label != np.arange(len(label)))
+        return pa.record_batch({"u": ids[leaf], "v": ids[label[leaf]]})
+
+    parts, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            parts.append(batch)
+            rows += batch.num_rows
+        if rows >= chunk:
+            yield stars(parts)
+            parts, rows = [], 0
+    if parts:
+        yield stars(parts)
+
+
+def id_components(edges: DataFrame) -> DataFrame:
+    """(u, v) long -> (node, component): the least id reachable, for every id that has an edge.
+
+    Any subset of edges may be contracted on its own, so every task shrinks its edges in bounded chunks
+    first; the distributed rounds then work on stars.
+    """
+    plain = edges.where(F.col("u") != F.col("v")).select(F.col("u").cast("long"), F.col("v").cast("long"))
+    stars = _rounds(cut(plain.mapInArrow(_contract_ids, "u long, v long"), "edges"))
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
+
+
 def components(edges: DataFrame, src: str, dst: str, near: Sequence[str] = ()) -> DataFrame:
     """node -> component (its least node) for every node that has an edge.
 

@@ -51,12 +51,24 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 
     The result survives lost executors, its plan is one file scan however long the loop that
     made it, and its size is known to the planner, so small results are broadcast and large
-    ones are not.
+    ones are not. drop() removes the files once nothing reads them any more.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut() has written."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
