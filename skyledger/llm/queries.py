@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import bpe, quality, warc
+from skyledger.llm import bpe, lattice, minmax, quality, warc
 from skyledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,12 +32,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return f"/opt/tokenizers/{name}"
 
 
+@query
+def op1_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 @query
 def op6_bpe_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
 
 
+@query
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
