@@ -39,9 +39,12 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 1000, date: st
     light = named.select("page_id", "url", "payload_sha256", F.sha1(F.col("payload").cast("binary")).alias("sha1"), "n_bytes")
     # One row for each digest: the owner's id, whatever the number of copies (combined before the shuffle).
     owners = light.groupBy("payload_sha256").agg(F.max("page_id").alias("owner"))
+    # Both the join and the removal of repeated rows work on (digest, id), so payloads are shuffled once, and only one row of each digest passes.
+    key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63))).alias("key")
     bodies = (
-        named.join(owners, (named["payload_sha256"] == owners["payload_sha256"]) & named["page_id"].eqNullSafe(owners["owner"]), "left_semi")
-        .dropDuplicates(["payload_sha256"])
+        named.select("payload_sha256", key("page_id"), "payload")
+        .join(owners.select("payload_sha256", key("owner")), ["payload_sha256", "key"], "left_semi")
+        .dropDuplicates(["payload_sha256", "key"])
         .select(F.col("payload_sha256").alias("sha256"), F.col("payload").cast("binary").alias("payload"))
     )
     bodies.write.option("compression", "zstd").parquet(f"{path}/payloads")
