@@ -162,7 +162,7 @@ def encode(docs: DataFrame, path: str, leaf: int = 4096, split: int = 1 << 17, t
         raise ValueError(f"the table has a column {ids} already")
     # Repeated texts are encoded once.
     tagged = docs.where(long).withColumn("_row", F.sha2(text, 256))
-    cut = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / F.lit(split)).cast("int"))
+    cut = F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / F.lit(split)).cast("int"))
     parts = tagged.select("_row", F.col(text).alias("_text")).dropDuplicates(["_row"]).select("_row", F.posexplode(cut).alias("_part", "_p"), "_text")
     part = parts.select("_row", "_part", F.expr(f"substring(_text, _part * {split} + 1, {split})").alias("_text")).repartition(tasks(docs), "_row", "_part")
 

@@ -5,10 +5,10 @@ hash evaluations give 2 * perms values, each of which agrees between two sets wi
 similarity. Four values (two permutations) make a band. With 40 permutations a pair at similarity 0.85 shares none of the
 20 bands with a chance of 4e-7, at 0.8 of 3e-5.
 
-Links are confirmed on full sets. No group of copies is expanded: equal sets are one class; in every band bucket each
-class is compared with the bucket's least class; after the links so found are joined to components, only buckets that still
-hold several components are looked at again, as pairs of bounded blocks of signatures, and only pairs between
-components whose signatures agree in `screen` of their values or more are compared in full.
+Links are confirmed on full sets. No group of copies is expanded into pairs: equal sets are one class; in every band
+bucket each class is compared with the bucket's least class; after the links so found are joined to components, only
+buckets that still hold several components are looked at again, in pairs of blocks of bounded size, where documents of
+different components that share a band are compared on full sets and only links that join something are given out.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def bands(values: np.ndarray, rows: int = 4) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, perms: int) -> DataFrame:
-    """doc_id, n_shingles, two numbers that name the set, its bands, and 16 bits of each signature value (null for an empty set)."""
+    """doc_id, n_shingles, two numbers that name the set and its bands (null for an empty set)."""
 
     def run(batches):
         family = Permutations(perms)
@@ -61,26 +61,25 @@ def signatures(docs: DataFrame, k: int, perms: int) -> DataFrame:
             ids = batch.column("doc_id")
             for a, b, buf, offs in pieces(batch.column("text")):
                 words, first = word_hashes(buf, offs)
-                size, k1, k2, band, sig = [], [], [], [], []
+                size, k1, k2, band = [], [], [], []
                 for i in range(b - a):
                     own = shingle_set(words[first[i] : first[i + 1]], k)
                     size.append(len(own))
                     if not len(own):
-                        k1.append(0), k2.append(0), band.append(None), sig.append(None)
+                        k1.append(0), k2.append(0), band.append(None)
                         continue
                     values = family.min_max(own)
                     with np.errstate(over="ignore"):
                         k1.append(int(own.sum().view(np.int64)))
                         k2.append(int(mix(own * np.uint64(0x9E3779B97F4A7C15)).sum().view(np.int64)))
                     band.append(bands(values))
-                    sig.append((mix(values) >> np.uint64(48)).astype(np.uint16).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                    ["doc_id", "n_shingles", "k1", "k2", "bands", "sig"],
+                    [ids.slice(a, b - a), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(band, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "k1", "k2", "bands"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"
+        run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
     )
 
 
@@ -131,28 +130,46 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def _across(group: pa.Table, screen: float) -> dict | None:
-    """Pairs between two blocks whose components differ and whose signatures agree often enough."""
-    ids = group["rep"].to_numpy()
-    comp = group["component"].to_numpy()
-    if (comp == comp[0]).all():
+def _across(group: pa.Table, k: int, percent: int) -> dict | None:
+    """Confirmed links between two blocks, of documents that share a band and are not linked yet; one link for each set that it joins."""
+    ids, comp = group["rep"].to_numpy(), group["component"].to_numpy()
+    _, label = np.unique(comp, return_inverse=True)
+    if (label == label[0]).all():
         return None
-    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint16).reshape(len(ids), -1)
-    first, second = (np.flatnonzero(group[c].to_numpy(zero_copy_only=False)) for c in ("first", "second"))
-    least = int(np.ceil(screen * sig.shape[1]))
+    band = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    sets = []
+    for a, b, buf, offs in pieces(group["text"]):
+        words, first = word_hashes(buf, offs)
+        sets += [shingle_set(words[first[i] : first[i + 1]], k) for i in range(b - a)]
+    size = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    # Shingles as small numbers: a set is then counted against many others by looking up marks.
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(codes.max() + 1, dtype=bool)
+    one, two = (np.flatnonzero(group[c].to_numpy(zero_copy_only=False)) for c in ("first", "second"))
     us, vs = [], []
-    for i in first:
-        other = second[comp[second] != comp[i]]
-        if len(other):
-            hit = other[(sig[other] == sig[i]).sum(axis=1) >= least]
-            us.append(np.minimum(ids[hit], ids[i]))
-            vs.append(np.maximum(ids[hit], ids[i]))
+    for i in one:
+        other = two[label[two] != label[i]]
+        other = other[(band[other] == band[i]).any(axis=1)]
+        other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
+        if not len(other):
+            continue
+        own = codes[starts[i] : starts[i + 1]]
+        mark[own] = True
+        shared = np.array([np.count_nonzero(mark[codes[starts[j] : starts[j + 1]]]) for j in other])
+        mark[own] = False
+        hit = other[100 * shared >= percent * (size[other] + size[i] - shared)]
+        if len(hit):
+            old, at = np.unique(label[hit], return_index=True)
+            us.append(np.full(len(at), ids[i]))
+            vs.append(ids[hit[at]])
+            label[np.isin(label, old)] = label[i]
     if not us:
         return None
     return {"u": np.concatenate(us), "v": np.concatenate(vs)}
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, perms: int = 40, screen: float = 0.6, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, perms: int = 40, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text, ...).
 
     Sets are distinct k-word shingles of lower-cased (A-Z) words, the whole sequence for fewer words. Documents are linked
@@ -162,7 +179,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, perms: int =
     """
     rows = cut(signatures(docs, k, perms), "minmax")
     sets = rows.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    classes = cut(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     same = sets.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
     entries = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -175,16 +192,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, perms: int =
 
     found = cut(id_components(links), "components")
     label = F.coalesce("component", "rep").alias("component")
-    placed = cut(shared.join(found, shared["rep"] == found["node"], "left").select("bucket", "rep", label), "placed")
+    placed = cut(shared.join(found, shared["rep"] == found["node"], "left").select("bucket", "rep", "lead", label), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    members = placed.join(mixed, "bucket").join(classes.groupBy("rep").agg(F.first("sig").alias("sig")), "rep").select("bucket", "rep", "component", "sig")
-    again = grouped(block_pairs(members, "bucket", "rep", block), ["bucket", "p", "q"], lambda g: _across(g, screen), "u long, v long").distinct()
-    more = cut(_confirm(again.join(tried, ["u", "v"], "left_anti"), texts, k, percent), "links")
+    meets = cut(placed.join(mixed, "bucket").select("rep", "lead", "component").distinct(), "mixed")
+    # Buckets that share documents are one group, so that a document is sent once and not for each of its bands.
+    crowd = cut(id_components(meets.select(F.col("rep").alias("u"), F.col("lead").alias("v"))), "groups")
+    members = (
+        meets.select("rep", "component").distinct()
+        .join(crowd.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep")
+        .join(classes.groupBy("rep").agg(F.first("bands").alias("bands")), "rep")
+        .join(texts.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "rep")
+        .select("group", "rep", "component", "bands", "text")
+    )
+    more = cut(grouped(block_pairs(members, "group", "rep", block), ["group", "p", "q"], lambda g: _across(g, k, percent), "u long, v long"), "links")
 
     # A class with copies of one document under several ids, and the links between classes, are joined once more.
     nodes = cut(id_components(same.unionByName(links).unionByName(more)), "components")
     out = rows.select("doc_id", "n_shingles").join(nodes, rows["doc_id"] == nodes["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
-    drop(shared, texts, placed, found, classes, links, more)
+    drop(shared, texts, placed, found, meets, crowd, classes)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
