@@ -77,33 +77,35 @@ class Tables:
         return np.concatenate(out, axis=1)
 
 
-def _units(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rows that can be compared, and their unit vectors in double precision."""
-    rows, vectors = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v is None or any(x is None for x in v):
-            continue
-        x = np.asarray(v, dtype=float)
-        top = np.abs(x).max(initial=0.0)
-        if top > 0 and np.isfinite(top):
-            x = x / top
-            rows.append(i)
-            vectors.append(x / np.sqrt((x * x).sum()))
-    return np.array(rows, dtype=np.int64), vectors
-
-
-def _prepared(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id and unit vector (little-endian doubles), without the rows that link with nothing."""
+def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision from vectors of one length, kept as bytes of their own precision."""
+    x = np.frombuffer(b"".join(raw), dtype=kind).astype(float).reshape(len(raw), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
-    def run(batches):
-        for batch in batches:
-            rows, units = _units(batch.column("vec"))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array([u.tobytes() for u in units], pa.binary())], ["id", "unit"])
-
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id IS NOT NULL").mapInArrow(run, "id long, unit binary")
 
+def _prepared(vectors: DataFrame, id_col: str, vec_col: str, kind: str) -> DataFrame:
+    """id and vector (bytes), without the rows that link with nothing."""
 
-def _entries(units: DataFrame, tables: int, scale: float, probes: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            rows, raw = [], []
+            for i, v in enumerate(batch.column("vec")):
+                own = v.values
+                if own is None or own.null_count or not len(own):
+                    continue
+                x = own.to_numpy(zero_copy_only=False).astype(kind)
+                top = np.abs(x).max()
+                if top > 0 and np.isfinite(top):
+                    rows.append(i)
+                    raw.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), pa.array(raw, pa.binary())], ["id", "unit"])
+
+    vec = F.col(vec_col) if kind == "<f4" else F.col(vec_col).cast("array<double>")
+    return vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where("id IS NOT NULL").mapInArrow(run, "id long, unit binary")
+
+
+def _entries(units: DataFrame, kind: str, tables: int, scale: float, probes: int) -> DataFrame:
     """(bucket, id, unit): a row for each cell that a vector lies in or probes."""
 
     def run(batches):
@@ -111,12 +113,12 @@ def _entries(units: DataFrame, tables: int, scale: float, probes: int) -> DataFr
             raw = batch.column("unit").to_pylist()
             by_size: dict[int, list[int]] = {}
             for i, u in enumerate(raw):
-                by_size.setdefault(len(u) // 8, []).append(i)
+                by_size.setdefault(len(u) // int(kind[2]), []).append(i)
             for dim, rows in by_size.items():
                 plan = Tables(dim, tables, scale, probes)
                 for a in range(0, len(rows), 1024):
                     part = rows[a : a + 1024]
-                    cells = plan.cells(np.frombuffer(b"".join(raw[i] for i in part)).reshape(len(part), dim))
+                    cells = plan.cells(unit_rows([raw[i] for i in part], kind))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("id").take(pa.array(np.repeat(part, cells.shape[1]))), pa.array(cells.ravel() + dim), pa.array(np.tile(np.arange(cells.shape[1]) % (probes + 1) == 0, len(part)))],
                         ["id", "bucket", "own"],
@@ -125,15 +127,15 @@ def _entries(units: DataFrame, tables: int, scale: float, probes: int) -> DataFr
     return units.mapInArrow(run, "id long, bucket long, own boolean")
 
 
-def _matrix(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    unit = np.frombuffer(b"".join(group["unit"].to_pylist())).reshape(group.num_rows, -1)
+def _matrix(group: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    unit = unit_rows(group["unit"].to_pylist(), kind)
     first, second = (np.flatnonzero(group[c].to_numpy(zero_copy_only=False)) for c in ("first", "second"))
     return group["id"].to_numpy(), unit, first, second
 
 
-def _stars(group: pa.Table, least: float) -> dict | None:
+def _stars(group: pa.Table, kind: str, least: float) -> dict | None:
     """Verified links of two blocks of a cell, thinned to one link for each vector and set that they connect."""
-    ids, unit, first, second = _matrix(group)
+    ids, unit, first, second = _matrix(group, kind)
     us, vs = [], []
     label = np.arange(len(ids))
     # A vector that probes a cell is compared with those that lie in it, not with the others that probe it.
@@ -154,9 +156,9 @@ def _stars(group: pa.Table, least: float) -> dict | None:
     return {"u": np.concatenate(us), "v": np.concatenate(vs)}
 
 
-def _counts(group: pa.Table, least: float) -> dict:
+def _counts(group: pa.Table, kind: str, least: float) -> dict:
     """Links of each vector of two blocks with the vectors of the other, copies counted by weight; in one block, with its own."""
-    ids, unit, first, second = _matrix(group)
+    ids, unit, first, second = _matrix(group, kind)
     weight = group["n"].to_numpy().astype(float)
     one = np.zeros(len(ids))
     for a in range(0, len(first), 512):
@@ -168,24 +170,25 @@ def _counts(group: pa.Table, least: float) -> dict:
     return {"id": ids, "links": np.rint(one).astype(np.int64)}
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, tables: int = 24, scale: float = 0.75, probes: int = 4, block: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, tables: int = 16, scale: float = 1.25, probes: int = 4, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors with a cosine of at least `least` are linked; vectors that are null, zero, or hold null or non-finite
     components, and rows without id, link with nothing. Equal vectors are hashed once and counted as often as they are
     there. Vectors of different lengths are never compared. Rows that repeat an id are separate vectors that share it.
     """
-    units = cut(_prepared(vectors, id_col, vec_col), "units")
+    kind = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
+    units = cut(_prepared(vectors, id_col, vec_col, kind), "units")
     classes = cut(units.groupBy("unit").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.xxhash64("unit").alias("h")).select("id", "n", "unit", F.xxhash64("id", "h").alias("key")), "classes")
     byte = classes.select(F.col("key").alias("id"), "unit")
-    entries = _entries(byte, tables, scale, probes)
+    entries = _entries(byte, kind, tables, scale, probes)
     useful = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("any")).where("m > 1 AND any").select("bucket")
     members = cut(entries.join(useful, "bucket"), "cells").join(byte, "id")
-    edges = cut(grouped(block_pairs(members, "bucket", "id", block), ["bucket", "p", "q"], lambda g: _stars(g, least), "u long, v long").distinct(), "links")
+    edges = cut(grouped(block_pairs(members, "bucket", "id", block), ["bucket", "p", "q"], lambda g: _stars(g, kind, least), "u long, v long").distinct(), "links")
     joined = cut(id_components(edges), "components")
 
     inside = joined.join(byte, joined["node"] == byte["id"]).join(classes.select(F.col("key").alias("node"), "n"), "node").select(F.col("component").alias("bucket"), F.col("node").alias("id"), "unit", "n")
-    part = grouped(block_pairs(inside, "bucket", "id", block), ["bucket", "p", "q"], lambda g: _counts(g, least), "id long, links long")
+    part = grouped(block_pairs(inside, "bucket", "id", block), ["bucket", "p", "q"], lambda g: _counts(g, kind, least), "id long, links long")
     links = part.groupBy("id").agg(F.sum("links").alias("links"))
 
     least_id = joined.join(classes, joined["node"] == classes["key"]).groupBy("component").agg(F.min("id").alias("component_id"))

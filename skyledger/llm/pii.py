@@ -8,7 +8,7 @@ mark values that the base patterns do not know. DataFrame functions only: no Pyt
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import cut
@@ -32,7 +32,7 @@ def _kept(kind: str, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     if kind == "ip":
         return F.forall(F.split(m, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3) & F.forall(
-            F.split(m, r"\."), lambda p: F.coalesce(F.right(p, F.lit(3)).cast("int"), F.lit(0)) <= 255
+            F.split(m, r"\."), lambda p: F.coalesce(F.right(p, F.lit(3)).try_cast("int"), F.lit(0)) <= 255
         )
     if kind == "card":
         return F.length(digits).between(12, 19) & F.call_function("luhn_check", digits)
@@ -41,38 +41,42 @@ def _kept(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str, make) -> Column:
-    """make(start, match, text before it) for every match, in order; starts are in code points.
+def located(text: Column, kind: int, pattern: str, must: str | None = None, cue: bool = False) -> Column:
+    """(kind, i, skip, m, cue) for every match in order: skip is the length of the text between it and the match before.
 
-    The pieces between matches and the matches themselves, laid end to end, are the text, so their lengths give the places.
+    The pieces between matches and the matches themselves, laid end to end, are the text, so running sums of lengths give the places.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if must:
+        found = F.when(F.contains(text, F.lit(must)), found).otherwise(F.array().cast("array<string>"))
     between = F.split(text, pattern, -1)
-    zipped = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.element_at(between, (i + 1).cast("int")).alias("b")))
-    first = make(F.lit(0), F.lit(""), F.lit(""))
-    empty = F.filter(F.array(first), lambda x: F.lit(False))
-    return F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["b"]) + F.length(x["m"])).cast("int").alias("at"),
-            F.concat(acc["out"], F.array(make(acc["at"] + F.length(x["b"]), x["m"], x["b"]))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def one(m, i):
+        before = F.element_at(between, (i + 1).cast("int"))
+        # Sixty-four code points hold any two words worth a pattern; longer words are cut alike everywhere.
+        words = F.regexp_replace(F.lower(F.trim(F.regexp_extract(F.right(before, F.lit(64)), r"(\S+\s+)?\S+\s+$", 0))), r"\s+", " ")
+        return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), F.length(before).alias("skip"), m.alias("m"), (words if cue else F.lit("")).alias("cue"))
+
+    return F.transform(found, one)
 
 
-def base_spans(text: Column) -> Column:
-    """All base matches as (start, kind number, end), sorted by start, then kind."""
-    parts = []
-    for k, kind in enumerate(KINDS):
-        spans = located(text, PATTERNS[kind], lambda at, m, b, k=k, kind=kind: F.struct(
-            at.cast("int").alias("start"), F.lit(k).alias("kind"), (at + F.length(m)).cast("int").alias("stop"), F.coalesce(_kept(kind, m), F.lit(False)).alias("good")
-        ))
-        must = {"email": "@", "ip": ".", "phone": "+"}.get(kind)
-        parts.append(F.when(F.contains(text, F.lit(must)), spans).otherwise(F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit(k).alias("kind"), F.lit(0).alias("stop"), F.lit(False).alias("good"))), lambda x: F.lit(False))) if must else spans)
-    good = F.filter(F.concat(*parts), lambda s: s["good"])
-    return F.array_sort(F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
+WORD = len(KINDS)
+
+
+def _places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, text_key) and the matches in them (row, kind, start, stop, m, cue), words included as kind WORD."""
+    must = {"email": "@", "ip": ".", "phone": "+"}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    lists = [located(F.col("text"), k, PATTERNS[name], must.get(name)) for k, name in enumerate(KINDS)]
+    lists.append(located(F.col("text"), WORD, CANDIDATE, None, True))
+    # The row numbers hold because the table is written before it is used.
+    marked = cut(raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), F.concat(*lists).alias("found")), "pii")
+    each = marked.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum(F.col("skip") + F.length("m")).over(before)
+    placed = each.withColumn("stop", stop.cast("int")).withColumn("start", (F.col("stop") - F.length("m")).cast("int"))
+    return marked.select("row", "doc_id", "text_key"), placed.select("row", "kind", "start", "stop", "m", "cue")
 
 
 def written(spans: Column) -> Column:
@@ -81,19 +85,31 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def _candidates(text: Column) -> Column:
-    """Identifier-like words without the punctuation around them, with the two words before."""
+def _candidates(placed: DataFrame) -> DataFrame:
+    """Identifier-like words without the punctuation around them: (row, start, stop, cue, value)."""
+    lead = F.length(F.regexp_extract("m", r"^[(\[<\"']*", 0))
+    value = F.regexp_replace(F.regexp_replace("m", r"^[(\[<\"']+", ""), r"[.,;:!?)\]>\"']+$", "")
+    words = placed.where(F.col("kind") == WORD).select("row", (F.col("start") + lead).alias("start"), "cue", value.alias("value"))
+    return words.where("value <> ''").select("row", "start", (F.col("start") + F.length("value")).alias("stop"), "cue", F.lower("value").alias("value"))
 
-    def make(at, m, before):
-        lead = F.length(F.regexp_extract(m, r"^[(\[<\"']*", 0))
-        value = F.regexp_replace(F.regexp_replace(m, r"^[(\[<\"']+", ""), r"[.,;:!?)\]>\"']+$", "")
-        # Sixty-four code points hold any two words worth a pattern; longer words are cut alike everywhere.
-        left = F.lower(F.trim(F.regexp_extract(F.right(before, F.lit(64)), r"(\S+\s+)?\S+\s+$", 0)))
-        return F.struct(
-            (at + lead).cast("int").alias("start"), (at + lead + F.length(value)).cast("int").alias("stop"), F.regexp_replace(left, r"\s+", " ").alias("cue"), F.lower(value).alias("value")
-        )
 
-    return located(text, CANDIDATE, make)
+def _seeds(words: DataFrame, base: DataFrame) -> DataFrame:
+    """Words with the kind of the base match that begins in them (null: no base match touches them); later words of a match are left out.
+
+    One pass over the spans of a row in order of their starts, and one in the other direction.
+    """
+    both = words.withColumn("kind", F.lit(WORD)).unionByName(base.select("row", "start", "stop", F.lit("").alias("cue"), F.lit("").alias("value"), "kind"))
+    is_base = F.col("kind") < WORD
+    past = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("left", F.max(F.when(is_base, F.struct("stop", "start", "kind"))).over(past)).withColumn(
+        "right", F.min(F.when(is_base, F.struct("start", "kind"))).over(ahead)
+    ).where(~is_base)
+    inside = F.col("left.stop") > F.col("start")
+    reaches = F.col("right.start") < F.col("stop")
+    kind = F.when(inside, F.col("left.kind")).when(reaches, F.col("right.kind"))
+    usable = ~F.coalesce(inside & (F.col("left.start") < F.col("start")), F.lit(False))
+    return seen.where(usable & (F.col("cue") != "")).select("row", "start", "stop", "cue", "value", kind.alias("kind"))
 
 
 def _learn(seen: DataFrame, rounds: int, prior: float, least_values: int) -> DataFrame:
@@ -121,39 +137,35 @@ def _learn(seen: DataFrame, rounds: int, prior: float, least_values: int) -> Dat
 
 def find(docs: DataFrame, rounds: int = 3, confidence: float = 0.9, prior: float = 3.0, least_values: int = 3) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (all, written), n_learned, and the spans themselves
-    (`found`: start, kind number, end; code points), for every row of docs, with `row_key` that names the text.
+    (`found`: start, kind number, end; code points), for every row of docs, with a hash of the text (`text_key`).
 
     A null or empty text has no spans. Learned spans lie outside all base spans and carry the kind of their pattern, the
     first listed when two are as likely. A pattern needs `least_values` different values and a share of known ones of
     `confidence` over (all + prior). Rows that repeat a text get the same spans; a null doc_id is kept.
     """
-    # The same text has the same spans, so rows meet their learned spans again by the text's digest, not by doc_id.
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    marked = cut(
-        raw.select("doc_id", F.sha2("text", 256).alias("row_key"), base_spans(F.col("text")).alias("base"), _candidates(F.col("text")).alias("words")),
-        "pii",
-    )
-    each = marked.select("row_key", "base", F.explode("words").alias("w")).where("w.cue <> ''")
-    overlap = F.filter("base", lambda b: (b["start"] < F.col("w.stop")) & (b["stop"] > F.col("w.start")))
-    tagged = each.select("row_key", "w.*", overlap.alias("hits"))
-    first = F.try_element_at("hits", F.lit(1))
-    # A seed is met at its first word; later words of the same entity have no context of their own.
-    seen = tagged.select("row_key", "start", "stop", "cue", "value", F.size("hits").alias("n_hits"), first["kind"].alias("hit_kind"), first["start"].alias("hit_start"))
-    usable = seen.where("n_hits = 0 OR start <= hit_start")
-    cues = _learn(usable.select("cue", "value", F.col("hit_kind").alias("kind")), rounds, prior, least_values)
+    rows, placed = _places(docs)
+    good = F.lit(False)
+    for k, name in enumerate(KINDS):
+        good = F.when(F.col("kind") == k, _kept(name, F.col("m"))).otherwise(good)
+    base = placed.where(F.col("kind") < WORD).where(F.coalesce(good, F.lit(False))).select("row", "kind", "start", "stop")
+    seen = cut(_seeds(_candidates(placed), base), "seeds")
+    cues = _learn(seen.select("cue", "value", "kind"), rounds, prior, least_values)
     best = F.greatest(*[F.col(f"p{k}") for k in range(len(KINDS))])
     kind = F.coalesce(*[F.when(F.col(f"p{k}") == best, F.lit(k)) for k in range(len(KINDS))])
     sure = cues.where(best >= confidence).select("cue", kind.alias("kind"))
-    learned = usable.where("n_hits = 0").join(sure, "cue").groupBy("row_key").agg(
-        F.array_sort(F.collect_set(F.struct("start", "kind", "stop"))).alias("more")
+    learned = seen.where("kind IS NULL").drop("kind").join(sure, "cue").select("row", "kind", "start", "stop")
+    span = F.struct("start", "kind", "stop")
+    every = base.withColumn("own", F.lit(True)).unionByName(learned.withColumn("own", F.lit(False))).groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("own"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("found"), F.count(F.when(~F.col("own"), 1)).alias("n_learned")
+    )
+    none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
+    out = rows.join(every, "row", "left").select(
+        "doc_id", "text_key", F.coalesce("base", none).alias("base"), F.coalesce("found", none).alias("found"), F.coalesce("n_learned", F.lit(0).cast("long")).alias("n_learned")
     )
-    out = marked.join(learned, "row_key", "left")
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
     return out.select(
         "doc_id", *[number(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(written(F.col("base")), 256).alias("base_sha256"),
-        written(every).alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_learned"), every.alias("found"), "row_key",
+        written(F.col("found")).alias("spans"), "n_learned", "found", "text_key",
     )
 
 
