@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 
 import numpy as np
@@ -27,12 +28,16 @@ class Codec:
     """A tokenizer file, with encoding of leaves and joins."""
 
     def __init__(self, path: str, leaf: int):
+        # A task has one core; the library's own threads would take those of other tasks.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
         self.tok, self.leaf = tok, leaf
+        self.known: dict[str, list[int]] = {}
+        self.room = 500_000
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.plain_decoder = spec.get("decoder") is None
@@ -51,10 +56,25 @@ class Codec:
         got = self.tok.encode(text, add_special_tokens=False)
         return got.ids, got.offsets
 
-    def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
-            return self.tok.encode(text, add_special_tokens=False).ids
-        return self.tree(text)[0]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """ids of each text. Blanks and line breaks always part tokens, so a text's ids are those of the stretches between them, which are
+        kept for as long as there is room; only stretches longer than a leaf need the tree."""
+        parted = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        if len(self.known) > self.room:
+            self.known.clear()
+        new = [w for w in set().union(*parted) if w not in self.known] if parted else []
+        short = [w for w in new if len(w) <= self.leaf]
+        known = self.known
+        known.update(zip(short, (e.ids for e in self.tok.encode_batch_fast(short, add_special_tokens=False))))
+        long = {w: self.tree(w)[0] for w in new if len(w) > self.leaf}
+        out = []
+        for words in parted:
+            ids: list[int] = []
+            for w in words:
+                got = known.get(w)
+                ids += long[w] if got is None else got
+            out.append(ids)
+        return out
 
     def tree(self, text: str, base: int = 0):
         """ids and spans (from `base` on) of text, by halves."""
@@ -145,8 +165,9 @@ def encode(docs: DataFrame, path: str, leaf: int = 4096, split: int = 1 << 17, t
 
     Texts up to `split` code points are encoded where they lie, by trees of leaves. Longer ones are cut into parts of `split`
     code points that are encoded by separate tasks; their joins are then made where the parts of a document meet.
-    Any other columns are carried along.
+    Any other columns are carried along; a column that is called like the ids gives way to them.
     """
+    docs = docs.drop(ids)
     clean = F.coalesce(F.col(text), F.lit(""))
     long = F.length(clean) > split
     keep = docs.columns
@@ -155,11 +176,9 @@ def encode(docs: DataFrame, path: str, leaf: int = 4096, split: int = 1 << 17, t
     def short(batch):
         codec = Codec.load(path, leaf)
         texts = batch.column(text).fill_null("").to_pylist() if batch.num_rows else []
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([codec.encode(t) for t in texts], pa.list_(pa.int32()))], [*batch.schema.names, ids])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(codec.encode(texts), pa.list_(pa.int32()))], [*batch.schema.names, ids])
 
     near = docs.where(~long).mapInArrow(_batched(short), f"{kinds}, `{ids}` array<int>")
-    if ids in keep:
-        raise ValueError(f"the table has a column {ids} already")
     # Repeated texts are encoded once.
     tagged = docs.where(long).withColumn("_row", F.sha2(text, 256))
     cut = F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / F.lit(split)).cast("int"))
@@ -211,7 +230,8 @@ def digests(coded: DataFrame, path: str, leaf: int = 4096, ids: str = "ids") ->
 
 
 def decode(coded: DataFrame, path: str, leaf: int = 4096, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Encoded documents with the text that their ids stand for, special tokens included."""
+    """Encoded documents with the text that their ids stand for, special tokens included; a column that is called like it gives way."""
+    coded = coded.drop(out)
 
     def run(batch):
         codec = Codec.load(path, leaf)

@@ -168,6 +168,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     return Pair(before, word, toxic, n), curve
 
 
+def _probability(model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(offs) - 1)
+    pair, (w, centre, scale) = model
+    words, first = word_hashes(buf, offs)
+    x = (pair.features(words, first) - centre) / scale
+    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held: int = 1, per_class: int = 2000) -> DataFrame:
+    """The rows of docs, all columns as they are, that score below the threshold; texts stay where they are read."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.where(remainder("doc_id", folds) != held), per_class=per_class))
+
+    def run(batches):
+        for batch in batches:
+            for a, b, buf, offs in pieces(batch.column("text")):
+                clean = np.flatnonzero(_probability(sent.value, buf, offs) < threshold)
+                yield batch.take(pa.array(clean + a))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held: int = 1, per_class: int = 2000) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; learned from labelled rows outside the held-out fold.
 
@@ -180,13 +202,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds:
     def run(batches):
         for batch in batches:
             for a, b, buf, offs in pieces(batch.column("text")):
-                if sent.value is None:
-                    p = np.zeros(b - a)
-                else:
-                    pair, (w, centre, scale) = sent.value
-                    words, first = word_hashes(buf, offs)
-                    x = (pair.features(words, first) - centre) / scale
-                    p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+                p = _probability(sent.value, buf, offs)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
