@@ -115,7 +115,7 @@ def _chosen(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     return pick(0).unionByName(pick(1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000):
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1200):
     """The pair of models and the logistic curve, learned from at most per_class documents of each class; None without both classes."""
     spark = docs.sparkSession
     ids = _chosen(labels, label, per_class)
@@ -177,7 +177,7 @@ def _probability(model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held: int = 1, per_class: int = 2000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held: int = 1, per_class: int = 1200) -> DataFrame:
     """The rows of docs, all columns as they are, that score below the threshold; texts stay where they are read."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.where(remainder("doc_id", folds) != held), per_class=per_class))
 
@@ -190,7 +190,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fo
     return docs.mapInArrow(run, docs.schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held: int = 1, per_class: int = 2000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held: int = 1, per_class: int = 1200) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; learned from labelled rows outside the held-out fold.
 
     A null text is an empty one: its features are 0. Rows without doc_id are scored and never learned from. Without labelled
