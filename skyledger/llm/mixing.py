@@ -4,7 +4,7 @@ A text is a sequence of lower-cased words and one end. A word is coded bit by bi
 Huffman code of the corpus, the end as one symbol of its own. Each bit is predicted from hashed contexts inside the word (one, two,
 three and five bytes, the whole prefix, the whole prefix with what the word before ended in); their log-odds are mixed by weights
 that a gate picks (how much the two longest contexts know), and the outcome is refined by an adaptive map from log-odds to
-observed frequencies. Weights are learned online, word by word, on counts without the word's own occurrence. Inside a document
+observed frequencies. Frequent words have a probability as wholes beside that of their spelling. Weights are learned online, word by word, on counts without the word's own occurrence. Inside a document
 the mixture adapts to what the document has said already: words seen before share a weight that follows the rate of repeats so far.
 
 The corpus is gathered as a table of words with counts, which grows with it and stays distributed. Bit counts are
@@ -267,7 +267,7 @@ def _tables(words: DataFrame, code: Code, bits: int) -> np.ndarray:
     return tables.reshape(CONTEXTS, 2, 1 << bits)
 
 
-def learn(words: DataFrame, corpus_bytes: int, least_bits: int = 18, most_bits: int = 22, rate: float = 0.02) -> Mixer:
+def learn(words: DataFrame, corpus_bytes: int, least_bits: int = 18, most_bits: int = 22, rate: float = 0.3) -> Mixer:
     """The mixer of a word table: bit counts, then weights by online steps (each task over its words; averaged by weight), then the refining map."""
     spark = words.sparkSession
     bits = int(np.clip(math.ceil(math.log2(max(corpus_bytes, 2))), least_bits, most_bits))
@@ -322,6 +322,24 @@ def learn(words: DataFrame, corpus_bytes: int, least_bits: int = 18, most_bits:
     return mixer
 
 
+def whole_words(logs: np.ndarray, counts: np.ndarray, totals: np.ndarray, back: float = 2000.0, rounds: int = 30) -> tuple[float, np.ndarray]:
+    """Frequent words as wholes beside their spelling: the share of whole words, and log10 of the two together (a row a word, a column a kind).
+
+    A word's own probability is its frequency after its kind, drawn towards its frequency at large. The share is fitted so
+    that the training tokens are likeliest, each without its own occurrence; tokens that are not frequent have their spelling alone.
+    """
+    n = totals.sum()
+    if not len(logs) or not n:
+        return 0.0, logs
+    whole = lambda less: (np.maximum(counts - less, 0) + back * np.maximum(counts.sum(axis=1, keepdims=True) - less, 0) / n) / (totals + back)
+    spelled = 10.0 ** np.maximum(logs, -300)
+    left, share = whole(1), 0.5
+    for _ in range(rounds):
+        a, b = share * left, (1 - share) * spelled
+        share = min(0.999, float((counts * a / (a + b)).sum() / n))
+    return share, np.log10(share * whole(0) + (1 - share) * spelled)
+
+
 def _adapt(model: np.ndarray, h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """log10 probabilities of tokens after mixing the model with what the document has said so far.
 
@@ -357,7 +375,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = 100_00
     text = F.col("text").cast("string").alias("text")
     train = docs.where(F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != held)).select(text)
     words = cut(word_counts(train).withColumn("c", F.expr(" + ".join(f"n{k}" for k in range(CLASSES)))), "words")
-    size = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.length("word") * F.col("c")).alias("b")).first()
+    size = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.length("word") * F.col("c")).alias("b"), *[F.sum(f"n{k}").alias(f"t{k}") for k in range(CLASSES)]).first()
     total, kinds, volume = size["n"] or 0, size["v"], size["b"] or 0
     mixer = learn(words, volume)
 
@@ -369,7 +387,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = 100_00
             break
         held_rows += bins[k]
         least = 1 << k
-    top = words.where(F.col("c") >= (least if least is not None else 1 << 62)).select("word", "c").toArrow()
+    top = words.where(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()
     names = top["word"].to_pylist()
     joined = np.frombuffer(b"".join(names), dtype=np.uint8)
     stop = np.cumsum([len(w) for w in names]).astype(np.int64)
@@ -377,7 +395,10 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = 100_00
     order = np.argsort(keys)
     counts = top["c"].to_numpy()[order] if names else np.zeros(0, dtype=np.int64)
     names = [names[i] for i in order]
+    each = np.stack([top[f"n{k}"].to_numpy()[order] for k in range(CLASSES)], axis=1).astype(float) if names else np.zeros((0, CLASSES))
     logs = np.stack([mixer.log10(names, np.full(len(names), k)) for k in range(CLASSES)], axis=1) if names else np.zeros((0, CLASSES))
+    share, logs = whole_words(logs, each, np.array([float(size[f"t{k}"] or 0) for k in range(CLASSES)]))
+    rest_log = math.log10(1 - share)
     sent = spark.sparkContext.broadcast((mixer, keys[order], counts, logs))
 
     def run(batches):
@@ -398,7 +419,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = 100_00
                     first = rest[first]
                     raw = low.tobytes()
                     own = [raw[a:b] if a >= 0 else END for a, b in zip(s[first].tolist(), e[first].tolist())]
-                    model[rest] = mixer.log10(own, kind[first])[back]
+                    model[rest] = rest_log + mixer.log10(own, kind[first])[back]
                 sums = np.concatenate([[0.0], np.cumsum(np.where(known, np.log10(counts[at] + 1.0) if len(keys) else 0.0, 0.0))])
                 n_known = np.concatenate([[0], np.cumsum(known)])
                 rare, times = [], []
