@@ -54,7 +54,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), kept_bytes=False)
 
 
 @query

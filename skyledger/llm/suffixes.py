@@ -260,8 +260,8 @@ def repeats(docs: DataFrame, width: int = 400, batch: int = 16384, crowd: int =
     return sure.unionByName(induced).unionByName(counted)
 
 
-def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) for every row of docs (doc_id, text, ...).
+def remove_repeats(docs: DataFrame, width: int = 400, kept_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with kept_bytes the bytes kept, for every row of docs (doc_id, text, ...).
 
     Each byte covered by a string of `width` bytes that also starts anywhere else, in the same document or another, is removed;
     strings are judged on the input. A null text is empty; texts under `width` bytes lose nothing. Rows that repeat a doc_id
@@ -285,9 +285,10 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
                 gone = np.cumsum(edge)[:-1] > 0
                 kept = raw[~gone].tobytes()
                 runs = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].sum())
-                out.append((len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept if kept_bytes else None))
             cols = list(zip(*out)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out if kept_bytes else out.drop("kept")

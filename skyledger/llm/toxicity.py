@@ -1,9 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A bigram model of toxic and one of ordinary texts back off to the class's own words, and those to one distribution that
-both classes share (in how many different contexts a word was seen, pooled), so an expression that is rare in both
-says little. A document's features are log-likelihood ratios divided by length: of the whole text, and of its most
-toxic stretches of a few words, since an insult may stand in a long clean text. A logistic curve, fitted on texts that
+A bigram model of toxic and one of ordinary texts back off to the class's own words, those to the class's own word
+beginnings, and those to distributions that both classes share (in how many different contexts a word was seen, pooled),
+so an expression that is rare in both says no more than how it begins. A document's features are log-likelihood ratios divided by length: of the whole text, and of its few most
+toxic words and its most toxic stretch, since an insult may stand in a long clean text. A logistic curve, fitted on texts that
 the models have not seen (two folds, each scored by the other's model), turns them into a score.
 """
 
@@ -15,11 +15,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import remainder
-from skyledger.llm.words import mix, pieces, word_hashes
+from skyledger.llm.words import LOWER, mix, pieces, span_hashes, word_spans
 
 START = np.uint64(0x51AB7)
-STRETCHES = (2, 8, 32)
+#: Bytes of a word's beginning.
+STEM = 6
+#: A document is also judged by the mean over its most toxic words, so many of them.
+MOST = (3, 6)
+#: And by its most toxic stretch of so many words.
+STRETCHES = (32,)
 DISCOUNT = 0.75
+#: Taken off the counts of one class: a word met once or twice in a single text says nothing about the class.
+CLASS_DISCOUNT = 2.5
+#: Pairs that a class must have seen behind a word before they weigh as much as the pairs of both classes.
+TRUST = 30_000.0
+
+
+def _words(buf: np.ndarray, offs: np.ndarray):
+    """Hashes of the words and of their beginnings, and the index of each document's first word (one more at the end)."""
+    s, e, first = word_spans(buf, offs)
+    low = LOWER[buf]
+    return span_hashes(low, s, e), span_hashes(low, s, np.minimum(e, s + STEM)), first
 
 
 def _pairs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -36,9 +52,9 @@ def _pair_key(before: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 class Pair:
-    """Log-likelihood ratios of toxic against ordinary, from rows (before, word, toxic, n)."""
+    """Log-likelihood ratios of toxic against ordinary, from rows (before, word, stem, toxic, n)."""
 
-    def __init__(self, before, word, toxic, n):
+    def __init__(self, before, word, stem, toxic, n):
         key = _pair_key(before, word)
         self.keys, at = np.unique(key, return_inverse=True)
         pair = np.zeros((2, len(self.keys)))
@@ -53,17 +69,36 @@ class Pair:
         total = max(contexts.sum(), 1.0)
         shared = (np.maximum(contexts - DISCOUNT, 0) + DISCOUNT * kinds / (kinds + 1)) / total
         unseen = DISCOUNT * kinds / (kinds + 1) / total if kinds else 1.0
-        word_level, start_weight, pair_extra = [], [], []
+        # Beginnings: the shared mass of the words that begin so, parted by class as far as the class has evidence.
+        self.stems, si = np.unique(stem, return_inverse=True)
+        of_word = np.zeros(kinds, dtype=np.int64)
+        of_word[wi[at]] = si
+        mass = np.append(np.bincount(of_word, shared, minlength=len(self.stems)), 1.0)
+        begun = []
+        for c in (0, 1):
+            count = np.bincount(of_word, np.bincount(wi, pair[c], minlength=kinds), minlength=len(self.stems))
+            own = np.maximum(count - CLASS_DISCOUNT, 0)
+            left = min(1.0, CLASS_DISCOUNT * len(self.stems) / max(pair.sum(), 1.0))
+            begun.append(np.append(own * (1 - left) / max(own.sum(), 1e-12) + left * mass[:-1], left * unseen))
+        # Both classes leave the same mass to what they back off to, so words that neither has seen speak for neither, however many texts each has.
+        pooled, both = pair.sum(axis=0), np.bincount(wi, pair.sum(axis=0), minlength=kinds)
+        rest = min(1.0, DISCOUNT * kinds / max(both.sum(), 1.0))
+        seen = np.bincount(bi, pooled, minlength=len(self.starts))
+        back = DISCOUNT * np.bincount(bi, minlength=len(self.starts)) / np.maximum(seen, 1)
+        more = np.maximum(pair - CLASS_DISCOUNT, 0)
+        held = [np.bincount(bi, more[c], minlength=len(self.starts)) for c in (0, 1)]
+        # Pairs weigh as far as both classes have seen what follows a word; the rest of the mass goes to the class's words.
+        least = np.minimum(held[0], held[1])
+        firm = (1 - back) * least / (least + TRUST)
+        word_level, pair_extra, down = [], [], []
         for c in (0, 1):
             count = np.bincount(wi, pair[c], minlength=kinds)
-            tokens = max(count.sum(), 1.0)
-            rest = DISCOUNT * (count > 0).sum() / tokens if count.sum() else 1.0
-            word_level.append(np.append(np.maximum(count - DISCOUNT, 0) / tokens + rest * shared, rest * unseen))
-            seen = np.bincount(bi, pair[c], minlength=len(self.starts))
-            types = np.bincount(bi, pair[c] > 0, minlength=len(self.starts))
-            start_weight.append(np.append(np.where(seen > 0, DISCOUNT * types / np.maximum(seen, 1), 1.0), 1.0))
-            pair_extra.append(np.append(np.maximum(pair[c] - DISCOUNT, 0) / np.maximum(seen[bi], 1), 0.0))
-        self.word_level, self.start_weight, self.pair_extra = word_level, start_weight, pair_extra
+            own = np.maximum(count - CLASS_DISCOUNT, 0)
+            word_level.append(np.append(own * (1 - rest) / max(own.sum(), 1e-12), 0.0))
+            down.append(rest * begun[c] / mass)
+            pair_extra.append(np.append(firm[bi] * more[c] / np.maximum(held[c][bi], 1e-12), 0.0))
+        self.word_level, self.start_weight, self.pair_extra = word_level, np.append(1 - firm, 1.0), pair_extra
+        self.down, self.shared = down, np.append(shared, unseen)
 
     @staticmethod
     def _find(keys, wanted):
@@ -72,39 +107,46 @@ class Pair:
         at[at == len(keys)] = 0
         return np.where(keys[at] == wanted, at, len(keys)) if len(keys) else np.zeros(len(wanted), dtype=np.int64)
 
-    def ratios(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
-        wi, bi, pi = self._find(self.words, words), self._find(self.starts, before), self._find(self.keys, _pair_key(before, words))
-        p = [self.pair_extra[c][pi] + self.start_weight[c][bi] * self.word_level[c][wi] for c in (0, 1)]
+    def ratios(self, before: np.ndarray, words: np.ndarray, stems: np.ndarray) -> np.ndarray:
+        wi, bi, pi, si = self._find(self.words, words), self._find(self.starts, before), self._find(self.keys, _pair_key(before, words)), self._find(self.stems, stems)
+        p = [self.pair_extra[c][pi] + self.start_weight[bi] * (self.word_level[c][wi] + self.down[c][si] * self.shared[wi]) for c in (0, 1)]
         return np.log(p[1]) - np.log(p[0])
 
-    def features(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Length-normalised ratios of each document: of the whole, and of its best stretch of each length (of the whole when shorter)."""
-        r = self.ratios(_pairs(words, first), words)
+    def features(self, words: np.ndarray, stems: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Length-normalised ratios of each document: of the whole, of its most toxic words, of its most toxic stretch (of all its words when it has fewer)."""
+        r = self.ratios(_pairs(words, first), words, stems)
         sums = np.concatenate([[0.0], np.cumsum(r)])
-        out = np.zeros((len(first) - 1, 1 + len(STRETCHES)))
+        out = np.zeros((len(first) - 1, 1 + len(MOST) + len(STRETCHES)))
         for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
             if b > a:
-                out[i, 0] = (sums[b] - sums[a]) / (b - a)
-                for j, k in enumerate(STRETCHES):
+                n = min(max(MOST), b - a)
+                top = np.sort(np.partition(r[a:b], b - a - n)[b - a - n :])[::-1]
+                row = [(sums[b] - sums[a]) / (b - a), *(top[:k].mean() for k in MOST)]
+                for k in STRETCHES:
                     k = min(k, b - a)
-                    out[i, 1 + j] = ((sums[a + k : b + 1] - sums[a : b + 1 - k]) / k).max()
+                    row.append(((sums[a + k : b + 1] - sums[a : b + 1 - k]) / k).max())
+                out[i] = row
         return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights of a logistic curve over standardised features (Newton steps), with centre and scale."""
+    """Weights of a logistic curve over standardised features (Newton steps), with centre and scale. A higher ratio never makes a text less toxic: features that would weigh negatively go."""
     centre, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-    a = np.column_stack([(x - centre) / scale, np.ones(len(x))])
-    w = np.zeros(a.shape[1])
-    penalty = ridge * len(x) / 100 * np.eye(len(w))
-    penalty[-1, -1] = 1e-9
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (weight * p * (1 - p) + 1e-9)[:, None]).T @ a + penalty, a.T @ (weight * (y - p)) - penalty @ w)
-        w = w + np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w, centre, scale
+    used = np.ones(x.shape[1], dtype=bool)
+    while True:
+        a = np.column_stack([(x - centre) / scale * used, np.ones(len(x))])
+        w = np.zeros(a.shape[1])
+        penalty = ridge * len(x) / 100 * np.eye(len(w))
+        penalty[-1, -1] = 1e-9
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            step = np.linalg.solve((a * (weight * p * (1 - p) + 1e-9)[:, None]).T @ a + penalty, a.T @ (weight * (y - p)) - penalty @ w)
+            w = w + np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-6:
+                break
+        if (w[:-1] >= -1e-9).all():
+            return w, centre, scale
+        used &= w[:-1] >= -1e-9
 
 
 def _chosen(labels: DataFrame, label: str, per_class: int) -> DataFrame:
@@ -128,32 +170,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         for batch in batches:
             toxic, half = batch.column("toxic").to_numpy(), batch.column("fold").to_numpy()
             for a, b, buf, offs in pieces(batch.column("text")):
-                words, first = word_hashes(buf, offs)
+                words, stems, first = _words(buf, offs)
                 before = _pairs(words, first)
                 mark = np.repeat(toxic[a:b] + 2 * half[a:b], np.diff(first))
-                rows = np.column_stack([before, words, mark.astype(np.uint64)])
+                doc = np.repeat(np.arange(b - a), np.diff(first))
+                # Once a document: a line that one text repeats is one piece of evidence.
+                rows = np.unique(np.column_stack([doc.astype(np.uint64), before, words, stems, mark.astype(np.uint64)]), axis=0)[:, 1:]
                 if len(rows):
                     rows = rows[np.lexsort(rows.T)]
                     new = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
                     n = np.diff(np.append(new, len(rows)))
                     rows = rows[new]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].view(np.int64)), pa.array(rows[:, 1].view(np.int64)), pa.array(rows[:, 2].astype(np.int32)), pa.array(n)], ["before", "word", "mark", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].view(np.int64)), pa.array(rows[:, 1].view(np.int64)), pa.array(rows[:, 2].view(np.int64)), pa.array(rows[:, 3].astype(np.int32)), pa.array(n)], ["before", "word", "stem", "mark", "n"])
 
-    got = train.mapInArrow(count, "before long, word long, mark int, n long").groupBy("before", "word", "mark").agg(F.sum("n").alias("n")).toArrow()
-    before, word = (np.ascontiguousarray(got[c].to_numpy()).view(np.uint64) for c in ("before", "word"))
+    got = train.mapInArrow(count, "before long, word long, stem long, mark int, n long").groupBy("before", "word", "stem", "mark").agg(F.sum("n").alias("n")).toArrow()
+    before, word, stem = (np.ascontiguousarray(got[c].to_numpy()).view(np.uint64) for c in ("before", "word", "stem"))
     mark, n = got["mark"].to_numpy(), got["n"].to_numpy().astype(float)
     toxic, half = mark % 2, mark // 2
     if not (toxic == 1).any() or not (toxic == 0).any():
         return None
-    halves = [Pair(before[half == k], word[half == k], toxic[half == k], n[half == k]) for k in (0, 1)]
+    halves = [Pair(before[half == k], word[half == k], stem[half == k], toxic[half == k], n[half == k]) for k in (0, 1)]
     sent = spark.sparkContext.broadcast(halves)
 
     def cross(batches):
         for batch in batches:
             toxic, half = batch.column("toxic").to_numpy(), batch.column("fold").to_numpy()
             for a, b, buf, offs in pieces(batch.column("text")):
-                words, first = word_hashes(buf, offs)
-                x = [sent.value[1 - k].features(words, first) for k in (0, 1)]
+                words, stems, first = _words(buf, offs)
+                x = [sent.value[1 - k].features(words, stems, first) for k in (0, 1)]
                 x = np.where((half[a:b] == 0)[:, None], x[0], x[1])
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(toxic[a:b])], ["x", "toxic"])
 
@@ -165,15 +209,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     # Classes are drawn alike; the curve is fitted with the weights they have among all labelled rows.
     weight = np.where(y == 1, share.get(1, 1) / max(1, (y == 1).sum()), share.get(0, 1) / max(1, (y == 0).sum()))
     curve = logistic(x, y, weight / weight.mean())
-    return Pair(before, word, toxic, n), curve
+    return Pair(before, word, stem, toxic, n), curve
 
 
 def _probability(model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     if model is None:
         return np.zeros(len(offs) - 1)
     pair, (w, centre, scale) = model
-    words, first = word_hashes(buf, offs)
-    x = (pair.features(words, first) - centre) / scale
+    words, stems, first = _words(buf, offs)
+    x = (pair.features(words, stems, first) - centre) / scale
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
