@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -10,25 +9,26 @@ from pyspark.sql import functions as F
 
 
 def parse_label(text: Column, allowed: Sequence[str]) -> Column:
-    """The label a reply names: its last line if that is exactly a label, else the longest label that
-    occurs as a whole word, else null."""
-    clean = F.trim(text)
-    last = F.lower(F.trim(F.element_at(F.split(clean, r"\r\n|\n|\r"), -1)))
-    whole = F.lower(clean)
-    picks = [F.when(last == label.lower(), label) for label in allowed]
-    for label in sorted(allowed, key=len, reverse=True):
-        word = rf"(?<![a-z0-9_]){re.escape(label.lower())}(?![a-z0-9_])"
-        picks.append(F.when(whole.rlike(word), label))
-    return F.when(F.coalesce(clean, F.lit("")) != "", F.coalesce(*picks))
+    """The label a reply names: its last line if that is exactly a label, else the longest label among its words, else null."""
+    reply = F.trim(text)
+    last = F.lower(F.trim(F.element_at(F.split(reply, r"[\r\n]+"), -1)))
+    exact = [F.when(last == label.lower(), label) for label in allowed]
+    spaced = lambda t: F.concat(F.lit(" "), F.array_join(F.split(F.lower(t), "[^a-z0-9_]+"), " "), F.lit(" "))
+    words = spaced(reply)
+    named = [F.when(F.contains(words, spaced(F.lit(label))), label) for label in sorted(allowed, key=len, reverse=True)]
+    return F.when(F.coalesce(reply, F.lit("")) != "", F.coalesce(*exact, *named))
 
 
 def _candidate(text: Column) -> Column:
-    """A fenced block if there is one, else the span from the first { to the last }."""
-    fence = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
+    """What stands between the first two code fences, without the language named there, else the span from the first { to the last }."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    parts = F.split(text, "```")
+    block = strip(F.get(parts, F.lit(1)))
+    fenced = strip(F.when(F.startswith(F.lower(block), F.lit("json")), F.substring(block, 5, 1 << 30)).otherwise(block))
     first = F.instr(text, "{")
     last = F.length(text) - F.instr(F.reverse(text), "}") + 1
     span = F.when((first > 0) & F.contains(text, F.lit("}")) & (last > first), F.substr(text, first, last - first + 1))
-    return F.when(F.contains(text, F.lit("```")) & (fence != ""), F.trim(fence)).otherwise(span)
+    return F.when((F.size(parts) > 2) & (fenced != ""), fenced).otherwise(span)
 
 
 def _is_object(candidate: Column) -> Column:
@@ -36,10 +36,21 @@ def _is_object(candidate: Column) -> Column:
     return F.startswith(F.trim(candidate), F.lit("{")) & F.try_parse_json(candidate).isNotNull()
 
 
+# The tokens of JSON text: strings, marks of structure, and runs of anything else, each with the white space after it.
+_TOKENS = r'(?:"(?:[^"\\]++|\\.)*+"|[{}\[\]:,]|[^\s{}\[\]:,"]+|")\s*+'
+
+
 def repair_json(candidate: Column) -> Column:
-    """Drop commas before a closing bracket and quote bare keys."""
-    no_commas = F.regexp_replace(candidate, r",\s*([}\]])", "$1")
-    return F.regexp_replace(no_commas, r"(?<=[{,\s])([a-zA-Z_][a-zA-Z0-9_]*)\s*:", '"$1":')
+    """JSON text token by token: a comma before a closing mark goes, a bare name before a colon is quoted; strings stay as they are."""
+    tokens = F.regexp_extract_all(candidate, F.lit(_TOKENS), F.lit(0))
+
+    def mended(token, i):
+        body, space = F.regexp_extract(token, r"^\S*", 0), F.regexp_extract(token, r"\s*$", 0)
+        after = F.regexp_extract(F.get(tokens, i + 1), r"^\S*", 0)
+        name = F.regexp_extract(body, "^[A-Za-z_][A-Za-z_0-9]*$", 0) != ""
+        return F.when((body == ",") & after.isin("}", "]"), space).when(name & (after == ":"), F.concat(F.lit('"'), body, F.lit('"'), space)).otherwise(token)
+
+    return F.array_join(F.transform(tokens, mended), "")
 
 
 def extract_json(text: Column) -> Column:

@@ -45,18 +45,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _contract(batches):
-    """Replace the edges of one partition by a star per linked set of the partition."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches)
-    names = pa.chunked_array(table["su"].chunks + table["sv"].chunks)
-    nodes = pa.chunked_array(table["u"].chunks + table["v"].chunks).combine_chunks()
-    codes, uniques = pd.factorize(names.to_pandas())
-    n = table.num_rows
-    a, b = codes[:n], codes[n:]
-    label = np.arange(len(uniques))
+def _least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least place that each of n places is linked with."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -64,13 +55,37 @@ def _contract(batches):
         np.minimum.at(new, label[b], low)
         new = new[new]
         if np.array_equal(new, label):
-            break
+            return label
         label = new
-    first = np.zeros(len(uniques), dtype=np.int64)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
-    leaf = np.flatnonzero(label != np.arange(len(label)))
-    out = pa.table({"u": nodes.take(pa.array(first[leaf])), "v": nodes.take(pa.array(first[label[leaf]]))})
-    yield from out.to_batches()
+
+
+def _chunks(batches, rows: int):
+    """Batches gathered to tables of about so many rows: any subset of edges may be contracted on its own."""
+    parts, held = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            parts.append(batch)
+            held += batch.num_rows
+        if held >= rows:
+            yield pa.Table.from_batches(parts)
+            parts, held = [], 0
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _contract(batches, chunk: int = 1 << 18):
+    """Replace the edges of every chunk of a partition by a star per linked set of the chunk."""
+    for table in _chunks(batches, chunk):
+        names = pa.chunked_array(table["su"].chunks + table["sv"].chunks)
+        nodes = pa.chunked_array(table["u"].chunks + table["v"].chunks).combine_chunks()
+        codes, uniques = pd.factorize(names.to_pandas())
+        n = table.num_rows
+        label = _least_labels(codes[:n], codes[n:], len(uniques))
+        first = np.zeros(len(uniques), dtype=np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        leaf = np.flatnonzero(label != np.arange(len(label)))
+        out = pa.table({"u": nodes.take(pa.array(first[leaf])), "v": nodes.take(pa.array(first[label[leaf]]))})
+        yield from out.to_batches()
 
 
 def _rounds(edges: DataFrame) -> DataFrame:
@@ -87,36 +102,12 @@ def _rounds(edges: DataFrame) -> DataFrame:
 
 
 def _contract_ids(batches, chunk: int = 1 << 20):
-    """Replace the edges of every chunk of a partition by a star per linked set of the chunk."""
-
-    def stars(parts):
-        table = pa.Table.from_batches(parts)
-        ends = np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()])
-        ids, codes = np.unique(ends, return_inverse=True)
-        label = np.arange(len(ids))
-        a, b = codes[: table.num_rows], codes[table.num_rows :]
-        while True:
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, label[a], low)
-            np.minimum.at(new, label[b], low)
-            new = new[new]
-            if np.array_equal(new, label):
-                break
-            label = new
+    """_contract() for plain ids."""
+    for table in _chunks(batches, chunk):
+        ids, codes = np.unique(np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()]), return_inverse=True)
+        label = _least_labels(codes[: table.num_rows], codes[table.num_rows :], len(ids))
         leaf = np.flatnonzero(label != np.arange(len(label)))
-        return pa.record_batch({"u": ids[leaf], "v": ids[label[leaf]]})
-
-    parts, rows = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            parts.append(batch)
-            rows += batch.num_rows
-        if rows >= chunk:
-            yield stars(parts)
-            parts, rows = [], 0
-    if parts:
-        yield stars(parts)
+        yield pa.record_batch({"u": ids[leaf], "v": ids[label[leaf]]})
 
 
 def id_components(edges: DataFrame) -> DataFrame:
@@ -136,13 +127,14 @@ def components(edges: DataFrame, src: str, dst: str, near: Sequence[str] = ()) -
     """node -> component (its least node) for every node that has an edge.
 
     Nodes may be any orderable type, structs included. Nodes without edges are not listed; callers
-    coalesce to the node itself. Edges are range-partitioned by the `near` columns, so that most
-    linked sets lie in one partition, and every partition first shrinks its own edges to stars. Sets
+    coalesce to the node itself. Edges are range-partitioned by the `near` columns and the node, so that most
+    linked sets lie in one partition, and every task first shrinks its edges to stars in bounded chunks. Sets
     that span partitions, however large, are joined by rounds over the star centres alone.
     """
     plain = edges.where(F.col(src) != F.col(dst))
     if near:
-        plain = plain.repartitionByRange(*near)
+        # The node splits what one value of `near` would send to a single task.
+        plain = plain.repartitionByRange(*near, src)
     kind = plain.schema[src].dataType.simpleString()
     text = lambda c: F.to_json(F.struct(F.col(c).alias("n")))
     tagged = plain.select(F.col(src).alias("u"), F.col(dst).alias("v"), text(src).alias("su"), text(dst).alias("sv"))

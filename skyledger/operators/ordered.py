@@ -163,17 +163,8 @@ def _keep(df, keys, order, pick) -> DataFrame:
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rn") -> DataFrame:
-    """The first n rows per group. Spark cuts each group to n rows per task before the shuffle
-    (a window group limit) as long as n is within its threshold; beyond that a salted first pass
-    does the same."""
+    """The first n rows per group. Spark cuts each group to n rows per task before the shuffle (a window group limit)
+    as long as n is within spark.sql.optimizer.windowGroupLimitThreshold."""
     order = _cols(order)
-    if n > 1000:
-        salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", F.spark_partition_id())
-            .withColumn("_rn", F.row_number().over(salted))
-            .where(F.col("_rn") <= n)
-            .drop("_rn", "_salt")
-        )
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)

@@ -71,6 +71,11 @@ def drop(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition for grouped Python work. Such work costs more than its bytes show, so the number
     of partitions is given and adaptive execution does not fold them into a few."""

@@ -60,27 +60,44 @@ def explode_targets(results: DataFrame) -> DataFrame:
     return rows.select("image", "prompt", "folder", "position", *box, "t.confidence", "t.class_name", "t.mask_file")
 
 
-def read_label_text(spark: SparkSession, root: str) -> DataFrame:
-    """Label lines under split folders: split and image from the path, one row per line. Text files
-    are split like any other, so long files do not land in one task."""
+def read_label_text(spark: SparkSession, root: str, numbered: bool = False) -> DataFrame:
+    """Label lines below split folders: split, image and line, from labels/<split>/<image>.txt (the image is the file's stem) or
+    from folders split=<split>/image=<image>. With numbered, each file (one image) is read whole and its lines
+    carry their number from 1, blank lines counted."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", str(numbered).lower())
     path = F.col("_metadata.file_path")
-    return spark.read.text(f"{root}/*/*").where(F.trim("value") != "").select(
-        F.regexp_extract(path, r"(train|val|test)/[^/]*(?:/[^/]+)?$", 1).alias("split"),
-        F.regexp_extract(path, r"image=([^/]+)/", 1).alias("image"),
-        "value",
+    folder = F.regexp_extract(path, r"/image=([^/]+)/", 1)
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
+    raw = reader.text(root).select(
+        F.regexp_extract(path, r".*/(?:split=)?(train|val|test)/", 1).alias("split"), F.when(folder != "", folder).otherwise(stem).alias("image"), "value"
+    )
+    if not numbered:
+        return raw.where(F.trim("value") != "")
+    lines = raw.select("split", "image", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "value"))
+    return lines.where(F.trim("value") != "").select("split", "image", (F.col("line") + 1).alias("line"), "value")
+
+
+def _positions(geometry: Column) -> Column:
+    """Coordinates of any plain geometry as polygons of rings of positions: a point is one ring of one position, a line one ring."""
+    read = lambda kind: F.from_json(geometry, f"coordinates {kind}")["coordinates"]
+    kind = F.get_json_object(geometry, "$.type")
+    ring, rings = "array<array<double>>", "array<array<array<double>>>"
+    return (
+        F.when(kind == "MultiPolygon", read(POINTS)).when(kind.isin("Polygon", "MultiLineString"), F.array(read(rings)))
+        .when(kind.isin("LineString", "MultiPoint"), F.array(F.array(read(ring)))).when(kind == "Point", F.array(F.array(F.array(read("array<double>")))))
     )
 
 
 def read_features(spark: SparkSession, path: str, properties: str, lines: bool = True) -> DataFrame:
-    """Features of GeoJSON: one feature per line, or whole FeatureCollection files."""
-    feature = f"struct<type: string, geometry: struct<type: string, coordinates: {POINTS}>, properties: struct<{properties}>>"
+    """Features of GeoJSON: one feature per line, or whole FeatureCollection files. Coordinates of every geometry type come in
+    the nesting of a MultiPolygon; broken lines and files are left out, a feature without geometry has null coordinates."""
+    fields = f"type: string, geometry: string, properties: struct<{properties}>"
     if lines:
-        inner = feature[len("struct<"):-1]
-        flat = spark.read.schema(", ".join(_top_level(inner))).json(path)
+        flat = _raw_json(spark, path, ", ".join(_top_level(fields)), True).where(F.col("_corrupt_record").isNull())
     else:
-        docs = _raw_json(spark, path, f"type string, features array<{feature}>", False)
+        docs = _raw_json(spark, path, f"type string, features array<struct<{fields}>>", False).where(F.col("_corrupt_record").isNull())
         flat = docs.select(F.explode("features").alias("f")).select("f.*")
-    return flat.select(F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("coordinates"), "properties.*")
+    return flat.select(F.get_json_object("geometry", "$.type").alias("geometry_type"), _positions(F.col("geometry")).alias("coordinates"), "properties.*")
 
 
 def _top_level(inner: str) -> list[str]:
@@ -105,12 +122,14 @@ def read_road_elements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str, columns: Sequence[str], required: Sequence[str] = ()) -> DataFrame:
-    """A review sheet as text columns; a byte-order mark is ignored, missing required columns are an error."""
-    missing = sorted(set(required) - set(columns))
+    """A review sheet as text columns, taken by the names in its header whatever their order; a byte-order mark is ignored,
+    a missing required column is an error, any other missing column is null."""
+    sheet = spark.read.option("header", "true").option("encoding", "UTF-8").csv(path)
+    sheet = sheet.toDF(*[c.lstrip("\ufeff").strip() for c in sheet.columns])
+    missing = sorted(set(required) - set(sheet.columns))
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.schema(schema).option("header", "true").option("encoding", "UTF-8").csv(path)
+    return sheet.select(*[F.col(f"`{c}`") if c in sheet.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
 def read_curve(spark: SparkSession, path: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.session import path_exists
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path)
@@ -50,25 +53,40 @@ def write_layers(df: DataFrame, path: str, layer: str = "layer") -> None:
     df.write.partitionBy(layer).json(path)
 
 
-def publish(df: DataFrame, base: str) -> str:
+def publish(df: DataFrame, base: str, batch: int | None = None) -> str:
     """Write a new version next to the old ones, check it, then point to it.
 
-    Nothing is overwritten: a version that fails or is empty is never pointed to and readers keep
-    the previous one. The pointer is an append-only table whose newest row counts.
+    Nothing is overwritten: a version that fails or is empty is never pointed to and readers keep the previous one. Pointers are
+    files numbered upwards that are created once, so of two writers of one number the second fails, whatever their clocks say.
     """
     spark = df.sparkSession
-    version = f"{base}/version={uuid.uuid4().hex}"
+    number = (published(spark, base) or {"number": 0})["number"] + 1
+    version = f"{base}/versions/{number:012d}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(version)
     written = spark.read.schema(df.schema).parquet(version)
     if not written.limit(1).count():
         raise ValueError("an empty version is not published")
-    pointer = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
-    pointer.write.mode("append").parquet(f"{base}/pointer")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/pointer/{number:012d}.json")
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    try:
+        out.write(bytearray(json.dumps({"number": number, "version": version, "batch": batch}).encode()))
+    finally:
+        out.close()
     return version
 
 
+def published(spark: SparkSession, base: str) -> dict | None:
+    """Number, folder and batch of the newest version; None if nothing was published. Errors of the store are errors here too."""
+    if not path_exists(spark, f"{base}/pointer"):
+        return None
+    pointers = spark.read.schema("number bigint, version string, batch bigint").json(f"{base}/pointer").where("number IS NOT NULL")
+    row = pointers.agg(F.max(F.struct("number", "version", "batch")).alias("p")).first()["p"]
+    return row.asDict() if row else None
+
+
 def current(spark: SparkSession, base: str, schema) -> DataFrame:
     """The published version."""
-    pointer = spark.read.schema("version string, published_at timestamp").parquet(f"{base}/pointer")
-    row = pointer.agg(F.max_by("version", "published_at").alias("version")).first()
-    return spark.read.schema(schema).parquet(row["version"])
+    newest = published(spark, base)
+    if newest is None:
+        raise ValueError(f"nothing is published in {base}")
+    return spark.read.schema(schema).parquet(newest["version"])

@@ -11,11 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skyledger.operators.reviews import latest_state
 from skyledger.operators.tracks import nearest_in_time
-from skyledger.sources.sinks import current, publish
+from skyledger.session import path_exists
+from skyledger.sources.sinks import current, publish, published
 
 
-def read_stream(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """Files as they arrive. A cap on files in a batch bounds its size, but with watermarks it also decides what is late, so there is none by default."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
 def _drain(writer) -> StreamingQuery:
@@ -34,26 +37,38 @@ def merge_state(old: DataFrame | None, batch: DataFrame, *, key: str, order: Seq
 
 
 def live_state(spark: SparkSession, log_path: str, schema, base: str, checkpoint: str, *, key: str, order: Sequence[str]) -> DataFrame:
-    """Fold a growing review log into a published state table and return its current version. A
-    replayed batch gives the same state, so a restart after a lost batch is harmless."""
+    """Fold a growing review log into a published state table and return its current version. The
+    version records its batch, so a batch that is played again changes nothing; a state that cannot be read fails the batch."""
     def fold(batch: DataFrame, epoch: int) -> None:
-        try:
-            old = current(spark, base, batch.schema)
-        except Exception:  # nothing published yet
-            old = None
-        publish(merge_state(old, batch, key=key, order=order), base)
+        newest = published(spark, base)
+        if newest and newest["batch"] is not None and newest["batch"] >= epoch:
+            return
+        old = spark.read.schema(batch.schema).parquet(newest["version"]) if newest else None
+        publish(merge_state(old, batch, key=key, order=order), base, batch=epoch)
 
     _drain(read_stream(spark, log_path, schema).writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold))
     return current(spark, base, schema)
 
 
 def incremental(spark: SparkSession, path: str, schema, out: str, checkpoint: str, *, key: str, screen: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Screen only what is new: files already read are skipped through the checkpoint, repeated keys
-    through the stream's state."""
-    fresh = read_stream(spark, path, schema).dropDuplicates([key])
-    result = screen(fresh)
-    _drain(result.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
-    return spark.read.schema(result.schema).parquet(out)
+    """Screen only what is new: files already read are skipped through the checkpoint, repeated keys through a table of the
+    keys of earlier batches, so no state grows in the executors."""
+    seen = f"{out}-seen"
+
+    def fold(batch: DataFrame, epoch: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        if path_exists(spark, seen):
+            before = spark.read.schema(f"batch bigint, {kind}").parquet(seen).where(F.col("batch") < epoch)
+            fresh = fresh.join(before.select(key), key, "left_anti").select(*batch.columns)
+        # A batch that is played again replaces its own folders.
+        fresh.select(key).write.mode("overwrite").parquet(f"{seen}/batch={epoch}")
+        screen(fresh).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    stream = read_stream(spark, path, schema)
+    kind = f"`{key}` {stream.schema[key].dataType.simpleString()}"
+    _drain(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold))
+    result = screen(spark.createDataFrame([], stream.schema)).schema
+    return spark.read.schema(result).parquet(out)
 
 
 def activity(events: DataFrame, *, time: str, width: str, lateness: str, by: Sequence[str] = ()) -> DataFrame:

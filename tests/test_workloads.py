@@ -26,7 +26,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.WORKLOADS))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     rows = df.collect()
