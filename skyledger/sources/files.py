@@ -64,11 +64,10 @@ def read_label_text(spark: SparkSession, root: str, numbered: bool = False) -> D
     """Label lines below split folders: split, image and line, from labels/<split>/<image>.txt (the image is the file's stem) or
     from folders split=<split>/image=<image>. With numbered, each file (one image) is read whole and its lines
     carry their number from 1, blank lines counted."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", str(numbered).lower())
     path = F.col("_metadata.file_path")
     folder = F.regexp_extract(path, r"/image=([^/]+)/", 1)
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
-    raw = reader.text(root).select(
+    raw = spark.read.text(root, wholetext=numbered, recursiveFileLookup=True).select(
         F.regexp_extract(path, r".*/(?:split=)?(train|val|test)/", 1).alias("split"), F.when(folder != "", folder).otherwise(stem).alias("image"), "value"
     )
     if not numbered:
