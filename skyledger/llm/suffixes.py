@@ -199,10 +199,11 @@ def repeats(docs: DataFrame, width: int = 400, batch: int = 16384, crowd: int =
                     )
 
     found = cut(docs.select("doc_id", "mark", "text").mapInArrow(collect, "doc_id long, mark long, start int, strings int, ahead int, anchor long, g1 long, g2 long"), "anchors")
-    # Anchors met once have no part in any repeat.
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # Anchors met once have no part in any repeat
+    # (written first: a join of two plain tables is split where an anchor is hot, one above its own aggregate is not).
+    twice = cut(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "twice")
     near = cut(found.join(twice, "anchor"), "anchors")
-    drop(found)
+    drop(found, twice)
     kinds = cut(
         near.groupBy("anchor", "ahead", "strings", "g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "start")).alias("rep")),
         "segments",
