@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, perms: int =
     same = sets.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
     entries = classes.select("rep", F.explode("bands").alias("bucket"))
-    spans = entries.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("far")).where("lead < far")
+    # Written first: a join of two plain tables is split where a bucket is hot, one above its own aggregate is not.
+    spans = cut(entries.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("far")).where("lead < far"), "spans")
     shared = cut(entries.join(spans.select("bucket", "lead"), "bucket"), "buckets")
     tried = shared.where("lead < rep").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
@@ -211,5 +212,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, perms: int =
     out = rows.select("doc_id", "n_shingles").join(nodes, rows["doc_id"] == nodes["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
-    drop(shared, texts, placed, found, meets, crowd, classes)
+    drop(spans, shared, texts, placed, found, meets, crowd, classes)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
