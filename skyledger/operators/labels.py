@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +11,7 @@ from skyledger.functions import boxes as bx
 from skyledger.functions import polygons as pg
 from skyledger.operators.ordered import keep_first
 from skyledger.operators.overlap import overlap_pairs
-from skyledger.operators.resolve import bucketed
-from skyledger.session import cut
+from skyledger.session import cut, drop
 
 CELL = 0.0625  # grid cell for normalised coordinates
 
@@ -259,48 +257,56 @@ def fingerprint(df: DataFrame, *parts: str) -> DataFrame:
     )
 
 
-def _settle(edges: pd.DataFrame) -> pd.DataFrame:
-    """Solve the forests of some files: every child comes before its parent."""
-    fell = dict.fromkeys([*edges["child"], *edges["parent"]], False)
-    for child, parent in sorted(zip(edges["child"], edges["parent"])):
-        if not fell[child]:
-            fell[parent] = True
-    return pd.DataFrame({"id": list(fell), "fell": list(fell.values())})
+def _settle(tree: DataFrame) -> DataFrame:
+    """(id, fell) for a forest of (child, parent): a box falls in its own turn if a box pointing to it did not.
 
-
-def _settle_rounds(tree: DataFrame) -> DataFrame:
-    """The same for files of any size, from the leaves up, one level per round."""
-    tree = cut(tree.select("child", "parent"), "sanitize")
+    Boxes whose pointers are all settled settle; a box that waits for a single one, with no strike so far, is the opposite of
+    that one, and such runs of opposites are shortened by half in each round. So rounds grow with the logarithm of the
+    forest, whatever the length of its chains.
+    """
     ids = tree.select(F.col("child").alias("id")).unionByName(tree.select(F.col("parent").alias("id"))).distinct()
-    open_ = cut(ids, "sanitize")
-    known = open_.limit(0).withColumn("fell", F.lit(True))
-    while open_.limit(1).count():
-        votes = (
-            tree.join(known.select(F.col("id").alias("child"), "fell"), "child", "left")
-            .groupBy(F.col("parent").alias("id"))
-            .agg(F.count_if(F.col("fell").isNull()).alias("waiting"), F.count_if(~F.col("fell")).alias("strikes"))
+    state = cut(
+        ids.join(tree.select(F.col("child").alias("id"), "parent"), "id", "left").select(
+            "id", "parent", F.lit(None).cast("boolean").alias("fell"), F.lit(None).cast("string").alias("on"), F.lit(None).cast("boolean").alias("opposite")
+        ),
+        "sanitize",
+    )
+    while True:
+        votes = state.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(
+            F.count_if(F.col("fell").isNull()).alias("waiting"), F.count_if(~F.col("fell")).alias("strikes"), F.max(F.when(F.col("fell").isNull(), F.col("id"))).alias("last")
         )
-        judged = open_.join(votes, "id", "left").select(
-            "id",
-            F.when(F.col("strikes") > 0, True).when(F.coalesce("waiting", F.lit(0)) == 0, False).alias("fell"),
+        fell = F.coalesce("fell", F.when(F.col("strikes") > 0, True).when(F.coalesce("waiting", F.lit(0)) == 0, False))
+        judged = cut(
+            state.join(votes, "id", "left").select("id", "parent", fell.alias("fell"), "on", "opposite", "waiting", "last").select(
+                "id", "parent", "fell",
+                F.when(F.col("fell").isNull() & (F.col("waiting") == 1), F.coalesce("on", "last")).alias("on"),
+                F.coalesce("opposite", F.lit(True)).alias("opposite"),
+            ),
+            "sanitize",
         )
-        settled = cut(judged.where(F.col("fell").isNotNull()), "sanitize")
-        known = cut(known.unionByName(settled), "sanitize")
-        open_ = cut(open_.join(settled, "id", "left_anti"), "sanitize")
-    return known
+        target = judged.select(F.col("id").alias("on"), F.col("fell").alias("t_fell"), F.col("on").alias("t_on"), F.col("opposite").alias("t_opposite"))
+        after = cut(
+            judged.join(target, "on", "left").select(
+                "id", "parent", F.coalesce("fell", F.col("t_fell") != F.col("opposite")).alias("fell"), F.coalesce("t_on", "on").alias("on"),
+                F.when(F.col("t_on").isNotNull(), F.col("opposite") != F.col("t_opposite")).otherwise(F.when(F.col("on").isNotNull(), F.col("opposite"))).alias("opposite"),
+            ),
+            "sanitize",
+        )
+        drop(state, judged)
+        state = after
+        if not state.where(F.col("fell").isNull()).limit(1).count():
+            return state.select("id", "fell")
 
 
-def sanitize(flagged: DataFrame, keys: list[str], order: str, policy: QualityPolicy = QualityPolicy(),
-             local_limit: int = 50_000) -> DataFrame:
+def sanitize(flagged: DataFrame, keys: list[str], order: str, policy: QualityPolicy = QualityPolicy()) -> DataFrame:
     """Every object with its outcome: kept, invalid, duplicate or conflict, and `strikes`, how often
     it took part in a conflict removal as the earlier box.
 
     Walking a file in order, an object with a live earlier rival (other class, IoU >= 0.90) removes
     itself and all such rivals. A box that is not removed in its own turn always falls to its first
     later rival, so each box points to one later box and the walk is a game on a forest: a box falls
-    in its own turn when some box pointing to it survived its own. Files with up to local_limit
-    conflicts are solved in one task each, larger ones from the leaves up by joins. `order` is a
-    string column that is unique over the whole table.
+    in its own turn when some box pointing to it survived its own. `order` is a string column that is
+    unique over the whole table.
     """
     flagged = cut(flagged, "flags")
     bad = F.col("out_of_bounds") | F.col("degenerate") | F.col("oversized") | F.col("extreme_aspect")
@@ -314,14 +320,7 @@ def sanitize(flagged: DataFrame, keys: list[str], order: str, policy: QualityPol
     tree = cut(
         pairs.groupBy(*keys, F.col("a_id.o").alias("child")).agg(F.min("b_id.o").alias("parent")), "sanitize"
     )
-    sizes = tree.groupBy(*keys).agg(F.count(F.lit(1)).alias("_edges"))
-    small = tree.join(sizes.where(F.col("_edges") <= local_limit), keys, "left_semi")
-    large = tree.join(sizes.where(F.col("_edges") > local_limit), keys, "left_semi")
-    known = (
-        small.select(bucketed(small, F.struct(*keys)).alias("bucket"), "child", "parent").groupBy("bucket")
-        .applyInPandas(_settle, "id string, fell boolean")
-        .unionByName(_settle_rounds(large))
-    )
+    known = _settle(tree.select("child", "parent"))
     links = tree.select(F.col("child").alias("id"), "parent")
     fate = known.join(links, "id", "left").select(
         F.col("id").alias(order), "fell", (F.col("parent").isNotNull() & ~F.col("fell")).alias("struck")

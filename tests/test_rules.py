@@ -135,8 +135,28 @@ def box_iou(a, b):
     return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
 
 
-@pytest.mark.parametrize("local_limit", [0, 50_000])
-def test_sanitize_equals_the_walk(spark, local_limit):
+def test_conflict_chains_settle_in_few_rounds(spark, monkeypatch):
+    """A chain of 3,000 boxes, a comb of short chains, and a star: outcomes as walked, in rounds that follow the logarithm."""
+    edges = [(f"c{i:05d}", f"c{i + 1:05d}") for i in range(3000)]
+    edges += [(f"t{i:03d}-{j}", f"t{i:03d}-{j + 1}" if j < i % 7 else "top") for i in range(60) for j in range(i % 7 + 1)]
+    edges += [(f"s{i:03d}", "star") for i in range(50)]
+    fell = {}
+    children = {}
+    for a, b in edges:
+        children.setdefault(b, []).append(a)
+    nodes = {x for e in edges for x in e}
+    while len(fell) < len(nodes):
+        for x in nodes - fell.keys():
+            if all(c in fell for c in children.get(x, [])):
+                fell[x] = any(not fell[c] for c in children.get(x, []))
+    writes = []
+    whole = labels.cut
+    monkeypatch.setattr(labels, "cut", lambda df, name="cut": writes.append(1) or whole(df, name))
+    got = {r.id: r.fell for r in labels._settle(spark.createDataFrame(edges, "child string, parent string")).collect()}
+    assert got == fell and len(writes) <= 2 * 15 + 1
+
+
+def test_sanitize_equals_the_walk(spark):
     rnd = np.random.default_rng(4)
     records = [(f"{i:03d}", int(rnd.integers(3)), (0.1 + 0.001 * int(rnd.integers(12)), 0.1, 0.2 + 0.001 * int(rnd.integers(3)), 0.3)) for i in range(60)]
     seen, unique = set(), []
@@ -147,7 +167,7 @@ def test_sanitize_equals_the_walk(spark, local_limit):
     kept, struck = walk(unique)
     rows = [("f", o, c, "car", [b[0], b[1], b[2], b[1], b[2], b[3], b[0], b[3]]) for o, c, b in records]
     df = spark.createDataFrame(rows, "file string, o string, class_id int, class_name string, coords array<double>")
-    out = labels.sanitize(labels.flag_objects(df), ["file"], "o", local_limit=local_limit)
+    out = labels.sanitize(labels.flag_objects(df), ["file"], "o")
     assert {r.o for r in out.where("outcome = 'kept'").collect()} == kept
     assert labels.sanitize_stats(out).first().removed_conflict == struck
 
