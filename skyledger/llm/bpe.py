@@ -14,7 +14,6 @@ import json
 import os
 import unicodedata
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

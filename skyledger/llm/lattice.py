@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import block_pairs, cut, drop, grouped
+from skyledger.llm.common import block_pairs, cut, grouped
 from skyledger.llm.words import mix
 from skyledger.operators.components import id_components
 
