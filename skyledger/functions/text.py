@@ -69,9 +69,10 @@ def choose_label(text: Column, allowed: Sequence[str]) -> Column:
 VERDICTS = ("pass", "needs_review", "fail")
 
 
-def verdict(json_text: Column) -> Column:
-    """verdict, confidence in 0..1, problem count from 0 up and evidence cut to 1000 characters; null
-    when the verdict is not an allowed one."""
+def verdict(json_text: Column, evidence_limit: int | None = None) -> Column:
+    """verdict, confidence in 0..1, problem count from 0 up and evidence (its first evidence_limit characters where a
+    consumer sets such a limit); null when the verdict is not an allowed one."""
+    evidence = F.coalesce(F.get_json_object(json_text, "$.evidence"), F.lit(""))
     name = F.lower(F.coalesce(F.get_json_object(json_text, "$.verdict"), F.lit("")))
     number = lambda path: F.coalesce(F.get_json_object(json_text, path).try_cast("double"), F.lit(0.0))
     return F.when(
@@ -80,7 +81,7 @@ def verdict(json_text: Column) -> Column:
             name.alias("verdict"),
             F.greatest(F.lit(0.0), F.least(number("$.confidence"), F.lit(1.0))).alias("confidence"),
             F.greatest(F.lit(0), F.coalesce(F.get_json_object(json_text, "$.estimated_problem_count").try_cast("int"), F.lit(0))).alias("problems"),
-            F.substring(F.coalesce(F.get_json_object(json_text, "$.evidence"), F.lit("")), 1, 1000).alias("evidence"),
+            (evidence if evidence_limit is None else F.substring(evidence, 1, evidence_limit)).alias("evidence"),
         ),
     )
 

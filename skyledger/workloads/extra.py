@@ -19,10 +19,10 @@ from skyledger.workloads.registry import workload
 DET = cte("detections")
 
 
-def _landed(t, df, label, files=4):
-    """Data as it lands for a stream: several files in one folder."""
+def _landed(t, df, label):
+    """Data as it lands for a stream: files in one folder, as many as the table has tasks."""
     path = scratch_path(t.spark, label)
-    df.repartition(files).write.parquet(path)
+    df.write.parquet(path)
     return path
 
 
