@@ -194,7 +194,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, _, buf, offs in pieces(batch.column("text"), 1 << 23):
+            for _, _, buf, offs in pieces(batch.column("text"), 1 << 22):
                 low, h, s, e, kind, _ = tokens(buf, offs)
                 keys, first, at = np.unique(h, return_index=True, return_inverse=True)
                 n = np.bincount(at * CLASSES + kind, minlength=len(keys) * CLASSES).reshape(-1, CLASSES)
@@ -267,7 +267,7 @@ def _tables(words: DataFrame, code: Code, bits: int) -> np.ndarray:
     return tables.reshape(CONTEXTS, 2, 1 << bits)
 
 
-def learn(words: DataFrame, corpus_bytes: int, least_bits: int = 18, most_bits: int = 22, rate: float = 0.3) -> Mixer:
+def learn(words: DataFrame, corpus_bytes: int, least_bits: int = 18, most_bits: int = 21, rate: float = 0.3) -> Mixer:
     """The mixer of a word table: bit counts, then weights by online steps (each task over its words; averaged by weight), then the refining map."""
     spark = words.sparkSession
     bits = int(np.clip(math.ceil(math.log2(max(corpus_bytes, 2))), least_bits, most_bits))
@@ -404,7 +404,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = 100_00
     def run(batches):
         mixer, keys, counts, logs = sent.value
         for batch in batches:
-            for x, y, buf, offs in pieces(batch.column("text"), 1 << 22):
+            for x, y, buf, offs in pieces(batch.column("text"), 1 << 21):
                 low, h, s, e, kind, begin = tokens(buf, offs)
                 at = np.searchsorted(keys, h)
                 at[at == len(keys)] = 0
