@@ -1,28 +1,29 @@
 """Language-model scoring by logistic context mixing.
 
 A text is a sequence of lower-cased words and one end. A word is coded bit by bit: its bytes and a closing blank under a
-Huffman code of the corpus, the end as one symbol of its own. Each bit is predicted from hashed contexts inside the word (one, two,
+Huffman code of the corpus, the end as one symbol of its own. Each bit is predicted from contexts inside the word (one, two,
 three and five bytes, the whole prefix, the whole prefix with what the word before ended in); their log-odds are mixed by weights
 that a gate picks (how much the two longest contexts know), and the outcome is refined by an adaptive map from log-odds to
 observed frequencies. Frequent words have a probability as wholes beside that of their spelling. Weights are learned online, word by word, on counts without the word's own occurrence. Inside a document
 the mixture adapts to what the document has said already: words seen before share a weight that follows the rate of repeats so far.
 
-The corpus is gathered as a table of words with counts, which grows with it and stays distributed. Bit counts are
-hashed into tables whose size follows the corpus up to `most_bits`, small enough to be sent to every task.
+The corpus is gathered as a table of words with counts, sorted and kept in chunks of pairs (word, kind of the word before). A context with
+the symbol that follows it is an arc, told apart by 56 bits of a hash and the symbol. Arcs of all chunks are counted exactly by a shuffle,
+summed per chunk before it, and every chunk gets back the bit counts of its own arcs; contexts that only one chunk can have never move.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import cut, remainder
+from skyledger.llm.common import _groups, cut, drop, remainder, tasks
 from skyledger.llm.words import LOWER, mix, pieces, span_hashes, word_spans
 
 END = b"\n"
@@ -32,7 +33,6 @@ CLASSES = 4
 GATES = 9
 STEPS = 33
 _A = 0.4
-_BLOCK = 1 << 16
 _SALT = np.random.default_rng(9).integers(1, 1 << 62, CONTEXTS, dtype=np.uint64)
 #: Counts are kept as eighths of a binary logarithm: small ones exactly, all in a byte.
 _COUNT = np.rint(2.0 ** (np.arange(256) / 8) - 1)
@@ -85,14 +85,21 @@ class Code:
         self.node = np.array([n for s in steps for n, _ in reversed(s)], dtype=np.uint64)
         self.bit = np.array([b for s in steps for _, b in reversed(s)], dtype=np.int64)
 
+    def expand(self, symbols: np.ndarray):
+        """For every bit of the symbols: its symbol's index, its entry in the code, its place within the symbol."""
+        count = self.size[symbols]
+        at = np.repeat(np.arange(len(symbols)), count)
+        inner = np.arange(len(at)) - (np.cumsum(count) - count)[at]
+        return at, self.start[symbols][at] + inner, inner
 
-def events(code: Code, words: list[bytes], kinds: np.ndarray, bits: int):
-    """Table places (a row a context), bits, and the word of every bit of the words."""
+
+def contexts(words: list[bytes], kinds: np.ndarray):
+    """Bytes of the words with their closing blanks, hashed contexts of every byte (a row a context), and the word of every byte."""
     body = b"".join([w if w == END else w + b" " for w in words])
-    size = np.array([1 if w == END else len(w) + 1 for w in words])
+    size = np.array([1 if w == END else len(w) + 1 for w in words], dtype=np.int64)
     text = np.frombuffer(body, dtype=np.uint8)
     n = len(text)
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    begin = np.cumsum(size) - size
     word = np.repeat(np.arange(len(words)), size)
     inside = np.arange(n) - begin[word]
     hashed = np.empty((CONTEXTS, n), dtype=np.uint64)
@@ -104,18 +111,23 @@ def events(code: Code, words: list[bytes], kinds: np.ndarray, bits: int):
             recent |= np.where(inside >= k, past + np.uint64(1), np.uint64(0)) << np.uint64(9 * (k - 1))
             if k in ORDERS:
                 hashed[ORDERS.index(k)] = mix(recent + _SALT[ORDERS.index(k)])
-        # A word's prefix: running sums from its start, in parts so that powers stay few.
+        # A word's prefix: running sums from its start, in parts so that powers stay few. Factors start at mix(1), as mix(0) is 0.
         step = 1 << 20
         sums = np.zeros(n + 1, dtype=np.uint64)
         for a in range(0, n, step):
-            part = np.cumsum((text[a : a + step].astype(np.uint64) + np.uint64(1)) * mix(inside[a : a + step].astype(np.uint64)))
+            part = np.cumsum((text[a : a + step].astype(np.uint64) + np.uint64(1)) * mix(inside[a : a + step].astype(np.uint64) + np.uint64(1)))
             sums[a + 1 : a + 1 + len(part)] = part + sums[a]
         prefix = sums[:-1] - sums[begin[word]]
         hashed[-2] = mix(prefix + _SALT[-2])
         hashed[-1] = mix(prefix * np.uint64(0xD6E8FEB86659FD93) + _SALT[-1] + kinds[word].astype(np.uint64))
-        count = code.size[text]
-        at = np.repeat(np.arange(n), count)
-        entry = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + code.start[text][at]
+    return text, hashed, word
+
+
+def events(code: Code, words: list[bytes], kinds: np.ndarray, bits: int):
+    """Places in hashed tables of 2^bits (a row a context), bits, and the word of every bit of the words."""
+    text, hashed, word = contexts(words, kinds)
+    at, entry, _ = code.expand(text)
+    with np.errstate(over="ignore"):
         node = code.node[entry] * np.uint64(0x9E3779B97F4A7C15)
         place = np.empty((CONTEXTS, len(at)), dtype=np.int64)
         for c in range(CONTEXTS):
@@ -165,16 +177,6 @@ class Mixer:
         seen = self.refined[gate, low] * (1 - part) + self.refined[gate, low + 1] * part
         return np.clip(0.25 * p + 0.75 * seen, 1e-6, 1 - 1e-6)
 
-    def log10(self, words: list[bytes], kinds: np.ndarray, room: int = 16384) -> np.ndarray:
-        """log10 of the probability of each word after a word of its kind."""
-        out = np.zeros(len(words))
-        for a, b in _runs(words, room):
-            place, bit, word = events(self.code, words[a:b], kinds[a:b], self.bits)
-            odds, gate = self.inputs(place, None)
-            p = self.refine(self.logit(odds, gate), gate)
-            out[a:b] = np.bincount(word, np.log10(np.where(bit == 1, p, 1 - p)), minlength=b - a)
-        return out
-
 
 def _runs(words: list[bytes], room: int, most: int = 1 << 18):
     """Stretches of at most `room` words and about `most` bytes."""
@@ -189,164 +191,328 @@ def _runs(words: list[bytes], room: int, most: int = 1 << 18):
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (bytes; the end is a line break), n0..n3: how often it follows each kind of word. A null text has only its end."""
-    names = [f"n{k}" for k in range(CLASSES)]
+    """word (bytes; the end is a line break), n0..n3: how often it follows each kind of word in rows marked `train`, m0..m3: in all rows. A null text has only its end."""
+    names = [f"{a}{k}" for a in "nm" for k in range(CLASSES)]
 
     def run(batches):
         for batch in batches:
-            for _, _, buf, offs in pieces(batch.column("text"), 1 << 22):
-                low, h, s, e, kind, _ = tokens(buf, offs)
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            for x, y, buf, offs in pieces(batch.column("text"), 1 << 22):
+                low, h, s, e, kind, begin = tokens(buf, offs)
                 keys, first, at = np.unique(h, return_index=True, return_inverse=True)
-                n = np.bincount(at * CLASSES + kind, minlength=len(keys) * CLASSES).reshape(-1, CLASSES)
+                taken = np.repeat(train[x:y], np.diff(begin))
+                m = np.bincount(at * CLASSES + kind, minlength=len(keys) * CLASSES).reshape(-1, CLASSES)
+                n = np.bincount((at * CLASSES + kind)[taken], minlength=len(keys) * CLASSES).reshape(-1, CLASSES)
                 raw = low.tobytes()
-                words = [raw[x:y] if x >= 0 else END for x, y in zip(s[first].tolist(), e[first].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array(n[:, k]) for k in range(CLASSES))], ["word", *names])
+                words = [raw[a:b] if a >= 0 else END for a, b in zip(s[first].tolist(), e[first].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array(t[:, k]) for t in (n, m) for k in range(CLASSES))], ["word", *names])
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, " + ", ".join(f"{n} long" for n in names))
+    found = docs.select(F.col("text").cast("string"), "train").mapInArrow(run, "word binary, " + ", ".join(f"{n} long" for n in names))
     return found.groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def _items(batch: pa.RecordBatch):
-    """(words, kinds, weights) of a batch of the word table: a word for each kind that it follows."""
-    n = np.stack([batch.column(f"n{k}").to_numpy() for k in range(CLASSES)], axis=1)
-    row, kind = np.nonzero(n)
-    words = batch.column("word").to_pylist()
-    return [words[r] for r in row], kind, n[row, kind].astype(float)
+_CHUNK = "chunk long, words binary, kinds binary, n binary, c binary, m binary, v long"
 
 
-def _histogram(words: DataFrame) -> np.ndarray:
-    """Symbols of the corpus by byte value."""
+def chunked(words: DataFrame, room: int) -> DataFrame:
+    """The sorted word table as rows of at most `room` pairs: words joined by blanks, kinds, n and m (the pair's counts), c (the word's training count); v: training words that begin here."""
 
     def run(batches):
-        total = np.zeros(256)
+        held: list[bytes] = []
+        parts: list[np.ndarray] = []
+        given = 0
+
+        def row(words, kind, n, c, m, lead):
+            nonlocal given
+            given += 1
+            cells = [(TaskContext.get().partitionId() << 32) + given, b" ".join(words), kind.astype(np.uint8).tobytes(), n.tobytes(), c.tobytes(), m.tobytes(), int((lead & (c > 0)).sum())]
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in cells], [f.split()[0] for f in _CHUNK.split(", ")])
+
         for batch in batches:
-            weight = sum(batch.column(f"n{k}").to_numpy() for k in range(CLASSES)).astype(float)
-            raw = [w if w == END else w + b" " for w in batch.column("word").to_pylist()]
-            size = np.array([len(w) for w in raw], dtype=np.int64)
-            total += np.bincount(np.frombuffer(b"".join(raw), dtype=np.uint8), np.repeat(weight, size), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], ["b", "n"])
-
-    out = np.zeros(256)
-    for r in words.mapInArrow(run, "b int, n double").groupBy("b").agg(F.sum("n").alias("n")).collect():
-        out[r["b"]] = r["n"]
-    return out
+            n, m = (np.stack([batch.column(f"{a}{k}").to_numpy() for k in range(CLASSES)], axis=1) for a in "nm")
+            at, kind = np.nonzero(m)
+            names = batch.column("word").to_pylist()
+            held += [names[i] for i in at]
+            parts.append(np.stack([kind, n[at, kind], n.sum(axis=1)[at], m[at, kind], np.diff(at, prepend=-1) > 0]))
+            whole = np.concatenate(parts, axis=1)
+            last = 0
+            for a, b in _runs(held, room):
+                if b < len(held):
+                    yield row(held[a:b], *whole[:, a:b])
+                    last = b
+            held, parts = held[last:], [whole[:, last:]]
+        if held:
+            yield row(held, *np.concatenate(parts, axis=1))
+
+    return words.repartitionByRange(tasks(words), "word").sortWithinPartitions("word").mapInArrow(run, _CHUNK)
+
+
+class Chunk:
+    """The pairs of a row of `chunked`, the sorted arcs that they go through and, for every context and byte, which of them."""
+
+    def __init__(self, row: dict):
+        self.words = row["words"].split(b" ")
+        self.kinds = np.frombuffer(row["kinds"], dtype=np.uint8).astype(np.int64)
+        self.n, self.c, self.m = (np.frombuffer(row[k], dtype=np.int64) for k in "ncm")
+        self.text, self.hashed, self.word = contexts(self.words, self.kinds)
+        arcs, at = np.unique(((self.hashed & ~np.uint64(255)) | self.text).view(np.int64), return_inverse=True)
+        self.arcs, self.at = arcs, at.reshape(CONTEXTS, -1)
+        self.levels = None
+
+    def counts(self) -> np.ndarray:
+        """How often the chunk's training words go through each arc."""
+        return np.bincount(self.at.ravel(), np.tile(self.n[self.word].astype(float), CONTEXTS), minlength=len(self.arcs))
+
+    def open(self) -> np.ndarray:
+        """Arcs that other chunks may have too: all but those of prefixes that lie wholly inside the sorted chunk, which the prefixes of its first and last word alone leave."""
+        prefix = self.hashed[-2]
+        edge = np.isin(prefix, prefix[(self.word == 0) | (self.word == len(self.words) - 1)])
+        out = np.zeros(len(self.arcs), dtype=bool)
+        out[self.at[:-2].ravel()] = True
+        out[self.at[-2:, edge].ravel()] = True
+        return out
+
+    def own_levels(self, code: Code) -> None:
+        self.levels = np.ascontiguousarray(_levels(code, self.arcs, self.counts()).T)
+
+    def put(self, code: Code, arcs: np.ndarray, levels: np.ndarray) -> None:
+        """Replace the counts of some arcs by those of all chunks."""
+        size = code.size[self.arcs & 255]
+        start = (np.cumsum(size) - size)[np.searchsorted(self.arcs, arcs)]
+        at, _, inner = code.expand(arcs & 255)
+        self.levels[:, start[at] + inner] = levels.T
+
+    def bits(self, code: Code, some: np.ndarray):
+        """Places in the levels (a row a context), bits, and the pair of every bit of some bytes."""
+        size = code.size[self.arcs & 255]
+        start = np.cumsum(size) - size
+        at, entry, inner = code.expand(self.text[some])
+        return start[self.at[:, some]][:, at] + inner, code.bit[entry], self.word[some][at]
+
+    def tables(self) -> np.ndarray:
+        return np.broadcast_to(self.levels, (CONTEXTS, *self.levels.shape))
 
 
-def _tables(words: DataFrame, code: Code, bits: int) -> np.ndarray:
-    """Counts of zeros and ones by context and place. Tasks give out their nonzero blocks; blocks are summed apart and come to the driver as bytes."""
+def _levels(code: Code, arcs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of zeros and ones, as levels, at every bit of sorted different arcs; all arcs of a context are given."""
+    context = np.cumsum(np.diff(arcs >> 8, prepend=arcs[:1] >> 8) != 0)
+    at, entry, _ = code.expand(arcs & 255)
+    _, node = np.unique((context[at] << 8) | code.node[entry].astype(np.int64), return_inverse=True)
+    sums = np.bincount(2 * node + code.bit[entry], counts[at], minlength=2 * (node.max(initial=-1) + 1)).reshape(-1, 2)
+    return np.rint(8 * np.log2(sums + 1)).clip(0, 255).astype(np.uint8)[node]
+
+
+def _histogram(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the training words by byte value, and training tokens by kind."""
 
     def run(batches):
-        total = np.zeros((CONTEXTS, 2 << bits), dtype=np.float32)
+        total, kinds = np.zeros(256), np.zeros(CLASSES)
         for batch in batches:
-            items, kinds, weight = _items(batch)
-            for a, b in _runs(items, 16384):
-                place, bit, word = events(code, items[a:b], kinds[a:b], bits)
-                w = weight[a:b][word]
-                for c in range(CONTEXTS):
-                    np.add.at(total[c], place[c] + (bit << bits), w.astype(np.float32))
-        size = min(_BLOCK, 1 << bits)
-        for c in range(CONTEXTS):
-            for k in range(0, 2 << bits, size):
-                part = total[c, k : k + size]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([k // size], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["c", "k", "part"])
-
-    def add(group):
-        size = min(_BLOCK, 1 << bits)
-        total = np.zeros(size)
-        for p in group.column("part").to_pylist():
-            total += np.frombuffer(zlib.decompress(p), dtype=np.float32)
-        level = np.rint(8 * np.log2(total + 1)).clip(0, 255).astype(np.uint8)
-        return pa.table({"c": group.column("c")[:1], "k": group.column("k")[:1], "level": pa.array([level.tobytes()], pa.binary())})
-
-    size = min(_BLOCK, 1 << bits)
-    tables = np.zeros((CONTEXTS, 2 << bits), dtype=np.uint8)
-    summed = words.mapInArrow(run, "c int, k int, part binary").groupBy("c", "k").applyInArrow(add, "c int, k int, level binary")
-    for r in summed.collect():
-        tables[r["c"], r["k"] * size : (r["k"] + 1) * size] = np.frombuffer(r["level"], dtype=np.uint8)
-    return tables.reshape(CONTEXTS, 2, 1 << bits)
-
-
-def learn(words: DataFrame, corpus_bytes: int, least_bits: int = 18, most_bits: int = 21, rate: float = 0.3) -> Mixer:
-    """The mixer of a word table: bit counts, then weights by online steps (each task over its words; averaged by weight), then the refining map."""
-    spark = words.sparkSession
-    bits = int(np.clip(math.ceil(math.log2(max(corpus_bytes, 2))), least_bits, most_bits))
-    code = Code(_histogram(words))
-    mixer = Mixer(code, bits, _tables(words, code, bits))
-    sent = spark.sparkContext.broadcast(mixer)
+            for row in batch.to_pylist():
+                n = np.frombuffer(row["n"], dtype=np.int64).astype(float)
+                raw = [w if w == END else w + b" " for w in row["words"].split(b" ")]
+                total += np.bincount(np.frombuffer(b"".join(raw), dtype=np.uint8), np.repeat(n, [len(w) for w in raw]), minlength=256)
+                kinds += np.bincount(np.frombuffer(row["kinds"], dtype=np.uint8), n, minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(256 + CLASSES), pa.int32()), pa.array(np.concatenate([total, kinds]))], ["b", "n"])
+
+    out = np.zeros(256 + CLASSES)
+    for r in chunks.select("words", "kinds", "n").mapInArrow(run, "b int, n double").groupBy("b").agg(F.sum("n").alias("n")).collect():
+        out[r["b"]] = r["n"]
+    return out[:256], out[256:]
 
-    def steps(batch, own):
-        items, kinds, weight = _items(batch)
-        for a, b in _runs(items, 4096):
-            place, bit, word = events(own.code, items[a:b], kinds[a:b], own.bits)
-            odds, gate = own.inputs(place, bit)
-            # Frequent words would drown the rest; the square root keeps them apart and in proportion to their noise.
-            yield odds, gate, bit, np.sqrt(weight[a:b])[word]
 
-    def online(batches):
-        own = Mixer(sent.value.code, sent.value.bits, sent.value.tables)
-        seen = 0.0
+def _replies(chunks: DataFrame, code: Code, most: int = 1 << 19) -> DataFrame:
+    """chunk, arcs, levels: the bit counts, over all chunks, of a chunk's arcs whose context other chunks have too."""
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Chunk(row)
+                sent = own.open()
+                arcs = own.arcs[sent]
+                yield pa.RecordBatch.from_arrays([pa.array(arcs), pa.array(np.full(len(arcs), row["chunk"])), pa.array(own.counts()[sent].astype(np.int64))], ["arc", "chunk", "n"])
+
+    def give(arc, chunk, n):
+        key = arc >> 8
+        first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+        shared = np.minimum.reduceat(chunk, first) != np.maximum.reduceat(chunk, first)
+        kept = np.repeat(shared, np.diff(np.append(first, len(key))))
+        if not kept.any():
+            return
+        arc, chunk, n = arc[kept], chunk[kept], n[kept]
+        arcs, at = np.unique(arc, return_inverse=True)
+        levels = _levels(code, arcs, np.bincount(at, n.astype(float)))
+        size = code.size[arcs & 255]
+        start = np.cumsum(size) - size
+        order = np.argsort(chunk, kind="stable")
+        cuts = np.flatnonzero(np.diff(chunk[order], prepend=chunk[order[0]] - 1, append=chunk[order[-1]] + 1))
+        out = {"chunk": [], "arcs": [], "levels": []}
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = order[a:b]
+            bit, _, inner = code.expand(arc[own] & 255)
+            out["chunk"].append(int(chunk[own[0]]))
+            out["arcs"].append(arc[own].tobytes())
+            out["levels"].append(levels[start[at[own]][bit] + inner].tobytes())
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("arcs", pa.binary()), ("levels", pa.binary())]))
+
+    def total(batches):
+        held, rows = [], 0
         for batch in batches:
-            for odds, gate, bit, w in steps(batch, own):
-                for i in range(0, len(bit), 8192):
-                    own.learn(odds[i : i + 8192], gate[i : i + 8192], bit[i : i + 8192], w[i : i + 8192], rate)
-                seen += w.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([own.weights.tobytes()], pa.binary()), pa.array([seen])], ["w", "n"])
-
-    got = words.mapInArrow(online, "w binary, n double").collect()
-    total = sum(r["n"] for r in got)
+            held.append(np.stack([batch.column(k).to_numpy() for k in ("arc", "chunk", "n")]))
+            rows += batch.num_rows
+            if rows >= most:
+                whole = np.concatenate(held, axis=1)
+                last = int(np.searchsorted(whole[0] >> 8, whole[0, -1] >> 8))
+                if last:
+                    yield from give(*whole[:, :last])
+                held, rows = [whole[:, last:]], whole.shape[1] - last
+        if rows:
+            yield from give(*np.concatenate(held, axis=1))
+
+    asked = chunks.mapInArrow(ask, "arc long, chunk long, n long")
+    return asked.repartition(tasks(chunks), F.shiftright("arc", 8)).sortWithinPartitions("arc").mapInArrow(total, "chunk long, arcs binary, levels binary")
+
+
+def learn(chunks: DataFrame, code: Code, rate: float = 0.3, block: int = 1 << 14) -> tuple[DataFrame, Mixer]:
+    """The chunks with the bit counts of their arcs, and the mixer: weights by online steps (each task over its chunks; averaged by weight over chunks), then the refining map."""
+    spark = chunks.sparkSession
+
+    def online(batches):
+        own = Mixer(code, 0, None)
+        sums, seen = np.zeros(own.weights.shape), 0.0
+        for group in _groups(batches, ["chunk"]):
+            listed = group.to_pylist()
+            row = next(r for r in listed if r["words"] is not None)
+            chunk = Chunk(row)
+            chunk.own_levels(code)
+            for r in listed:
+                if r["arcs"] is not None:
+                    chunk.put(code, np.frombuffer(r["arcs"], dtype=np.int64), np.frombuffer(r["levels"], dtype=np.uint8).reshape(-1, 2))
+            own.tables = chunk.tables()
+            # Words are sorted: steps take their bytes in a mixed order.
+            some = np.random.default_rng(row["chunk"] & 0xFFFFFFFF).permutation(np.flatnonzero(chunk.n[chunk.word] > 0))
+            new = 0.0
+            for i in range(0, len(some), block):
+                place, bit, pair = chunk.bits(code, some[i : i + block])
+                odds, gate = own.inputs(place, bit)
+                # Frequent words would drown the rest; the square root keeps them apart and in proportion to their noise.
+                w = np.sqrt(chunk.n[pair])
+                for j in range(0, len(bit), 8192):
+                    own.learn(odds[j : j + 8192], gate[j : j + 8192], bit[j : j + 8192], w[j : j + 8192], rate)
+                new += w.sum()
+            sums, seen = sums + new * own.weights, seen + new
+            yield pa.RecordBatch.from_pylist([{**{k: row[k] for k in fields[:-3]}, "levels": chunk.levels.tobytes()}], schema=shape)
+        yield pa.RecordBatch.from_pylist([{"w": sums.tobytes(), "seen": seen}], schema=shape)
+
+    schema = _CHUNK.replace(", v long", "") + ", levels binary, w binary, seen double"
+    fields = [f.split()[0] for f in schema.split(", ")]
+    shape = pa.schema([(f.split()[0], {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[f.split()[1]]) for f in schema.split(", ")])
+    asked = _replies(chunks, code)
+    none = F.lit(None).cast("binary")
+    both = chunks.drop("v").withColumns({"arcs": none, "levels": none}).unionByName(asked, allowMissingColumns=True)
+    counted = cut(both.repartition(tasks(chunks), "chunk").sortWithinPartitions("chunk").mapInArrow(online, schema), "counted")
+    mixer = Mixer(code, 0, None)
+    got = counted.where(F.col("chunk").isNull()).select("w", "seen").collect()
+    total = sum(r["seen"] for r in got)
     if total > 0:
-        mixer.weights = (sum(np.frombuffer(r["w"], dtype=np.float32).astype(float) * r["n"] for r in got) / total).reshape(GATES, -1).astype(np.float32)
-    sent.unpersist()
+        mixer.weights = (sum(np.frombuffer(r["w"]) for r in got) / total).reshape(GATES, -1).astype(np.float32)
     sent = spark.sparkContext.broadcast(mixer)
 
     def observe(batches):
         own = sent.value
         counts = np.zeros((2, GATES, STEPS))
         for batch in batches:
-            items, kinds, weight = _items(batch)
-            for a, b in _runs(items, 16384):
-                place, bit, word = events(own.code, items[a:b], kinds[a:b], own.bits)
-                odds, gate = own.inputs(place, bit)
-                at = np.clip((own.logit(odds, gate) + 8) * 2, 0, STEPS - 1.001)
-                low = at.astype(np.int64)
-                w = weight[a:b][word]
-                for step, share in ((low, 1 - (at - low)), (low + 1, at - low)):
-                    counts += np.bincount((bit * GATES + gate) * STEPS + step, w * share, minlength=counts.size).reshape(counts.shape)
+            for chunk in counted_chunks(batch):
+                own.tables = chunk.tables()
+                some = np.flatnonzero(chunk.n[chunk.word] > 0)
+                for i in range(0, len(some), block):
+                    place, bit, pair = chunk.bits(code, some[i : i + block])
+                    odds, gate = own.inputs(place, bit)
+                    at = np.clip((own.logit(odds, gate) + 8) * 2, 0, STEPS - 1.001)
+                    low = at.astype(np.int64)
+                    w = chunk.n[pair]
+                    for step, share in ((low, 1 - (at - low)), (low + 1, at - low)):
+                        counts += np.bincount((bit * GATES + gate) * STEPS + step, w * share, minlength=counts.size).reshape(counts.shape)
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["c"])
 
-    counts = sum((np.frombuffer(r["c"]) for r in words.mapInArrow(observe, "c binary").collect()), np.zeros(2 * GATES * STEPS)).reshape(2, GATES, STEPS)
+    table = counted.where(F.col("chunk").isNotNull()).drop("w", "seen")
+    counts = sum((np.frombuffer(r["c"]) for r in table.mapInArrow(observe, "c binary").collect()), np.zeros(2 * GATES * STEPS)).reshape(2, GATES, STEPS)
     middle = 1 / (1 + np.exp(-(np.arange(STEPS) / 2 - 8)))
     mixer.refined = (counts[1] + 2 * middle) / (counts.sum(axis=0) + 2)
     sent.unpersist()
-    return mixer
+    table._scratch = counted._scratch
+    return table, mixer
 
 
-def whole_words(logs: np.ndarray, counts: np.ndarray, totals: np.ndarray, back: float = 2000.0, rounds: int = 30) -> tuple[float, np.ndarray]:
-    """Frequent words as wholes beside their spelling: the share of whole words, and log10 of the two together (a row a word, a column a kind).
+def counted_chunks(batch):
+    for i in range(batch.num_rows):
+        row = batch.slice(i, 1).to_pylist()[0]
+        chunk = Chunk(row)
+        chunk.levels = np.frombuffer(row["levels"], dtype=np.uint8).reshape(2, -1)
+        yield chunk
 
-    A word's own probability is its frequency after its kind, drawn towards its frequency at large. The share is fitted so
-    that the training tokens are likeliest, each without its own occurrence; tokens that are not frequent have their spelling alone.
+
+def spelled(chunks: DataFrame, mixer: Mixer, block: int = 1 << 14) -> DataFrame:
+    """pair (hash), kind, n, c, m, and log10 of the probability of the spelling: `spelling`, and `less` without the pair's own occurrence."""
+    names = ["pair", "kind", "n", "c", "m", "spelling", "less"]
+
+    def run(batches):
+        for batch in batches:
+            for chunk in counted_chunks(batch):
+                mixer.tables = chunk.tables()
+                logs = np.zeros((2, len(chunk.words)))
+                for i in range(0, len(chunk.text), block):
+                    place, bit, pair = chunk.bits(mixer.code, np.arange(i, min(i + block, len(chunk.text))))
+                    for out, own in zip(logs, (None, bit)):
+                        odds, gate = mixer.inputs(place, own)
+                        p = mixer.refine(mixer.logit(odds, gate), gate)
+                        out += np.bincount(pair, np.log10(np.where(bit == 1, p, 1 - p)), minlength=len(out))
+                size = np.array([len(w) for w in chunk.words], dtype=np.int64)
+                stop = np.cumsum(size)
+                h = span_hashes(np.frombuffer(b"".join(chunk.words), dtype=np.uint8), stop - size, stop)
+                cells = [_pair(h, chunk.kinds), chunk.kinds, chunk.n, chunk.c, chunk.m, *logs]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names)
+
+    return chunks.mapInArrow(run, "pair long, kind long, n long, c long, m long, spelling double, less double")
+
+
+def _pair(h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(h + kind.astype(np.uint64)).view(np.int64)
+
+
+def whole_words(pairs: DataFrame, totals: np.ndarray, least: int, back: float = 2000.0, points: int = 32, rounds: int = 4) -> tuple[float, DataFrame]:
+    """Words met `least` times as wholes beside their spelling: the share of whole words, and pairs with `log`, log10 of the two together.
+
+    A word's own probability is its frequency after its kind, drawn towards its frequency at large. The share makes the
+    training tokens likeliest, each without its own occurrence: the slope of their log-likelihood falls with the share, and its
+    zero is closed in on by `rounds` passes, each with sums at `points` shares.
     """
-    n = totals.sum()
-    if not len(logs) or not n:
-        return 0.0, logs
-    whole = lambda less: (np.maximum(counts - less, 0) + back * np.maximum(counts.sum(axis=1, keepdims=True) - less, 0) / n) / (totals + back)
-    spelled = 10.0 ** np.maximum(logs, -300)
-    left, share = whole(1), 0.5
+    n = float(totals.sum())
+    if not n:
+        return 0.0, pairs.withColumn("log", F.col("spelling"))
+    kinds = F.element_at(F.array(*[F.lit(float(t)) for t in totals]), (F.col("kind") + 1).cast("int"))
+    whole = lambda less: (F.greatest(F.col("n") - less, F.lit(0)) + back * F.greatest(F.col("c") - less, F.lit(0)) / n) / (kinds + back)
+    spelling = lambda name: F.pow(F.lit(10.0), F.greatest(F.col(name), F.lit(-300.0)))
+    fit = pairs.where((F.col("n") > 0) & (F.col("m") >= least)).select("n", whole(1).alias("w"), spelling("less").alias("s"))
+    low, high = 0.0, 0.999
     for _ in range(rounds):
-        a, b = share * left, (1 - share) * spelled
-        share = min(0.999, float((counts * a / (a + b)).sum() / n))
-    return share, np.log10(share * whole(0) + (1 - share) * spelled)
+        shares = np.linspace(low, high, points + 1)
+        slopes = fit.agg(*[F.sum(F.col("n") * (F.col("w") - F.col("s")) / (x * F.col("w") + (1 - x) * F.col("s"))).alias(f"x{i}") for i, x in enumerate(shares.tolist())]).first()
+        up = sum(v > 0 for v in slopes)
+        low, high = shares[max(up - 1, 0)], shares[min(up, points)]
+    share = float(low + high) / 2
+    both = F.when(F.col("m") >= least, share * whole(0)).otherwise(0.0)
+    return share, pairs.withColumn("log", F.when(both > 0, F.log10(both + (1 - share) * F.pow(F.lit(10.0), F.col("spelling")))).otherwise(F.col("spelling") + math.log10(1 - share)))
 
 
-def _adapt(model: np.ndarray, h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """log10 probabilities of tokens after mixing the model with what the document has said so far.
+def _said(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the document has said before each token: the weight left to the model, and the cache's part over that weight.
 
     A word said k times in t tokens has the cache probability k / t; the cache's weight is the rate of repeated words so far. The end is said once, so the cache never gives it.
     """
-    out = np.empty(len(begin) - 1)
-    for i, (a, b) in enumerate(zip(begin[:-1], begin[1:])):
+    left, part = np.empty(len(h)), np.empty(len(h))
+    for a, b in zip(begin[:-1], begin[1:]):
         n = b - a
         own = h[a:b]
         order = np.argsort(own, kind="stable")
@@ -358,99 +524,79 @@ def _adapt(model: np.ndarray, h: np.ndarray, begin: np.ndarray) -> np.ndarray:
         repeats = np.cumsum(before > 0) - (before > 0)
         share = (repeats + 0.2) / (place + 4.0)
         share[0] = 0
-        with np.errstate(divide="ignore"):
-            said = np.log(share * before / np.maximum(place, 1))
-        out[i] = np.logaddexp(np.log1p(-share) + model[a:b] * math.log(10), said).sum() / math.log(10)
-    return out
+        left[a:b] = 1 - share
+        part[a:b] = share * before / np.maximum(place, 1) / (1 - share)
+    return left, part
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = 100_000, room: int = 16384) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     Learned from all rows outside the held-out fold; rows without doc_id are scored, not learned from, and not held out. A null
-    text is empty: one token, the end. Words with counts that fit into `frequent` rows go to every task; the rest meet their
-    counts by a join on the word's hash.
+    text is empty: one token, the end. Pairs of a word and the kind before it that are met most often, at most `frequent`, go to every task;
+    the rest have their spelling alone and meet its probability by a join. `room` pairs are worked on at a time.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string").alias("text")
-    train = docs.where(F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != held)).select(text)
-    words = cut(word_counts(train).withColumn("c", F.expr(" + ".join(f"n{k}" for k in range(CLASSES)))), "words")
-    size = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.length("word") * F.col("c")).alias("b"), *[F.sum(f"n{k}").alias(f"t{k}") for k in range(CLASSES)]).first()
-    total, kinds, volume = size["n"] or 0, size["v"], size["b"] or 0
-    mixer = learn(words, volume)
-
-    # The least count whose words are few enough, from the number of words by binary logarithm of their counts.
-    bins = {r["k"]: r["m"] for r in words.groupBy(F.floor(F.log2("c")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("m")).collect()}
-    least, held_rows = None, 0
+    train = F.coalesce(remainder("doc_id", folds) != held, F.lit(False)).alias("train")
+    chunks = cut(chunked(word_counts(docs.select(text, train)), room), "chunks")
+    symbols, totals = _histogram(chunks)
+    total, kinds = int(totals.sum()), chunks.agg(F.sum("v")).first()[0] or 0
+    counted, mixer = learn(chunks, Code(symbols))
+    pairs = cut(spelled(counted, mixer), "pairs")
+    drop(chunks, counted)
+
+    # The least count whose pairs are few enough, from the number of pairs by binary logarithm of their counts.
+    bins = {r["k"]: r["m"] for r in pairs.groupBy(F.floor(F.log2("m")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("m")).collect()}
+    least, held_rows = 1 << 62, 0
     for k in sorted(bins, reverse=True):
         if held_rows + bins[k] > frequent:
             break
         held_rows += bins[k]
         least = 1 << k
-    top = words.where(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()
-    names = top["word"].to_pylist()
-    joined = np.frombuffer(b"".join(names), dtype=np.uint8)
-    stop = np.cumsum([len(w) for w in names]).astype(np.int64)
-    keys = span_hashes(joined, stop - np.array([len(w) for w in names], dtype=np.int64), stop) if names else np.zeros(0, dtype=np.uint64)
+    share, pairs = whole_words(pairs, totals, least)
+    top = pairs.where(F.col("m") >= least).select("pair", "c", "log").toArrow()
+    keys = top["pair"].to_numpy()
     order = np.argsort(keys)
-    counts = top["c"].to_numpy()[order] if names else np.zeros(0, dtype=np.int64)
-    names = [names[i] for i in order]
-    each = np.stack([top[f"n{k}"].to_numpy()[order] for k in range(CLASSES)], axis=1).astype(float) if names else np.zeros((0, CLASSES))
-    logs = np.stack([mixer.log10(names, np.full(len(names), k)) for k in range(CLASSES)], axis=1) if names else np.zeros((0, CLASSES))
-    share, logs = whole_words(logs, each, np.array([float(size[f"t{k}"] or 0) for k in range(CLASSES)]))
-    rest_log = math.log10(1 - share)
-    sent = spark.sparkContext.broadcast((mixer, keys[order], counts, logs))
+    sent = spark.sparkContext.broadcast((keys[order], top["c"].to_numpy()[order], top["log"].to_numpy()[order]))
 
     def run(batches):
-        mixer, keys, counts, logs = sent.value
+        keys, counts, logs = sent.value
         for batch in batches:
             for x, y, buf, offs in pieces(batch.column("text"), 1 << 21):
-                low, h, s, e, kind, begin = tokens(buf, offs)
-                at = np.searchsorted(keys, h)
+                _, h, _, _, kind, begin = tokens(buf, offs)
+                pair = _pair(h, kind)
+                at = np.searchsorted(keys, pair)
                 at[at == len(keys)] = 0
-                known = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
-                model = np.empty(len(h))
-                model[known] = logs[at[known], kind[known]]
-                rest = np.flatnonzero(~known)
-                if len(rest):
-                    with np.errstate(over="ignore"):
-                        pair = mix(h[rest] + kind[rest].astype(np.uint64))
-                    _, first, back = np.unique(pair, return_index=True, return_inverse=True)
-                    first = rest[first]
-                    raw = low.tobytes()
-                    own = [raw[a:b] if a >= 0 else END for a, b in zip(s[first].tolist(), e[first].tolist())]
-                    model[rest] = rest_log + mixer.log10(own, kind[first])[back]
-                sums = np.concatenate([[0.0], np.cumsum(np.where(known, np.log10(counts[at] + 1.0) if len(keys) else 0.0, 0.0))])
-                n_known = np.concatenate([[0], np.cumsum(known)])
-                rare, times = [], []
-                for a, b in zip(begin[:-1], begin[1:]):
-                    u, n = np.unique(h[a:b][~known[a:b]].view(np.int64), return_counts=True)
-                    rare.append(u), times.append(n)
+                here = keys[at] == pair if len(keys) else np.zeros(len(h), dtype=bool)
+                left, part = _said(h, begin)
+                value, base, known = np.log10(left), np.zeros(len(h)), np.zeros(len(h), dtype=np.int64)
+                own = at[here]
+                with np.errstate(divide="ignore"):
+                    value[here] += np.logaddexp(logs[own] * math.log(10), np.log(part[here])) / math.log(10)
+                base[here], known[here] = np.log10(counts[own] + 1.0), counts[own] > 0
+                per = lambda v: pa.array(np.add.reduceat(v, begin[:-1]))
+                rest = np.flatnonzero(~here)
+                offsets = pa.array(np.searchsorted(rest, begin).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("row").slice(x, y - x), batch.column("doc_id").slice(x, y - x), pa.array(np.diff(begin)), pa.array(n_known[begin[1:]] - n_known[begin[:-1]]),
-                        pa.array(sums[begin[1:]] - sums[begin[:-1]]), pa.array(_adapt(model, h, begin)), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())),
+                        batch.column("row").slice(x, y - x), batch.column("doc_id").slice(x, y - x), pa.array(np.diff(begin)), per(known), per(base), per(value),
+                        pa.ListArray.from_arrays(offsets, pa.array(pair[rest])), pa.ListArray.from_arrays(offsets, pa.array(part[rest])),
                     ],
-                    ["row", "doc_id", "n_tokens", "n_top", "base_top", "score", "rare", "times"],
+                    ["row", "doc_id", "n_tokens", "n_top", "base_top", "score_top", "rare", "part"],
                 )
 
     # Row numbers hold because the table is written before it is used.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text)
-    scored = cut(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_top long, base_top double, score double, rare array<long>, times array<long>"), "scored")
+    scored = cut(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_top long, base_top double, score_top double, rare array<long>, part array<double>"), "scored")
 
-    def hashed(batches):
-        for batch in batches:
-            raw = batch.column("word").to_pylist()
-            size = np.array([len(w) for w in raw], dtype=np.int64)
-            stop = np.cumsum(size)
-            yield pa.RecordBatch.from_arrays([pa.array(span_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), stop - size, stop).view(np.int64)), batch.column("c")], ["h", "c"])
-
-    light = words.where(F.col("c") < (least if least is not None else 1 << 62)).select("word", "c").mapInArrow(hashed, "h long, c long")
-    asked = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("n"))
-    met = asked.join(light, "h").groupBy("row").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("base_rare"))
-    out = scored.drop("rare", "times").join(met, "row", "left")
+    light = pairs.where(F.col("m") < least).select("pair", "c", "log")
+    asked = scored.select("row", F.explode(F.arrays_zip("rare", "part")).alias("w")).select("row", F.col("w.rare").alias("pair"), F.col("w.part").alias("part"))
+    value = F.when(F.col("part") > 0, F.log10(F.col("part") + F.pow(F.lit(10.0), F.col("log")))).otherwise(F.col("log"))
+    met = asked.join(light, "pair").groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("n_rare"), F.sum(F.log10(F.col("c") + 1.0)).alias("base_rare"), F.sum(value).alias("score_rare"))
+    out = scored.drop("rare", "part").join(met, "row", "left")
     return out.select(
         "doc_id", F.coalesce(remainder("doc_id", folds) == held, F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_top") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_top") + F.coalesce("base_rare", F.lit(0.0)) - F.col("n_tokens") * math.log10(total + kinds + 1)).alias("base_score"), "score",
+        (F.col("base_top") + F.coalesce("base_rare", F.lit(0.0)) - F.col("n_tokens") * math.log10(total + kinds + 1)).alias("base_score"), (F.col("score_top") + F.coalesce("score_rare", F.lit(0.0))).alias("score"),
     )

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skyledger.llm import bpe, decontam, lattice, minmax, mixing, pii, quality, suffixes, toxicity, warc
@@ -157,6 +158,40 @@ def test_mixing_beats_bytes_on_held_out_words(spark):
     assert held and all(r.score > r.base_score - 0.2 * r.n_tokens for r in held)
 
 
+def test_mixing_counts_every_context_exactly(spark):
+    """Bit counts of every context, spread over many small chunks, against counts by the contexts' own bytes."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 30) + rng.choice(["", " th. the! ", " then x"])) for i in range(20)]
+    frame = docs_frame(spark, rows).withColumn("train", F.col("doc_id") % 4 != 1)
+    chunks = mixing.cut(mixing.chunked(mixing.word_counts(frame), 7), "chunks")
+    code = mixing.Code(mixing._histogram(chunks)[0])
+    counted, _ = mixing.learn(chunks, code)
+    listed = [c for b in counted.toArrow().to_batches() for c in mixing.counted_chunks(b)]
+    assert len(listed) > 8 and {k for c in listed for k in c.n} > {0}
+
+    def walk(chunk):
+        for w, kind, n in zip(chunk.words, chunk.kinds, chunk.n):
+            body = w if w == b"\n" else w + b" "
+            for i in range(len(body)):
+                seen = [(k, body[max(0, i - k) : i]) for k in mixing.ORDERS] + [("whole", body[:i]), ("kind", body[:i], int(kind))]
+                start = code.start[body[i]]
+                for entry in range(start, start + code.size[body[i]]):
+                    yield seen, int(code.node[entry]), int(code.bit[entry]), int(n)
+
+    want = Counter()
+    for chunk in listed:
+        for seen, node, bit, n in walk(chunk):
+            for context in seen:
+                want[context, node, bit] += n
+    for chunk in listed:
+        place, bit, _ = chunk.bits(code, np.arange(len(chunk.text)))
+        for i, (seen, node, b, _) in enumerate(walk(chunk)):
+            assert b == bit[i]
+            for c, context in enumerate(seen):
+                exact = [round(8 * math.log2(want[context, node, x] + 1)) for x in (0, 1)]
+                assert chunk.levels[:, place[c, i]].tolist() == exact
+
+
 def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int, text string")
 
