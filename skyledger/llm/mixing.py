@@ -481,8 +481,8 @@ def _pair(h: np.ndarray, kind: np.ndarray) -> np.ndarray:
         return mix(h + kind.astype(np.uint64)).view(np.int64)
 
 
-def whole_words(pairs: DataFrame, totals: np.ndarray, least: int, back: float = 2000.0, points: int = 32, rounds: int = 4) -> tuple[float, DataFrame]:
-    """Words met `least` times as wholes beside their spelling: the share of whole words, and pairs with `log`, log10 of the two together.
+def whole_words(pairs: DataFrame, totals: np.ndarray, back: float = 2000.0, points: int = 32, rounds: int = 4) -> tuple[float, DataFrame]:
+    """Words as wholes beside their spelling: the share of whole words, and pairs with `log`, log10 of the two together.
 
     A word's own probability is its frequency after its kind, drawn towards its frequency at large. The share makes the
     training tokens likeliest, each without its own occurrence: the slope of their log-likelihood falls with the share, and its
@@ -494,7 +494,7 @@ def whole_words(pairs: DataFrame, totals: np.ndarray, least: int, back: float =
     kinds = F.element_at(F.array(*[F.lit(float(t)) for t in totals]), (F.col("kind") + 1).cast("int"))
     whole = lambda less: (F.greatest(F.col("n") - less, F.lit(0)) + back * F.greatest(F.col("c") - less, F.lit(0)) / n) / (kinds + back)
     spelling = lambda name: F.pow(F.lit(10.0), F.greatest(F.col(name), F.lit(-300.0)))
-    fit = pairs.where((F.col("n") > 0) & (F.col("m") >= least)).select("n", whole(1).alias("w"), spelling("less").alias("s"))
+    fit = pairs.where("n > 0").select("n", whole(1).alias("w"), spelling("less").alias("s"))
     low, high = 0.0, 0.999
     for _ in range(rounds):
         shares = np.linspace(low, high, points + 1)
@@ -502,7 +502,7 @@ def whole_words(pairs: DataFrame, totals: np.ndarray, least: int, back: float =
         up = sum(v > 0 for v in slopes)
         low, high = shares[max(up - 1, 0)], shares[min(up, points)]
     share = float(low + high) / 2
-    both = F.when(F.col("m") >= least, share * whole(0)).otherwise(0.0)
+    both = share * whole(0)
     return share, pairs.withColumn("log", F.when(both > 0, F.log10(both + (1 - share) * F.pow(F.lit(10.0), F.col("spelling")))).otherwise(F.col("spelling") + math.log10(1 - share)))
 
 
@@ -534,7 +534,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = 100_00
 
     Learned from all rows outside the held-out fold; rows without doc_id are scored, not learned from, and not held out. A null
     text is empty: one token, the end. Pairs of a word and the kind before it that are met most often, at most `frequent`, go to every task;
-    the rest have their spelling alone and meet its probability by a join. `room` pairs are worked on at a time.
+    the rest meet their probabilities by a join, with the same result. `room` pairs are worked on at a time.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string").alias("text")
@@ -545,6 +545,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = 100_00
     counted, mixer = learn(chunks, Code(symbols))
     pairs = cut(spelled(counted, mixer), "pairs")
     drop(chunks, counted)
+    share, pairs = whole_words(pairs, totals)
 
     # The least count whose pairs are few enough, from the number of pairs by binary logarithm of their counts.
     bins = {r["k"]: r["m"] for r in pairs.groupBy(F.floor(F.log2("m")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("m")).collect()}
@@ -554,7 +555,6 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = 100_00
             break
         held_rows += bins[k]
         least = 1 << k
-    share, pairs = whole_words(pairs, totals, least)
     top = pairs.where(F.col("m") >= least).select("pair", "c", "log").toArrow()
     keys = top["pair"].to_numpy()
     order = np.argsort(keys)

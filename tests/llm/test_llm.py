@@ -192,6 +192,14 @@ def test_mixing_counts_every_context_exactly(spark):
                 assert chunk.levels[:, place[c, i]].tolist() == exact
 
 
+def test_mixing_gives_every_training_word_its_whole(spark, docs):
+    """Rare words count as wholes too: which words are sent to every task does not change a score."""
+    def scores(frequent):
+        return sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in mixing.score(docs, frequent=frequent).collect())
+
+    assert scores(0) == scores(8) == scores(100_000)
+
+
 def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int, text string")
 
