@@ -124,7 +124,7 @@ def _(t):
 
 
 @workload(
-    "image_evidence", "E19 A25 J12",
+    "image_evidence", "A25 J12",
     f"{D}, {SPLIT}, {CROSS_PAIRS}, {MATCH_SQL}, {cte('layers')}, px AS (SELECT DISTINCT image, part, y, unnest(range(x0, x1)) AS x FROM layers WHERE layer = 'facility'), cd AS (SELECT DISTINCT image, part FROM px), "
     "ag AS (SELECT f.image_id AS image, f.det_id, (f.x1 + s.x1) / 2 / 10 AS x1, (f.x2 + s.x2) / 2 / 10 AS x2, (f.y1 + s.y1) / 2 / 20 AS y1, (f.y2 + s.y2) / 2 / 20 AS y2 FROM matched JOIN f ON f.det_id = m.a JOIN s ON s.det_id = m.b), "
     "ins AS (SELECT ag.*, px.part, ag.image * 10 + px.part AS k FROM ag JOIN px ON px.image = ag.image AND px.y = round_even((y1 + y2) / 2, 0) AND px.x = round_even((ag.x1 + ag.x2) / 2, 0)), "
@@ -241,7 +241,7 @@ def _(t):
 
 
 @workload(
-    "acceptance_sheet", "E22",
+    "acceptance_sheet", "",
     "SELECT concat('img', doc_id::VARCHAR) AS image, concat('cmp', doc_id::VARCHAR) AS comparison, '' AS reviewer FROM documents ORDER BY sha256(doc_id::VARCHAR) LIMIT 30",
 )
 def _(t):
@@ -253,7 +253,7 @@ def _(t):
 
 
 @workload(
-    "aoi_candidates", "D10 P18 E23",
+    "aoi_candidates", "D10 P18",
     "WITH b AS (SELECT concat('block_z19_br', CAST(o_custkey // 10 AS VARCHAR), '_bc', CAST(o_custkey % 10 AS VARCHAR), '_r1_c2') AS aoi_id, (o_custkey // 10 // 32)::VARCHAR || ':' || (o_custkey % 10 // 32)::VARCHAR AS geo_cell, "
     "CASE WHEN o_orderkey % 5 >= 2 THEN 'multi_component' WHEN o_orderkey % 5 = 1 THEN 'single_component' END AS a, CASE WHEN o_orderpriority = '1-URGENT' THEN 'negative' END AS n, CASE WHEN o_orderkey % 40 <= 1 THEN 'edge' END AS e FROM orders), "
     "u AS (SELECT aoi_id, geo_cell, unnest([a, n, e, 'geo_spread']) AS s FROM b) SELECT aoi_id, geo_cell, string_agg(DISTINCT s, ',' ORDER BY s) AS strata, count(*) FILTER (s = 'geo_spread') AS targets FROM u WHERE s IS NOT NULL GROUP BY ALL",

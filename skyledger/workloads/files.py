@@ -25,7 +25,7 @@ def _jsonl(t):
     return path
 
 
-@workload("jsonl_read", "S1 S14", f"WITH {DET} SELECT prompt, count(*) AS n, min(det_id) AS first_id, round(max(confidence), 6) AS top FROM detections WHERE NOT ({_BROKEN}) AND det_id % 19 <> 4 GROUP BY prompt")
+@workload("jsonl_read", "S1", f"WITH {DET} SELECT prompt, count(*) AS n, min(det_id) AS first_id, round(max(confidence), 6) AS top FROM detections WHERE NOT ({_BROKEN}) AND det_id % 19 <> 4 GROUP BY prompt")
 def _(t):
     df = fs.read_jsonl(t.spark, _jsonl(t), "det_id bigint, image_id bigint, prompt string, confidence double")
     return df.groupBy("prompt").agg(F.count(F.lit(1)).alias("n"), F.min("det_id").alias("first_id"), F.round(F.max("confidence"), 6).alias("top"))
@@ -171,7 +171,7 @@ def _(t):
 
 
 @workload(
-    "registered_files", "S21 F13 S9",
+    "registered_files", "S21 F13",
     "WITH g AS (SELECT source, string_agg(doc_id::VARCHAR || ' ' || n_chars::VARCHAR || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY source) SELECT source, length(body) AS size, "
     "CASE WHEN source = 'src3' THEN 'checksum' WHEN source = 'src5' THEN 'size' ELSE 'ok' END AS status, true AS within_budget FROM g UNION ALL SELECT 'absent', 5, 'missing', true",
 )

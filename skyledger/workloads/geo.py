@@ -35,7 +35,7 @@ def _blocks(t):
 
 
 @workload(
-    "block_catalog", "S9 P10 P9 D9",
+    "block_catalog", "P10 P9 D9",
     f"WITH {BLOCKS} SELECT name, zoom, block_row, block_col, tile_row, tile_col, round(west, 9) AS west, round(south, 9) AS south, round(east, 9) AS east, round(north, 9) AS north FROM blocks",
 )
 def _(t):

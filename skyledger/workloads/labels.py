@@ -130,7 +130,7 @@ def _(t):
 
 
 @workload(
-    "quality_decision", "E21 A16",
+    "quality_decision", "A16",
     ISSUES_SQL + "SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, "
     "CASE WHEN count(*) FILTER (severity = 'error') > 0 THEN 'failed' ELSE 'passed' END AS status, count(*) FILTER (severity = 'error') > 0 AS blocked FROM issues",
 )

@@ -71,7 +71,7 @@ def _(t):
 
 
 @workload(
-    "mask_profiles", "M4 A30",
+    "mask_profiles", "M4",
     f"{MASK_PX}, {_components('cc', 'px', 'mask_id')}, s AS (SELECT mask_id, comp, count(*) AS a FROM cc GROUP BY ALL), m AS (SELECT mask_id, sum(a)::BIGINT AS mask_area, count(*) AS components, max(a) AS largest FROM s GROUP BY mask_id) "
     "SELECT m.mask_id, mask_area, components, count(*) FILTER (a >= greatest(4, ceil(mask_area * 0.02))) AS material_components, round(any_value(largest) / mask_area, 6) AS largest_component_fraction FROM m JOIN s USING (mask_id) GROUP BY m.mask_id, mask_area, components",
 )
@@ -200,7 +200,7 @@ def _surfaces(t):
     return zn.anchored_surfaces(_cand(t), runs, _layer(t, "band"), _layer(t, "road"), image="image", mask="part", min_area=80, min_anchor=10)
 
 
-@workload("surface_reasons", "E6 F7", f"{SURF} SELECT image, part, reason FROM jd")
+@workload("surface_reasons", "E6", f"{SURF} SELECT image, part, reason FROM jd")
 def _(t):
     return _surfaces(t)[0]
 
@@ -335,7 +335,7 @@ SEG = (
 
 
 @workload(
-    "way_runs", "M13 F5",
+    "way_runs", "F5",
     f"WITH {SEG}, d AS (SELECT *, (bx - ax) * (bx - ax) + (\"by\" - ay) * (\"by\" - ay) AS l2 FROM sg), g AS (SELECT y, x FROM (SELECT unnest(range(0, 40)) AS y), (SELECT unnest(range(0, 64)) AS x)), "
     "h AS (SELECT way, y, x, CASE WHEN l2 > 0 THEN greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (\"by\" - ay)) / l2)) ELSE 0 END AS s, ax, ay, bx, \"by\", thickness FROM d, g) "
     "SELECT way, count(*) AS pixels, min(x) AS min_x, max(y) AS max_y FROM h WHERE pow(x - ax - s * (bx - ax), 2) + pow(y - ay - s * (\"by\" - ay), 2) <= pow(thickness / 2, 2) GROUP BY way",

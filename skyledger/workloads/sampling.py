@@ -93,7 +93,7 @@ def _(t):
 
 
 @workload(
-    "golden_package", "E22 T6",
+    "golden_package", "T6",
     GOLDEN + ", p AS (SELECT name AS image, 'pending' AS review_status, stratum, risk, density FROM g) SELECT density, count(*) AS images, count(*) FILTER (risk) AS risky, "
     "count(*) FILTER (review_status = 'pending') AS pending, min(image) AS first_image FROM p GROUP BY density",
 )

@@ -129,7 +129,7 @@ def _instances(t):
 
 
 @workload(
-    "chain_breaks", "J17 S12",
+    "chain_breaks", "J17",
     f"WITH {INST} SELECT a.token, 'next' AS side FROM i a LEFT JOIN i b ON a.next = b.token WHERE a.next <> '' AND b.prev IS DISTINCT FROM a.token "
     "UNION ALL SELECT a.token, 'prev' FROM i a LEFT JOIN i b ON a.prev = b.token WHERE a.prev <> '' AND b.next IS DISTINCT FROM a.token",
 )
