@@ -36,7 +36,11 @@ def _ck(t):
 )
 def _(t):
     log = t.log.select("target_id", "rec_id", "noted", "label", "is_auto")
-    out = jobs.live_state(t.spark, _landed(t, log, "journal"), log.schema, scratch_path(t.spark, "state"), _ck(t), key="target_id", order=["noted", "rec_id"])
+    # Landed in several files and played in several batches, each of which has rows of many targets.
+    out = jobs.live_state(
+        t.spark, _landed(t, log.repartition(4), "journal"), log.schema, scratch_path(t.spark, "state"), _ck(t), key="target_id", order=["noted", "rec_id"],
+        max_files=1, buckets=16, max_layers=2,
+    )
     return out.select("target_id", "rec_id", "label", "is_auto")
 
 
@@ -50,14 +54,21 @@ def _(t):
 
 @workload(
     "stream_activity", "R4",
-    "WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
+    # A twentieth of the events of the first two thirds of the time arrives after all others; windows count them as late where the watermark had passed.
+    "WITH e AS (SELECT ts, event_type, event_id % 20 = 7 AND ts < (SELECT min(ts) + (max(ts) - min(ts)) * 2 / 3 FROM events) AS slow FROM events), m AS (SELECT max(ts) FILTER (NOT slow) - INTERVAL 2 HOUR AS seen, max(ts) - INTERVAL 2 HOUR AS done FROM e), "
+    "w AS (SELECT date_trunc('hour', ts) AS start, event_type, slow AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= seen AS late, done FROM e, m) "
+    "SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS late, CASE WHEN start + INTERVAL 1 HOUR <= done THEN 'final' ELSE 'provisional' END AS state FROM w GROUP BY start, event_type, done",
 )
 def _(t):
-    e = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    stream = jobs.read_stream(t.spark, _landed(t, e, "activity"), e.schema)
-    counted = jobs.activity(stream, time="ts", width="1 hour", lateness="2 hours", by=["event_type"])
-    out = jobs.drain_to_table(counted, scratch_path(t.spark, "windows"), _ck(t))
-    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+    e = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id")
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    slow = (F.col("event_id") % 20 == 7) & (F.col("ts") < F.lit(first + (last - first) * 2 / 3))
+    path, base, progress = scratch_path(t.spark, "activity"), scratch_path(t.spark, "windows"), _ck(t)
+    for part in (e.where(~slow), e.where(slow)):
+        part.select("ts", "event_type").write.mode("append").parquet(path)
+        stream = jobs.read_stream(t.spark, path, e.drop("event_id").schema)
+        out = jobs.activity_windows(stream, base, progress, time="ts", width="1 hour", lateness=7200, by=["event_type"], buckets=16)
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "late", "state")
 
 
 @workload("stream_label_counters", "R5", f"WITH {cte('log')} SELECT label, count(*) AS n, count(*) FILTER (is_auto) AS auto FROM log GROUP BY label")
