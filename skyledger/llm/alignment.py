@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -42,15 +41,6 @@ def byte_values() -> dict[str, int]:
     return out | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Stretch:
-    """What a closed stretch yields. `pairs` has one packed (A id, B id) per link."""
-
-    __slots__ = ("groups", "n_a", "n_b", "n_groups", "pairs")
-
-    def __init__(self, groups: str, n_a: int, n_b: int, n_groups: int, pairs: tuple[int, ...]):
-        self.groups, self.n_a, self.n_b, self.n_groups, self.pairs = groups, n_a, n_b, n_groups, pairs
-
-
 class Aligner:
     """Both tokenizers, with the stretches met so far; kept once a Python worker."""
 
@@ -76,8 +66,13 @@ class Aligner:
             raise ValueError("too many pieces for packed pairs")
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("pieces that reach over a blank cannot be parted at blanks")
-        self.known: dict[str, Stretch | None] = {}
-        self.room = 200_000
+        self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        # Ids as text with the mark that follows them: more of the same side, the other side, the next group, the end.
+        self.shown_a = [[f"{i}{mark}" for i in range(size)] for mark in (",", "|", "", "")]
+        self.shown_b = [[f"{i}{mark}" for i in range(len(pieces))] for mark in (",", "", ";", "")]
+        self.room = 300_000
+        self.forget()
 
     @classmethod
     def load(cls, path_a: str, path_b: str) -> "Aligner":
@@ -85,122 +80,168 @@ class Aligner:
             cls._loaded[path_a, path_b] = cls(path_a, path_b)
         return cls._loaded[path_a, path_b]
 
-    def prepare(self, texts: list[str]) -> None:
+    def forget(self) -> None:
+        """Empty the table of stretches: number by text, groups as text, (A tokens, B tokens, groups, links, first link, good) and all links."""
+        self.known: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.facts = np.zeros((6, 1024), np.int64)
+        self.links = np.zeros(8192, np.int64)
+        self.used = 0
+
+    def prepare(self, parted: list[list[str]]) -> None:
         """Learn the stretches of several texts in one call; what was learned before is forgotten once there is too much of it."""
         if len(self.known) > self.room:
-            self.known = {}
-        self.learn(set(chain.from_iterable(PLACE.split(t) for t in texts)))
+            self.forget()
+        self.learn(set(chain.from_iterable(parted)))
 
-    def learn(self, stretches) -> dict[str, Stretch | None]:
-        """Stretches by their text; None where the bytes of the tokens are not those of the blank and the stretch."""
+    def learn(self, stretches) -> None:
         new = [s for s in stretches if s not in self.known]
         if not new:
-            return self.known
-        ids_a = self.a.encode_batch_fast([" " + s for s in new], add_special_tokens=False)
+            return
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in new], add_special_tokens=False)]
         ids_b = self.b.encode(new, num_threads=1)
-        for s, a, b in zip(new, ids_a, ids_b):
-            self.known[s] = self.align((" " + s).encode(), a.ids, b)
-        return self.known
-
-    def align(self, data: bytes, ids_a: list[int], ids_b: list[int]) -> Stretch | None:
-        parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(parts_a) != data or b"".join(parts_b) != data:
-            return None
-        groups, pairs, i, j, first_a, first_b = [], [], 0, 0, 0, 0
-        end_a = len(parts_a[0]) if parts_a else 0
-        end_b = len(parts_b[0]) if parts_b else 0
-        while i < len(ids_a):
-            pairs.append(ids_a[i] << SHIFT | ids_b[j])
-            at = min(end_a, end_b)
-            if end_a == end_b:
-                groups.append(",".join(map(str, ids_a[first_a : i + 1])) + "|" + ",".join(map(str, ids_b[first_b : j + 1])))
-                first_a, first_b = i + 1, j + 1
-            if end_a == at:
-                i += 1
-                end_a += len(parts_a[i]) if i < len(parts_a) else 0
-            if end_b == at:
-                j += 1
-                end_b += len(parts_b[j]) if j < len(parts_b) else 0
-        return Stretch(";".join(groups), len(ids_a), len(ids_b), len(groups), tuple(pairs))
+        good = [
+            b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])
+            for a, b, data in zip(ids_a, ids_b, [(" " + s).encode() for s in new])
+        ]
+        none: list[int] = []
+        first = len(self.known)
+        for k, s in enumerate(new):
+            self.known[s] = first + k
+            if not good[k]:
+                ids_a[k] = ids_b[k] = none
+        groups, counts, links = self.align(ids_a, ids_b)
+        self.groups += groups
+        while self.facts.shape[1] < first + len(new):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)], axis=1)
+        here = slice(first, first + len(new))
+        self.facts[:4, here] = counts
+        self.facts[4, here] = self.used + np.cumsum(counts[3]) - counts[3]
+        self.facts[5, here] = good
+        while len(self.links) < self.used + len(links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        self.links[self.used : self.used + len(links)] = links
+        self.used += len(links)
+
+    def align(self, ids_a: list[list[int]], ids_b: list[list[int]]):
+        """Groups as text, (A tokens, B tokens, groups, links) and all links, for the tokens of several stretches with equal bytes on both sides."""
+        n_a, n_b = np.array([len(x) for x in ids_a], np.int64), np.array([len(x) for x in ids_b], np.int64)
+        a, b = np.fromiter(chain.from_iterable(ids_a), np.int64, n_a.sum()), np.fromiter(chain.from_iterable(ids_b), np.int64, n_b.sum())
+        # The stretches lie one after another on one axis of bytes.
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        ends = np.union1d(end_a, end_b)
+        links = a[np.searchsorted(end_a, ends)] << SHIFT | b[np.searchsorted(end_b, ends)]
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        owner_a, owner_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+        count = lambda e: np.bincount(owner_a[np.searchsorted(end_a, e)], minlength=len(n_a))
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        # All tokens in the order in which they are shown: by group, A before B.
+        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
+        side = (order >= len(a)).astype(np.int64)
+        group = np.concatenate([group_a, group_b])[order]
+        owner = np.concatenate([owner_a, owner_b])[order]
+        mark = np.full(len(order), 3)
+        if len(order):
+            same = group[1:] == group[:-1]
+            mark[:-1] = np.where(same, np.where(side[1:] == side[:-1], 0, 1), np.where(owner[1:] == owner[:-1], 2, 3))
+        tables = (self.shown_a, self.shown_b)
+        shown = [tables[s][m][i] for s, m, i in zip(side.tolist(), mark.tolist(), np.concatenate([a, b])[order].tolist())]
+        stops = np.cumsum(n_a + n_b).tolist()
+        groups = ["".join(shown[x:y]) for x, y in zip([0, *stops], stops)]
+        return groups, np.array([n_a, n_b, count(both), count(ends)]), links
 
 
 class Fragment:
     """A range of a text: cuts (whether it holds a place to part at), open prefix and suffix, and what is closed between them.
 
-    Without such a place the whole range is the prefix. `bad` tells that a closed stretch does not decode to its bytes.
+    Without such a place the whole range is the prefix. `keys` and `times` list links, a link as often as it was met or with its number;
+    `bad` tells that a closed stretch does not decode to its bytes.
     """
 
-    __slots__ = ("cuts", "prefix", "suffix", "groups", "n_a", "n_b", "n_groups", "pairs", "bad")
+    __slots__ = ("cuts", "prefix", "suffix", "groups", "n_a", "n_b", "n_groups", "keys", "times", "bad")
 
-    def __init__(self, cuts=False, prefix="", suffix="", groups=(), n_a=0, n_b=0, n_groups=0, pairs=None, bad=False):
-        self.cuts, self.prefix, self.suffix, self.groups = cuts, prefix, suffix, list(groups)
-        self.n_a, self.n_b, self.n_groups, self.pairs, self.bad = n_a, n_b, n_groups, pairs if pairs is not None else Counter(), bad
+    def __init__(self, cuts=False, prefix="", suffix="", bad=False):
+        self.cuts, self.prefix, self.suffix, self.bad = cuts, prefix, suffix, bad
+        self.n_a = self.n_b = self.n_groups = 0
+        self.groups: list[str] = []
+        self.keys: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
 
-    def close(self, aligner: Aligner, stretches: list[str]) -> None:
+    def close(self, aligner: Aligner, stretches: list[str]) -> "Fragment":
+        if not stretches:
+            return self
         known = aligner.known
-        if not all(s in known for s in stretches):
-            known = aligner.learn(set(stretches))
-        for s in stretches:
-            got = known[s]
-            if got is None:
-                self.bad = True
-                continue
-            self.groups.append(got.groups)
-            self.n_a += got.n_a
-            self.n_b += got.n_b
-            self.n_groups += got.n_groups
-            self.pairs.update(got.pairs)
+        try:
+            at = [known[s] for s in stretches]
+        except KeyError:
+            aligner.learn(set(stretches))
+            at = [known[s] for s in stretches]
+        self.groups += [aligner.groups[i] for i in at]
+        n_a, n_b, n_groups, n, start, good = aligner.facts[:, at]
+        self.n_a += int(n_a.sum())
+        self.n_b += int(n_b.sum())
+        self.n_groups += int(n_groups.sum())
+        self.bad |= not good.all()
+        total = int(n.sum())
+        if total:
+            self.keys.append(aligner.links[np.repeat(start - np.cumsum(n) + n, n) + np.arange(total)])
+            self.times.append(np.ones(total, np.int64))
+        return self
+
+    def follow(self, other: "Fragment") -> "Fragment":
+        """Take over what the other has closed."""
+        self.groups += other.groups
+        self.keys += other.keys
+        self.times += other.times
+        self.n_a += other.n_a
+        self.n_b += other.n_b
+        self.n_groups += other.n_groups
+        self.bad |= other.bad
+        return self
 
     @classmethod
-    def of(cls, aligner: Aligner, text: str) -> "Fragment":
-        # A blank at the edge of the range may be a place or not; it stays in an open part, as look-around finds nothing beyond the edge.
-        first, *rest = PLACE.split(text)
-        if not rest:
-            return cls(prefix=first)
-        out = cls(True, first, rest[-1])
-        out.close(aligner, rest[:-1])
-        return out
+    def of(cls, aligner: Aligner, parts: list[str]) -> "Fragment":
+        """The fragment of a range from its stretches, PLACE.split(range). A blank at the edge of the range may be a place or not; it stays in an open
+        part, as look-around finds nothing beyond the edge."""
+        if len(parts) == 1:
+            return cls(prefix=parts[0])
+        return cls(True, parts[0], parts[-1]).close(aligner, parts[1:-1])
 
     def joined(self, other: "Fragment", aligner: Aligner) -> "Fragment":
         """This range followed by the other."""
         middle = (self.suffix if self.cuts else self.prefix) + other.prefix
-        first, *rest = PLACE.split(middle)
-        out = Fragment(self.cuts or other.cuts or bool(rest), bad=self.bad or other.bad)
-        parts = [first, *rest]
+        parts = PLACE.split(middle)
+        out = Fragment(self.cuts or other.cuts or len(parts) > 1)
         if not out.cuts:
             out.prefix = middle
             return out
         out.prefix = self.prefix if self.cuts else parts.pop(0)
         out.suffix = other.suffix if other.cuts else parts.pop()
-        out.groups, out.n_a, out.n_b, out.n_groups, out.pairs = self.groups, self.n_a, self.n_b, self.n_groups, self.pairs
-        out.close(aligner, parts)
-        out.groups += other.groups
-        out.n_a += other.n_a
-        out.n_b += other.n_b
-        out.n_groups += other.n_groups
-        out.pairs.update(other.pairs)
-        return out
+        return out.follow(self).close(aligner, parts).follow(other)
 
     def whole(self, aligner: Aligner) -> "Fragment":
         """The fragment of a whole text: both open ends are closed by the ends of the text."""
-        first = Fragment(bad=self.bad)
-        first.close(aligner, [self.prefix])
-        first.groups += self.groups
-        first.n_a += self.n_a
-        first.n_b += self.n_b
-        first.n_groups += self.n_groups
-        first.pairs.update(self.pairs)
-        if self.cuts:
-            first.close(aligner, [self.suffix])
-        return first
+        out = Fragment().close(aligner, [self.prefix]).follow(self)
+        return out.close(aligner, [self.suffix]) if self.cuts else out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each pair once, with its number."""
+        if not self.keys:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, place = np.unique(np.concatenate(self.keys), return_inverse=True)
+        return keys, np.bincount(place, weights=np.concatenate(self.times), minlength=len(keys)).astype(np.int64)
 
     def row(self) -> tuple:
-        return self.cuts, self.prefix, self.suffix, ";".join(self.groups), self.n_a, self.n_b, self.n_groups, list(self.pairs), list(self.pairs.values()), self.bad
+        return self.cuts, self.prefix, self.suffix, ";".join(self.groups), self.n_a, self.n_b, self.n_groups, *self.pairs(), self.bad
 
     @classmethod
     def back(cls, r: dict) -> "Fragment":
-        groups = [r["groups"]] if r["groups"] else []
-        return cls(r["cuts"], r["prefix"], r["suffix"], groups, r["n_a"], r["n_b"], r["n_groups"], Counter(dict(zip(r["pairs"], r["times"]))), r["bad"])
+        out = cls(r["cuts"], r["prefix"], r["suffix"], r["bad"])
+        out.n_a, out.n_b, out.n_groups = r["n_a"], r["n_b"], r["n_groups"]
+        if r["groups"]:
+            out.groups = [r["groups"]]
+            out.keys, out.times = [np.array(r["pairs"], np.int64)], [np.array(r["times"], np.int64)]
+        return out
 
 
 _FRAGMENT = (
@@ -226,31 +267,37 @@ class _Block:
     """Aligned texts whose distinct pairs are listed once; texts refer to them by place."""
 
     def __init__(self, name: str, groups: bool):
-        self.name, self.groups, self.rows, self.keys, self.times, self.size = name, groups, [], [], [], 0
+        self.name, self.groups, self.rows, self.keys, self.times, self.owner, self.size = name, groups, [], [], [], [], 0
 
-    def add(self, doc_id, h, text: str, got: Fragment | None) -> None:
-        if got is None or got.bad or not text:
+    def add(self, doc_id, h, got: Fragment | None) -> None:
+        if got is None or got.bad:
             self.rows.append((doc_id, h, 0, 0, 0, 0, "" if self.groups else None, ""))
-            got = Fragment()
         else:
             shown = ";".join(got.groups)
-            links = sum(got.pairs.values())
+            links = sum(int(t.sum()) for t in got.times)
+            self.owner += [len(self.rows)] * len(got.keys)
             self.rows.append((doc_id, h, got.n_a, got.n_b, got.n_groups, links, shown if self.groups else None, hashlib.sha256(shown.encode()).hexdigest()))
-        self.keys.append(np.fromiter(got.pairs.keys(), np.int64, len(got.pairs)))
-        self.times.append(np.fromiter(got.pairs.values(), np.int32, len(got.pairs)))
-        self.size += len(got.pairs) + 8
+            self.keys += got.keys
+            self.times += got.times
+            self.size += sum(map(len, got.keys))
+        self.size += 8
 
     def batches(self, held: int = 1):
         """The texts, then one row that lists the pairs and how many texts of the block hold each (held: rows that each text stands for)."""
         if not self.rows:
             return
-        pairs, place = np.unique(np.concatenate(self.keys), return_inverse=True)
-        ends = np.cumsum([len(k) for k in self.keys])
+        join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+        pairs, place = np.unique(join(self.keys), return_inverse=True)
+        owner = np.repeat(np.array(self.owner, np.int64), [len(k) for k in self.keys])
+        both, at = np.unique(owner * max(1, len(pairs)) + place, return_inverse=True)
+        times = np.bincount(at, weights=join(self.times), minlength=len(both)).astype(np.int32)
+        owner, place = np.divmod(both, max(1, len(pairs)))
         counts = np.bincount(place, minlength=len(pairs)) * held
-        places = np.split(place.astype(np.int32), ends[:-1])
+        ends = np.searchsorted(owner, np.arange(1, len(self.rows)))
+        places, times = np.split(place.astype(np.int32), ends), np.split(times, ends)
         for a in range(0, len(self.rows), 512):
             z = slice(a, a + 512)
-            rows = [(self.name, d, h, *r, p, t, None, None) for (d, h, *r), p, t in zip(self.rows[z], places[z], self.times[z])]
+            rows = [(self.name, d, h, *r, p, t, None, None) for (d, h, *r), p, t in zip(self.rows[z], places[z], times[z])]
             yield _batch(rows, _ALIGNED)
         yield _batch([(self.name, None, None, 0, 0, 0, 0, None, None, None, None, pairs, counts)], _ALIGNED)
 
@@ -273,8 +320,9 @@ def _long_texts(docs: DataFrame, path_a: str, path_b: str, split: int, fan: int,
         aligner = Aligner.load(path_a, path_b)
         for batch in batches:
             for h, part, text in zip(*[batch.column(c).to_pylist() for c in ("h", "part", "text")]):
-                aligner.prepare([text])
-                yield _batch([(h, part, *Fragment.of(aligner, text).row())], _FRAGMENT)
+                parts = PLACE.split(text)
+                aligner.prepare([parts])
+                yield _batch([(h, part, *Fragment.of(aligner, parts).row())], _FRAGMENT)
 
     def level(batches):
         aligner = Aligner.load(path_a, path_b)
@@ -304,7 +352,7 @@ def _long_texts(docs: DataFrame, path_a: str, path_b: str, split: int, fan: int,
         for batch in batches:
             for r in batch.to_pylist():
                 block = _Block(r["h"], groups)
-                block.add(None, r["h"], "x", Fragment.back(r).whole(aligner))
+                block.add(None, r["h"], Fragment.back(r).whole(aligner))
                 yield from block.batches(r["copies"])
 
     return held.join(texts.select("h", "copies"), "h").mapInArrow(finish, _ALIGNED)
@@ -331,10 +379,11 @@ def align(docs: DataFrame, path_a: str, path_b: str, split: int = 1 << 16, fan:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = part.column("text").to_pylist()
-                aligner.prepare(texts)
-                for d, t in zip(part.column("doc_id").to_pylist(), texts):
-                    block.add(d, None, t, Fragment.of(aligner, t).whole(aligner) if t else None)
-                    if block.size > 500_000:
+                parted = [PLACE.split(t) for t in texts]
+                aligner.prepare(parted)
+                for d, t, parts in zip(part.column("doc_id").to_pylist(), texts, parted):
+                    block.add(d, None, Fragment.of(aligner, parts).whole(aligner) if t else None)
+                    if block.size > 1_000_000:
                         yield from block.batches()
                         number += 1
                         block = _Block(f"{task}-{number}", groups)
