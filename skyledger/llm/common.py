@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,19 @@ from pyspark.sql import functions as F
 
 from skyledger.session import cut, drop
 
-__all__ = ["cut", "drop", "grouped", "block_pairs", "remainder", "table", "tasks"]
+__all__ = ["cut", "drop", "grouped", "block_pairs", "remainder", "small_batches", "table", "tasks"]
+
+
+@contextmanager
+def small_batches(spark, rows: int = 1000):
+    """Texts travel to Python in batches of this many rows: a batch lies in memory several times on both sides, and a job of many stages keeps what it took."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
