@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm import bpe, decontam, minmax, pii, toxicity
-from skyledger.llm.common import cut, table
+from skyledger.llm.common import cut, small_batches, table
 from skyledger.llm.queries import tokenizer_path
 
 #: Tokenizing cannot be said in SQL; tests compare the whole with a brute-force version.
@@ -71,6 +71,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents through all stages, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
