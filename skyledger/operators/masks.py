@@ -142,17 +142,6 @@ def perimeter(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def dilate(merged: DataFrame, keys: Sequence[str], radius: int, width: int, height: int) -> DataFrame:
-    """Grow by a disc: every pixel whose centre is within `radius` of a mask pixel's centre."""
-    dy = F.col("_dy")
-    half = F.floor(F.sqrt(F.lit(radius * radius) - dy * dy))
-    grown = merged.withColumn("_dy", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).select(
-        *keys, (F.col("y") + dy).alias("y"), F.greatest(F.lit(0), F.col("x0") - half).alias("x0"),
-        F.least(F.lit(width), F.col("x1") + half).alias("x1"),
-    )
-    return merge_runs(grown.where(F.col("y").between(0, height - 1)), keys)
-
-
 def centre_hits(boxes: DataFrame, merged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Boxes whose rounded centre lies on the mask; rounding is half to even."""
     centre = lambda a, b: F.rint((F.col(a) + F.col(b)) / 2).cast("bigint")

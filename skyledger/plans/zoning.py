@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.operators import canvas as cv
 from skyledger.operators import masks as mk
 from skyledger.session import cut
 
@@ -159,16 +160,16 @@ def functional_zones(facility: DataFrame, band_seeds: DataFrame, roads: DataFram
     """
     keys = [image]
     ground = cut(mk.merge_runs(facility, keys), "facility")
-    bands = mk.retain_components(mk.intersect(band_seeds, ground, keys), keys, minimum)
-    reach = mk.dilate(bands, [image, "component"], between, width, height)
+    bands = cv.retain(mk.intersect(band_seeds, ground, keys), keys, minimum)
+    reach = cv.dilate(bands, [image, "component"], between, width, height)
     layers = ["facility", "band", "near"]
     named = lambda df, name: df.select(image, "y", "x0", "x1", F.lit(name).alias("layer"))
     stack = reduce(DataFrame.unionByName, [named(ground, "facility"), named(bands, "band"), named(reach, "near")])
     between_bands = (F.col("n_facility") > 0) & (F.col("n_band") == 0) & (F.col("n_near") >= 2)
-    aisles = mk.retain_components(mk.combine(stack, keys, "layer", layers, between_bands), keys, minimum)
-    road_side = mk.dilate(mk.merge_runs(roads, keys), keys, near, width, height)
-    entrances = mk.retain_components(mk.intersect(aisles, road_side, keys), keys, minimum)
-    inner = mk.retain_components(mk.subtract(aisles, entrances, keys), keys, minimum)
+    aisles = cv.retain(mk.combine(stack, keys, "layer", layers, between_bands), keys, minimum)
+    road_side = cv.dilate(mk.merge_runs(roads, keys), keys, near, width, height)
+    entrances = cv.retain(mk.intersect(aisles, road_side, keys), keys, minimum)
+    inner = cv.retain(mk.subtract(aisles, entrances, keys), keys, minimum)
     taken = reduce(DataFrame.unionByName, [df.select(image, "y", "x0", "x1") for df in (bands, inner, entrances)])
     unknown = mk.subtract(ground, taken, keys)
     return {"parking_band": bands, "internal_aisle": inner, "entrance_exit": entrances, "unknown_region": unknown, "facility": ground}
@@ -180,15 +181,15 @@ def zone_features(zone: DataFrame, facility: DataFrame, roads: DataFrame, bands:
     keys = [image]
     runs = cut(mk.merge_runs(zone, keys), "zone")
     shape = mk.measure(runs, keys, width, height).select(image, "area", "touches_border")
-    parts = mk.component_stats(mk.label_components(runs, keys), keys).groupBy(image).agg(
+    parts = mk.component_stats(cv.label(runs, keys), keys).groupBy(image).agg(
         F.count(F.lit(1)).alias("components"),
         F.sum((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))).alias("_boxes"),
     )
     outline = mk.perimeter(runs, keys).select(image, "compactness")
     ground = mk.merge_runs(facility, keys).groupBy(image).agg(F.sum(F.col("x1") - F.col("x0")).alias("_facility"))
-    beside = mk.dilate(mk.merge_runs(roads, keys), keys, near, width, height)
+    beside = cv.dilate(mk.merge_runs(roads, keys), keys, near, width, height)
     close = mk.overlap_areas(runs, beside, keys).select(image, "common")
-    around = mk.dilate(bands, [image, "component"], near, width, height)
+    around = cv.dilate(bands, [image, "component"], near, width, height)
     neighbours = mk.pair_overlaps(runs.withColumn("_z", F.lit(1)), around, keys, "_z", "component").groupBy(image).agg(
         F.countDistinct("component").alias("adjacent_bands")
     )

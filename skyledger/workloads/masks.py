@@ -271,9 +271,13 @@ def _zones(t):
     return zn.functional_zones(_layer(t, "facility"), _layer(t, "band"), _layer(t, "road"), image="image", width=W, height=H, between=5, near=2, minimum=6)
 
 
-@workload("functional_map", "M10 M11 E9", f"{ZONES} SELECT image, object_type, object_id, area FROM mp")
+@workload(
+    "functional_map", "M10 M11 E9",
+    f"{ZONES} SELECT image, object_type, object_id, area, CASE object_type WHEN 'parking_facility' THEN NULL WHEN 'parking_zone' THEN image::VARCHAR || ':facility' WHEN 'entrance_exit' THEN image::VARCHAR || ':facility' ELSE image::VARCHAR || ':zone' END AS parent_id, "
+    "CASE object_type WHEN 'parking_facility' THEN NULL WHEN 'parking_zone' THEN 'parking_facility' WHEN 'entrance_exit' THEN 'parking_facility' ELSE 'parking_zone' END AS parent_type, 'abstain' AS review_state FROM mp",
+)
 def _(t):
-    return zn.functional_map(_zones(t), image="image").select("image", "object_type", "object_id", "area")
+    return zn.functional_map(_zones(t), image="image")
 
 
 @workload(
@@ -291,13 +295,14 @@ def _(t):
     f"rd AS (SELECT DISTINCT image, y + dy AS y, x + dx AS x FROM px, (VALUES {_disc(2)}) o(dy, dx) WHERE layer = 'road'), nr AS (SELECT DISTINCT image, comp, y + dy AS y, x + dx AS x FROM bn, (VALUES {_disc(2)}) o(dy, dx)), "
     "bb AS (SELECT image, count(*) AS components, sum((mx - nx + 1) * (my - ny + 1)) AS boxes FROM (SELECT image, comp, max(x) AS mx, min(x) AS nx, max(y) AS my, min(y) AS ny FROM zc GROUP BY image, comp) GROUP BY image), "
     "ab AS (SELECT image, count(DISTINCT comp) AS adjacent_bands FROM z JOIN nr USING (image, y, x) GROUP BY image), rf AS (SELECT image, count(*) AS r FROM z SEMI JOIN rd USING (image, y, x) GROUP BY image), fa AS (SELECT image, count(*) AS f FROM fc GROUP BY image), "
-    "za AS (SELECT image, count(*) AS area, bool_or(y = 0 OR y = 39 OR x = 0 OR x >= 63) AS touches_border FROM z GROUP BY image) "
-    "SELECT image, area, round(area / f, 6) AS facility_fraction, components, round(area / boxes, 6) AS extent, coalesce(adjacent_bands, 0) AS adjacent_bands, round(coalesce(r, 0) / area, 6) AS road_fraction, touches_border FROM za JOIN bb USING (image) LEFT JOIN ab USING (image) LEFT JOIN rf USING (image) LEFT JOIN fa USING (image)",
+    "za AS (SELECT image, count(*) AS area, bool_or(y = 0 OR y = 39 OR x = 0 OR x >= 63) AS touches_border FROM z GROUP BY image), "
+    "zq AS (SELECT image, unnest([y - 1, y + 1, y, y]) AS ny, unnest([x, x, x - 1, x + 1]) AS nx FROM z), pe AS (SELECT zq.image, count(*) AS perimeter FROM zq ANTI JOIN z ON z.image = zq.image AND z.y = zq.ny AND z.x = zq.nx GROUP BY zq.image) "
+    "SELECT image, area, round(area / f, 6) AS facility_fraction, components, round(area / boxes, 6) AS extent, round(4 * pi() * area / pow(perimeter, 2), 6) AS compactness, coalesce(adjacent_bands, 0) AS adjacent_bands, round(coalesce(r, 0) / area, 6) AS road_fraction, touches_border FROM za JOIN bb USING (image) JOIN pe USING (image) LEFT JOIN ab USING (image) LEFT JOIN rf USING (image) LEFT JOIN fa USING (image)",
 )
 def _(t):
     fac = mk.merge_runs(_layer(t, "facility"), ["image"])
     out = zn.zone_features(_layer(t, "band"), fac, _layer(t, "road"), mk.label_components(fac, ["image"]), image="image", width=W, height=H, near=2)
-    return out.drop("compactness").withColumns({c: F.round(c, 6) for c in ("facility_fraction", "extent", "road_fraction")})
+    return out.withColumns({c: F.round(c, 6) for c in ("facility_fraction", "extent", "compactness", "road_fraction")})
 
 
 @workload(
