@@ -77,28 +77,16 @@ def is_closed(ring: Column) -> Column:
     return (first["x"] == last["x"]) & (first["y"] == last["y"])
 
 
-def edges(ring: Column) -> Column:
-    """Edges of a closed ring as ARRAY<STRUCT<i, ax, ay, bx, by>>."""
-    return F.transform(
-        F.sequence(F.lit(1), F.size(ring) - 1),
-        lambda i: F.struct(
-            i.alias("i"),
-            F.element_at(ring, i)["x"].alias("ax"), F.element_at(ring, i)["y"].alias("ay"),
-            F.element_at(ring, i + 1)["x"].alias("bx"), F.element_at(ring, i + 1)["y"].alias("by"),
-        ),
-    )
-
-
-def _turn(ax, ay, bx, by, cx, cy) -> Column:
+def turn(ax, ay, bx, by, cx, cy) -> Column:
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
-def _cross(e: Column, f: Column) -> Column:
+def segments_meet(e, f) -> Column:
     """Two segments meet: a proper crossing or an end point on the other segment."""
-    o1 = _turn(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"])
-    o2 = _turn(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"])
-    o3 = _turn(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"])
-    o4 = _turn(f["ax"], f["ay"], f["bx"], f["by"], e["bx"], e["by"])
+    o1 = turn(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"])
+    o2 = turn(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"])
+    o3 = turn(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"])
+    o4 = turn(f["ax"], f["ay"], f["bx"], f["by"], e["bx"], e["by"])
     sign = F.signum
     proper = (sign(o1) * sign(o2) < 0) & (sign(o3) * sign(o4) < 0)
 
@@ -113,54 +101,19 @@ def _cross(e: Column, f: Column) -> Column:
     return proper | touch
 
 
-def self_intersects(ring: Column) -> Column:
-    """Any two edges of a closed ring that are not neighbours meet."""
-    es = edges(ring)
-    n = F.size(ring) - 1
-    return F.exists(
-        es,
-        lambda e: F.exists(
-            es,
-            lambda f: (f["i"] > e["i"] + 1) & ~((e["i"] == 1) & (f["i"] == n)) & _cross(e, f),
-        ),
-    )
-
-
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """1 on the boundary, 0 inside, -1 outside a closed ring."""
-    es = edges(ring)
-    on = F.exists(
-        es,
-        lambda e: (F.abs(_turn(e["ax"], e["ay"], e["bx"], e["by"], x, y)) <= 1e-12)
-        & (x >= F.least(e["ax"], e["bx"])) & (x <= F.greatest(e["ax"], e["bx"]))
-        & (y >= F.least(e["ay"], e["by"])) & (y <= F.greatest(e["ay"], e["by"])),
-    )
-    crossings = F.size(
-        F.filter(
-            es,
-            lambda e: ((e["ay"] > y) != (e["by"] > y))
-            & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]),
-        )
-    )
-    return F.when(on, 1).when(crossings % 2 == 1, 0).otherwise(-1)
-
-
-def in_polygon(x: Column, y: Column, rings: Column) -> Column:
-    """Inside or on the boundary of the outer ring and neither inside nor on the boundary of a hole."""
-    outer = in_ring(x, y, F.element_at(rings, 1))
-    holes = F.slice(rings, 2, F.size(rings))
-    return (outer >= 0) & ~F.exists(holes, lambda h: in_ring(x, y, h) >= 0)
+def ring_ok(ring: Column) -> Column:
+    """A closed ring of at least four points."""
+    return (F.size(ring) >= 4) & is_closed(ring)
 
 
 def polygon_issues(kind: Column, polygons: Column) -> Column:
-    """Distinct structural issues of a Polygon or MultiPolygon given as polygons > rings > points."""
-    ring_issue = lambda ring: F.when((F.size(ring) < 4) | ~is_closed(ring), "unclosed_or_short_ring").when(
-        self_intersects(ring), "self_intersection"
-    )
+    """Distinct structural issues of a Polygon or MultiPolygon given as polygons > rings > points; whether edges meet takes a join (operators.rings)."""
     found = F.flatten(
         F.transform(
             polygons,
-            lambda rings: F.when(F.size(rings) == 0, F.array(F.lit("empty_polygon"))).otherwise(F.transform(rings, ring_issue)),
+            lambda rings: F.when(F.size(rings) == 0, F.array(F.lit("empty_polygon"))).otherwise(
+                F.transform(rings, lambda ring: F.when(~ring_ok(ring), "unclosed_or_short_ring"))
+            ),
         )
     )
     return (

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions import polygons as pg
 from skyledger.functions import tiles as tl
+from skyledger.operators import rings as rg
 from skyledger.operators.ordered import keep_last
 from skyledger.operators.sampling import limited
+from skyledger.session import cut
 
 # Map object types, the parents each may have, support levels.
 PARENT_TYPES = {
@@ -148,23 +151,32 @@ def topology_issues(features: DataFrame, order: Sequence[str]) -> DataFrame:
     shape = features.select(
         F.explode(pg.polygon_issues(F.col("geometry_type"), F.col("geometry"))).alias("issue"), "object_id"
     )
-    parents = keep_last(features.select("object_id", "object_type", "geometry", *order), ["object_id"], order).select(
-        F.col("object_id").alias("p_id"), F.col("object_type").alias("p_type"), F.col("geometry").alias("p_geometry")
+    # Features that share an id keep their rings apart.
+    open_rings = lambda rings: F.filter(rings, lambda r: pg.ring_ok(r) & ~rg.convex(r))
+    own = features.where(F.col("geometry_type").isin("Polygon", "MultiPolygon")).select(
+        F.struct("object_id", F.xxhash64("object_id", "geometry").alias("shape")).alias("id"),
+        F.filter(F.transform("geometry", open_rings), lambda rings: F.size(rings) > 0).alias("geometry"),
     )
+    own = own.where(F.size("geometry") > 0)
+    crossed = rg.self_intersections(rg.ring_edges(rg.gridded(own), "id"), ["id", "polygon", "ring"]).select(F.lit("self_intersection").alias("issue"), F.col("id.object_id").alias("object_id"))
+
     children = features.where(F.col("parent_id").isNotNull()).select("object_id", "parent_id", "parent_type", "geometry")
-    family = children.join(parents, F.col("parent_id") == F.col("p_id"), "left")
-    vertices = F.flatten(F.transform("geometry", lambda rings: F.flatten(F.transform(rings, lambda r: F.slice(r, 1, F.size(r) - 1)))))
-    outside = F.exists(
-        vertices, lambda v: ~F.exists(F.col("p_geometry"), lambda rings: pg.in_polygon(v["x"], v["y"], rings))
+    asked = children.select(F.col("parent_id").alias("object_id")).distinct()
+    parents = cut(
+        keep_last(features.join(asked, "object_id", "left_semi").select("object_id", "object_type", "geometry", *order), ["object_id"], order)
+        .select(F.col("object_id").alias("parent_id"), F.col("object_type").alias("p_type"), "geometry"), "parents",
     )
-    found = F.col("p_id").isNotNull()
-    checks = F.array_compact(F.array(
-        F.when(~found, "missing_parent"),
-        F.when(found & ~F.col("parent_type").eqNullSafe(F.col("p_type")), "parent_type_mismatch"),
-        F.when(found & outside, "child_outside_parent"),
-    ))
+    family = children.select("object_id", "parent_id", "parent_type").join(parents.select("parent_id", "p_type"), "parent_id", "left")
+    found = F.col("p_type").isNotNull()
+    checks = F.array_compact(F.array(F.when(~found, "missing_parent"), F.when(found & ~F.col("parent_type").eqNullSafe(F.col("p_type")), "parent_type_mismatch")))
     links = family.select(F.explode(checks).alias("issue"), "object_id")
-    return repeated.unionByName(shape).unionByName(links).distinct()
+    # Corners once a child and parent; the last point of a ring repeats its first.
+    corners = F.flatten(F.transform("geometry", lambda rings: F.flatten(F.transform(rings, lambda r: F.slice(r, 1, F.size(r) - 1)))))
+    points = children.select("object_id", "parent_id", F.explode(F.array_distinct(corners)).alias("p")).join(parents.select("parent_id"), "parent_id", "left_semi")
+    points = cut(points.select("parent_id", F.struct("object_id", "p.x", "p.y").alias("point"), "p.x", "p.y"), "corners")
+    inside = rg.points_inside(points, rg.gridded(parents), "parent_id", "point")
+    outside = points.join(inside, ["parent_id", "point"], "left_anti").select(F.lit("child_outside_parent").alias("issue"), F.col("point.object_id").alias("object_id"))
+    return reduce(DataFrame.unionByName, [repeated, shape, crossed, links, outside]).distinct()
 
 
 def topology_decision(issues: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from skyledger.functions import keys as k
 from skyledger.functions import polygons as pg
 from skyledger.functions import text as tx
 from skyledger.functions import tiles as tl
-from skyledger.operators import gates, geo, labels, masks, sampling
+from skyledger.operators import gates, geo, labels, masks, rings, sampling
 from skyledger.operators.arrangement import vehicle_rows
 from skyledger.plans import evidence, packages
 from skyledger.session import scratch_path
@@ -53,14 +53,17 @@ def test_polygons(spark):
     bow = ring((0, 0), (2, 2), (2, 0), (0, 2), (0, 0))
     square = ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))
     hole = ring((1, 1), (2, 1), (2, 2), (1, 2), (1, 1))
-    at = lambda x, y: pg.in_polygon(F.lit(float(x)), F.lit(float(y)), F.array(square, hole))
-    r = one(
-        spark, bow=pg.polygon_issues(F.lit("Polygon"), F.array(F.array(bow))), ok=pg.polygon_issues(F.lit("MultiPolygon"), F.array(F.array(square), F.array(hole))),
-        kind=pg.polygon_issues(F.lit("Point"), F.array(F.array(bow))), open=pg.polygon_issues(F.lit("Polygon"), F.array(F.array(ring((0, 0), (1, 0), (1, 1), (0, 1))))),
-        edge=at(4, 2), inside=at(3, 3), outside=at(5, 1), in_hole=at(1.5, 1.5), on_hole=at(1, 1.5), area=pg.area(square),
+    shape = lambda kind, *polygons: spark.range(1).select(
+        F.lit("s").alias("object_id"), F.lit(kind).alias("geometry_type"), F.array(*polygons).alias("geometry"), F.lit("parking_zone").alias("object_type"),
+        F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("parent_type"), F.lit(1).alias("pos"),
     )
-    assert r.bow == ["self_intersection"] and r.ok == [] and r.kind == ["unsupported_geometry_type"] and r.open == ["unclosed_or_short_ring"]
-    assert r.edge and r.inside and not r.outside and not r.in_hole and not r.on_hole and r.area == 16.0
+    issues = lambda *args: [r.issue for r in geo.topology_issues(shape(*args), ["pos"]).collect()]
+    assert issues("Polygon", F.array(bow)) == ["self_intersection"] and issues("MultiPolygon", F.array(square), F.array(hole)) == []
+    assert issues("Point", F.array(bow)) == ["unsupported_geometry_type"] and issues("Polygon", F.array(ring((0, 0), (1, 0), (1, 1), (0, 1)))) == ["unclosed_or_short_ring"]
+    spots = {"edge": (4, 2), "inside": (3, 3), "outside": (5, 1), "in_hole": (1.5, 1.5), "on_hole": (1, 1.5)}
+    asked = spark.createDataFrame([("s", k, float(x), float(y)) for k, (x, y) in spots.items()], "object_id string, point string, x double, y double")
+    inside = rings.points_inside(asked, rings.gridded(shape("Polygon", F.array(square, hole))), "object_id", "point")
+    assert {r.point for r in inside.collect()} == {"edge", "inside"} and one(spark, area=pg.area(square)).area == 16.0
 
 
 def test_tiles_round_trip_and_names(spark):
