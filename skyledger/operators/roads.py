@@ -40,13 +40,34 @@ def screen_ways(elements: DataFrame) -> DataFrame:
     return elements.withColumn("reason", reason).withColumn("width", F.when(F.col("reason").isNull(), width))
 
 
-def way_segments(usable: DataFrame, zoom, row, col) -> DataFrame:
-    """Consecutive points of usable ways as rounded pixel segments of a block (id, ax, ay, bx, by, thickness)."""
-    n = F.size("geometry")
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.element_at("geometry", i).alias("a"), F.element_at("geometry", i + 1).alias("b")))
-    rows = usable.withColumn("s", F.explode(pairs))
-    ends = {}
-    for p in ("a", "b"):
-        x, y = tl.lonlat_to_pixel(zoom, row, col, F.col(f"s.{p}.lon"), F.col(f"s.{p}.lat"))
-        ends[f"{p}x"], ends[f"{p}y"] = F.rint(x), F.rint(y)
-    return rows.withColumns({**ends, "thickness": F.col("width").cast("double")}).drop("s")
+def block_segments(usable: DataFrame, zoom: int, block: int = 1024, margin: float = 0.0, id_col: str = "id") -> DataFrame:
+    """Usable ways as pixel segments of every block that they reach: id, segment, block_row, block_col, ax, ay, bx, by (rounded, in the block's own pixels,
+    ends beyond its border included) and thickness (drawn width and margin).
+
+    Blocks are squares of `block` pixels on the pixel grid of a zoom. A segment is walked by rows of blocks: within a row only the part that lies at
+    most half the thickness outside it counts, and it names the columns; so a segment has as many rows as blocks near it.
+    """
+    corner = F.lit(0)
+    places = F.transform("geometry", lambda p: F.struct(*[F.rint(v).alias(c) for v, c in zip(tl.lonlat_to_pixel(F.lit(zoom), corner, corner, p["lon"], p["lat"]), "xy")]))
+    ways = usable.select(F.col(id_col).alias("id"), (F.col("width") + F.lit(margin)).cast("double").alias("thickness"), places.alias("p")).where(F.size("p") > 1)
+    pairs = F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("a"), F.slice("p", 2, F.size("p") - 1).alias("b"))
+    segments = ways.select("id", "thickness", F.posexplode(pairs).alias("segment", "s")).select("id", "segment", "thickness", *[F.col(f"s.{e}.{c}").alias(f"{e}{c}") for e in "ab" for c in "xy"])
+    ax, ay, bx, by, r = F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("thickness") / 2
+    side = F.lit(block)
+    rows = segments.withColumn("block_row", F.explode(F.sequence(F.floor((F.least(ay, by) - r) / side), F.floor((F.greatest(ay, by) + r) / side))))
+    share = lambda y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - ay) / (by - ay)))
+    at = lambda y, end: F.when(ay == by, end).otherwise(ax + (bx - ax) * share(y))
+    top = F.col("block_row") * side
+    near = rows.withColumns({"_p": at(top - r, ax), "_q": at(top + side + r, bx)})
+    columns = F.sequence(F.floor((F.least("_p", "_q") - r) / side), F.floor((F.greatest("_p", "_q") + r) / side))
+    placed = near.withColumn("block_col", F.explode(columns))
+    left = F.col("block_col") * side
+    return placed.select("id", "segment", "block_row", "block_col", (ax - left).alias("ax"), (ay - top).alias("ay"), (bx - left).alias("bx"), (by - top).alias("by"), "thickness")
+
+
+def road_runs(elements: DataFrame, zoom: int, block: int = 1024, margin: float = 0.0) -> DataFrame:
+    """Merged runs of all usable ways by block, from road elements."""
+    from skyledger.operators.masks import way_runs
+
+    usable = screen_ways(elements).where(F.col("reason").isNull())
+    return way_runs(block_segments(usable, zoom, block, margin), ["block_row", "block_col"], block, block)

@@ -351,3 +351,37 @@ def _(t):
         "CAST(o_custkey * 3 % 50 - 5 AS DOUBLE) AS by", "CAST(CASE o_orderstatus WHEN 'F' THEN 4.74 WHEN 'O' THEN 2.62 ELSE 6.86 END AS DOUBLE) AS thickness",
     )
     return mk.way_runs(sg, ["way"], W, H).groupBy("way").agg(_len().alias("pixels"), F.min("x0").alias("min_x"), F.max("y").alias("max_y"))
+
+
+ROADS = (
+    "w AS (SELECT o_orderkey AS id, CASE o_custkey % 4 WHEN 0 THEN 28 WHEN 1 THEN 10 WHEN 2 THEN 16 END AS width, 100 + o_orderkey % 1400 AS x, 100 + o_orderkey * 7 % 900 AS y, o_custkey % 41 - 20 AS dx, o_custkey % 31 - 15 AS dy, o_custkey % 19 = 0 AS bridge FROM orders), "
+    "s AS (SELECT width, x AS ax, y AS ay, x + dx AS bx, y + dy AS \"by\" FROM w WHERE width IS NOT NULL AND NOT bridge UNION ALL SELECT width, x + dx, y + dy, x + dx + 17, y + dy - 9 FROM w WHERE width IS NOT NULL AND NOT bridge), "
+    "g AS (SELECT s.*, unnest(range(least(ay, \"by\") - 15, greatest(ay, \"by\") + 16)) AS py FROM s), h AS (SELECT g.*, unnest(range(least(ax, bx) - 15, greatest(ax, bx) + 16)) AS px FROM g), "
+    "l AS (SELECT *, (bx - ax) * (bx - ax) + (\"by\" - ay) * (\"by\" - ay) AS l2 FROM h), q AS (SELECT *, CASE WHEN l2 > 0 THEN greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (\"by\" - ay)) / l2)) ELSE 0 END AS f FROM l), "
+    "p AS (SELECT DISTINCT px, py FROM q WHERE pow(px - ax - f * (bx - ax), 2) + pow(py - ay - f * (\"by\" - ay), 2) <= pow((width + 0.37) / 2, 2))"
+)
+
+
+@workload(
+    "road_runs", "M13 F5 S6 P9",
+    f"WITH {ROADS} SELECT py // 64 AS block_row, px // 64 AS block_col, count(*) AS pixels, min(px % 64) AS \"left\", max(py % 64) + 1 AS bottom FROM p GROUP BY ALL",
+)
+def _(t):
+    from skyledger.operators.roads import road_runs
+    from skyledger.session import scratch_path
+    from skyledger.sources.files import read_road_elements
+
+    # Road elements as they come: JSON with points in degrees; ways cross the borders of blocks of 64 pixels.
+    path = scratch_path(t.spark, "ways")
+    k = F.col("o_custkey")
+    highway = F.expr("CASE o_custkey % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'service' WHEN 2 THEN 'residential' ELSE 'footway' END")
+    tags = F.map_filter(F.create_map(F.lit("highway"), highway, F.lit("bridge"), F.when(k % 19 == 0, "yes")), lambda _, v: v.isNotNull())
+    x, y = 100 + F.col("o_orderkey") % 1400, 100 + F.col("o_orderkey") * 7 % 900
+    dx, dy = k % 41 - 20, k % 31 - 15
+    point = lambda px, py: F.struct(((px + 0.25) / 16384 * 360 - 180).alias("lon"), (90 - (py + 0.25) / 8192 * 180).alias("lat"))
+    element = F.struct(F.lit("way").alias("type"), F.col("o_orderkey").alias("id"), tags.alias("tags"), F.array(point(x, y), point(x + dx, y + dy), point(x + dx + 17, y + dy - 9)).alias("geometry"))
+    t.orders.select(F.to_json(F.struct(F.array(element).alias("elements"))).alias("value")).write.text(path)
+    runs = road_runs(read_road_elements(t.spark, path), zoom=5, block=64, margin=0.37)
+    return runs.groupBy(F.col("block_row").cast("bigint").alias("block_row"), F.col("block_col").cast("bigint").alias("block_col")).agg(
+        _len().alias("pixels"), F.min("x0").alias("left"), (F.max("y") + 1).alias("bottom")
+    )
