@@ -36,6 +36,7 @@ class Codec:
         tok.no_padding()
         self.tok, self.leaf = tok, leaf
         self.known: dict[str, list[int]] = {}
+        self.shown: dict[str, tuple[int, str, str]] = {}
         self.room = 500_000
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -55,25 +56,55 @@ class Codec:
         got = self.tok.encode(text, add_special_tokens=False)
         return got.ids, got.offsets
 
+    def digest(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """_digests of each text's ids, put together from what its stretches show, without listing the ids."""
+        parted, met, long = self._learn(texts)
+        shown, out = self.shown, []
+        for w in met:
+            if w in shown:
+                continue
+            ids = self.known.get(w)
+            ids = long[w] if ids is None else ids
+            shown[w] = (len(ids), " ".join([self.numbers[i] for i in ids]), " ".join([self.words[i] for i in ids]) if self.plain_decoder else "")
+        for text, words in zip(texts, parted):
+            parts = [shown[w] for w in words]
+            if self.plain_decoder:
+                decoded = " ".join([p[2] for p in parts if p[0]])
+            else:
+                decoded = self.tok.decode(self._flat(words, long), skip_special_tokens=False)
+            numbers = " ".join([p[1] for p in parts if p[0]])
+            out.append((sum([p[0] for p in parts]), hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+        # Stretches that are too long to keep were shown for these texts only.
+        for w in long:
+            del shown[w]
+        return out
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """ids of each text. Blanks and line breaks always part tokens, so a text's ids are those of the stretches between them, which are
         kept for as long as there is room; only stretches longer than a leaf need the tree."""
+        parted, _, long = self._learn(texts)
+        return [self._flat(words, long) for words in parted]
+
+    def _flat(self, words: list[str], long: dict[str, list[int]]) -> list[int]:
+        ids: list[int] = []
+        for w in words:
+            got = self.known.get(w)
+            ids += long[w] if got is None else got
+        return ids
+
+    def _learn(self, texts: list[str]) -> tuple[list[list[str]], set[str], dict[str, list[int]]]:
+        """The stretches of each text, all of them once, and the ids of those that are too long to keep."""
         parted = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > self.room:
             self.known.clear()
-        new = [w for w in set().union(*parted) if w not in self.known] if parted else []
+            self.shown.clear()
+        met = set().union(*parted)
+        new = [w for w in met if w not in self.known]
         short = [w for w in new if len(w) <= self.leaf]
         known = self.known
         known.update(zip(short, (e.ids for e in self.tok.encode_batch_fast(short, add_special_tokens=False))))
         long = {w: self.tree(w)[0] for w in new if len(w) > self.leaf}
-        out = []
-        for words in parted:
-            ids: list[int] = []
-            for w in words:
-                got = known.get(w)
-                ids += long[w] if got is None else got
-            out.append(ids)
-        return out
+        return parted, met, long
 
     def tree(self, text: str, base: int = 0):
         """ids and spans (from `base` on) of text, by halves."""
@@ -228,6 +259,23 @@ def digests(coded: DataFrame, path: str, leaf: int = 4096, ids: str = "ids") ->
     return coded.select("doc_id", ids).mapInArrow(_batched(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded_digests(docs: DataFrame, path: str, leaf: int = 4096, split: int = 1 << 17) -> DataFrame:
+    """digests(encode(docs)) in one pass over the texts up to `split` code points: their ids are never listed. Other columns are left out."""
+    docs = docs.select("doc_id", "text")
+    long = F.length(F.coalesce(F.col("text"), F.lit(""))) > split
+
+    def short(batch):
+        codec = Codec.load(path, leaf)
+        got = codec.digest(batch.column("text").fill_null("").to_pylist()) if batch.num_rows else []
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+    near = docs.where(~long).mapInArrow(_batched(short), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return near.unionByName(digests(encode(docs.where(long), path, leaf, split), path, leaf))
+
+
 def decode(coded: DataFrame, path: str, leaf: int = 4096, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Encoded documents with the text that their ids stand for, special tokens included; a column that is called like it gives way."""
     coded = coded.drop(out)

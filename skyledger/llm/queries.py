@@ -59,8 +59,7 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_bpe_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 @query

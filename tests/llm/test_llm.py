@@ -365,6 +365,7 @@ def test_tokens(spark, docs, rows):
     for leaf, split in ((4096, 1 << 17), (64, 500)):
         coded = bpe.encode(docs, path, leaf=leaf, split=split)
         got = bpe.digests(coded, path, leaf=leaf).collect()
+        assert sorted(map(str, got)) == sorted(map(str, bpe.encoded_digests(docs, path, leaf=leaf, split=split).collect()))
         assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     again = bpe.decode(coded, path).select("ids", "decoded").collect()
     assert all(r.decoded == tok.decode(r.ids, skip_special_tokens=False) for r in again)
@@ -508,7 +509,7 @@ def test_empty_tables(spark):
     assert quality.quality(docs, labels).count() == 0
     assert pii.find(docs).count() == 0
     assert suffixes.remove_repeats(docs).count() == 0
-    assert bpe.encode(docs, tokenizer_path()).count() == 0
+    assert bpe.encode(docs, tokenizer_path()).count() == 0 and bpe.encoded_digests(docs, tokenizer_path()).count() == 0
     assert lattice.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert decontam.leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
