@@ -55,7 +55,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the text that the ids decode to."""
     path = tokenizer_path()
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
+    # Written between the two: a task that encodes and decodes keeps two Python workers with a tokenizer each.
+    coded = cut(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), "coded")
     return bpe.decode(coded, path).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
