@@ -12,7 +12,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from skyledger.llm import alignment, dialogue, secrets
 from skyledger.llm.queries import tokenizer_path
