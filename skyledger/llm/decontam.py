@@ -5,7 +5,9 @@ count. A text of n bytes holds floor(n / 8) aligned pieces of eight bytes, of wh
 diagonals that lie at most d apart; windows without that many are out of reach and are not embedded. The item-sized
 windows on the diagonals that remain are embedded by CGK random walks, which turn edit distance into Hamming distance,
 and hashed by repeated samples of embedded places; a window that meets its item in any of them is verified by exact edit
-distance. The number of repetitions follows from the recall asked for.
+distance. Every repetition belongs to one of several independent walks, since a walk that an edit throws off may stay off;
+how many repetitions a walk needs for the recall asked for is measured on edited copies of the items themselves. Items too
+short for pieces are compared whole, on word borders.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.words import LOWER, SPACE, mix, pieces
+from skyledger.llm.words import LOWER, SPACE, mix, pieces, span_hashes, word_spans
 
 PIECE = 8
 _BITS = 22
-_STEP_SEED = np.random.default_rng(11).integers(0, 1 << 62, 4, dtype=np.uint64)
+#: A walk moves on in every second step, so it reads n bytes in about 2n steps: places up to here are written while it still reads.
+READ = 1.8
+#: Items whose edited copies tell how far walks part.
+MEASURED = 64
 
 
 def normal(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,29 +95,37 @@ def within(item: bytes, text: bytes, most: int) -> bool:
 class Items:
     """A block of benchmark items: their pieces, embeddings' samples, and limits."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], rate: float, recall: float, drift: float, sampled: int):
+    def __init__(self, rows: list[tuple[int, bytes]], rate: float, sampled: int, walks: int, per_walk: int, least_bytes: int):
         self.rows = rows
         self.limit = [int(rate * len(t)) for _, t in rows]
         self.need = np.array([max(1, len(t) // PIECE - d) for (_, t), d in zip(rows, self.limit)])
         keys, owner, place = [], [], []
         for k, (_, t) in enumerate(rows):
-            for at in range(0, len(t) - PIECE + 1, PIECE):
-                keys.append(t[at : at + PIECE])
-                owner.append(k)
-                place.append(at)
+            if len(t) >= least_bytes:
+                for at in range(0, len(t) - PIECE + 1, PIECE):
+                    keys.append(t[at : at + PIECE])
+                    owner.append(k)
+                    place.append(at)
         keys = np.frombuffer(b"".join(keys), dtype="<u8")
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner, self.place = keys[order], np.array(owner, dtype=np.int64)[order], np.array(place, dtype=np.int64)[order]
         self.seen = np.zeros(1 << _BITS, dtype=bool)
         self.seen[self.spot(self.keys)] = True
-        # A sample of `sampled` places agrees with the chance (1 - drift)^sampled; repetitions reach the recall.
-        meet = (1 - drift) ** sampled
-        times = max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
-        self.walks = min(4, times)
-        self.per_walk = math.ceil(times / self.walks)
-        self.sampled, self.seed = sampled, 11
+        self.sampled, self.walks, self.per_walk, self.seed = sampled, walks, per_walk, 11
         self.signs: dict[int, np.ndarray] = {}
         self.coins: list[list[np.ndarray]] = [[] for _ in range(self.walks)]
+        # Short items by their number of words: hashes in order, and whose they are.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by_words: dict[int, list[int]] = {}
+        for k, (_, t) in enumerate(rows):
+            if 0 < len(t) < least_bytes:
+                by_words.setdefault(t.count(b" ") + 1, []).append(k)
+        for n, own in by_words.items():
+            ends = np.cumsum([len(rows[k][1]) for k in own])
+            hashes = span_hashes(np.frombuffer(b"".join(rows[k][1] for k in own), dtype=np.uint8), np.append(0, ends[:-1]), ends)
+            by_hash = np.argsort(hashes, kind="stable")
+            self.short[n] = hashes[by_hash], np.array(own)[by_hash]
+        self.short_most = least_bytes - 1
 
     def sign(self, wanted: list[int]) -> np.ndarray:
         """The samples of items, made when windows near them turn up."""
@@ -127,31 +140,37 @@ class Items:
         with np.errstate(over="ignore"):
             return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)
 
-    def samples(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Sampled places of the texts' CGK embeddings, hashed: a row a text, a column a repetition.
+    def walked(self, texts: list[np.ndarray], w: int) -> np.ndarray:
+        """The texts' CGK embeddings by walk w, a column a text.
 
-        Walk step j writes the current byte and moves on by a random bit that depends on j and the byte; past the end it
-        writes 0. A text of n bytes is embedded into 3n places, of which each repetition reads `sampled`.
+        Step j writes the current byte and moves on by a random bit that depends on j and the byte; past the end it writes 0.
         """
         n = np.array([len(t) for t in texts])
         row = np.arange(len(texts))
         padded = np.zeros((len(texts), n.max() + 1), dtype=np.uint8)
         for r, t in enumerate(texts):
             padded[r, : len(t)] = t
+        written = np.zeros((int(READ * int(n.max())) + 1, len(texts)), dtype=np.uint8)
+        at = np.zeros(len(texts), dtype=np.int64)
+        for j in range(len(written)):
+            if len(self.coins[w]) <= j:
+                with np.errstate(over="ignore"):
+                    step = mix(np.array([self.seed * 65_537 + w], dtype=np.uint64)) + np.uint64(256 * j) + np.arange(256, dtype=np.uint64)
+                    self.coins[w].append((mix(step) & np.uint64(1)).astype(np.int64))
+            c = padded[row, at]
+            written[j] = c
+            at = np.minimum(at + self.coins[w][j][c], n)
+        return written
+
+    def samples(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Sampled places of the texts' embeddings, hashed: a row a text, a column a repetition; a repetition reads `sampled` places."""
+        n = np.array([len(t) for t in texts])
+        row = np.arange(len(texts))
         out = []
         for w in range(self.walks):
-            rng = np.random.default_rng([self.seed, w])
-            share = rng.random((self.per_walk, self.sampled))
-            places = (share[None] * (3 * n)[:, None, None]).astype(np.int64)
-            written = np.zeros((3 * int(n.max()), len(texts)), dtype=np.uint8)
-            at = np.zeros(len(texts), dtype=np.int64)
-            for j in range(len(written)):
-                if len(self.coins[w]) <= j:
-                    with np.errstate(over="ignore"):
-                        self.coins[w].append((mix(_STEP_SEED[w] + np.uint64(256 * j) + np.arange(256, dtype=np.uint64)) & np.uint64(1)).astype(np.int64))
-                c = padded[row, at]
-                written[j] = c
-                at = np.minimum(at + self.coins[w][j][c], n)
+            share = np.random.default_rng([self.seed, w]).random((self.per_walk, self.sampled))
+            places = (share[None] * (READ * n)[:, None, None]).astype(np.int64)
+            written = self.walked(texts, w)
             total = np.full((len(texts), self.per_walk), w + 1, dtype=np.uint64)
             with np.errstate(over="ignore"):
                 for k in range(self.sampled):
@@ -159,6 +178,34 @@ class Items:
             out.append(total)
         return np.concatenate(out, axis=1)
 
+    def agreement(self, ones: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+        """Share of the read places where the embeddings of two texts of one length agree: a row a walk, a column a pair."""
+        out = np.zeros((self.walks, len(ones)))
+        for w in range(self.walks):
+            same = self.walked(ones, w) == self.walked(others, w)
+            out[w] = [same[: max(1, int(READ * len(t))), i].mean() for i, t in enumerate(ones)]
+        return out
+
+    def whole(self, low: np.ndarray, offs: np.ndarray):
+        """(document, item, start, end, 0) of short items: their first place as whole words in each document."""
+        if not self.short:
+            return
+        s, e, first = word_spans(low, offs)
+        last = np.repeat(first[1:], np.diff(first))
+        for n, (hashes, owner) in self.short.items():
+            i = np.arange(max(0, len(s) - n + 1))
+            i = i[i + n <= last[: len(i)]]
+            i = i[e[i + n - 1] - s[i] <= self.short_most]
+            got = span_hashes(low, s[i], e[i + n - 1]) if len(i) else np.zeros(0, dtype=np.uint64)
+            at = np.minimum(np.searchsorted(hashes, got), len(hashes) - 1)
+            met: set[tuple[int, int]] = set()
+            for j in np.flatnonzero(hashes[at] == got):
+                a, b, k = int(s[i[j]]), int(e[i[j] + n - 1]), int(owner[at[j]])
+                d = int(np.searchsorted(offs, a, "right")) - 1
+                if (d, k) not in met and low[a:b].tobytes() == self.rows[k][1]:
+                    met.add((d, k))
+                    yield d, k, a - int(offs[d]), b - int(offs[d]), 0
+
     def hits(self, low: np.ndarray, offs: np.ndarray):
         """(document, item, diagonal) of every piece found in the batch, sorted."""
         n = len(low) - PIECE + 1
@@ -184,6 +231,7 @@ class Items:
 
     def matches(self, low: np.ndarray, offs: np.ndarray):
         """(document, item, start, end, distance) in the normal form: the nearest passage of each document and item."""
+        yield from self.whole(low, offs)
         found = self.hits(low, offs)
         if found is None or not len(found[0]):
             return
@@ -238,13 +286,41 @@ class Items:
                 yield d, k, best[1] - a, best[2] - a, best[0]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: float = 0.999, drift: float = 0.5, sampled: int = 4, least_bytes: int = 32, block: int = 10_000) -> DataFrame:
+def edited(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
+    """text after random edits, each the loss, change or repetition of a byte; changed bytes are the text's own."""
+    body = bytearray(text)
+    for at, how, other in zip(rng.random(edits), rng.integers(0, 3, edits), rng.integers(0, max(1, len(text)), edits)):
+        at = int(at * len(body))
+        body[at : at + 1] = [b"", text[other : other + 1], bytes(body[at : at + 1]) * 2][how]
+    return bytes(body)
+
+
+def repetitions(texts: list[bytes], rate: float, recall: float, sampled: int, walks: int) -> int:
+    """Repetitions a walk that let an item and the window that begins with its copy after rate * length edits meet with the chance
+    `recall`, measured on at most MEASURED of the texts; each is followed by another text where edits have shortened it."""
+    some = [t for t in texts if int(rate * len(t))]
+    some = some[:: max(1, -(-len(some) // MEASURED))]
+    if not some:
+        return 1
+    rng = np.random.default_rng(5)
+    copies = [(edited(t, int(rate * len(t)), rng) + u[::-1] + t)[: len(t)] for t, u in zip(some, some[1:] + some[:1])]
+    as_bytes = lambda ts: [np.frombuffer(t, dtype=np.uint8) for t in ts]
+    same = Items([], rate, sampled, walks, 1, 0).agreement(as_bytes(some), as_bytes(copies))
+    parted = np.log1p(-np.minimum(same, 1 - 1e-9) ** sampled).sum(axis=0)
+    for times in range(1, 65):
+        if 1 - np.exp(times * parted).mean() >= recall:
+            return times
+    return 64
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: float = 0.999, walks: int = 32, sampled: int = 6, least_bytes: int = 32, block: int = 10_000) -> DataFrame:
     """(doc_id, item_id, start, end, distance) of every document that holds a passage within rate * length edits of a
     benchmark item: its nearest passage for each item, as byte positions in the normal form.
 
     Items are the query set: they are taken in blocks of about `block` items (sent to the tasks, bounded by that number),
-    each against all documents. Null and empty texts and rows without id match nothing; items under least_bytes in normal form are
-    too short to be told from chance and are not searched. Equal items match alike; repeated rows give repeated results once.
+    each against all documents. Null and empty texts and rows without id match nothing; items under least_bytes in normal form
+    match where they stand unchanged as whole words (an edit would make many of them another word). Equal items match alike;
+    repeated rows give repeated results once.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
@@ -256,11 +332,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: floa
         rows: dict[bytes, list[int]] = {}
         for r in own.toLocalIterator():
             form = b" ".join(r["text"].encode().lower().split())
-            if len(form) >= least_bytes:
+            if form:
                 rows.setdefault(form, []).append(r["item_id"])
-        ids = [sorted(set(v)) for v in rows.values()]
-        sent = spark.sparkContext.broadcast((list(rows), ids))
-        parts.append(_search(wanted, sent, (rate, recall, drift, sampled)))
+        texts = sorted(rows)
+        ids = [sorted(set(rows[t])) for t in texts]
+        times = repetitions([t for t in texts if len(t) >= least_bytes], rate, recall, sampled, walks)
+        sent = spark.sparkContext.broadcast((texts, ids))
+        parts.append(_search(wanted, sent, (rate, sampled, walks, times, least_bytes)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

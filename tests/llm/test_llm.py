@@ -442,6 +442,8 @@ def test_decontamination(spark):
             text = text[:100] + "\n " + body.decode() + "  " + text[100:]
         rows.append((i, text))
     rows += [(None, items[0][1]), (90, None), (91, ""), (92, items[2][1]), (92, items[2][1]), (93, items[3][1][:-40])]
+    items += [(70, "Two  words"), (71, "two words"), (72, "x"), (73, "words two words")]
+    rows += [(94, "Two\nwords"), (95, "these two words two words"), (96, "twotwo wordss"), (97, "two"), (98, "words x two"), (99, "short short")]
     got = decontam.leaks(docs_frame(spark, rows), spark.createDataFrame([(*r, "c") for r in items], "item_id long, text string, doc_id string")).collect()
     form = lambda t: b" ".join((t or "").encode().lower().split())
     want = set()
@@ -452,12 +454,28 @@ def test_decontamination(spark):
                 d = edits(a, b)
                 if d <= len(a) // 10:
                     want.add((i, k, d))
+            elif i is not None and k is not None and a and b" " + a + b" " in b" " + b + b" ":
+                want.add((i, k, 0))
     assert {(r.doc_id, r.item_id, r.distance) for r in got} == want and len(got) == len(want) and len(want) > 15
     text = {i: form(t) for i, t in rows if i is not None}
     item = {k: form(t) for k, t in items if k is not None}
     assert all(edits(item[r.item_id], text[r.doc_id][r.start : r.end]) <= r.distance for r in got)
 
 
+def test_embedding_parts_near_from_far():
+    """Windows of edited items meet them in at least 0.98 of cases, unrelated windows are refused in at least 0.95."""
+    rng, dice = random.Random(19), np.random.default_rng(19)
+    texts = [prose(rng, rng.randint(18, 60)).lower().encode() for _ in range(120)]
+    times = decontam.repetitions(texts, 0.1, 0.999, 6, 32)
+    items = decontam.Items(list(enumerate(texts)), 0.1, 6, 32, times, 32)
+    as_bytes = lambda ts: [np.frombuffer(t, dtype=np.uint8) for t in ts]
+    own = items.samples(as_bytes(texts))
+    near = [(decontam.edited(t, len(t) // 10, dice) + b" and some more of it")[: len(t)].ljust(len(t), b"-") for t in texts]
+    far = [(texts[i - 1] * 9)[: len(t)] for i, t in enumerate(texts)]
+    assert (items.samples(as_bytes(near)) == own).any(axis=1).mean() >= 0.98
+    assert (items.samples(as_bytes(far)) == own).any(axis=1).mean() <= 0.05
+
+
 def test_bit_parallel_distance():
     rng = random.Random(9)
     for _ in range(200):
