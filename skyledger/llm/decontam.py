@@ -140,18 +140,23 @@ class Items:
         with np.errstate(over="ignore"):
             return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)
 
-    def walked(self, texts: list[np.ndarray], w: int) -> np.ndarray:
-        """The texts' CGK embeddings by walk w, a column a text.
-
-        Step j writes the current byte and moves on by a random bit that depends on j and the byte; past the end it writes 0.
-        """
+    @staticmethod
+    def laid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts as rows of one array that ends in zeros, and their lengths."""
         n = np.array([len(t) for t in texts])
-        row = np.arange(len(texts))
         padded = np.zeros((len(texts), n.max() + 1), dtype=np.uint8)
         for r, t in enumerate(texts):
             padded[r, : len(t)] = t
-        written = np.zeros((int(READ * int(n.max())) + 1, len(texts)), dtype=np.uint8)
-        at = np.zeros(len(texts), dtype=np.int64)
+        return padded, n
+
+    def walked(self, padded: np.ndarray, n: np.ndarray, w: int) -> np.ndarray:
+        """The texts' CGK embeddings by walk w, a column a text.
+
+        Step j writes the current byte and moves on by a random bit that depends on j and the byte; past the end it writes 0.
+        """
+        row = np.arange(len(n))
+        written = np.zeros((int(READ * int(n.max())) + 1, len(n)), dtype=np.uint8)
+        at = np.zeros(len(n), dtype=np.int64)
         for j in range(len(written)):
             if len(self.coins[w]) <= j:
                 with np.errstate(over="ignore"):
@@ -162,27 +167,41 @@ class Items:
             at = np.minimum(at + self.coins[w][j][c], n)
         return written
 
+    def sample(self, padded: np.ndarray, n: np.ndarray, w: int) -> np.ndarray:
+        """Sampled places of the embeddings by walk w, hashed: a row a text, a column a repetition of `sampled` places."""
+        share = np.random.default_rng([self.seed, w]).random((self.per_walk, self.sampled))
+        places = (share[None] * (READ * n)[:, None, None]).astype(np.int64)
+        written = self.walked(padded, n, w)
+        total = np.full((len(n), self.per_walk), w + 1, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(self.sampled):
+                total = mix(total * np.uint64(0xD6E8FEB86659FD93) + written[places[:, :, k], np.arange(len(n))[:, None]].astype(np.uint64))
+        return total
+
     def samples(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Sampled places of the texts' embeddings, hashed: a row a text, a column a repetition; a repetition reads `sampled` places."""
-        n = np.array([len(t) for t in texts])
-        row = np.arange(len(texts))
-        out = []
+        """The samples of all walks, side by side."""
+        padded, n = self.laid(texts)
+        return np.concatenate([self.sample(padded, n, w) for w in range(self.walks)], axis=1)
+
+    def meet(self, windows: list[np.ndarray], owners: list[int]) -> np.ndarray:
+        """Which windows share a sample with their item. A window that has met it takes no further walk."""
+        padded, n = self.laid(windows)
+        wanted = self.sign(owners)
+        left = np.arange(len(windows))
         for w in range(self.walks):
-            share = np.random.default_rng([self.seed, w]).random((self.per_walk, self.sampled))
-            places = (share[None] * (READ * n)[:, None, None]).astype(np.int64)
-            written = self.walked(texts, w)
-            total = np.full((len(texts), self.per_walk), w + 1, dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(self.sampled):
-                    total = mix(total * np.uint64(0xD6E8FEB86659FD93) + written[places[:, :, k], row[:, None]].astype(np.uint64))
-            out.append(total)
-        return np.concatenate(out, axis=1)
+            if not len(left):
+                break
+            own = wanted[left, w * self.per_walk : (w + 1) * self.per_walk]
+            left = left[~(self.sample(padded[left], n[left], w) == own).any(axis=1)]
+        hit = np.ones(len(windows), dtype=bool)
+        hit[left] = False
+        return hit
 
     def agreement(self, ones: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
         """Share of the read places where the embeddings of two texts of one length agree: a row a walk, a column a pair."""
         out = np.zeros((self.walks, len(ones)))
         for w in range(self.walks):
-            same = self.walked(ones, w) == self.walked(others, w)
+            same = self.walked(*self.laid(ones), w) == self.walked(*self.laid(others), w)
             out[w] = [same[: max(1, int(READ * len(t))), i].mean() for i, t in enumerate(ones)]
         return out
 
@@ -264,7 +283,7 @@ class Items:
                 x, y = max(a, s), min(b, s + len(text))
                 window[x - s : y - s] = low[x:y]
                 windows.append(window)
-            hit = (self.samples(windows) == self.sign([k for _, k, _ in part])).any(axis=1)
+            hit = self.meet(windows, [k for _, k, _ in part])
             for (d, k, s), h in zip(part, hit):
                 if h:
                     met.setdefault((d, k), []).append(s)
