@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import remainder
+from skyledger.llm.common import cut, remainder
 from skyledger.llm.words import LOWER, mix, pieces, span_hashes, word_spans
 
 START = np.uint64(0x51AB7)
@@ -29,6 +29,9 @@ DISCOUNT = 0.75
 CLASS_DISCOUNT = 2.5
 #: Pairs that a class must have seen behind a word before they weigh as much as the pairs of both classes.
 TRUST = 30_000.0
+#: Copies are told by the least hash of so many words, under each of these seeds.
+SHINGLE = 5
+SEEDS = np.random.default_rng(31).integers(1, 1 << 62, 6, dtype=np.uint64)
 
 
 def _words(buf: np.ndarray, offs: np.ndarray):
@@ -149,18 +152,58 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
         used &= w[:-1] >= -1e-9
 
 
-def _chosen(labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """At most per_class labelled ids of each class, by a hash of the id."""
+def _least_shingles(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The least hash of each document's runs of SHINGLE words under each seed (of all its words when it has fewer; 0 without words)."""
+    out = np.zeros((len(SEEDS), len(first) - 1), dtype=np.uint64)
+    size = np.diff(first)
+    for n in range(1, SHINGLE + 1):
+        docs = np.flatnonzero(size >= SHINGLE if n == SHINGLE else size == n)
+        if not len(docs):
+            continue
+        many = size[docs] - n + 1
+        begin = np.cumsum(many) - many
+        at = np.repeat(first[:-1][docs] - begin, many) + np.arange(many.sum())
+        with np.errstate(over="ignore"):
+            run = np.zeros(len(at), dtype=np.uint64)
+            for k in range(n):
+                run = mix(run * np.uint64(0x9E3779B97F4A7C15) + words[at + k])
+            for r, seed in enumerate(SEEDS):
+                out[r, docs] = np.minimum.reduceat(mix(run + seed), begin)
+    return out
+
+
+def _chosen(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """At most per_class labelled ids of each class, by a hash of the id, of each group of copies about one.
+
+    Of rows of a class with equal least shingles one goes on, under each seed in turn; a near copy is left over only if it differs
+    under all of them. The passes carry ids and hashes, and are combined before they are shuffled.
+    """
     clean = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     one = clean.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("toxic"))
-    pick = lambda c: one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    names = [f"h{r}" for r in range(len(SEEDS))]
+
+    def run(batches):
+        for batch in batches:
+            for a, b, buf, offs in pieces(batch.column("text")):
+                words, _, first = _words(buf, offs)
+                least = _least_shingles(words, first).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(h) for h in least)], ["doc_id", *names])
+
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    left = texts.mapInArrow(run, "doc_id long, " + ", ".join(f"{h} long" for h in names)).join(one, "doc_id")
+    for h in names:
+        rest = [n for n in names if n != h]
+        held = F.min(F.struct(F.xxhash64("doc_id").alias("rank"), "doc_id", *rest)).alias("row")
+        left = left.groupBy("toxic", h).agg(held).select("toxic", h, "row.doc_id", *(f"row.{n}" for n in rest))
+    left = cut(left.select("doc_id", "toxic"), "sample")
+    pick = lambda c: left.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     return pick(0).unionByName(pick(1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1200):
-    """The pair of models and the logistic curve, learned from at most per_class documents of each class; None without both classes."""
+    """The pair of models and the logistic curve, learned from at most per_class documents of each class, copies left out; None without both classes."""
     spark = docs.sparkSession
-    ids = _chosen(labels, label, per_class)
+    ids = _chosen(docs, labels, label, per_class)
     # At most 2 * per_class ids: their number bounds the broadcast.
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     fold = (F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string")).cast("binary")) % 2).cast("int")
