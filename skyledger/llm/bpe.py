@@ -210,9 +210,10 @@ def encode(docs: DataFrame, path: str, leaf: int = 4096, split: int = 1 << 17, t
 
     near = docs.where(~long).mapInArrow(_batched(short), f"{kinds}, `{ids}` array<int>")
     # Repeated texts are encoded once.
-    tagged = docs.where(long).withColumn("_row", F.sha2(text, 256))
+    whole = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_whole")
+    tagged = docs.where(long).select(whole, F.sha2(text, 256).alias("_row"), F.col(text).alias("_text"))
     cut = F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / F.lit(split)).cast("int"))
-    parts = tagged.select("_row", F.col(text).alias("_text")).dropDuplicates(["_row"]).select("_row", F.posexplode(cut).alias("_part", "_p"), "_text")
+    parts = tagged.select("_row", "_text").dropDuplicates(["_row"]).select("_row", F.posexplode(cut).alias("_part", "_p"), "_text")
     part = parts.select("_row", "_part", F.expr(f"substring(_text, _part * {split} + 1, {split})").alias("_text")).repartition(tasks(docs), "_row", "_part")
 
     def one(batch):
@@ -242,7 +243,7 @@ def encode(docs: DataFrame, path: str, leaf: int = 4096, split: int = 1 << 17, t
         return pa.table({"_row": [key[0].as_py()], ids: pa.array([nodes[0][2][0]], pa.list_(pa.int32()))})
 
     met = coded.groupBy("_row").applyInArrow(meet, f"_row string, `{ids}` array<int>")
-    return near.unionByName(tagged.join(met, "_row").select(*keep, ids))
+    return near.unionByName(tagged.join(met, "_row").select(*[F.col("_whole").getField(c).alias(c) for c in keep], F.col(f"`{ids}`")))
 
 
 def digests(coded: DataFrame, path: str, leaf: int = 4096, ids: str = "ids") -> DataFrame:

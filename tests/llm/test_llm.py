@@ -539,6 +539,34 @@ def test_without_labels(spark):
     assert [r.score for r in quality.quality(docs, labelled(spark, [])).collect()] == [0.5, 0.5]
 
 
+def test_clashing_columns(spark):
+    rows = [(1, "write to ann@example.org " + "word " * 60, 7, 8, "s"), (2, None, None, None, None), (2, "", 1, 1, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int, _part int, _spans string")
+    got = bpe.encode(df, tokenizer_path(), leaf=64, split=100)
+    plain = {r.doc_id: r.ids for r in bpe.encode(df.select("doc_id", "text"), tokenizer_path()).where("doc_id = 1").collect()}
+    assert sorted((r.doc_id, r._row or 0, r._part or 0, r._spans or "") for r in got.collect()) == [(1, 7, 8, "s"), (2, 0, 0, ""), (2, 1, 1, "t")]
+    assert got.where("doc_id = 1").first().ids == plain[1]
+    kept = corpus_pipeline.redact_personal_data(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, (r.text or "")[:16], r._row or 0, r._spans or "") for r in kept.collect()) == [(1, "write to [email]", 7, "s"), (2, "", 0, ""), (2, "", 1, "t")]
+
+
+def test_toxicity_learns_from_one_of_each_group_of_copies(spark):
+    """A group of ordinary and one of toxic near copies fill neither class's sample; short and empty texts are told apart by all they hold."""
+    rng = random.Random(41)
+    base = prose(rng, 200).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(200)] = "other"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, prose(rng, 50)) for i in range(8)] + [(200, "a"), (201, "a"), (202, "b"), (203, ""), (204, None), (None, "c")]
+    marks = [(i, 1, int(i % 2 == 0 and i < 100), "") for i, _ in rows if i is not None]
+    ids = [r.doc_id for r in toxicity._chosen(docs_frame(spark, rows), labelled(spark, marks), "toxic", 1000).collect()]
+    assert sum(i < 60 for i in ids) <= 4 and {100 + i for i in range(8)} <= set(ids)
+    assert len(set(ids) & {200, 201}) == 1 and 202 in ids and len(set(ids) & {203, 204}) == 1 and None not in ids
+
+
 def test_pipeline(spark, tmp_path):
     from tokenizers import Tokenizer
 
