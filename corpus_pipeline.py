@@ -44,12 +44,14 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """All documents, with personal data replaced by its kind; n_chars follows."""
     spans = pii.find(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("found").alias("_spans")).dropDuplicates(["_id", "_key"])
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    both = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (key == spans["_key"]), "left")
-    text = F.when(F.col("_spans").isNotNull(), pii.redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    # The row travels as one value, so its column names cannot clash with those of the spans.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), key.alias("_of"))
+    both = rows.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_key")), "left")
+    text = F.when(F.col("_spans").isNotNull(), pii.redact(F.col("_row.text"), F.col("_spans"))).otherwise(F.col("_row.text"))
     shown = {"text": text}
     if "n_chars" in docs.columns:
-        shown["n_chars"] = F.when(F.col("_spans").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return both.select(*[shown.get(c, docs[c]).alias(c) for c in docs.columns])
+        shown["n_chars"] = F.when(F.col("_spans").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return both.select(*[shown.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
