@@ -100,7 +100,11 @@ class Pair:
             word_level.append(np.append(own * (1 - rest) / max(own.sum(), 1e-12), 0.0))
             down.append(rest * begun[c] / mass)
             pair_extra.append(np.append(firm[bi] * more[c] / np.maximum(held[c][bi], 1e-12), 0.0))
-        self.word_level, self.start_weight, self.pair_extra = word_level, np.append(1 - firm, 1.0), pair_extra
+        # Pairs and starts that add nothing answer like those never seen, so only the others are sent to the tasks.
+        speaks, known = (pair_extra[0][:-1] > 0) | (pair_extra[1][:-1] > 0), firm > 0
+        self.keys, self.starts = self.keys[speaks], self.starts[known]
+        self.word_level, self.start_weight = word_level, np.append(1 - firm[known], 1.0)
+        self.pair_extra = [np.append(x[:-1][speaks], 0.0) for x in pair_extra]
         self.down, self.shared = down, np.append(shared, unseen)
 
     @staticmethod
