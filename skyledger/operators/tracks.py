@@ -136,3 +136,25 @@ def gap_groups(points: DataFrame, keys: Sequence[str], position: str, order: Seq
     numbered = ordered_scan(stepped.drop("_before"), keys, order, total={"gap_group": "_new"}).drop("_new")
     sizes = numbered.groupBy(*keys, "gap_group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     return numbered.join(sizes, [*keys, "gap_group"])
+
+
+def link_facts(frames: DataFrame, instances: DataFrame, agents: DataFrame) -> DataFrame:
+    """Per scene: frames, instances and agents; instances without their frame or agent, instances whose frame is of another scene,
+    broken links; and whether the scene is accepted (none of these) or blocked.
+
+    frames (token, scene), instances (token, scene, frame_token, agent_token, prev, next), agents (token, scene).
+    """
+    f = frames.select(F.col("token").alias("frame_token"), F.col("scene").alias("_of_frame"), F.lit(True).alias("_frame"))
+    a = agents.select(F.col("token").alias("agent_token"), F.lit(True).alias("_agent"))
+    seen = instances.join(f, "frame_token", "left").join(a, "agent_token", "left")
+    broken = chain_breaks(instances).join(instances.select("token", "scene"), "token").groupBy("scene").agg(F.count(F.lit(1)).alias("chain_breaks"))
+    facts = seen.groupBy("scene").agg(
+        F.count(F.lit(1)).alias("instances"), F.count_if(F.col("_frame").isNull()).alias("missing_frame"),
+        F.count_if(F.col("_agent").isNull()).alias("missing_agent"), F.count_if(F.col("_of_frame") != F.col("scene")).alias("foreign_scene"),
+    )
+    count = lambda df, name: df.groupBy("scene").agg(F.count(F.lit(1)).alias(name))
+    joined = facts.join(count(frames, "frames"), "scene", "full").join(count(agents, "agents"), "scene", "full").join(broken, "scene", "left")
+    faults = ["missing_frame", "missing_agent", "foreign_scene", "chain_breaks"]
+    filled = joined.select("scene", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("frames", "instances", "agents", *faults)])
+    total = sum((F.col(c) for c in faults), F.lit(0))
+    return filled.withColumn("status", F.when(total == 0, "accepted").otherwise("blocked"))
