@@ -222,6 +222,17 @@ def golden_manifest_ok(approved: Column, reviewer: Column, approver: Column, app
     )
 
 
+def dataset_gates(audits: DataFrame, manifests: DataFrame, key: str, *, golden_required: bool = True, enforce: bool = True) -> DataFrame:
+    """Per dataset of `audits` (key, errors): whether its golden manifest counts, its errors with the missing manifest as one more, and
+    whether it is passed, failed, or failed and blocked. Of several manifests one that counts is enough."""
+    counts = golden_manifest_ok(F.col("approved"), F.col("reviewer"), F.col("approver"), F.col("approved_at"))
+    golden = manifests.groupBy(key).agg(F.bool_or(counts).alias("golden"))
+    seen = audits.join(golden, key, "left").withColumn("golden", F.coalesce("golden", F.lit(False)))
+    errors = F.col("errors") + F.when(F.lit(golden_required) & ~F.col("golden"), 1).otherwise(0)
+    status = F.when(errors > 0, "failed").otherwise("passed")
+    return seen.select(key, "golden", errors.alias("errors"), status.alias("status"), ((errors > 0) & F.lit(enforce)).alias("blocked"))
+
+
 def recovery_plan(summary: DataFrame) -> DataFrame:
     total = F.greatest(F.col("objects"), F.lit(1))
     removals = F.col("degenerate") + F.col("duplicates")

@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.functions import boxes as bx
 from skyledger.operators.components import components
+from skyledger.operators.ordered import nearest_rank
 from skyledger.session import cut, spread
 
 
@@ -142,6 +144,47 @@ def perimeter(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+#: Numbers of a mask that an audit ranks.
+AUDIT_METRICS = (
+    "mask_area", "components", "material_components", "largest_component_fraction", "mask_bbox_iou", "aabb_area", "aabb_background_fraction", "compactness",
+)
+
+
+def mask_geometry(merged: DataFrame, declared: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The audited numbers of every declared mask (keys, x1, y1, x2, y2); those without a pixel have nulls and empty = true."""
+    merged = cut(merged, "merged")
+    parts = mask_profile(label_components(merged, keys), keys)
+    frame = merged.groupBy(*keys).agg(
+        F.min("x0").alias("m1"), F.min("y").alias("n1"), F.max("x1").alias("m2"), (F.max("y") + 1).alias("n2")
+    )
+    line = perimeter(merged, keys).select(*keys, "compactness")
+    own = tuple(F.col(c).cast("double") for c in ("m1", "n1", "m2", "n2"))
+    area = bx.area(own)
+    facts = parts.join(frame, list(keys)).join(line, list(keys))
+    found = declared.join(facts, list(keys), "left")
+    return found.select(
+        *keys, F.col("mask_area").isNull().alias("empty"), "mask_area", "components", "material_components", "largest_component_fraction",
+        F.when(F.col("mask_area").isNotNull(), bx.iou(own, bx.box())).alias("mask_bbox_iou"),
+        F.when(F.col("mask_area").isNotNull(), area).alias("aabb_area"),
+        (1 - F.col("mask_area") / area).alias("aabb_background_fraction"), "compactness",
+    )
+
+
+def mask_audit_totals(geometry: DataFrame) -> DataFrame:
+    """How many masks were looked at, are empty, have several material parts, a largest part below 90 % or a box below 0.8 IoU."""
+    return geometry.agg(
+        F.count(F.lit(1)).alias("analyzed"), F.count_if("empty").alias("empty_masks"), F.count_if(F.col("material_components") > 1).alias("multiple_material_components"),
+        F.count_if(F.col("largest_component_fraction") < 0.9).alias("largest_component_below_90_percent"), F.count_if(F.col("mask_bbox_iou") < 0.8).alias("mask_bbox_iou_below_80_percent"),
+    )
+
+
+def mask_audit_quantiles(geometry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Nearest-rank quantiles of every metric in one ordered pass over (metric, value); empty masks have none."""
+    numbers = geometry.select(*keys, *[F.col(c).cast("double").alias(c) for c in AUDIT_METRICS])
+    long = numbers.unpivot(list(keys), list(AUDIT_METRICS), "metric", "value")
+    return nearest_rank(long, ["metric"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99})
+
+
 def centre_hits(boxes: DataFrame, merged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Boxes whose rounded centre lies on the mask; rounding is half to even."""
     centre = lambda a, b: F.rint((F.col(a) + F.col(b)) / 2).cast("bigint")

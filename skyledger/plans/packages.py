@@ -20,9 +20,19 @@ def unsigned_manifest(rows: DataFrame) -> DataFrame:
     """Counts for the manifest that two people still have to sign."""
     return rows.agg(
         F.count(F.lit(1)).alias("images"), F.count_if("risk").alias("risk_images"), F.lit(False).alias("approved"),
+        *[F.lit("").alias(c) for c in ("reviewer", "approver", "approved_at")],
     )
 
 
+def selection_summary(rows: DataFrame, density: str = "density", signature: str = "signature") -> DataFrame:
+    """Counts of a selection as rows (kind, value, images): all, the risky ones, and each density and signature."""
+    fact = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    facts = F.array_compact(F.array(
+        fact("images", F.lit("all")), F.when(F.col("risk"), fact("images", F.lit("risk"))), fact("density", F.col(density)), fact("signature", F.col(signature)),
+    ))
+    return rows.select(F.explode(facts).alias("f")).groupBy("f.kind", "f.value").agg(F.count(F.lit(1)).alias("images"))
+
+
 def acceptance_sheet(records: DataFrame, order: list, n: int = 30) -> DataFrame:
     """The first n shadow records with empty count cells for the reviewer to fill in."""
     cells = ["occupied_tp", "occupied_fp", "occupied_fn", "empty_tp", "empty_fp", "empty_fn", "critical_fp", "reviewer", "reviewed_at", "notes"]

@@ -139,10 +139,21 @@ def read_curve(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Names and sizes of files below a folder; their content is not read."""
+def list_files(spark: SparkSession, path: str, name_pattern: str = r"([^/]+)$") -> DataFrame:
+    """Names and sizes of files below a folder; their content is not read. name_pattern takes the name out of a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"))
+    return files.select(F.regexp_extract("path", name_pattern, 1).alias("name"), F.col("length").alias("size"))
+
+
+def list_blocks(spark: SparkSession, path: str, name_pattern: str = r"([^/]+)$") -> DataFrame:
+    """Block images below a folder with their fields and bounds; a folder without any is an error, other files are left out."""
+    from skyledger.functions import tiles as tl
+
+    found = list_files(spark, path, name_pattern).where(tl.is_block(F.col("name"))).withColumn("block", tl.parse_block(F.col("name")))
+    if found.isEmpty():
+        raise ValueError(f"no block images in {path}")
+    bounds = [c.alias(n) for c, n in zip(tl.block_bounds(F.col("block")), ("west", "south", "east", "north"))]
+    return found.select("name", "size", "block.zoom", "block.block_row", "block.block_col", *bounds)
 
 
 def file_kind(name: Column) -> Column:

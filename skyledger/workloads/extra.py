@@ -14,7 +14,7 @@ from skyledger.session import scratch_path
 from skyledger.streaming import jobs
 from skyledger.workloads.bindings import cte
 from skyledger.workloads.boxes import CROSS_PAIRS, D, MATCH_SQL, SPLIT, _first, _second
-from skyledger.workloads.registry import workload
+from skyledger.workloads.registry import WORKLOADS, workload
 
 DET = cte("detections")
 
@@ -142,11 +142,24 @@ def _(t):
     f"{ARR.format(k='k', src='ins')} SELECT cd.image, cd.part, coalesce(vehicle_count, 0) AS vehicle_count, round(coalesce(strength, 0), 5) AS strength FROM cd LEFT JOIN st ON st.k = cd.image * 10 + cd.part",
 )
 def _(t):
+    return _evidence(t).withColumn("strength", F.round("strength", 5))
+
+
+def _evidence(t):
     agreed = ag.agreed_detections(_first(t), _second(t), image="image_id", id_col="det_id", confidence="confidence")
     scaled = agreed.select(F.col("image_id").alias("image"), F.col("first_id").alias("det_id"), *[(F.col(c) / d).alias(c) for c, d in (("x1", 10), ("y1", 20), ("x2", 10), ("y2", 20))])
     candidates = t.layers.where("layer = 'facility'").select("image", "part", "y", "x0", "x1")
-    out = ev.image_evidence(scaled, candidates, image="image", mask="part", id_col="det_id")
-    return out.withColumn("strength", F.round("strength", 5))
+    return ev.image_evidence(scaled, candidates, image="image", mask="part", id_col="det_id")
+
+
+@workload(
+    "evidence_signals", "E19",
+    f"WITH ie AS ({WORKLOADS['image_evidence'].sql}) SELECT image * 10 + part AS candidate_id, 'parking_marking' AS kind, 'parallel_lines' AS source_id, 'classical_image_geometry' AS independence_group, "
+    "((image * 3 + part) % 10 / 10.0)::DOUBLE AS strength FROM ie UNION ALL SELECT image * 10 + part, 'vehicle_arrangement', 'two_detectors', 'vehicle_detectors', strength FROM ie",
+)
+def _(t):
+    facts = _evidence(t).withColumns({"candidate": F.col("image") * 10 + F.col("part"), "marking_strength": ((F.col("image") * 3 + F.col("part")) % 10 / 10.0).cast("double")})
+    return ev.evidence_signals(facts, candidate="candidate").withColumn("strength", F.round("strength", 5))
 
 
 # ---- boxes and windows -------------------------------------------------------------------------------

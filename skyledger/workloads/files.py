@@ -170,6 +170,73 @@ def _(t):
     return f.groupBy(fs.file_kind(F.col("name")).alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("bytes"))
 
 
+LISTED = (
+    "WITH f AS (SELECT CASE WHEN s_suppkey % 9 = 0 THEN concat('flight_', s_suppkey::VARCHAR, CASE WHEN s_suppkey % 2 = 0 THEN '.SRT' ELSE '.mp4' END) "
+    "ELSE concat('block_z19_br', (s_suppkey // 50)::VARCHAR, '_bc', (s_suppkey % 50)::VARCHAR, '_r', (1000 + s_suppkey)::VARCHAR, '_c', (2000 + s_nationkey)::VARCHAR, '.png') END AS name, "
+    "length(s_name) + s_suppkey % 13 + 1 AS size, s_suppkey, s_nationkey FROM supplier) "
+)
+
+
+def _folder(t):
+    """One file for each supplier, in a folder that has the file's name."""
+    root = scratch_path(t.spark, "listed")
+    rows = t.supplier.selectExpr(
+        "CASE WHEN s_suppkey % 9 = 0 THEN concat('flight_', CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 2 = 0 THEN '.SRT' ELSE '.mp4' END) ELSE concat('block_z19_br', CAST(s_suppkey div 50 AS STRING), "
+        "'_bc', CAST(s_suppkey % 50 AS STRING), '_r', CAST(1000 + s_suppkey AS STRING), '_c', CAST(2000 + s_nationkey AS STRING), '.png') END AS name",
+        "concat(s_name, repeat('x', CAST(s_suppkey % 13 AS INT))) AS value",
+    )
+    rows.write.partitionBy("name").text(root)
+    return root, r"name=([^/]+)/[^/]+$"
+
+
+@workload(
+    "listed_blocks", "S9",
+    LISTED + "SELECT name, size::BIGINT AS size, round((2000 + s_nationkey) / pow(2::DOUBLE, 20) * 360 - 180, 9) AS west, round(90 - (1004 + s_suppkey) / pow(2::DOUBLE, 19) * 180, 9) AS south, "
+    "round((2004 + s_nationkey) / pow(2::DOUBLE, 20) * 360 - 180, 9) AS east, round(90 - (1000 + s_suppkey) / pow(2::DOUBLE, 19) * 180, 9) AS north FROM f WHERE s_suppkey % 9 <> 0",
+)
+def _(t):
+    return fs.list_blocks(t.spark, *_folder(t)).select("name", "size", *[F.round(c, 9).alias(c) for c in ("west", "south", "east", "north")])
+
+
+@workload(
+    "listed_kinds", "S11",
+    LISTED + "SELECT CASE WHEN s_suppkey % 9 <> 0 THEN 'image' WHEN s_suppkey % 2 = 0 THEN 'sidecar' ELSE 'video' END AS kind, count(*) AS files, sum(size)::BIGINT AS bytes FROM f GROUP BY ALL",
+)
+def _(t):
+    found = fs.list_files(t.spark, *_folder(t))
+    return found.groupBy(fs.file_kind(F.col("name")).alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+@workload(
+    "jsonl_written", "S14",
+    f"WITH {cte('index')}".replace("index AS (", '"index" AS (') + ' SELECT class_name, count(*) AS n, count(confidence) AS scored, count(mask_file) AS masks, round(sum(confidence), 4) AS total FROM "index" GROUP BY class_name',
+)
+def _(t):
+    path = scratch_path(t.spark, "written")
+    sk.write_jsonl(t.index, path)
+    back = fs.read_jsonl(t.spark, path, "target_id bigint, image string, class_name string, confidence double, mask_file string")
+    return back.groupBy("class_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count("confidence").alias("scored"), F.count("mask_file").alias("masks"), F.round(F.sum("confidence"), 4).alias("total")
+    )
+
+
+@workload(
+    "evidence_packages", "E23",
+    "SELECT o_custkey AS aoi_id, c_mktsegment AS stratum, count(*) AS targets, min(o_orderkey) AS first_target, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 GROUP BY ALL",
+)
+def _(t):
+    from skyledger.plans.evidence import evidence_package
+
+    path = scratch_path(t.spark, "packages")
+    selected = t.customer.where("c_acctbal > 0").selectExpr("c_custkey AS aoi_id", "c_mktsegment AS stratum")
+    targets = t.orders.selectExpr("o_custkey AS aoi_id", "o_orderkey AS target_id", "named_struct('price', o_totalprice) AS facts")
+    evidence_package(selected, targets).select("value").write.text(path)
+    back = fs.read_jsonl(t.spark, path, "aoi_id bigint, stratum string, target_id bigint, facts struct<price: double>")
+    return back.groupBy("aoi_id", "stratum").agg(
+        F.count(F.lit(1)).alias("targets"), F.min("target_id").alias("first_target"), F.round(F.sum("facts.price"), 2).alias("total")
+    )
+
+
 @workload(
     "registered_files", "S21 F13",
     "WITH g AS (SELECT source, string_agg(doc_id::VARCHAR || ' ' || n_chars::VARCHAR || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY source) SELECT source, length(body) AS size, "

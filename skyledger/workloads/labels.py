@@ -138,6 +138,25 @@ def _(t):
     return lb.gate_decision(lb.gate_issues(_summary(t), POLICY), POLICY.enforce)
 
 
+@workload(
+    "dataset_gates", "E21",
+    "WITH a AS (SELECT c_custkey AS dataset, count(o_orderkey) FILTER (o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') AS errors FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey), "
+    "m AS (SELECT c_custkey AS dataset, coalesce(c_custkey % 4 <> 0 AND c_custkey % 7 <> 0 AND c_nationkey <> c_custkey % 7 AND c_custkey % 5 <> 0, false) AS golden FROM customer WHERE c_custkey % 11 <> 0), "
+    "g AS (SELECT dataset, coalesce(golden, false) AS golden, errors + CASE WHEN coalesce(golden, false) THEN 0 ELSE 1 END AS errors FROM a LEFT JOIN m USING (dataset)) "
+    "SELECT dataset, golden, errors, CASE WHEN errors > 0 THEN 'failed' ELSE 'passed' END AS status, errors > 0 AS blocked FROM g",
+)
+def _(t):
+    found = t.customer.select("c_custkey").join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    urgent = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")
+    audits = found.groupBy(F.col("c_custkey").alias("dataset")).agg(F.count_if(urgent).alias("errors"))
+    # Some are not approved, have no approver, one person for both, no date, or no manifest at all.
+    manifests = t.customer.where("c_custkey % 11 <> 0").selectExpr(
+        "c_custkey AS dataset", "c_custkey % 4 <> 0 AS approved", "concat('p', CAST(c_nationkey AS STRING)) AS reviewer",
+        "CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat('p', CAST(c_custkey % 7 AS STRING)) END AS approver", "CASE WHEN c_custkey % 5 <> 0 THEN '2024-01-02' END AS approved_at",
+    )
+    return lb.dataset_gates(audits, manifests, "dataset")
+
+
 @workload(
     "recovery_plan", "A19",
     f"{FLAGGED}, tot AS (SELECT {SUMS} FROM files) SELECT objects AS total_objects, degenerate + duplicates AS automatic_removals, "

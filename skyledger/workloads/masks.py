@@ -112,6 +112,47 @@ def _(t):
     return out.withColumn("compactness", F.round("compactness", 6))
 
 
+AUDIT_SQL = (
+    f"{MASK_PX}, {_components('cc', 'px', 'mask_id')}, s AS (SELECT mask_id, comp, count(*) AS a FROM cc GROUP BY ALL), m AS (SELECT mask_id, sum(a)::BIGINT AS mask_area, count(*) AS components, max(a) AS largest FROM s GROUP BY mask_id), "
+    "mc AS (SELECT mask_id, count(*) FILTER (a >= greatest(4, ceil(mask_area * 0.02))) AS material_components FROM m JOIN s USING (mask_id) GROUP BY mask_id), "
+    "q AS (SELECT mask_id, y, x, unnest([y - 1, y + 1, y, y]) AS ny, unnest([x, x, x - 1, x + 1]) AS nx FROM px), e AS (SELECT q.mask_id, count(*) AS perimeter FROM q ANTI JOIN px p ON p.mask_id = q.mask_id AND p.y = q.ny AND p.x = q.nx GROUP BY q.mask_id), "
+    "fr AS (SELECT mask_id, min(x) AS m1, min(y) AS n1, max(x) + 1 AS m2, max(y) + 1 AS n2 FROM px GROUP BY mask_id), ids AS (SELECT DISTINCT mask_id FROM runs UNION ALL SELECT DISTINCT mask_id + 1000000 FROM runs WHERE mask_id % 9 = 0), "
+    "dc AS (SELECT mask_id, mask_id % 5 AS x1, mask_id % 4 AS y1, 69 - mask_id % 7 * 3 AS x2, 40 AS y2 FROM ids), "
+    "ov AS (SELECT *, greatest(0, least(m2, x2) - greatest(m1, x1)) * greatest(0, least(n2, y2) - greatest(n1, y1)) AS common, (m2 - m1) * (n2 - n1) AS box FROM dc LEFT JOIN fr USING (mask_id)), "
+    "ge AS (SELECT mask_id, mask_area, components, material_components, largest / mask_area AS largest_component_fraction, common / (box + (x2 - x1) * (y2 - y1) - common) AS mask_bbox_iou, box AS aabb_area, "
+    "1 - mask_area / box AS aabb_background_fraction, 4 * pi() * mask_area / pow(perimeter, 2) AS compactness FROM ov LEFT JOIN m USING (mask_id) LEFT JOIN mc USING (mask_id) LEFT JOIN e USING (mask_id))"
+)
+
+
+def _audited(t):
+    ids = t.runs.select("mask_id").distinct()
+    ids = ids.unionByName(ids.where("mask_id % 9 = 0").select((F.col("mask_id") + 1000000).alias("mask_id")))
+    boxes = ids.selectExpr("mask_id", "CAST(mask_id % 5 AS DOUBLE) AS x1", "CAST(mask_id % 4 AS DOUBLE) AS y1", "CAST(69 - mask_id % 7 * 3 AS DOUBLE) AS x2", "40e0 AS y2")
+    return mk.mask_geometry(mk.merge_runs(t.runs, ["mask_id"]), boxes, ["mask_id"])
+
+
+@workload(
+    "mask_audit_totals", "A30",
+    AUDIT_SQL + " SELECT count(*) AS analyzed, count(*) FILTER (mask_area IS NULL) AS empty_masks, count(*) FILTER (material_components > 1) AS multiple_material_components, "
+    "count(*) FILTER (largest_component_fraction < 0.9) AS largest_component_below_90_percent, count(*) FILTER (mask_area IS NOT NULL AND mask_bbox_iou < 0.8) AS mask_bbox_iou_below_80_percent FROM ge",
+)
+def _(t):
+    return mk.mask_audit_totals(_audited(t))
+
+
+_RANKS = ", ".join(f"max(CASE WHEN i = round_even((n - 1) * {f}, 0) THEN v END) AS p{p}" for f, p in ((0.1, 10), (0.5, 50), (0.9, 90), (0.99, 99)))
+
+
+@workload(
+    "mask_audit_quantiles", "A30 A3",
+    AUDIT_SQL + f", lg AS (SELECT unnest([{', '.join(repr(c) for c in mk.AUDIT_METRICS)}]) AS metric, unnest([{', '.join(f'round({c}::DOUBLE, 6)' for c in mk.AUDIT_METRICS)}]) AS v FROM ge WHERE mask_area IS NOT NULL), "
+    f"rk AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM lg) SELECT metric, max(n) AS n, {_RANKS} FROM rk GROUP BY metric",
+)
+def _(t):
+    out = mk.mask_audit_quantiles(_audited(t), ["mask_id"])
+    return out.withColumns({c: F.round(c, 6) for c in ("p10", "p50", "p90", "p99")})
+
+
 @workload("mask_oriented_boxes", "M9")
 def _(t):
     out = mk.oriented_boxes(mk.merge_runs(t.runs, ["mask_id"]), ["mask_id"])
@@ -216,6 +257,31 @@ def _(t):
     return kept.groupBy("image", F.col("component.y").alias("first_y"), F.col("component.x0").alias("first_x")).agg(_len().alias("area"))
 
 
+ANCHORS = (
+    "vh AS (SELECT image_id AS image, CAST(round_even((x1 + x2) / 20, 0) AS BIGINT) AS x, CAST(round_even((y1 + y2) / 40, 0) AS BIGINT) AS y FROM detections), ab AS (SELECT DISTINCT image, part, y, x FROM px WHERE layer = 'band'), "
+    "aa AS (SELECT image, part, count(*) AS area FROM ab GROUP BY ALL), av AS (SELECT image, part, count(*) AS v FROM ab JOIN vh USING (image, y, x) GROUP BY ALL), "
+    f"ak AS (SELECT image, part FROM aa LEFT JOIN av USING (image, part) WHERE area <= {W * H} * 0.05 AND ((image * 3 + part) % 10 / 10.0 >= 0.6 OR coalesce(v, 0) >= 2)), an AS (SELECT DISTINCT image, y, x FROM ab SEMI JOIN ak USING (image, part))"
+)
+
+
+@workload(
+    "evidence_anchored_surfaces", "F7 E6",
+    SURF.replace("an AS (SELECT DISTINCT image, y, x FROM px WHERE layer = 'band')", f"{cte('detections')}, {ANCHORS}") + " SELECT image, part, reason FROM jd",
+)
+def _(t):
+    from skyledger.operators.gates import anchors
+    from skyledger.plans.evidence import image_evidence
+
+    runs = _candidates(t)
+    vehicles = t.detections.select(F.col("image_id").alias("image"), "det_id", *[(F.col(c) / d).alias(c) for c, d in (("x1", 10), ("y1", 20), ("x2", 10), ("y2", 20))])
+    area = mk.merge_runs(runs, ["image", "part"]).groupBy("image", "part").agg(_len().alias("area"))
+    facts = image_evidence(vehicles, runs, image="image", mask="part", id_col="det_id").withColumnRenamed("vehicle_count", "agreed_vehicles").join(area, ["image", "part"])
+    chosen = anchors(facts.withColumn("marking_strength", ((F.col("image") * 3 + F.col("part")) % 10 / 10.0).cast("double")), W * H)
+    anchor_runs = runs.join(chosen.select("image", "part"), ["image", "part"], "left_semi").select("image", "y", "x0", "x1")
+    masks = t.layers.where("layer = 'facility'").select("image", "part", "y", "x0", "x1")
+    return zn.anchored_surfaces(_cand(t), masks, anchor_runs, _layer(t, "road"), image="image", mask="part", min_area=80, min_anchor=10)[0]
+
+
 BAND_SQL = (
     f"WITH {PARTS}, {cte('detections')}, fc AS (SELECT DISTINCT image, y, x FROM px WHERE layer = 'facility'), bd AS (SELECT DISTINCT image, part, y, x FROM px WHERE layer = 'band'), bl AS (SELECT DISTINCT image, part FROM bd), "
     "cl AS (SELECT * FROM bd SEMI JOIN fc USING (image, y, x)), vh AS (SELECT image_id AS image, CAST(round_even((x1 + x2) / 20, 0) AS BIGINT) AS x, CAST(round_even((y1 + y2) / 40, 0) AS BIGINT) AS y FROM detections), "

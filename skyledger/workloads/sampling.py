@@ -92,6 +92,27 @@ def _(t):
     return sp.risk_first(_risky(t), name="name", risk="risk", stratum="stratum", count=100).select("doc_id", "stratum", "risk", "turn")
 
 
+@workload(
+    "golden_manifest", "E22",
+    GOLDEN + "SELECT count(*) AS images, count(*) FILTER (risk) AS risk_images, false AS approved, '' AS reviewer, '' AS approver, '' AS approved_at FROM g",
+)
+def _(t):
+    from skyledger.plans.packages import unsigned_manifest
+
+    return unsigned_manifest(sp.risk_first(_risky(t), name="name", risk="risk", stratum="stratum", count=100))
+
+
+@workload(
+    "golden_summary", "E22",
+    GOLDEN + "SELECT 'images' AS kind, 'all' AS value, count(*) AS images FROM g UNION ALL SELECT 'images', 'risk', count(*) FROM g WHERE risk HAVING count(*) > 0 "
+    "UNION ALL SELECT 'density', density, count(*) FROM g GROUP BY density UNION ALL SELECT 'signature', lang, count(*) FROM g GROUP BY lang",
+)
+def _(t):
+    from skyledger.plans.packages import selection_summary
+
+    return selection_summary(sp.risk_first(_risky(t), name="name", risk="risk", stratum="stratum", count=100), signature="lang")
+
+
 @workload(
     "golden_package", "T6",
     GOLDEN + ", p AS (SELECT name AS image, 'pending' AS review_status, stratum, risk, density FROM g) SELECT density, count(*) AS images, count(*) FILTER (risk) AS risky, "
