@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -264,38 +265,75 @@ def supervision(predicted: DataFrame, excluded: DataFrame, confirmed: DataFrame,
     return whole.unionByName(partial.withColumn("source", F.lit("building_or_public_road_overlap")))
 
 
+def _drawn(ax, ay, bx, by, r, line, width: int, height: int, rows: int = 1 << 19):
+    """Chunks (line, start, end) of the intervals of thick segments, as united places on one axis: row y of picture `line` starts at (line * height + y) *
+    (width + 1), so rows never touch."""
+    top = np.maximum(0, np.ceil(np.minimum(ay, by) - r)).astype(np.int64)
+    bottom = np.minimum(height - 1, np.floor(np.maximum(ay, by) + r)).astype(np.int64)
+    tall = np.maximum(0, bottom - top + 1)
+    length = np.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+    safe = np.where(length > 0, length, 1.0)
+    nx, ny = -(by - ay) / safe * r, np.where(length > 0, (bx - ax) / safe * r, 0.0)
+    upto = np.cumsum(tall)
+    first = 0
+    while first < len(tall):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] - tall[first] + rows, "right")))
+        n = tall[first:last]
+        at = np.repeat(np.arange(first, last), n)
+        row = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + top[at]
+        y, low, high = row.astype(float), np.full(len(at), np.inf), np.full(len(at), -np.inf)
+        # The ends of the segment are discs; between them lie the two long sides.
+        for cx, cy in ((ax[at], ay[at]), (bx[at], by[at])):
+            left = r[at] * r[at] - (y - cy) * (y - cy)
+            hit, reach = np.abs(y - cy) <= r[at], np.sqrt(np.maximum(left, 0.0))
+            low, high = np.where(hit, np.minimum(low, cx - reach), low), np.where(hit, np.maximum(high, cx + reach), high)
+        for side in (1, -1):
+            px, py, qx, qy = ax[at] + side * nx[at], ay[at] + side * ny[at], bx[at] + side * nx[at], by[at] + side * ny[at]
+            hit = (np.minimum(py, qy) <= y) & (np.maximum(py, qy) >= y) & (py != qy)
+            x = px + (qx - px) * (y - py) / np.where(hit, qy - py, 1.0)
+            low, high = np.where(hit, np.minimum(low, x), low), np.where(hit, np.maximum(high, x), high)
+        seen = np.isfinite(low)
+        x0 = np.maximum(0.0, np.ceil(low[seen])).astype(np.int64)
+        x1 = np.minimum(float(width), np.floor(high[seen]) + 1).astype(np.int64)
+        base = (line[at[seen]] * height + row[seen]) * (width + 1)
+        some = x1 > x0
+        yield _united((base + x0)[some], (base + x1)[some])
+        first = last
+
+
+def _united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of half-open intervals of one axis; touching ones become one."""
+    order = np.argsort(start)
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]][: len(start)])
+    return start[new], reach[np.r_[new[1:] - 1, len(start) - 1][: len(new)]]
+
+
 def way_runs(segments: DataFrame, keys: Sequence[str], width: int, height: int) -> DataFrame:
     """Runs covered by thick segments (ax, ay, bx, by, thickness): all pixels within half the thickness
-    of the segment, clipped to the image. Each segment makes one interval per row it reaches."""
-    ax, ay, bx, by, y = (F.col(c) for c in ("ax", "ay", "bx", "by", "y"))
-    r, nx, ny = F.col("_r"), F.col("_nx"), F.col("_ny")
-    sized = segments.withColumn("_r", F.col("thickness") / 2).withColumn(
-        "_len", F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
-    )
-    # Staged columns keep the expressions below small.
-    offset = sized.withColumns({
-        "_nx": F.when(F.col("_len") > 0, -(by - ay) / F.col("_len") * r).otherwise(0.0),
-        "_ny": F.when(F.col("_len") > 0, (bx - ax) / F.col("_len") * r).otherwise(0.0),
-        "_top": F.greatest(F.lit(0), F.ceil(F.least(ay, by) - r)).cast("bigint"),
-        "_bottom": F.least(F.lit(height - 1), F.floor(F.greatest(ay, by) + r)).cast("bigint"),
-    })
-    ends = [(ax + nx, ay + ny), (bx + nx, by + ny), (bx - nx, by - ny), (ax - nx, ay - ny)]
-    cornered = offset.where(F.col("_top") <= F.col("_bottom")).withColumns({
-        f"_{axis}{i}": point[j] for i, point in enumerate(ends) for j, axis in enumerate("xy")
-    })
-    rows = cornered.withColumn("y", F.explode(F.sequence("_top", "_bottom")))
-    spots = []
-    for i in range(4):
-        px, py, qx, qy = (F.col(c) for c in (f"_x{i}", f"_y{i}", f"_x{(i + 1) % 4}", f"_y{(i + 1) % 4}"))
-        crosses = (F.least(py, qy) <= y) & (F.greatest(py, qy) >= y)
-        level = py == qy
-        spots += [F.when(crosses, F.when(level, px).otherwise(px + (qx - px) * (y - py) / (qy - py))), F.when(crosses & level, qx)]
-    for cx, cy in ((ax, ay), (bx, by)):
-        reach = F.sqrt(r * r - (y - cy) * (y - cy))
-        spots += [F.when(F.abs(y - cy) <= r, cx - reach), F.when(F.abs(y - cy) <= r, cx + reach)]
-    rows = rows.withColumns({"_lo": F.least(*spots), "_hi": F.greatest(*spots)})
-    spans = rows.select(
-        *keys, "y", F.greatest(F.lit(0), F.ceil("_lo")).cast("bigint").alias("x0"),
-        F.least(F.lit(width), F.floor("_hi") + 1).cast("bigint").alias("x1"),
-    )
-    return merge_runs(spans, keys)
+    of the segment, clipped to the image. Each segment makes one interval per row it reaches; a task unites
+    those of a batch before they are shuffled. Segments with a null or non-finite number cover nothing."""
+    keys = list(keys)
+    numbers = ["ax", "ay", "bx", "by", "thickness"]
+    plain = segments.select(*keys, *[F.col(c).cast("double").alias(c) for c in numbers])
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "y bigint, x0 bigint, x1 bigint"])
+
+    def draw(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            values = np.column_stack([table[c].to_numpy().astype(float) for c in numbers])
+            good = np.flatnonzero(np.isfinite(values).all(axis=1))
+            if not len(good):
+                continue
+            ax, ay, bx, by, thickness = values[good].T
+            # Pictures are numbered in the order of their first row.
+            line = pd.DataFrame({k: table[k].take(pa.array(good)).to_pandas() for k in keys}).groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            picture = good[np.unique(line, return_index=True)[1]]
+            for start, end in _drawn(ax, ay, bx, by, thickness / 2, line, width, height):
+                row, x0 = np.divmod(start, width + 1)
+                own = table.select(keys).take(pa.array(picture[row // height]))
+                out = [*own.columns, pa.array(row % height), pa.array(x0), pa.array(x0 + end - start)]
+                yield from pa.table(out, names=[*keys, "y", "x0", "x1"]).to_batches()
+
+    return merge_runs(plain.mapInArrow(draw, schema), keys)
