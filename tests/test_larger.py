@@ -1,8 +1,11 @@
 """Results and row counts that showed only on larger tables."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skyledger.operators import masks as mk
+from skyledger.operators import scoring as sc
+from skyledger.operators.ordered import exact_avg
 
 
 def test_thick_segments_are_united_in_tasks(spark):
@@ -30,3 +33,13 @@ def test_thick_segments_are_united_in_tasks(spark):
     assert sum(len(start) for start, _ in drawn) == 25
     several = list(mk._drawn(first, first, first + 30, first + 20, first + 4.2, first.astype(int), 40, 30, rows=100))
     assert len(several) > 100 and all(np.array_equal(a, b) for one in several for a, b in zip(one, drawn[0]))
+
+
+def test_curve_ties_do_not_follow_row_order(spark):
+    """Three fractions whose sum as doubles follows their order, and equal means of different counts."""
+    epochs = [(1, 0.1), (1, 0.2), (1, 0.3), (2, 0.2), (3, 0.3), (3, 0.2), (3, 0.1), (3, None)]
+    for rows in (epochs, epochs[::-1]):
+        curve = spark.createDataFrame(rows, "epoch int, v double").coalesce(1).groupBy("epoch").agg(exact_avg("v").alias("loss"))
+        assert sc.curve_summary(curve, epoch="epoch", metrics=["loss"], losses=["loss"]).first().trend == "flat"
+    many = spark.createDataFrame([(1, 0.048)] * 10 + [(2, 0.04), (2, 0.056)] + [(2, 0.048)] * 23, "epoch int, v double")
+    assert [r.m for r in many.groupBy("epoch").agg(exact_avg("v").alias("m")).collect()] == [0.048, 0.048]
