@@ -48,11 +48,14 @@ def pixel_to_lonlat(zoom: Column, row: Column, col: Column, x: Column, y: Column
     return longitude(zoom, col + x / TILE), latitude(zoom, row + y / TILE)
 
 
-def lonlat_to_pixel(zoom: Column, row: Column, col: Column, lon: Column, lat: Column):
-    """The inverse; null outside the valid range of degrees."""
-    ok = lon.between(-180, 180) & lat.between(-90, 90)
+def lonlat_to_pixel(zoom: Column, row: Column, col: Column, lon: Column, lat: Column, bounded: bool = True):
+    """The inverse; null outside the valid range of degrees. With bounded=False the grid goes on beyond it, as pixel_to_lonlat()'s does for
+    blocks past its last row or column."""
     x = ((lon + 180.0) / 360.0 * F.pow(F.lit(2.0), zoom + 1) - col) * TILE
     y = ((F.lit(90.0) - lat) / 180.0 * F.pow(F.lit(2.0), zoom) - row) * TILE
+    if not bounded:
+        return x, y
+    ok = lon.between(-180, 180) & lat.between(-90, 90)
     return F.when(ok, x), F.when(ok, y)
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from skyledger.functions import tiles as tl
 from skyledger.operators import masks as mk
 from skyledger.operators import scoring as sc
 from skyledger.operators.ordered import exact_avg
@@ -43,3 +44,11 @@ def test_curve_ties_do_not_follow_row_order(spark):
         assert sc.curve_summary(curve, epoch="epoch", metrics=["loss"], losses=["loss"]).first().trend == "flat"
     many = spark.createDataFrame([(1, 0.048)] * 10 + [(2, 0.04), (2, 0.056)] + [(2, 0.048)] * 23, "epoch int, v double")
     assert [r.m for r in many.groupBy("epoch").agg(exact_avg("v").alias("m")).collect()] == [0.048, 0.048]
+
+
+def test_pixels_of_blocks_past_the_last_row(spark):
+    lon, lat = tl.pixel_to_lonlat(F.lit(19), F.lit(524300), F.lit(875300), F.lit(17.0), F.lit(3.25))
+    row = spark.range(1).select(lon.alias("lon"), lat.alias("lat"))
+    place = lambda bounded: tl.lonlat_to_pixel(F.lit(19), F.lit(524300), F.lit(875300), F.col("lon"), F.col("lat"), bounded)
+    there = row.select(*[F.round(c, 3).alias(n) for c, n in zip([*place(False), *place(True)], "xyab")]).first()
+    assert (there.x, there.y, there.a, there.b) == (17.0, 3.25, None, None)
