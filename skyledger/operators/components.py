@@ -45,7 +45,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The least place that each of n places is linked with."""
     label = np.arange(n)
     while True:
@@ -80,7 +80,7 @@ def _contract(batches, chunk: int = 1 << 18):
         nodes = pa.chunked_array(table["u"].chunks + table["v"].chunks).combine_chunks()
         codes, uniques = pd.factorize(names.to_pandas())
         n = table.num_rows
-        label = _least_labels(codes[:n], codes[n:], len(uniques))
+        label = least_labels(codes[:n], codes[n:], len(uniques))
         first = np.zeros(len(uniques), dtype=np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
         leaf = np.flatnonzero(label != np.arange(len(label)))
@@ -105,7 +105,7 @@ def _contract_ids(batches, chunk: int = 1 << 20):
     """_contract() for plain ids."""
     for table in _chunks(batches, chunk):
         ids, codes = np.unique(np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()]), return_inverse=True)
-        label = _least_labels(codes[: table.num_rows], codes[table.num_rows :], len(ids))
+        label = least_labels(codes[: table.num_rows], codes[table.num_rows :], len(ids))
         leaf = np.flatnonzero(label != np.arange(len(label)))
         yield pa.record_batch({"u": ids[leaf], "v": ids[label[leaf]]})
 

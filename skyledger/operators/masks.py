@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import boxes as bx
-from skyledger.operators.components import components
+from skyledger.operators.components import components, least_labels
 from skyledger.operators.ordered import nearest_rank
 from skyledger.session import cut, spread
 
@@ -96,14 +96,72 @@ def _neighbours(merged: DataFrame, keys: Sequence[str], reach: int) -> DataFrame
     return a.join(b, [*keys, "_ny"]).where((F.col("a0") < F.col("b1") + reach) & (F.col("b0") < F.col("a1") + reach))
 
 
+def _labelled(batches, keys: Sequence[str], chunk: int = 1 << 18):
+    """Sorted merged runs with the first run of their component inside a chunk of a task (_cy, _cx), and whether a component may go on beyond the chunk at this
+    run (_rim): it lies on the first row of the chunk's first mask or on the last row of its last one. A chunk ends between two rows."""
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= chunk:
+            table = pa.Table.from_batches(held).combine_chunks()
+            new = np.flatnonzero(_changes(table, [*keys, "y"]))
+            if len(new) > 1:
+                yield from _label_chunk(table.slice(0, new[-1]), keys).to_batches()
+                table = table.slice(new[-1])
+            # An unfinished row waits for the next batches.
+            held, rows = table.to_batches(), 0 if len(new) > 1 else rows
+    if held:
+        yield from _label_chunk(pa.Table.from_batches(held).combine_chunks(), keys).to_batches()
+
+
+def _changes(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """Whether a row differs from the row before in these columns; nulls are equal."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[0] = True
+    for name in names:
+        codes = pd.factorize(table[name].to_pandas())[0]
+        new[1:] |= codes[1:] != codes[:-1]
+    return new
+
+
+def _label_chunk(table: pa.Table, keys: Sequence[str]) -> pa.Table:
+    y, x0, x1 = (table[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+    mask = np.cumsum(_changes(table, keys))
+    # Rows lie behind each other on one axis; between rows that are no neighbours one place stays empty.
+    step = np.r_[0, np.where((mask[1:] == mask[:-1]) & (y[1:] - y[:-1] <= 1), y[1:] - y[:-1], 2)]
+    line, width = np.cumsum(step), int(x1.max() - x0.min()) + 2
+    start, end = line * width + x0 - x0.min(), line * width + x1 - x0.min()
+    low = np.searchsorted(end, start + width, "left")
+    count = np.maximum(0, np.searchsorted(start, end + width, "right") - low)
+    above = np.repeat(np.arange(len(y)), count)
+    below = np.arange(len(above)) - np.repeat(np.cumsum(count) - count, count) + low[above]
+    first = least_labels(above, below, len(y))
+    rim = (mask == mask[0]) & (y == y[0]) | (mask == mask[-1]) & (y == y[-1])
+    return pa.table([*table.columns, pa.array(y[first]), pa.array(x0[first]), pa.array(rim)], names=[*table.column_names, "_cy", "_cx", "_rim"])
+
+
 def label_components(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Merged runs with the component (8 neighbours) they belong to, named by its first run."""
-    merged = cut(merged, "runs")
-    node = lambda y, x: F.struct(*[F.col(k) for k in keys], F.col(y).alias("y"), F.col(x).alias("x0"))
-    links = _neighbours(merged, keys, 1).select(*keys, "ay", node("ay", "a0").alias("a"), node("_ny", "b0").alias("b"))
-    found = components(links, "a", "b", near=[*keys, "ay"])
-    named = merged.withColumn("node", node("y", "x0")).join(found, "node", "left")
-    return cut(named.select(*keys, "y", "x0", "x1", F.coalesce("component", "node").alias("component")), "components")
+    """Merged runs with the component (8 neighbours) they belong to, named by its first run.
+
+    Runs are range-partitioned by mask and row, and every task labels its own in bounded chunks. Only the runs on the border rows of chunks are
+    joined over the table, so a mask of any size is spread and small ones are done where they lie.
+    """
+    keys = list(keys)
+    merged = merged if hasattr(merged, "_scratch") else cut(merged, "runs")
+    plain = merged.select(*keys, "y", "x0", "x1")
+    sorted_runs = plain.repartitionByRange(*keys, "y").sortWithinPartitions(*keys, "y", "x0")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields) + ", _cy bigint, _cx bigint, _rim boolean"
+    local = cut(sorted_runs.mapInArrow(lambda batches: _labelled(batches, keys), schema), "labelled")
+    kinds = dict(plain.dtypes)
+    named = F.struct(*keys, F.col("_cy").cast(kinds["y"]).alias("y"), F.col("_cx").cast(kinds["x0"]).alias("x0"))
+    rim = local.where("_rim").select(*keys, "y", "x0", "x1", named.alias("c"))
+    under = rim.select(*[F.col(k).alias(f"_b{k}") for k in keys], (F.col("y") - 1).alias("_by"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("c").alias("d"))
+    on = [F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in keys] + [F.col("y") == F.col("_by"), F.col("x0") <= F.col("b1"), F.col("b0") <= F.col("x1")]
+    found = cut(components(rim.join(under, on).where("c <> d").select("c", "d"), "c", "d"), "joined")
+    labelled = local.select(*keys, "y", "x0", "x1", named.alias("node")).join(found, "node", "left")
+    return labelled.select(*keys, "y", "x0", "x1", F.coalesce("component", "node").alias("component"))
 
 
 def component_stats(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:

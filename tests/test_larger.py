@@ -52,3 +52,36 @@ def test_pixels_of_blocks_past_the_last_row(spark):
     place = lambda bounded: tl.lonlat_to_pixel(F.lit(19), F.lit(524300), F.lit(875300), F.col("lon"), F.col("lat"), bounded)
     there = row.select(*[F.round(c, 3).alias(n) for c, n in zip([*place(False), *place(True)], "xyab")]).first()
     assert (there.x, there.y, there.a, there.b) == (17.0, 3.25, None, None)
+
+
+def test_labels_across_chunks_and_tasks(spark):
+    """Chunks of a few runs and several tasks give the components of the whole mask; null keys are a mask too."""
+    g = np.random.default_rng(3)
+    picture = g.random((3, 25, 30)) < 0.45
+    picture[2] = False
+    picture[2, :, 3] = True
+    picture[2, ::4, 3:20] = True
+    rows = [("a", "b", None)[i] for i in range(3)]
+    runs = [(rows[i], int(y) - 2, int(x) - 2, int(x) - 1) for i, y, x in zip(*np.nonzero(picture))]
+    merged = mk.merge_runs(spark.createDataFrame(runs, "k string, y bigint, x0 bigint, x1 bigint"), ["k"])
+    got = {}
+    for r in mk.label_components(merged, ["k"]).collect():
+        got |= {(r.k, r.y, x): (r.component.y, r.component.x0) for x in range(r.x0, r.x1)}
+    want = {}
+    for k, y, x in sorted(((k or "", y, x) for k, y, x, _ in runs)):
+        if (k, y, x) in want:
+            continue
+        todo = [(y, x)]
+        want[k, y, x] = (y, x)
+        while todo:
+            cy, cx = todo.pop()
+            for near in ((cy + j, cx + i) for j in (-1, 0, 1) for i in (-1, 0, 1)):
+                if picture[rows.index(k or None), near[0] + 2, near[1] + 2] if 0 <= near[0] + 2 < 25 and 0 <= near[1] + 2 < 30 else False:
+                    if (k, *near) not in want:
+                        want[k, *near] = (y, x)
+                        todo.append(near)
+    assert {(k or "", y, x): c for (k, y, x), c in got.items()} == want
+
+    table = merged.orderBy("k", "y", "x0").toArrow()
+    parts = list(mk._labelled(table.to_batches(max_chunksize=3), ["k"], chunk=7))
+    assert len(parts) > 20 and sum(p.num_rows for p in parts) == table.num_rows
