@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skyledger.operators.ordered import linear_quantile, ordered_scan
 
 
+def _around(group: WindowSpec, order: str, value: str) -> tuple[Column, Column]:
+    """The nearest value that is not null at or before, and at or after, each row. Both look back, one in falling order: a frame that ends
+    at the last row is read to its end again for every row."""
+    back = lambda o: F.last(value, ignorenulls=True).over(group.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return back(F.col(order)), back(F.desc(order))
+
+
 def nearest_in_time(
     frames: DataFrame, positions: DataFrame, *, key: Sequence[str], frame_id: str, time: str, order: str,
     payload: Sequence[str], near: float = 1.0, tolerance: float = 5.0,
@@ -31,9 +38,7 @@ def nearest_in_time(
     both = offered.withColumn("asked", F.lit(False)).unionByName(
         asked.withColumn("r", F.lit(None).cast(offered.schema["r"].dataType))
     )
-    by_time = Window.partitionBy(*key, "b").orderBy("t")
-    before = F.last("r", ignorenulls=True).over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("r", ignorenulls=True).over(by_time.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    before, after = _around(Window.partitionBy(*key, "b"), "t", "r")
     seen = both.select(*key, "t", "asked", before.alias("p"), after.alias("n")).where("asked")
     gap = lambda side: F.abs(F.col(f"{side}.rt") - F.col("t"))
     choice = lambda side: F.when(F.col(side).isNotNull(), F.struct(gap(side).alias("delta"), F.col(f"{side}.ro").alias("o"), F.col(side).alias("r")))
@@ -59,12 +64,8 @@ def same_day_reference(queries: DataFrame, references: DataFrame, *, day: str, s
     asks = queries.select(day, F.col(second).alias("s")).distinct().select(
         day, "s", F.lit(None).cast(refs.schema["r"].dataType).alias("r"), F.lit(True).alias("asked")
     )
-    w = Window.partitionBy(day).orderBy("s")
-    both = refs.unionByName(asks).select(
-        day, "s", "asked",
-        F.last("r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("p"),
-        F.first("r", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)).alias("n"),
-    )
+    before, after = _around(Window.partitionBy(day), "s", "r")
+    both = refs.unionByName(asks).select(day, "s", "asked", before.alias("p"), after.alias("n"))
     side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.rs") - F.col("s")).alias("d"), F.col(f"{c}.ref").alias("ref")))
     found = both.where("asked").select(day, F.col("s").alias(second), F.least(side("p"), side("n")).alias("m"))
     return queries.join(found, [day, second]).select(

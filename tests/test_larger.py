@@ -85,3 +85,16 @@ def test_labels_across_chunks_and_tasks(spark):
     table = merged.orderBy("k", "y", "x0").toArrow()
     parts = list(mk._labelled(table.to_batches(max_chunksize=3), ["k"], chunk=7))
     assert len(parts) > 20 and sum(p.num_rows for p in parts) == table.num_rows
+
+
+def test_nearest_references_read_no_frame_to_its_end(spark, capsys):
+    """A full day of references and as many questions: frames that end at the last row cost the square of a day."""
+    from skyledger.operators.tracks import same_day_reference
+
+    refs = spark.range(0, 86400, 2).selectExpr("1 AS day", "id AS second", "concat('r', id) AS name")
+    asks = spark.range(86400).selectExpr("1 AS day", "id AS second")
+    out = same_day_reference(asks, refs, day="day", second="second", name="name")
+    out.explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+    far = out.selectExpr("count(*) AS n", "max(reference_minutes) AS far", "count_if(reference = concat('r', second)) AS own").first()
+    assert (far.n, far.own) == (86400, 43200) and abs(far.far - 1 / 60) < 1e-12
