@@ -22,11 +22,11 @@ VIDEO_SUFFIXES = (".mp4", ".mov", ".avi", ".mkv")
 SIDECAR_SUFFIXES = (".srt",)
 
 
-def _raw_json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+def _raw_json(spark: SparkSession, path: str, schema: str, lines: bool, below: bool = False) -> DataFrame:
     reader = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE")
     if not lines:
         reader = reader.option("multiLine", "true")
-    return reader.json(path)
+    return (reader.option("recursiveFileLookup", "true") if below else reader).json(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -43,8 +43,8 @@ def count_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_results(spark: SparkSession, root: str) -> DataFrame:
     """Result files, one JSON object each, under one folder per prompt. The prompt falls back to the
-    folder name with spaces for underscores. parse_error marks unreadable files."""
-    raw = _raw_json(spark, f"{root}/*/*", RESULT, False)
+    folder name with spaces for underscores. parse_error marks unreadable files. Folders are listed, not one path for each file."""
+    raw = _raw_json(spark, f"{root}/*", RESULT, False, below=True)
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     named = F.coalesce(F.when(F.col("text_prompt") != "", F.col("text_prompt")), F.regexp_replace(folder, "_", " "))
     return raw.select(

@@ -48,6 +48,14 @@ def write_labels(df: DataFrame, path: str, order: Sequence[str]) -> None:
     )
 
 
+def write_small_files(df: DataFrame, path: str, folder: str, per_file: int = 0) -> None:
+    """Text rows into very many files below one folder per value (per_file: at most so many rows each). The rows are few bytes but many files, so they are dealt to a
+    given number of tasks, and each task moves its own files into place; by default the driver would move them one after the other."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(tasks) if per_file else df.repartition(tasks, folder)
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("maxRecordsPerFile", per_file).partitionBy(folder).text(path)
+
+
 def write_layers(df: DataFrame, path: str, layer: str = "layer") -> None:
     """One folder per layer in one pass."""
     df.write.partitionBy(layer).json(path)

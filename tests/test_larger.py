@@ -98,3 +98,17 @@ def test_nearest_references_read_no_frame_to_its_end(spark, capsys):
     assert "unboundedfollowing" not in capsys.readouterr().out.lower()
     far = out.selectExpr("count(*) AS n", "max(reference_minutes) AS far", "count_if(reference = concat('r', second)) AS own").first()
     assert (far.n, far.own) == (86400, 43200) and abs(far.far - 1 / 60) < 1e-12
+
+
+def test_many_small_files_are_written_by_many_tasks(spark, tmp_path):
+    """Rows of one task become one file each, written by several tasks; the reader finds them from their folders."""
+    from skyledger.sources.files import read_results
+    from skyledger.sources.sinks import write_small_files
+
+    rows = spark.range(40).coalesce(1).selectExpr("concat('{\"source_file\": \"i', id, '\", \"targets\": []}') AS value", "concat('found_', id % 3) AS folder")
+    write_small_files(rows, str(tmp_path / "r"), "folder", per_file=1)
+    files = list((tmp_path / "r").glob("folder=*/*.txt"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
+    back = read_results(spark, str(tmp_path / "r")).collect()
+    assert {r.image for r in back} == {f"i{i}" for i in range(40)}
+    assert not any(r.parse_error for r in back) and {r.prompt for r in back} == {f"folder=found {i}" for i in range(3)}
