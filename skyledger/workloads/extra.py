@@ -36,10 +36,11 @@ def _ck(t):
 )
 def _(t):
     log = t.log.select("target_id", "rec_id", "noted", "label", "is_auto")
-    # Landed in several files and played in several batches, each of which has rows of many targets.
+    # Landed in as many files as the session has shuffle partitions and played in four batches, each of which has rows of many targets.
+    files = max(4, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
     out = jobs.live_state(
-        t.spark, _landed(t, log.repartition(4), "journal"), log.schema, scratch_path(t.spark, "state"), _ck(t), key="target_id", order=["noted", "rec_id"],
-        max_files=1, buckets=16, max_layers=2,
+        t.spark, _landed(t, log.repartition(files), "journal"), log.schema, scratch_path(t.spark, "state"), _ck(t), key="target_id", order=["noted", "rec_id"],
+        max_files=-(-files // 4), buckets=16, max_layers=2,
     )
     return out.select("target_id", "rec_id", "label", "is_auto")
 

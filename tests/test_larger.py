@@ -112,3 +112,18 @@ def test_many_small_files_are_written_by_many_tasks(spark, tmp_path):
     back = read_results(spark, str(tmp_path / "r")).collect()
     assert {r.image for r in back} == {f"i{i}" for i in range(40)}
     assert not any(r.parse_error for r in back) and {r.prompt for r in back} == {f"folder=found {i}" for i in range(3)}
+
+
+def test_journal_lands_in_as_many_files_as_partitions(spark, monkeypatch):
+    """A fixed number of files makes tasks that grow with the table."""
+    from skyledger.workloads import extra
+
+    made = []
+    monkeypatch.setattr(extra, "_landed", lambda t, df, label, landed=extra._landed: made.append(landed(t, df, label)) or made[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert extra.WORKLOADS["stream_live_state"].run(spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(spark.read.parquet(made[0]).inputFiles()) == 9
