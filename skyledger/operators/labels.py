@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import boxes as bx
 from skyledger.functions import polygons as pg
-from skyledger.operators.ordered import keep_first
 from skyledger.operators.overlap import overlap_pairs
 from skyledger.session import cut, drop
 
@@ -55,6 +54,13 @@ def parse_label_lines(lines: DataFrame, *, value: str = "value", form: str = "ob
     )
 
 
+def _rounded(v: Column) -> Column:
+    """F.round(v, 6) without its decimal numbers, unless v is large or so near a tie that arithmetic could turn it."""
+    k = F.rint(v * 1e6)
+    plain = (F.abs(v) < 1e6) & (F.abs(v * 1e6 - k) < 0.499)
+    return F.when(plain, k / 1e6 + 0.0).otherwise(F.round(v, 6))
+
+
 def flag_objects(objects: DataFrame, policy: QualityPolicy = QualityPolicy(), *, class_name: str = "class_name",
                  form: str = "obb") -> DataFrame:
     """Add area, bounds, geometry flags and a rounded key to label objects that carry coords
@@ -65,12 +71,14 @@ def flag_objects(objects: DataFrame, policy: QualityPolicy = QualityPolicy(), *,
         area, aspect = pg.quad_area(c), pg.quad_aspect(c)
         low, high = F.least(*c), F.greatest(*c)
         bounds = (F.least(*c[::2]), F.least(*c[1::2]), F.greatest(*c[::2]), F.greatest(*c[1::2]))
-        rounded = F.array(*[F.round(v, 6) for v in c])
     else:
         ring = pg.points(F.col("coords"))
         area, aspect, bounds = pg.area(ring), pg.aspect_ratio(ring), pg.bounds(ring)
         low, high = F.array_min("coords"), F.array_max("coords")
-        rounded = F.transform("coords", lambda v: F.round(v, 6))
+    # Scalars where there are four points. The array function beside them keeps the step out of whole-stage code, which flags and
+    # key would carry past the size up to which the JVM compiles a method.
+    four = F.array(*[_rounded(v) for v in pg.quad(F.col("coords"))])
+    rounded = F.when(F.size("coords") == 8, four).otherwise(F.transform("coords", _rounded))
     border = (low <= 1e-6) | (high >= 1 - 1e-6)
     return objects.select(
         *objects.columns,
@@ -94,30 +102,14 @@ def duplicate_counts(objects: DataFrame, keys: list[str]) -> DataFrame:
 def class_conflicts(flagged: DataFrame, keys: list[str], policy: QualityPolicy = QualityPolicy()) -> DataFrame:
     """Pairs of objects of different classes whose bounds have IoU >= 0.90, counted per file.
 
-    Equal bounds are collapsed to one row with a count per class, so copies are multiplied, not
-    paired.
+    Equal bounds of one class are collapsed to one row with a count, so copies are multiplied, not
+    paired. An object without a class is in no conflict.
     """
-    per_class = flagged.where(bx.is_valid(bx.box())).groupBy(*keys, *bx.BOX, "class_id").agg(F.count(F.lit(1)).alias("m"))
-    nodes = cut(
-        per_class.groupBy(*keys, *bx.BOX).agg(
-            F.sum("m").alias("copies"),
-            F.sum(F.col("m") * F.col("m")).alias("squares"),
-            F.map_from_entries(F.collect_list(F.struct("class_id", "m"))).alias("by_class"),
-        ).withColumn("node", F.struct(*keys, *bx.BOX)),
-        "conflicts",
-    )
-    among = nodes.select(*keys, ((F.col("copies") * F.col("copies") - F.col("squares")) / 2).cast("bigint").alias("n"))
+    per_class = flagged.where(F.col("class_id").isNotNull() & bx.is_valid(bx.box())).groupBy(*keys, *bx.BOX, "class_id").agg(F.count(F.lit(1)).alias("m"))
+    nodes = cut(per_class, "conflicts").withColumn("node", F.struct("class_id", "m"))
+    # Each pair comes once, with the lesser class first.
     pairs = overlap_pairs(nodes, None, group=keys, id_col="node", min_iou=policy.min_conflict_iou, base=CELL)
-    side = nodes.select("node", "copies", "by_class")
-    same = F.aggregate(
-        F.map_keys("a.by_class"), F.lit(0).cast("bigint"),
-        lambda acc, c: acc + F.element_at("a.by_class", c) * F.coalesce(F.try_element_at(F.col("b.by_class"), c), F.lit(0)),
-    )
-    between = (
-        pairs.join(side.alias("a"), F.col("a_id") == F.col("a.node")).join(side.alias("b"), F.col("b_id") == F.col("b.node"))
-        .select(*keys, (F.col("a.copies") * F.col("b.copies") - same).alias("n"))
-    )
-    return among.unionByName(between).where(F.col("n") > 0).groupBy(*keys).agg(F.sum("n").alias("class_conflicts"))
+    return pairs.where(F.col("a_id.class_id") != F.col("b_id.class_id")).groupBy(*keys).agg(F.sum(F.col("a_id.m") * F.col("b_id.m")).alias("class_conflicts"))
 
 
 FLAGS = ("out_of_bounds", "degenerate", "oversized", "extreme_aspect", "border_touching")
@@ -322,8 +314,9 @@ def sanitize(flagged: DataFrame, keys: list[str], order: str, policy: QualityPol
     flagged = cut(flagged, "flags")
     bad = F.col("out_of_bounds") | F.col("degenerate") | F.col("oversized") | F.col("extreme_aspect")
     valid = flagged.where(~bad)
-    first = keep_first(valid.select(*keys, "class_id", "coords_key", order, *bx.BOX), [*keys, "class_id", "coords_key"], [order])
-    first = cut(first.select(*keys, "class_id", order, *bx.BOX), "sanitize")
+    # The order is unique, so the least value with its box is one struct and the order travels once.
+    first = valid.groupBy(*keys, "class_id", "coords_key").agg(F.min(F.struct(order, *bx.BOX)).alias("_r"))
+    first = cut(first.select(*keys, "class_id", "_r.*"), "sanitize")
     nodes = first.withColumn("_n", F.struct(F.col(order).alias("o"), F.col("class_id").alias("c")))
     pairs = overlap_pairs(nodes, None, group=keys, id_col="_n", min_iou=policy.min_conflict_iou, base=CELL).where(
         F.col("a_id.c") != F.col("b_id.c")

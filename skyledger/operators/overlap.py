@@ -5,6 +5,9 @@ most four cells there. Two boxes with IoU >= t have side ratios >= t, so their l
 most log2(1/t): each box is also looked up on that many coarser levels. A pair is produced only in
 the cell that holds the top-left corner of the intersection, so no distinct is needed. The join is
 an equi-join on (group, level, cell): an image with very many boxes is spread over its cells.
+
+From IoU 0.5 on, centres are so near that one side is one row, in the cell of its centre, and the other
+side is looked up in the few cells that such a centre may lie in.
 """
 
 from __future__ import annotations
@@ -37,6 +40,27 @@ def _owner(a, b) -> Column:
     return (F.floor(left / F.col("_cs")) == F.col("_cx")) & (F.floor(top / F.col("_cs")) == F.col("_cy"))
 
 
+def _centre(b) -> list[Column]:
+    return [(b[0] + b[2]) / 2, (b[1] + b[3]) / 2]
+
+
+def _centre_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], min_iou: float, base: float) -> DataFrame:
+    """Candidates for an IoU of at least min_iou, each pair of rows once.
+
+    Sides of two such boxes have ratios of at least min_iou on both axes, and centres lie at most (1 / min_iou - 1) / 2 sides
+    apart. Both bounds are widened by far more than arithmetic can round.
+    """
+    ab, bb = bx.box("a_"), bx.box("b_")
+    hosts = a.withColumn("_lv", _level(ab, base)).withColumn("_cs", F.lit(base) * F.pow(F.lit(2.0), F.col("_lv")))
+    hosts = hosts.select("*", *[F.floor(m / F.col("_cs")).alias(c) for m, c in zip(_centre(ab), ("_cx", "_cy"))]).drop("_cs")
+    least, most = [_level([v * by for v in bb], base) for by in (min_iou * (1 - 1e-6), (1 + 1e-6) / min_iou)]
+    guests = b.withColumn("_lv", F.explode(F.sequence(least, most))).withColumn("_cs", F.lit(base) * F.pow(F.lit(2.0), F.col("_lv")))
+    for m, lo, hi, c in zip(_centre(bb), bb[:2], bb[2:], ("_cx", "_cy")):
+        reach = (hi - lo) * ((1 / min_iou - 1) / 2 + 1e-6) + F.abs(m) * 1e-12
+        guests = guests.withColumn(c, F.explode(F.sequence(F.floor((m - reach) / F.col("_cs")), F.floor((m + reach) / F.col("_cs")))))
+    return hosts.join(guests.drop("_cs"), [*on, "_lv", "_cx", "_cy"])
+
+
 def _sided(df: DataFrame, group: Sequence[str], id_col: str, prefix: str) -> DataFrame:
     return df.select(
         *group, F.col(id_col).alias(prefix + "id"), *[F.col(c).cast("double").alias(prefix + c) for c in bx.BOX]
@@ -79,6 +103,9 @@ def overlap_pairs(
     score = bx.iou(ab, bb)
     hit = (score > min_iou) if strict else (score >= min_iou)
     out = [*group, "a_id", "b_id", score.alias("iou")]
+    if min_iou >= 0.5:
+        once = F.col("a_id") < F.col("b_id") if self_join else F.lit(True)
+        return _centre_pairs(a, b, group, min_iou, base).where(hit & once).select(*out)
     if self_join:
         # Guests of the same level or finer than the host; one order only within a level.
         found = hosts(a, ab).join(guests(b, bb, 0).drop("_cs"), on)

@@ -127,3 +127,50 @@ def test_journal_lands_in_as_many_files_as_partitions(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(spark.read.parquet(made[0]).inputFiles()) == 9
+
+
+def test_near_boxes_meet_in_the_cell_of_a_centre(spark):
+    """From IoU 0.5 on, one side has one row and the other a row for the few cells its centre may be off; all pairs come, once, at the limit and across levels too."""
+    from skyledger.operators import overlap as ov
+
+    g = np.random.default_rng(11)
+    lead = np.column_stack([g.uniform(-3, 3, 400), g.uniform(-3, 3, 400), g.uniform(0.01, 0.6, 400), g.uniform(0.01, 0.6, 400)])
+    near = np.repeat(lead, 3, 0) * np.concatenate([np.ones((1200, 2)), g.uniform(0.85, 1.15, (1200, 2))], 1) + np.concatenate([g.uniform(-0.02, 0.02, (1200, 2)), np.zeros((1200, 2))], 1)
+    exact = np.array([[0, 0, 0.0625, 0.5], [0, 0, 0.0625, 0.45], [0, 0, 0.125, 1], [0.0625, 0, 0.0625, 1], [1, 1, 1, 1], [1, 1, 0.9, 1], [1.1, 1, 0.9, 1]])
+    b = np.concatenate([lead, near, exact])
+    b[:, 2:] += b[:, :2]
+    df = spark.createDataFrame([(0, i, *map(float, v)) for i, v in enumerate(b)], "image int, id int, x1 double, y1 double, x2 double, y2 double")
+    side = lambda k: np.clip(np.minimum(b[:, None, k + 2], b[None, :, k + 2]) - np.maximum(b[:, None, k], b[None, :, k]), 0, None)
+    inter, area = side(0) * side(1), (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    iou = inter / (area[:, None] + area[None, :] - inter)
+    for limit in (0.5, 0.65, 0.9, 1.0):
+        got = sorted((r.a_id, r.b_id) for r in ov.overlap_pairs(df, None, group=["image"], id_col="id", min_iou=limit, base=0.0625).collect())
+        assert got == [(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(iou >= limit))) if i < j]
+        both = ov.overlap_pairs(df.where("id % 2 = 0"), df.where("id % 2 = 1"), group=["image"], id_col="id", min_iou=limit, base=0.0625).collect()
+        assert sorted((r.a_id, r.b_id) for r in both) == [(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(iou >= limit))) if i % 2 == 0 and j % 2 == 1]
+    sided = [ov._sided(df, ["image"], "id", p) for p in ("a_", "b_")]
+    plan = ov._centre_pairs(*sided, ["image"], 0.9, 0.0625)
+    assert plan.select("a_id", "b_id").distinct().count() == plan.count()
+
+
+def test_flags_and_key_stay_within_compiled_methods(spark):
+    """Flags and rounded key as one step, in methods the JVM compiles (up to 8,000 bytes), with F.round's own values."""
+    import re
+
+    from skyledger.operators import labels as lb
+
+    values = [0.1234565, 2.5e-7, -0.0, 0.5 + 5e-7, 1e9 + 0.1234565, float("nan"), None, 0.61]
+    rows = spark.createDataFrame([(1, "car", values), (1, "car", values[::-1]), (1, None, [0.1 * i for i in range(10)])], "class_id int, class_name string, coords array<double>")
+    flagged = lb.flag_objects(rows)
+    assert flagged.where(~F.col("coords_key").eqNullSafe(F.transform("coords", lambda v: F.round(v, 6)))).count() == 0
+    text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(flagged._jdf.queryExecution().executedPlan())
+    assert all(int(n) < 8000 for n in re.findall(r"maxMethodCodeSize:(\d+)", text))
+
+
+def test_class_conflicts_multiply_copies_and_skip_no_class(spark):
+    from skyledger.operators import labels as lb
+
+    box = (0.1, 0.1, 0.3, 0.3)
+    rows = [("a", c, *box) for c in [1] * 40 + [2] * 30 + [None] * 5] + [("a", 3, 0.1, 0.1, 0.3, 0.301), ("b", 1, *box)]
+    flagged = spark.createDataFrame(rows, "image string, class_id int, x1 double, y1 double, x2 double, y2 double")
+    assert [(r.image, r.class_conflicts) for r in lb.class_conflicts(flagged, ["image"]).collect()] == [("a", 40 * 30 + 70)]
