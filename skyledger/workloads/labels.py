@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyledger.functions.boxes import BOX
 from skyledger.operators import labels as lb
 from skyledger.operators.profiles import side_by_side
 from skyledger.workloads.bindings import IOU_SQL, cte
@@ -24,6 +25,11 @@ def _flagged(t):
     return lb.flag_objects(_objects(t), POLICY)
 
 
+def _sanitized(t):
+    flags = ("out_of_bounds", "degenerate", "oversized", "extreme_aspect")
+    return lb.sanitize(_flagged(t).select("obj_id", *KEYS, "class_id", "coords_key", *BOX, *flags), KEYS, "obj_id", POLICY)
+
+
 _EX, _EY = "sqrt((x2 - x1) * (x2 - x1))", "sqrt((y2 - y1) * (y2 - y1))"
 FLAGGED = (
     f"WITH {cte('objects')}, named AS (SELECT *, {NAMES} AS class_name FROM objects), "
@@ -190,7 +196,7 @@ SANITIZE_SQL = (
 
 @workload("sanitized_objects", "A18 P37 W5", f"{SANITIZE_SQL} SELECT obj_id, image_id, outcome FROM outc")
 def _(t):
-    return lb.sanitize(_flagged(t), KEYS, "obj_id", POLICY).select("obj_id", "image_id", "outcome")
+    return _sanitized(t).select("obj_id", "image_id", "outcome")
 
 
 @workload(
@@ -199,7 +205,7 @@ def _(t):
     "count(*) FILTER (outcome = 'duplicate') AS removed_duplicate, 2 * count(*) FILTER (struck) AS removed_conflict FROM outc",
 )
 def _(t):
-    return lb.sanitize_stats(lb.sanitize(_flagged(t), KEYS, "obj_id", POLICY))
+    return lb.sanitize_stats(_sanitized(t))
 
 
 _LIMB = ", ".join(f"sum(('0x' || substr(d, {a}, 12))::BIGINT) AS s{i}" for i, a in enumerate([1, 13, 25, 37, 49]))
