@@ -132,26 +132,58 @@ def bucketed(df: DataFrame, key: str, rows: int = 5_000):
 
 def _walker(min_iou: float):
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for rows in pdf.groupby("comp", sort=False).indices.values() if not isinstance(pdf["comp"].iloc[0], dict) else _by_text(pdf["comp"]):
-            part = pdf.take(rows)
-            keys = [_flat(p) for p in part["pos"]]
-            order = sorted(range(len(part)), key=keys.__getitem__)
-            out.append(_walk_one(part.take(order), min_iou))
-        return pd.concat(out)
+        comp = pdf["comp"].map(str) if isinstance(pdf["comp"].iloc[0], dict) else pdf["comp"]
+        keys = [_flat(p) for p in pdf["pos"]]
+        sets: dict = {}
+        comps = comp.tolist()
+        for i in sorted(range(len(pdf)), key=keys.__getitem__):
+            sets.setdefault(comps[i], []).append(i)
+        box, conf = pdf[list(bx.BOX)].to_numpy(float), pdf["conf"].to_numpy(float)
+        plain = bool(np.isfinite(box).all())
+        boxes, confs, ids = box.tolist(), conf.tolist(), pdf["id"].tolist()
+        found = [None] * len(pdf)
+        for rows in sets.values():
+            if plain and len(rows) <= FEW:
+                places = _walk_few([boxes[i] for i in rows], [confs[i] for i in rows], min_iou)
+            else:
+                places = _walk_one(box[rows], conf[rows], min_iou)
+            for i, place in zip(rows, places):
+                found[i] = ids[rows[place]]
+        return pd.DataFrame({"id": ids, "founder": found})
 
     return walk
 
 
-def _by_text(column: pd.Series):
-    return column.map(str).groupby(column.map(str), sort=False).indices.values()
+#: Sets up to this size are walked number by number: array calls cost more than their few boxes.
+FEW = 24
 
 
-def _walk_one(pdf: pd.DataFrame, min_iou: float) -> pd.DataFrame:
-    """The ordered walk over one linked set, rows already in order."""
-    box = pdf[list(bx.BOX)].to_numpy(float)
-    conf, ids = pdf["conf"].to_numpy(float), pdf["id"].tolist()
-    reps, top = np.empty((len(pdf), 4)), np.empty(len(pdf))
+def _walk_few(boxes: list, conf: list, min_iou: float) -> list[int]:
+    """_walk_one() for few boxes with finite numbers."""
+    founders, reps, top, out = [], [], [], []
+    for i, b in enumerate(boxes):
+        x1, y1, x2, y2 = b
+        area, g = (x2 - x1) * (y2 - y1), -1
+        for k, (u1, v1, u2, v2) in enumerate(reps):
+            inter = max(min(u2, x2) - max(u1, x1), 0.0) * max(min(v2, y2) - max(v1, y1), 0.0)
+            union = (u2 - u1) * (v2 - v1) + area - inter
+            if union > 0 and inter / union >= min_iou:
+                g = k
+                break
+        if g < 0:
+            g = len(founders)
+            founders.append(i)
+            reps.append(b)
+            top.append(conf[i])
+        elif conf[i] > top[g]:
+            reps[g], top[g] = b, conf[i]
+        out.append(founders[g])
+    return out
+
+
+def _walk_one(box: np.ndarray, conf: np.ndarray, min_iou: float) -> list[int]:
+    """The ordered walk over one linked set, rows already in order: the place of each row's founder."""
+    reps, top = np.empty((len(box), 4)), np.empty(len(box))
     founders: list = []
     out = []
     for i, b in enumerate(box):
@@ -164,11 +196,11 @@ def _walk_one(pdf: pd.DataFrame, min_iou: float) -> pd.DataFrame:
         hits = np.flatnonzero((union > 0) & (inter / np.where(union > 0, union, 1) >= min_iou))
         g = int(hits[0]) if len(hits) else n
         if g == n:
-            founders.append(ids[i])
+            founders.append(i)
         if g == n or conf[i] > top[g]:
             reps[g], top[g] = b, conf[i]
         out.append(founders[g])
-    return pd.DataFrame({"id": ids, "founder": out})
+    return out
 
 
 def _flat(value):

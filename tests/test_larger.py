@@ -174,3 +174,24 @@ def test_class_conflicts_multiply_copies_and_skip_no_class(spark):
     rows = [("a", c, *box) for c in [1] * 40 + [2] * 30 + [None] * 5] + [("a", 3, 0.1, 0.1, 0.3, 0.301), ("b", 1, *box)]
     flagged = spark.createDataFrame(rows, "image string, class_id int, x1 double, y1 double, x2 double, y2 double")
     assert [(r.image, r.class_conflicts) for r in lb.class_conflicts(flagged, ["image"]).collect()] == [("a", 40 * 30 + 70)]
+
+
+def test_small_sets_are_walked_in_one_pass(spark, monkeypatch):
+    """Sets of few boxes take the walk without arrays, with the same founders; array walks are left to large sets and odd numbers."""
+    import pandas as pd
+
+    from skyledger.operators import resolve as rs
+
+    g = np.random.default_rng(5)
+    n = 3000
+    at = g.integers(0, 6, (n, 2)) * 2.0
+    box = np.concatenate([at, at + g.integers(8, 12, (n, 2))], 1)
+    pdf = pd.DataFrame(box, columns=["x1", "y1", "x2", "y2"]).assign(comp=g.integers(0, 400, n), id=np.arange(n), pos=[(float(v),) for v in g.permutation(n)], conf=g.integers(0, 5, n) / 4)
+    calls = []
+    arrays = rs._walk_one
+    monkeypatch.setattr(rs, "_walk_one", lambda *a: calls.append(1) or arrays(*a))
+    few = rs._walker(0.6)(pdf).set_index("id")["founder"].sort_index()
+    assert not calls
+    monkeypatch.setattr(rs, "FEW", 0)
+    assert (rs._walker(0.6)(pdf).set_index("id")["founder"].sort_index() == few).all() and len(calls) == pdf["comp"].nunique()
+    assert few.nunique() < n
