@@ -55,3 +55,24 @@ def test_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(0, 'a"]: }', 1), (0, "b", 2), (1, "c", 3)], "part int, token string, n long")
     tok.write_token_map(df, str(tmp_path / "o"), file="part", token="token", value=F.struct("n"))
     assert _read(spark, str(tmp_path / "o"), "n bigint") == [('a"]: }', {"n": 1}), ("b", {"n": 2}), ("c", {"n": 3})]
+
+
+def test_text_of_pieces_is_not_shuffled(spark, tmp_path, monkeypatch):
+    """Pieces are summed up and joined where they are read: what is written on the way holds each entry once, and only the text at the ends of splits meets in a group."""
+    kept = {}
+    write = tok.cut
+    monkeypatch.setattr(tok, "cut", lambda df, label: kept.setdefault(label, write(df, label)))
+    monkeypatch.setattr(tok, "drop", lambda *tables: None)
+    path = _write(tmp_path, json.dumps({f"k{i}": {"n": i} for i in range(2000)}))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    try:
+        for k in names:
+            spark.conf.set(k, "4096")
+        got = _read(spark, path, "n bigint")
+    finally:
+        for k, v in zip(names, before):
+            spark.conf.set(k, v)
+    assert len(got) == 2000
+    splits = kept["splits"].count()
+    assert 1 < splits and kept["entries"].where("led OR NOT ended").count() <= 2 * splits and kept["entries"].count() <= 2000 + 2 * splits
