@@ -40,11 +40,14 @@ def label_line(class_id: Column, coords: Column) -> Column:
 
 
 def write_labels(df: DataFrame, path: str, order: Sequence[str]) -> None:
-    """Label text per split and image. Each image is written by one task, its lines in order."""
-    lines = df.select("split", "image", *order, label_line(F.col("class_id"), F.col("coords")).alias("value"))
+    """Label text per split and image. Each image is written by one task, its lines in order. Images are dealt by ranges: by hash, a few
+    large ones would meet in one task and be sorted together."""
+    # Named as Spark names the folder of a null. Folder columns that may be null are sorted once more by the writer, and the planner then leaves out the sort of the lines.
+    folder = lambda c: F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c).cast("string")), F.lit("__HIVE_DEFAULT_PARTITION__")).alias(c)
+    rows = df.select(folder("split"), folder("image"), *order, "class_id", "coords")
     (
-        lines.repartition("split", "image").sortWithinPartitions("split", "image", *order)
-        .select("split", "image", "value").write.partitionBy("split", "image").text(path)
+        rows.repartitionByRange("split", "image").sortWithinPartitions("split", "image", *order)
+        .select("split", "image", label_line(F.col("class_id"), F.col("coords")).alias("value")).write.partitionBy("split", "image").text(path)
     )
 
 

@@ -146,3 +146,22 @@ def test_pointers_are_created_once(spark):
     sinks.publish(spark.range(3), base)
     sinks.publish(spark.range(4), base)
     assert sinks.published(spark, base)["number"] == 2 and sinks.current(spark, base, "id bigint").count() == 4
+
+
+def test_large_images_are_written_by_tasks_of_their_own(spark, tmp_path):
+    """Few large images are dealt by ranges, one to a task, each in one file with its lines in order."""
+    rows = spark.range(20_000).select(
+        F.format_string("%06d", F.col("id") * 7919 % 20_000).alias("obj"), F.when(F.col("id") % 10 < 5, "train").otherwise("val").alias("split"), (F.col("id") % 10).cast("string").alias("image"), F.lit(1).alias("class_id"),
+        F.array(*[(F.col("id") * 7919 % 20_000 / 1e6)] * 8).alias("coords"),
+    )
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sinks.write_labels(rows, str(tmp_path / "l"), ["obj"])
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    files = sorted((tmp_path / "l").rglob("part-*"))
+    assert (len(files), len({f.name.split("-")[1] for f in files})) == (10, 10)
+    assert all(lines == sorted(lines) and len(lines) == 2000 for lines in (f.read_text().splitlines() for f in files))
