@@ -7,7 +7,7 @@ windows on the diagonals that remain are embedded by CGK random walks, which tur
 and hashed by repeated samples of embedded places; a window that meets its item in any of them is verified by exact edit
 distance. Every repetition belongs to one of several independent walks, since a walk that an edit throws off may stay off;
 how many repetitions a walk needs for the recall asked for is measured on edited copies of the items themselves. Items too
-short for pieces are compared whole, on word borders.
+short for pieces are compared whole, on word borders. A piece that a text repeats counts once, as the item holds it once.
 """
 
 from __future__ import annotations
@@ -226,7 +226,7 @@ class Items:
                     yield d, k, a - int(offs[d]), b - int(offs[d]), 0
 
     def hits(self, low: np.ndarray, offs: np.ndarray):
-        """(document, item, diagonal) of every piece found in the batch, sorted."""
+        """(document, item, diagonal, place in the item) of every piece found in the batch, sorted."""
         n = len(low) - PIECE + 1
         if n <= 0 or not len(self.keys):
             return None
@@ -244,9 +244,29 @@ class Items:
         count = b - a
         entry = np.repeat(a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         doc, at = np.repeat(doc, count), np.repeat(at, count)
-        item, diagonal = self.owner[entry], at - self.place[entry]
-        order = np.lexsort((diagonal, item, doc))
-        return doc[order], item[order], diagonal[order]
+        item, place = self.owner[entry], self.place[entry]
+        diagonal = at - place
+        order = np.lexsort((place, diagonal, item, doc))
+        return doc[order], item[order], diagonal[order], place[order]
+
+    def reached(self, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which of the sorted hits lie in a run of diagonals, as wide as the item's limit, that holds enough different pieces of the item."""
+        n = len(doc)
+        limit = np.array(self.limit)[item]
+        group = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
+        # Groups lie so far apart on one line that no run reaches from one into the next.
+        line = diagonal - diagonal.min() + group * (int(np.ptp(diagonal)) + int(limit.max()) + 1)
+        begin, end = np.searchsorted(line, line - limit, "left"), np.searchsorted(line, line + limit, "right")
+        # A hit counts for the runs that start behind the hit of the same piece before it.
+        order = np.lexsort((place, group))
+        again = 1 + np.flatnonzero((place[order[1:]] == place[order[:-1]]) & (group[order[1:]] == group[order[:-1]]))
+        behind = np.zeros(n, dtype=np.int64)
+        behind[order[again]] = order[again - 1] + 1
+        first = np.maximum(begin, behind)
+        change = np.bincount(first, minlength=n + 1) - np.bincount(np.arange(1, n + 1), minlength=n + 1)
+        ok = np.cumsum(change)[:n] >= self.need[item]
+        cover = np.bincount(np.flatnonzero(ok), minlength=n + 1) - np.bincount(end[ok], minlength=n + 1)
+        return np.cumsum(cover)[:n] > 0
 
     def matches(self, low: np.ndarray, offs: np.ndarray):
         """(document, item, start, end, distance) in the normal form: the nearest passage of each document and item."""
@@ -254,16 +274,10 @@ class Items:
         found = self.hits(low, offs)
         if found is None or not len(found[0]):
             return
-        doc, item, diagonal = found
-        limit = np.array(self.limit)[item]
-        need = self.need[item]
-        last = np.arange(len(doc)) + need - 1
-        ok = last < len(doc)
-        end = np.minimum(last, len(doc) - 1)
-        ok &= (doc[end] == doc) & (item[end] == item) & (diagonal[end] - diagonal <= limit)
         starts: dict[tuple[int, int], set] = {}
-        for i in np.flatnonzero(ok):
-            starts.setdefault((int(doc[i]), int(item[i])), set()).update(diagonal[i : end[i] + 1].tolist())
+        near = self.reached(*found)
+        for d, k, s in zip(*(column[near].tolist() for column in found[:3])):
+            starts.setdefault((d, k), set()).add(s)
         doubtful = []
         for (d, k), own in starts.items():
             text, a, b = self.rows[k][1], int(offs[d]), int(offs[d + 1])

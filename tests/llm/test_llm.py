@@ -476,6 +476,30 @@ def test_embedding_parts_near_from_far():
     assert (items.samples(as_bytes(far)) == own).any(axis=1).mean() <= 0.05
 
 
+def test_repeated_pieces_count_once(monkeypatch):
+    """Runs of diagonals need different pieces, as brute force says; texts that repeat one piece of an item embed no window."""
+    rng = random.Random(23)
+    texts = [prose(rng, 40).lower().encode()[: rng.randint(80, 240)] for _ in range(6)] + [b"the the " * 3 + prose(rng, 30).lower().encode()]
+    items = decontam.Items(list(enumerate(texts)), 0.1, 6, 4, 1, 32)
+    pick = lambda t: t[8 * (at := rng.randrange(len(t) // 8 - 3)) : 8 * at + 8 * rng.randint(1, 12)] + b"." * rng.randint(0, 3)
+    docs = [b"".join(pick(rng.choice(texts[:2])) for _ in range(20)) for _ in range(6)] + [b"the " * 500, *texts]
+    buf, offs = np.frombuffer(b"".join(docs), dtype=np.uint8), np.cumsum([0, *map(len, docs)])
+    found = items.hits(buf, offs)
+    hits = list(zip(*(c.tolist() for c in found)))
+    want = set()
+    for d, k, s, _ in hits:
+        run = [h for h in hits if h[:2] == (d, k) and s <= h[2] <= s + items.limit[k]]
+        if len({h[3] for h in run}) >= items.need[k]:
+            want.update(run)
+    assert 0 < len(want) < len(hits)
+    assert {h for h, near in zip(hits, items.reached(*found)) if near} == want
+
+    embedded = []
+    monkeypatch.setattr(items, "meet", lambda windows, owners: embedded.extend(owners) or np.zeros(len(windows), dtype=bool))
+    spam = np.frombuffer(b"the " * 500, dtype=np.uint8)
+    assert len(items.hits(spam, np.array([0, len(spam)]))[0]) and not list(items.matches(spam, np.array([0, len(spam)]))) and not embedded
+
+
 def test_bit_parallel_distance():
     rng = random.Random(9)
     for _ in range(200):
