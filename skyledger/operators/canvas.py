@@ -17,6 +17,8 @@ from skyledger.session import cut, spread
 
 #: Runs that are worked on in one call, if no single mask has more.
 ROWS = 1 << 16
+#: Pixels of a canvas that several masks share.
+CELLS = 1 << 18
 
 
 def _whole_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -67,35 +69,39 @@ def per_mask(runs: DataFrame, keys: Sequence[str], work: Callable[..., Iterator[
     return spread(whole, *keys).sortWithinPartitions("_mask", *keys, "y", "x0").mapInArrow(run, schema)
 
 
-def _reach(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, half: np.ndarray, width: int, height: int):
-    """Runs of the pixels within the radius of one mask; half[d] is the reach along a row whose mask pixel lies d rows off, -1 beyond the radius.
+def _reach(mask: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, half: np.ndarray, width: int, height: int):
+    """(mask, y, x0, x1): runs of the pixels within the radius of each mask; half[d] is the reach along a row whose mask pixel lies d rows off, -1 beyond the radius.
 
-    Down every column the distance to the nearest mask row is found by two scans. A row's reached pixels are then the union of one interval a column:
-    the part of the lower envelope of the columns' parabolas that lies within the radius.
+    Masks (their runs in order) are laid below each other, each with the radius around it, so none reaches into another. Down every column the distance to the
+    nearest mask row is found by two scans. A row's reached pixels are then the union of one interval a column: the part of the lower envelope of the columns'
+    parabolas that lies within the radius.
     """
     radius = len(half) - 2
-    top, left = max(0, int(y.min()) - radius), max(0, int(x0.min()) - radius)
-    h, w = min(height, int(y.max()) + radius + 1) - top, min(width, int(x1.max()) + radius) - left
-    if h <= 0 or w <= 0:
-        return (np.zeros(0, np.int64),) * 3
-    ends = np.zeros((h, w + 1), np.int32)
-    near = (y >= top) & (y < top + h)
-    np.add.at(ends, (y[near] - top, np.clip(x0[near] - left, 0, w)), 1)
-    np.add.at(ends, (y[near] - top, np.clip(x1[near] - left, 0, w)), -1)
-    mask = np.cumsum(ends, axis=1)[:, :w] > 0
+    first = np.flatnonzero(np.append(True, mask[1:] != mask[:-1]))
+    top, left = np.minimum.reduceat(y, first) - radius, np.minimum.reduceat(x0, first) - radius
+    tall, w = np.maximum.reduceat(y, first) + radius + 1 - top, int((np.maximum.reduceat(x1, first) + radius - left).max())
+    begin = np.cumsum(tall) - tall
+    h, own = int(tall.sum()), np.repeat(np.arange(len(first)), np.diff(np.append(first, len(mask))))
+    line, size = begin[own] + y - top[own], h * (w + 1)
+    ends = np.bincount(line * (w + 1) + x0 - left[own], minlength=size) - np.bincount(line * (w + 1) + x1 - left[own], minlength=size)
+    filled = np.cumsum(ends.reshape(h, w + 1), axis=1)[:, :w] > 0
     row = np.arange(h, dtype=np.int32)[:, None]
     far = np.int32(4 * (h + radius + 1))
-    above = row - np.maximum.accumulate(np.where(mask, row, -far), axis=0)
-    below = np.minimum.accumulate(np.where(mask, row, far)[::-1], axis=0)[::-1] - row
+    above = row - np.maximum.accumulate(np.where(filled, row, -far), axis=0)
+    below = np.minimum.accumulate(np.where(filled, row, far)[::-1], axis=0)[::-1] - row
     reach = half[np.minimum(np.minimum(above, below), radius + 1)]
     r, c = np.nonzero(reach >= 0)
     reach = reach[r, c]
-    size = h * (w + 1)
-    steps = np.bincount(r * (w + 1) + np.maximum(c - reach, 0), minlength=size) - np.bincount(r * (w + 1) + np.minimum(c + reach + 1, w), minlength=size)
+    steps = np.bincount(r * (w + 1) + c - reach, minlength=size) - np.bincount(r * (w + 1) + c + reach + 1, minlength=size)
     inside = np.cumsum(steps.reshape(h, w + 1), axis=1) > 0
     change = np.diff(np.concatenate([np.zeros((h, 1), np.int8), inside.astype(np.int8)], axis=1), axis=1)
-    ys, starts = np.nonzero(change == 1)
-    return ys + top, starts + left, np.nonzero(change == -1)[1] + left
+    r, starts = np.nonzero(change == 1)
+    stops = np.nonzero(change == -1)[1]
+    k = np.searchsorted(begin, r, "right") - 1
+    # The radius around a mask may lie outside the image.
+    ys, starts, stops = r - begin[k] + top[k], np.maximum(starts + left[k], 0), np.minimum(stops + left[k], width)
+    seen = (ys >= 0) & (ys < height) & (starts < stops)
+    return mask[first][k[seen]], ys[seen], starts[seen], stops[seen]
 
 
 def dilate(merged: DataFrame, keys: Sequence[str], radius: int, width: int, height: int) -> DataFrame:
@@ -103,23 +109,28 @@ def dilate(merged: DataFrame, keys: Sequence[str], radius: int, width: int, heig
     half = np.array([int((radius * radius - d * d) ** 0.5 + 1e-9) for d in range(radius + 1)] + [-1], np.int64)
 
     def work(first, y, x0, x1):
-        for k, (a, b) in enumerate(zip(first[:-1], first[1:])):
-            ys, starts, stops = _reach(y[a:b], x0[a:b], x1[a:b], half, width, height)
-            yield np.full(len(ys), k), ys, starts, stops
-
-    def joined(first, y, x0, x1):
-        # Many small masks make one batch of rows.
-        parts, rows = [], 0
-        for part in work(first, y, x0, x1):
-            parts.append(part)
-            rows += len(part[0])
-            if rows > ROWS:
-                yield tuple(np.concatenate(c) for c in zip(*parts))
-                parts, rows = [], 0
-        if parts:
-            yield tuple(np.concatenate(c) for c in zip(*parts))
-
-    return per_mask(merged, keys, joined)
+        mask = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        x0, x1 = np.clip(x0, 0, width), np.clip(x1, 0, width)
+        real = (y >= 0) & (y < height) & (x0 < x1)
+        mask, y, x0, x1 = mask[real], y[real], x0[real], x1[real]
+        if not len(mask):
+            return
+        # Masks of like width share a canvas of bounded size, a large one has its own.
+        start = np.flatnonzero(np.append(True, mask[1:] != mask[:-1]))
+        many = np.diff(np.append(start, len(mask)))
+        wide = np.maximum.reduceat(x1, start) - np.minimum.reduceat(x0, start) + 2 * radius + 1
+        tall = np.maximum.reduceat(y, start) - np.minimum.reduceat(y, start) + 2 * radius + 1
+        order = np.argsort(wide, kind="stable")
+        i = 0
+        while i < len(order):
+            cells = np.cumsum(tall[order[i : i + CELLS]]) * wide[order[i : i + CELLS]]
+            j = i + max(1, int(np.searchsorted(cells, CELLS, "right")))
+            some = order[i:j]
+            at = np.repeat(start[some] - np.cumsum(many[some]) + many[some], many[some]) + np.arange(many[some].sum())
+            yield _reach(mask[at], y[at], x0[at], x1[at], half, width, height)
+            i = j
+
+    return per_mask(merged, keys, work)
 
 
 def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:

@@ -24,17 +24,26 @@ from skyledger.session import cut, spread
 
 def merge_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Union: overlapping and touching runs of a row become one."""
-    longest = runs.where(F.col("x1") > F.col("x0")).groupBy(*keys, "y", "x0").agg(F.max("x1").alias("x1"))
+    return _joined(runs.where(F.col("x1") > F.col("x0")).groupBy(*keys, "y", "x0").agg(F.max("x1").alias("x1")), keys)
+
+
+def _joined(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """merge_runs() for runs of which no two of a row begin alike."""
     row = Window.partitionBy(*keys, "y").orderBy("x0")
     reach = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
-    marked = longest.withColumn("_new", F.when(reach.isNull() | (F.col("x0") > reach), 1).otherwise(0))
+    marked = runs.withColumn("_new", F.when(reach.isNull() | (F.col("x0") > reach), 1).otherwise(0))
     numbered = marked.withColumn("_part", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(*keys, "y", "_part").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_part")
 
 
-def coverage(runs: DataFrame, keys: Sequence[str], layer: str, layers: Sequence[str]) -> DataFrame:
-    """Segments of each row with how many runs of each layer cover them, as columns n_<layer>."""
-    edges = runs.where(F.col("x1") > F.col("x0")).select(
+def coverage(runs: DataFrame, keys: Sequence[str], layer: str, layers: Sequence[str], merged: bool = False) -> DataFrame:
+    """Segments of each row with how many runs of each layer cover them, as columns n_<layer>.
+
+    merged: the runs of each layer (or of each of its components) are merged, so a row has no more than its pixels allow; the runs of a row
+    are then brought together once. Others are summed up per position before they are.
+    """
+    runs = runs.where(F.col("x1") > F.col("x0")).select(*keys, "y", "x0", "x1", layer)
+    edges = (runs.repartition(*keys, "y") if merged else runs).select(
         *keys, "y", layer, F.explode(F.array(
             F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d"))
         )).alias("e"),
@@ -49,9 +58,10 @@ def coverage(runs: DataFrame, keys: Sequence[str], layer: str, layers: Sequence[
     ).where(F.col("x1").isNotNull())
 
 
-def combine(runs: DataFrame, keys: Sequence[str], layer: str, layers: Sequence[str], keep: Column) -> DataFrame:
-    """Runs where a condition on the coverage columns holds, merged."""
-    return merge_runs(coverage(runs, keys, layer, layers).where(keep), keys)
+def combine(runs: DataFrame, keys: Sequence[str], layer: str, layers: Sequence[str], keep: Column, merged: bool = False) -> DataFrame:
+    """Runs where a condition on the coverage columns holds, merged. `merged` is told of the input, as in coverage()."""
+    segments = coverage(runs, keys, layer, layers, merged).where(keep)
+    return _joined(segments.select(*keys, "y", "x0", "x1"), keys)
 
 
 def _layered(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -59,12 +69,12 @@ def _layered(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFr
     return take(first, "a").unionByName(take(second, "b"))
 
 
-def intersect(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return combine(_layered(first, second, keys), keys, "layer", ["a", "b"], (F.col("n_a") > 0) & (F.col("n_b") > 0))
+def intersect(first: DataFrame, second: DataFrame, keys: Sequence[str], merged: bool = False) -> DataFrame:
+    return combine(_layered(first, second, keys), keys, "layer", ["a", "b"], (F.col("n_a") > 0) & (F.col("n_b") > 0), merged)
 
 
-def subtract(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return combine(_layered(first, second, keys), keys, "layer", ["a", "b"], (F.col("n_a") > 0) & (F.col("n_b") == 0))
+def subtract(first: DataFrame, second: DataFrame, keys: Sequence[str], merged: bool = False) -> DataFrame:
+    return combine(_layered(first, second, keys), keys, "layer", ["a", "b"], (F.col("n_a") > 0) & (F.col("n_b") == 0), merged)
 
 
 def overlap_areas(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -166,12 +166,12 @@ def functional_zones(facility: DataFrame, band_seeds: DataFrame, roads: DataFram
     named = lambda df, name: df.select(image, "y", "x0", "x1", F.lit(name).alias("layer"))
     stack = reduce(DataFrame.unionByName, [named(ground, "facility"), named(bands, "band"), named(reach, "near")])
     between_bands = (F.col("n_facility") > 0) & (F.col("n_band") == 0) & (F.col("n_near") >= 2)
-    aisles = cv.retain(mk.combine(stack, keys, "layer", layers, between_bands), keys, minimum)
+    aisles = cv.retain(mk.combine(stack, keys, "layer", layers, between_bands, merged=True), keys, minimum)
     road_side = cv.dilate(mk.merge_runs(roads, keys), keys, near, width, height)
-    entrances = cv.retain(mk.intersect(aisles, road_side, keys), keys, minimum)
-    inner = cv.retain(mk.subtract(aisles, entrances, keys), keys, minimum)
+    entrances = cv.retain(mk.intersect(aisles, road_side, keys, merged=True), keys, minimum)
+    inner = cv.retain(mk.subtract(aisles, entrances, keys, merged=True), keys, minimum)
     taken = reduce(DataFrame.unionByName, [df.select(image, "y", "x0", "x1") for df in (bands, inner, entrances)])
-    unknown = mk.subtract(ground, taken, keys)
+    unknown = mk.subtract(ground, taken, keys, merged=True)
     return {"parking_band": bands, "internal_aisle": inner, "entrance_exit": entrances, "unknown_region": unknown, "facility": ground}
 
 

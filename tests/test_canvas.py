@@ -68,3 +68,34 @@ def test_masks_that_cross_batches_stay_whole(spark):
 def test_no_masks(spark):
     none = spark.createDataFrame([], "k long, y long, x0 long, x1 long")
     assert cv.dilate(none, ["k"], 3, W, H).collect() == [] and cv.label(none, ["k"], 2).collect() == []
+
+
+def test_small_masks_share_a_canvas(runs, monkeypatch):
+    """Masks reach no further when they lie on one canvas, and many small ones are one call (one a mask before)."""
+    calls, plain = [], cv._reach
+    monkeypatch.setattr(cv, "_reach", lambda *a: calls.append(a) or plain(*a))
+    monkeypatch.setattr(cv, "per_mask", lambda merged, keys, work, added="": work)
+    rng = random.Random(4)
+    rows = [(k, y, x, x + rng.randint(1, 6)) for k in range(400) for y, x in [(rng.randint(-3, H + 2), rng.randint(-3, W + 2))]]
+    first = cv.np.arange(len(rows) + 1)
+    y, x0, x1 = (cv.np.array(c) for c in list(zip(*rows))[1:])
+    got = set()
+    for k, ys, a, b in cv.dilate(None, [], 3, W, H)(first, y, x0, x1):
+        got |= pixels(zip(k.tolist(), ys.tolist(), a.tolist(), b.tolist()))
+    disc = [(dy, dx) for dy in range(-3, 4) for dx in range(-3, 4) if dy * dy + dx * dx <= 9]
+    real = {(k, v, x) for k, v, x in pixels(rows) if 0 <= v < H and 0 <= x < W}
+    assert got == {(k, v + dy, x + dx) for k, v, x in real for dy, dx in disc if 0 <= v + dy < H and 0 <= x + dx < W}
+    assert len(calls) < 10
+
+
+@pytest.mark.parametrize("keep", ["n_a > 0 AND n_b > 0", "n_a > 0 AND n_b = 0", "n_a + n_b > 1"])
+def test_merged_runs_are_shuffled_once(spark, keep):
+    """coverage of merged runs: the same pixels as the general form, the rows brought together in one shuffle (two before)."""
+    rng = random.Random(6)
+    rows = [(k, y, layer, x, x + rng.randint(1, 7)) for k in (None, 1, 2) for y in range(6) for layer in "ab" for x in range(rng.randint(0, 5), 60, 11)]
+    stack = spark.createDataFrame(rows, "k long, y int, layer string, x0 int, x1 int")
+    either = [mk.combine(stack, ["k"], "layer", ["a", "b"], F.expr(keep), merged=m) for m in (True, False)]
+    one, two = (sorted((r.k or 0, r.y, r.x0, r.x1) for r in df.collect()) for df in either)
+    assert one == two and one
+    shuffles = lambda df: df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert (shuffles(either[0]), shuffles(either[1])) == (1, 2)
