@@ -9,7 +9,8 @@ the mixture adapts to what the document has said already: words seen before shar
 
 The corpus is gathered as a table of words with counts, sorted and kept in chunks of pairs (word, kind of the word before). A context with
 the symbol that follows it is an arc, told apart by 56 bits of a hash and the symbol. Arcs of all chunks are counted exactly by a shuffle,
-summed per chunk before it, and every chunk gets back the bit counts of its own arcs; contexts that only one chunk can have never move.
+summed per chunk before it, and every chunk gets back the bit counts of its own arcs; contexts that only one chunk can have never move. Inside a chunk, bytes of
+different words that agree in all before them are worked on once.
 """
 
 from __future__ import annotations
@@ -135,6 +136,21 @@ def events(code: Code, words: list[bytes], kinds: np.ndarray, bits: int):
     return place, code.bit[entry], word[at]
 
 
+def log_odds(zero: np.ndarray, one: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+    """Of a one, from levels; with `bit`, without one own occurrence."""
+    if bit is None:
+        return _LOG[one] - _LOG[zero]
+    return np.where(bit == 1, _LOG_LESS[one], _LOG[one]) - np.where(bit == 0, _LOG_LESS[zero], _LOG[zero])
+
+
+def gated(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of the contexts with the constant beside them, and the gate."""
+    odds = np.ones((len(known), CONTEXTS + 1), dtype=np.float32)
+    odds[:, :-1] = known
+    level = lambda x: (np.abs(x) > 0.3).astype(np.int64) + (np.abs(x) > 2.5)
+    return odds, 3 * level(known[:, CONTEXTS - 2]) + level(known[:, 3])
+
+
 class Mixer:
     def __init__(self, code: Code, bits: int, tables: np.ndarray):
         self.code, self.bits, self.tables = code, bits, tables
@@ -144,27 +160,21 @@ class Mixer:
 
     def inputs(self, place: np.ndarray, bit: np.ndarray | None):
         """Log-odds of each context, and the gate; with `bit`, without one own occurrence."""
-        odds = np.empty((place.shape[1], CONTEXTS + 1), dtype=np.float32)
-        odds[:, -1] = 1
-        for c in range(CONTEXTS):
-            zero, one = self.tables[c, 0][place[c]], self.tables[c, 1][place[c]]
-            if bit is None:
-                odds[:, c] = _LOG[one] - _LOG[zero]
-            else:
-                odds[:, c] = np.where(bit == 1, _LOG_LESS[one], _LOG[one]) - np.where(bit == 0, _LOG_LESS[zero], _LOG[zero])
-        level = lambda x: (np.abs(x) > 0.3).astype(np.int64) + (np.abs(x) > 2.5)
-        return odds, 3 * level(odds[:, CONTEXTS - 2]) + level(odds[:, 3])
+        odds = np.stack([log_odds(*self.tables[c][:, place[c]], bit) for c in range(CONTEXTS)], axis=1)
+        return gated(odds)
 
     def logit(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", odds, self.weights[gate]), -12, 12)
 
     def learn(self, odds, gate, bit, weight, rate: float) -> None:
-        error = (bit - 1 / (1 + np.exp(-self.logit(odds, gate)))) * weight
-        for g in range(GATES):
-            own = gate == g
-            total = weight[own].sum()
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        odds, bit, weight = odds[order], bit[order], weight[order]
+        cuts = np.searchsorted(gate[order], np.arange(GATES + 1))
+        for own, a, b in zip(self.weights, cuts[:-1], cuts[1:]):
+            total = weight[a:b].sum()
             if total > 0:
-                self.weights[g] += rate * (error[own] @ odds[own]) / total
+                error = (bit[a:b] - 1 / (1 + np.exp(-np.clip(odds[a:b] @ own, -12, 12)))) * weight[a:b]
+                own += rate * (error @ odds[a:b]) / total
 
     def refine(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Probability of a one: the mixture's, and with three times its weight the frequency observed at such log-odds."""
@@ -248,58 +258,116 @@ def chunked(words: DataFrame, room: int) -> DataFrame:
 
 
 class Chunk:
-    """The pairs of a row of `chunked`, the sorted arcs that they go through and, for every context and byte, which of them."""
+    """The pairs of a row of `chunked`, the sorted arcs that they go through and, for every byte, which of them.
+
+    Pairs that begin alike after the same kind go through the same arcs as far as they agree: such bytes are one node, which is worked on once.
+    """
 
     def __init__(self, row: dict):
         self.words = row["words"].split(b" ")
         self.kinds = np.frombuffer(row["kinds"], dtype=np.uint8).astype(np.int64)
         self.n, self.c, self.m = (np.frombuffer(row[k], dtype=np.int64) for k in "ncm")
-        self.text, self.hashed, self.word = contexts(self.words, self.kinds)
-        arcs, at = np.unique(((self.hashed & ~np.uint64(255)) | self.text).view(np.int64), return_inverse=True)
+        self.text, hashed, self.word = contexts(self.words, self.kinds)
+        self.node, self.first = _nodes(self.text, self.word, self.kinds)
+        self.symbol = self.text[self.first]
+        hashed = hashed[:, self.first]
+        self.prefix = hashed[-2]
+        arcs, at = np.unique(((hashed & ~np.uint64(255)) | self.symbol).view(np.int64), return_inverse=True)
         self.arcs, self.at = arcs, at.reshape(CONTEXTS, -1)
-        self.levels = None
+        self.levels = self._starts = None
+
+    def weights(self) -> np.ndarray:
+        """Training words that go through each node."""
+        return np.bincount(self.node, self.n[self.word].astype(float), minlength=len(self.first))
 
     def counts(self) -> np.ndarray:
         """How often the chunk's training words go through each arc."""
-        return np.bincount(self.at.ravel(), np.tile(self.n[self.word].astype(float), CONTEXTS), minlength=len(self.arcs))
+        return np.bincount(self.at.ravel(), np.tile(self.weights(), CONTEXTS), minlength=len(self.arcs))
 
     def open(self) -> np.ndarray:
         """Arcs that other chunks may have too: all but those of prefixes that lie wholly inside the sorted chunk, which the prefixes of its first and last word alone leave."""
-        prefix = self.hashed[-2]
-        edge = np.isin(prefix, prefix[(self.word == 0) | (self.word == len(self.words) - 1)])
+        edge = np.isin(self.prefix, self.prefix[self.node[(self.word == 0) | (self.word == len(self.words) - 1)]])
         out = np.zeros(len(self.arcs), dtype=bool)
         out[self.at[:-2].ravel()] = True
         out[self.at[-2:, edge].ravel()] = True
         return out
 
-    def own_levels(self, code: Code) -> None:
-        self.levels = np.ascontiguousarray(_levels(code, self.arcs, self.counts()).T)
-
     def put(self, code: Code, arcs: np.ndarray, levels: np.ndarray) -> None:
-        """Replace the counts of some arcs by those of all chunks."""
+        """The bit counts of all arcs: of some those of all chunks, which are given, of the rest the chunk's own."""
+        given = np.searchsorted(self.arcs, arcs)
+        own = np.ones(len(self.arcs), dtype=bool)
+        own[given] = False
         size = code.size[self.arcs & 255]
-        start = (np.cumsum(size) - size)[np.searchsorted(self.arcs, arcs)]
-        at, _, inner = code.expand(arcs & 255)
-        self.levels[:, start[at] + inner] = levels.T
+        start = np.cumsum(size) - size
+        self.levels = np.empty((2, int(size.sum())), dtype=np.uint8)
+        for some, those in ((given, levels), (np.flatnonzero(own), _levels(code, self.arcs[own], self.counts()[own]))):
+            at, _, inner = code.expand(self.arcs[some] & 255)
+            self.levels[:, start[some][at] + inner] = those.T
 
     def bits(self, code: Code, some: np.ndarray):
         """Places in the levels (a row a context), bits, and the pair of every bit of some bytes."""
-        size = code.size[self.arcs & 255]
-        start = np.cumsum(size) - size
-        at, entry, inner = code.expand(self.text[some])
-        return start[self.at[:, some]][:, at] + inner, code.bit[entry], self.word[some][at]
-
-    def tables(self) -> np.ndarray:
-        return np.broadcast_to(self.levels, (CONTEXTS, *self.levels.shape))
+        place, bit, at = self.node_bits(code, self.node[some])
+        return place.T, bit, self.word[some][at]
+
+    def node_bits(self, code: Code, some: np.ndarray):
+        """Places in the levels (a column a context), bits, and the place in `some` of every bit of some nodes."""
+        at, entry, inner = code.expand(self.symbol[some])
+        return self.starts(code)[some][at] + inner[:, None], code.bit[entry], at
+
+    def starts(self, code: Code) -> np.ndarray:
+        """The first place of a node's arcs in the levels, a column a context."""
+        if self._starts is None:
+            size = code.size[self.arcs & 255]
+            self._starts = np.ascontiguousarray((np.cumsum(size) - size)[self.at].T)
+        return self._starts
+
+    def odds(self, code: Code, less: bool) -> np.ndarray:
+        """Log-odds at every place in the levels; with `less`, without one occurrence of the arc itself."""
+        return log_odds(*self.levels, code.bit[code.expand(self.arcs & 255)[1]] if less else None)
+
+
+def _nodes(text: np.ndarray, word: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The node of every byte, and the first byte of every node. Pairs are sorted by word, so those that begin alike follow each other among those of their kind."""
+    begin = np.flatnonzero(np.diff(word, prepend=-1))
+    size = np.diff(begin, append=len(text))
+    before = np.full(len(kinds), -1, dtype=np.int64)
+    for k in range(CLASSES):
+        own = np.flatnonzero(kinds == k)
+        before[own[1:]] = own[:-1]
+    inside = np.arange(len(text)) - begin[word]
+    past = before[word]
+    alike = (past >= 0) & (inside < size[past])
+    alike &= text[np.where(alike, begin[past] + inside, 0)] == text
+    unlike = np.cumsum(~alike)
+    alike &= unlike == (unlike - ~alike)[begin][word]
+    rank = inside * CLASSES + kinds[word]
+    order = np.argsort(rank.astype(np.uint16) if rank.max(initial=0) < 1 << 16 else rank, kind="stable")
+    new = ~alike[order]
+    node = np.empty(len(text), dtype=np.int64)
+    node[order] = np.cumsum(new) - 1
+    return node, order[new]
 
 
 def _levels(code: Code, arcs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Counts of zeros and ones, as levels, at every bit of sorted different arcs; all arcs of a context are given."""
-    context = np.cumsum(np.diff(arcs >> 8, prepend=arcs[:1] >> 8) != 0)
+    new = np.append(np.diff(arcs >> 8) != 0, True)
+    alone = new & np.append(True, new[:-1])
     at, entry, _ = code.expand(arcs & 255)
-    _, node = np.unique((context[at] << 8) | code.node[entry].astype(np.int64), return_inverse=True)
-    sums = np.bincount(2 * node + code.bit[entry], counts[at], minlength=2 * (node.max(initial=-1) + 1)).reshape(-1, 2)
-    return np.rint(8 * np.log2(sums + 1)).clip(0, 255).astype(np.uint8)[node]
+    bit = code.bit[entry]
+    out = np.zeros((len(at), 2), dtype=np.uint8)
+    out[np.arange(len(at)), bit] = _level(counts)[at]
+    # Where a context has several arcs, their bits meet at the nodes of the code.
+    many = np.flatnonzero(~alone[at])
+    at, bit = at[many], bit[many]
+    context = np.cumsum(new) - new
+    _, node = np.unique((context[at] << 8) | code.node[entry[many]].view(np.int64), return_inverse=True)
+    sums = np.bincount(2 * node + bit, counts[at], minlength=2 * (node.max(initial=-1) + 1))
+    out[many] = _level(sums).reshape(-1, 2)[node]
+    return out
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    return np.rint(8 * np.log2(counts + 1)).clip(0, 255).astype(np.uint8)
 
 
 def _histogram(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -384,19 +452,18 @@ def learn(chunks: DataFrame, code: Code, rate: float = 0.3, block: int = 1 << 14
             listed = group.to_pylist()
             row = next(r for r in listed if r["words"] is not None)
             chunk = Chunk(row)
-            chunk.own_levels(code)
-            for r in listed:
-                if r["arcs"] is not None:
-                    chunk.put(code, np.frombuffer(r["arcs"], dtype=np.int64), np.frombuffer(r["levels"], dtype=np.uint8).reshape(-1, 2))
-            own.tables = chunk.tables()
+            given = [r for r in listed if r["arcs"] is not None]
+            arcs, levels = (b"".join(r[k] for r in given) for k in ("arcs", "levels"))
+            chunk.put(code, np.frombuffer(arcs, dtype=np.int64), np.frombuffer(levels, dtype=np.uint8).reshape(-1, 2))
+            known = chunk.odds(code, less=True)
             # Words are sorted: steps take their bytes in a mixed order.
             some = np.random.default_rng(row["chunk"] & 0xFFFFFFFF).permutation(np.flatnonzero(chunk.n[chunk.word] > 0))
             new = 0.0
             for i in range(0, len(some), block):
-                place, bit, pair = chunk.bits(code, some[i : i + block])
-                odds, gate = own.inputs(place, bit)
+                place, bit, at = chunk.node_bits(code, chunk.node[some[i : i + block]])
+                odds, gate = gated(known[place])
                 # Frequent words would drown the rest; the square root keeps them apart and in proportion to their noise.
-                w = np.sqrt(chunk.n[pair])
+                w = np.sqrt(chunk.n[chunk.word[some[i : i + block]]])[at]
                 for j in range(0, len(bit), 8192):
                     own.learn(odds[j : j + 8192], gate[j : j + 8192], bit[j : j + 8192], w[j : j + 8192], rate)
                 new += w.sum()
@@ -423,15 +490,15 @@ def learn(chunks: DataFrame, code: Code, rate: float = 0.3, block: int = 1 << 14
         counts = np.zeros((2, GATES, STEPS))
         for batch in batches:
             for chunk in counted_chunks(batch):
-                own.tables = chunk.tables()
-                some = np.flatnonzero(chunk.n[chunk.word] > 0)
+                weights, known = chunk.weights(), chunk.odds(code, less=True)
+                some = np.flatnonzero(weights > 0)
                 for i in range(0, len(some), block):
-                    place, bit, pair = chunk.bits(code, some[i : i + block])
-                    odds, gate = own.inputs(place, bit)
-                    at = np.clip((own.logit(odds, gate) + 8) * 2, 0, STEPS - 1.001)
-                    low = at.astype(np.int64)
-                    w = chunk.n[pair]
-                    for step, share in ((low, 1 - (at - low)), (low + 1, at - low)):
+                    place, bit, at = chunk.node_bits(code, some[i : i + block])
+                    w = weights[some[i : i + block]][at]
+                    odds, gate = gated(known[place])
+                    x = np.clip((own.logit(odds, gate) + 8) * 2, 0, STEPS - 1.001)
+                    low = x.astype(np.int64)
+                    for step, share in ((low, 1 - (x - low)), (low + 1, x - low)):
                         counts += np.bincount((bit * GATES + gate) * STEPS + step, w * share, minlength=counts.size).reshape(counts.shape)
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["c"])
 
@@ -459,14 +526,15 @@ def spelled(chunks: DataFrame, mixer: Mixer, block: int = 1 << 14) -> DataFrame:
     def run(batches):
         for batch in batches:
             for chunk in counted_chunks(batch):
-                mixer.tables = chunk.tables()
-                logs = np.zeros((2, len(chunk.words)))
-                for i in range(0, len(chunk.text), block):
-                    place, bit, pair = chunk.bits(mixer.code, np.arange(i, min(i + block, len(chunk.text))))
-                    for out, own in zip(logs, (None, bit)):
-                        odds, gate = mixer.inputs(place, own)
+                known = [chunk.odds(mixer.code, less) for less in (False, True)]
+                nodes = np.zeros((2, len(chunk.first)))
+                for i in range(0, len(chunk.first), block):
+                    place, bit, at = chunk.node_bits(mixer.code, np.arange(i, min(i + block, len(chunk.first))))
+                    for out, own in zip(nodes, known):
+                        odds, gate = gated(own[place])
                         p = mixer.refine(mixer.logit(odds, gate), gate)
-                        out += np.bincount(pair, np.log10(np.where(bit == 1, p, 1 - p)), minlength=len(out))
+                        out[i : i + block] = np.bincount(at, np.log10(np.where(bit == 1, p, 1 - p)))
+                logs = [np.bincount(chunk.word, x[chunk.node], minlength=len(chunk.words)) for x in nodes]
                 size = np.array([len(w) for w in chunk.words], dtype=np.int64)
                 stop = np.cumsum(size)
                 h = span_hashes(np.frombuffer(b"".join(chunk.words), dtype=np.uint8), stop - size, stop)

@@ -192,6 +192,27 @@ def test_mixing_counts_every_context_exactly(spark):
                 assert chunk.levels[:, place[c, i]].tolist() == exact
 
 
+def test_mixing_works_once_on_what_words_share():
+    """Bytes that agree in all before them and in the kind before their word are one node, however many words go through it."""
+    rng = random.Random(4)
+    words = sorted({b"\n", b"a", b"ab", b"ab\x01", b"abc", "\u00e9t\u00e9".encode(), b"b" * 17000, b"b" * 17000 + b"c", *prose(rng, 300).encode().split()})
+    pairs = [(w, k) for w in words for k in range(mixing.CLASSES) if rng.random() < 0.7]
+    n = np.array([rng.randint(0, 5) for _ in pairs], dtype=np.int64)
+    chunk = mixing.Chunk({"words": b" ".join(w for w, _ in pairs), "kinds": bytes(k for _, k in pairs), "n": n.tobytes(), "c": n.tobytes(), "m": n.tobytes()})
+    seen, want = [], Counter()
+    for (w, k), count in zip(pairs, n.tolist()):
+        so_far = hashlib.sha256(bytes([k]))
+        for b in w if w == b"\n" else w + b" ":
+            so_far.update(bytes([b]))
+            seen.append(so_far.digest())
+            want[seen[-1]] += count
+    assert len(chunk.text) == len(seen) > 1.5 * len(want) and len(chunk.first) == len(want)
+    assert len(set(zip(chunk.node.tolist(), seen))) == len(want)
+    assert [want[seen[i]] for i in chunk.first] == chunk.weights().tolist()
+    _, hashed, _ = mixing.contexts(chunk.words, chunk.kinds)
+    assert (chunk.arcs[chunk.at[:, chunk.node]] == ((hashed & ~np.uint64(255)) | chunk.text).view(np.int64)).all()
+
+
 def test_mixing_gives_every_training_word_its_whole(spark, docs):
     """Rare words count as wholes too: which words are sent to every task does not change a score."""
     def scores(frequent):
