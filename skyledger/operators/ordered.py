@@ -153,6 +153,16 @@ def exact_avg(column: str) -> Column:
     return (F.sum(F.col(column).cast("decimal(38,18)")) / F.count(column)).cast("double")
 
 
+def serial_avg(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], order: Sequence[str]) -> DataFrame:
+    """Means of doubles per key, {new column: source column}, added up one after the other in the given order, which must be total: the same
+    digits as one scan of the rows in that order gives, however the rows are dealt. Nulls are left out. A key's rows are sorted and read by
+    one task, as such a sum cannot be put together from parts; they spill and are never held together."""
+    upto = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {f"_s{i}": F.sum(c).over(upto) for i, c in enumerate(columns.values())}
+    running = df.withColumns({**sums, "_n": F.count(F.lit(1)).over(upto)})
+    return running.groupBy(*keys).agg(*[(F.max_by(f"_s{i}", "_n") / F.count(c)).alias(name) for i, (name, c) in enumerate(columns.items())])
+
+
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row per key as an aggregate: partial results are combined before the shuffle."""
     return _keep(df, keys, order, F.max_by)

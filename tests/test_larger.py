@@ -46,6 +46,23 @@ def test_curve_ties_do_not_follow_row_order(spark):
     assert [r.m for r in many.groupBy("epoch").agg(exact_avg("v").alias("m")).collect()] == [0.048, 0.048]
 
 
+def test_curve_means_follow_the_rows(spark, tmp_path):
+    """Means are added up in the order of the rows, as the SQL does, though the rows lie in several files: ties of rounding and trend are the SQL's."""
+    import duckdb
+    import pyarrow.parquet as pq
+
+    from skyledger.workloads.registry import WORKLOADS
+
+    table = pq.read_table("/root/testdata/sf0.01/lineitem.parquet")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i in range(4):
+        pq.write_table(table.slice(i * 17000, 17000), tmp_path / "lineitem.parquet" / f"part-{i}.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    query = WORKLOADS["training_curves"]
+    assert sorted(tuple(r) for r in query.run(spark, str(tmp_path)).collect()) == sorted(con.sql(query.sql).fetchall())
+
+
 def test_pixels_of_blocks_past_the_last_row(spark):
     lon, lat = tl.pixel_to_lonlat(F.lit(19), F.lit(524300), F.lit(875300), F.lit(17.0), F.lit(3.25))
     row = spark.range(1).select(lon.alias("lon"), lat.alias("lat"))
