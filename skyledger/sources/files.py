@@ -41,10 +41,10 @@ def count_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.agg(F.count_if(~bad).alias("records"), F.count_if(bad).alias("parse_errors"))
 
 
-def read_results(spark: SparkSession, root: str) -> DataFrame:
-    """Result files, one JSON object each, under one folder per prompt. The prompt falls back to the
-    folder name with spaces for underscores. parse_error marks unreadable files. Folders are listed, not one path for each file."""
-    raw = _raw_json(spark, f"{root}/*", RESULT, False, below=True)
+def read_results(spark: SparkSession, root: str, lines: bool = False) -> DataFrame:
+    """Result records under one folder per prompt: files of one JSON object each, or of one object a line, which split. The prompt falls back to the
+    folder name with spaces for underscores. parse_error marks unreadable files or lines. Folders are listed, not one path for each file."""
+    raw = _raw_json(spark, f"{root}/*", RESULT, lines, below=True)
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     named = F.coalesce(F.when(F.col("text_prompt") != "", F.col("text_prompt")), F.regexp_replace(folder, "_", " "))
     return raw.select(

@@ -131,6 +131,30 @@ def test_many_small_files_are_written_by_many_tasks(spark, tmp_path):
     assert not any(r.parse_error for r in back) and {r.prompt for r in back} == {f"folder=found {i}" for i in range(3)}
 
 
+def test_result_records_share_files(spark, tmp_path, monkeypatch):
+    """The files of a tree follow the tasks that write it and not its records; a broken line is marked and the others are kept."""
+    from skyledger.sources.files import explode_targets, read_results
+    from skyledger.workloads import files
+    from skyledger.workloads.registry import WORKLOADS
+
+    monkeypatch.setattr(files, "scratch_path", lambda spark, label: str(tmp_path / label))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        assert WORKLOADS["result_tree"].run(spark, "/root/testdata/sf0.001").agg({"targets": "sum"}).first()[0] == 1000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    written = [f for f in (tmp_path / "results").glob("*/*") if not f.name.startswith((".", "_"))]
+    assert len({f.parent for f in written}) == 5 and len(written) <= 10
+
+    (tmp_path / "tree" / "left_car").mkdir(parents=True)
+    lines = ['{"source_file": "a", "text_prompt": "", "targets": [{"bbox": [1, 2, 3, 4]}, {}]}', "", '{"source_file": "b", "tar', '{"source_file": "c", "text_prompt": "bus"}']
+    (tmp_path / "tree" / "left_car" / "r.json").write_text("\n".join(lines))
+    back = read_results(spark, str(tmp_path / "tree"), lines=True)
+    assert {(r.image, r.prompt) for r in back.where("NOT parse_error").collect()} == {("a", "left car"), ("c", "bus")}
+    assert len(back.where("parse_error").collect()) == 1 and [r.x2 for r in explode_targets(back).orderBy("position").collect()] == [3.0, None]
+
+
 def test_journal_lands_in_as_many_files_as_partitions(spark, monkeypatch):
     """A fixed number of files makes tasks that grow with the table."""
     from skyledger.workloads import extra
